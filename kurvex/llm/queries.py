@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 import uuid
 
 from .bpe import bpe_encode_decode
+from .decontaminate import contaminated
+from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_lines import quality_rules
 from .runtime import shared_dir
+from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 from .warc import read_archives, write_archives
 
 
@@ -34,6 +37,30 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", "n_near", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def held_out(modulus: int, remainder: int):
+    return (F.crc32(F.col("doc_id").cast("string")) % modulus) == remainder
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(labelled_sample(docs, _table(spark, sf_dir, "labels").where(~held_out(5, 0))))
+    out = score_toxicity(docs, model, ["doc_id"])
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sum("matched").alias("n_matched"))
+    out = docs.select("doc_id").join(lists, "doc_id", "left")
+    return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """The place of a public vocabulary file, the same on every machine."""
     import public_tokenizers
@@ -46,6 +73,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op8_decontaminate, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
