@@ -11,6 +11,7 @@ import uuid
 
 from .bpe import bpe_encode_decode
 from .decontaminate import contaminated
+from .html_tree import extract_main_text, fit_tree_model, training_pages
 from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_lines import quality_rules
@@ -61,6 +62,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(_table(spark, sf_dir, "pages"), fit_tree_model(training_pages()))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     """The place of a public vocabulary file, the same on every machine."""
     import public_tokenizers
@@ -73,6 +79,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op8_decontaminate, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op8_decontaminate, op9_html_extraction, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
