@@ -12,6 +12,7 @@ import uuid
 from .bpe import bpe_encode_decode
 from .decontaminate import contaminated
 from .html_tree import extract_main_text, fit_tree_model, training_pages
+from .interpolated_lm import lm_scores
 from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_lines import quality_rules
@@ -54,6 +55,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"), held_out(7, 2))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = contaminated(docs, _table(spark, sf_dir, "benchmark"))
@@ -79,6 +84,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op8_decontaminate, op9_html_extraction, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op8_decontaminate, op9_html_extraction, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
