@@ -17,6 +17,7 @@ from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_lines import quality_rules
 from .runtime import shared_dir
+from .suffix_columns import remove_repeats
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 from .warc import read_archives, write_archives
 
@@ -59,6 +60,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"), held_out(7, 2))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = contaminated(docs, _table(spark, sf_dir, "benchmark"))
@@ -84,6 +90,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op8_decontaminate, op9_html_extraction, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_suffix_dedup, op8_decontaminate, op9_html_extraction, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
