@@ -1,5 +1,557 @@
-"""Registered queries over the driver's tables, with the SQL that checks them."""
+"""Registered queries over the driver's tables, with the SQL that checks them.
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Curves are the users of ``events`` (irregular, planar: value and props.k), the vectors of
+``embeddings`` (one dimension on a common grid, the label as participant).  Floats are rounded to six
+places in both engines, and every query runs over its whole table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import decomposition as dec
+from ..operators import distances as dist
+from ..operators import geometry as geo
+from ..operators import inference as inf
+from ..operators import information as info
+from ..operators import observation as obs
+from ..operators import recurrence as rec
+from ..operators import sparse
+from ..sources.curves import embeddings, events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "rqa_metrics"
+
+_EV = """ev AS (SELECT user_id AS curve_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS t_idx,
+ (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3.6e9 AS t, value AS x,
+ CAST(regexp_extract(props, '"k": ?([0-9.]+)', 1) AS DOUBLE) AS y,
+ list_position(['click','error','purchase','signup','view'], event_type) - 1 AS state,
+ CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS observed FROM events)"""
+_EM = """em AS (SELECT vec_id AS curve_id, label AS participant, i - 1 AS t_idx, (i - 1) / 63.0::DOUBLE AS t, embedding[i]::DOUBLE AS x
+ FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
+
+
+def _round(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(sql: str | None = None):
+    """Registers a query by its name; ``sql`` is its oracle."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: _round(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"""WITH {_EV}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY curve_id ORDER BY t_idx) AS dt FROM ev)
+SELECT curve_id, count(*) AS n_samples, round(min(t),6) AS start, round(max(t),6) AS "end", round(quantile_cont(dt,0.5),6) AS median_interval,
+ round(max(dt),6) AS max_interval, round(avg(((x IS NULL)::INT + (y IS NULL)::INT)/2.0),6) AS missing_fraction FROM d GROUP BY curve_id""")
+def sampling_summary(spark, d):
+    return geo.sampling_summary(events(spark, d))
+
+
+@query(f"""WITH {_EV}, p AS (SELECT curve_id, min(t) a, max(t) b FROM ev GROUP BY curve_id)
+SELECT round(max(a),6) AS start, round(min(b),6) AS "end", min(b) > max(a) AS valid FROM p""")
+def overlap_interval(spark, d):
+    return geo.common_overlap_interval(events(spark, d))
+
+
+_GRID = """p AS (SELECT curve_id, min(t) a, max(t) b FROM ev GROUP BY curve_id), iv AS (SELECT max(a) lo, min(b) hi FROM p),
+grid AS (SELECT i AS g_idx, lo + i * (hi - lo) / 20 AS g FROM iv, (SELECT unnest(range(0, 21)) AS i))"""
+
+
+@query(f"WITH {_EV}, {_GRID} SELECT g_idx, round(g,6) AS g FROM grid")
+def common_grid(spark, d):
+    return geo.make_common_grid(geo.common_overlap_interval(events(spark, d)), 21)
+
+
+@query(f"""WITH {_EV}, {_GRID}, s AS (SELECT *, lead(t) OVER w AS t2, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM ev WINDOW w AS (PARTITION BY curve_id ORDER BY t_idx))
+SELECT curve_id, g_idx, round(g,6) AS t, round(CASE WHEN g = t THEN x WHEN t2 - t <= 1000 THEN x + (x2 - x) * (g - t)/(t2 - t) END,6) AS x,
+ round(CASE WHEN g = t THEN y WHEN t2 - t <= 1000 THEN y + (y2 - y) * (g - t)/(t2 - t) END,6) AS y
+FROM s JOIN grid ON g >= t AND (g < t2 OR (t2 IS NULL AND g = t))""")
+def resample_linear(spark, d):
+    e = events(spark, d)
+    return geo.resample_linear(e, geo.make_common_grid(geo.common_overlap_interval(e), 21), max_gap=1000.0)
+
+
+@query(f"""WITH {_EV}, m AS (SELECT curve_id, t_idx, t, CASE WHEN observed = 1 THEN x END AS x FROM ev),
+b AS (SELECT m.*, max(CASE WHEN x IS NOT NULL THEN t END) OVER (PARTITION BY curve_id ORDER BY t_idx) AS tb, min(CASE WHEN x IS NOT NULL THEN t END) OVER (PARTITION BY curve_id ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ta FROM m)
+SELECT b.curve_id, b.t_idx, round(CASE WHEN b.x IS NOT NULL THEN b.x WHEN ta - tb <= 24 THEN p.x + (q.x - p.x) * (b.t - tb)/(ta - tb) END,6) AS x, b.x IS NULL AND coalesce(ta - tb <= 24, false) AS filled
+FROM b LEFT JOIN m p ON p.curve_id = b.curve_id AND p.t = tb LEFT JOIN m q ON q.curve_id = b.curve_id AND q.t = ta""")
+def gap_fill_linear(spark, d):
+    m = events(spark, d).withColumn("x", F.when(F.col("observed") == 1, F.col("x")))
+    return geo.interpolate_short_gaps(m, "x", 24.0).select("curve_id", "t_idx", "x", "filled")
+
+
+@query(f"""WITH {_EV} SELECT curve_id, t_idx, round((t - min(t) OVER w)/(max(t) OVER w - min(t) OVER w),6) AS t FROM ev WINDOW w AS (PARTITION BY curve_id)""")
+def time_normalize(spark, d):
+    return geo.normalize_time(events(spark, d)).select("curve_id", "t_idx", "t")
+
+
+def _gradient_sql(v: str, t: str = "t") -> str:
+    g = {k: f"{f}({c},{n}) OVER w" for c, q in ((v, "v"), (t, "s")) for k, f, n in ((f"{q}m1", "lag", 1), (f"{q}m2", "lag", 2), (f"{q}p1", "lead", 1), (f"{q}p2", "lead", 2))}
+    hb, hf = f"({t}-{g['sm1']})", f"({g['sp1']}-{t})"
+    a, b = f"({g['sp1']}-{t})", f"({g['sp2']}-{g['sp1']})"
+    c, e = f"({g['sm1']}-{g['sm2']})", f"({t}-{g['sm1']})"
+    return f"""CASE WHEN {g['sm1']} IS NULL THEN -(2*{a}+{b})/({a}*({a}+{b}))*{v} + ({a}+{b})/({a}*{b})*{g['vp1']} - {a}/({b}*({a}+{b}))*{g['vp2']}
+ WHEN {g['sp1']} IS NULL THEN {e}/({c}*({c}+{e}))*{g['vm2']} - ({c}+{e})/({c}*{e})*{g['vm1']} + (2*{e}+{c})/({e}*({c}+{e}))*{v}
+ ELSE ({hb}*{hb}*{g['vp1']} + ({hf}*{hf}-{hb}*{hb})*{v} - {hf}*{hf}*{g['vm1']})/({hb}*{hf}*({hb}+{hf})) END"""
+
+
+_W = "WINDOW w AS (PARTITION BY curve_id ORDER BY t_idx)"
+_KIN = f"""{_EV}, k1 AS (SELECT *, {_gradient_sql('x')} AS vx, {_gradient_sql('y')} AS vy FROM ev {_W}),
+k2 AS (SELECT *, {_gradient_sql('vx')} AS ax, {_gradient_sql('vy')} AS ay, sqrt(vx*vx+vy*vy) AS speed FROM k1 {_W})"""
+
+
+@query(f"WITH {_KIN} SELECT curve_id, t_idx, round(vx,6) AS vx, round(vy,6) AS vy FROM k2")
+def gradient_velocity(spark, d):
+    return geo.kinematics(events(spark, d)).select("curve_id", "t_idx", "vx", "vy")
+
+
+@query(f"WITH {_KIN} SELECT curve_id, t_idx, round(speed,6) AS speed, round(sqrt(ax*ax+ay*ay),6) AS acceleration FROM k2")
+def speed_acceleration(spark, d):
+    return geo.kinematics(events(spark, d)).select("curve_id", "t_idx", "speed", "acceleration")
+
+
+@query(f"WITH {_KIN} SELECT curve_id, t_idx, round(CASE WHEN speed > 0.5 THEN atan2(vy,vx) END,6) AS heading, round(CASE WHEN speed > 0.5 THEN (vx*ay-vy*ax)/pow(speed,3) END,6) AS curvature, round(CASE WHEN speed > 0.5 THEN (vx*ay-vy*ax)/(speed*speed) END,6) AS turning_rate FROM k2")
+def heading_curvature_turning(spark, d):
+    return geo.kinematics(events(spark, d), min_speed=0.5).select("curve_id", "t_idx", "heading", "curvature", "turning_rate")
+
+
+@query(f"""WITH {_EV}, s AS (SELECT *, coalesce(sqrt(pow(x-lag(x) OVER w,2)+pow(y-lag(y) OVER w,2)),0) AS st FROM ev {_W})
+SELECT curve_id, t_idx, round(sum(st) OVER (PARTITION BY curve_id ORDER BY t_idx),6) AS path FROM s""")
+def path_length(spark, d):
+    return geo.kinematics(events(spark, d)).select("curve_id", "t_idx", "path")
+
+
+@query(f"""WITH {_EV}, s AS (SELECT *, sqrt(pow(x-lag(x) OVER w,2)+pow(y-lag(y) OVER w,2)) AS st FROM ev {_W}),
+p AS (SELECT curve_id, sum(st) l, sqrt(pow(arg_max(x,t_idx)-arg_min(x,t_idx),2)+pow(arg_max(y,t_idx)-arg_min(y,t_idx),2)) AS dd FROM s GROUP BY curve_id)
+SELECT curve_id, round(l,6) AS path_length, round(dd,6) AS displacement, round(CASE WHEN dd > 1 THEN l/dd END,6) AS tortuosity FROM p""")
+def tortuosity(spark, d):
+    return geo.tortuosity(events(spark, d), 1.0)
+
+
+@query(f"WITH {_EV} SELECT curve_id, t_idx, round(sqrt(pow(x-50,2)+pow(y-50,2)),6) AS distance FROM ev")
+def landmark_distance(spark, d):
+    return geo.distance_to_landmark(events(spark, d), 50.0, 50.0).select("curve_id", "t_idx", "distance")
+
+
+@query(f"WITH {_EV} SELECT curve_id, t_idx, round((x-10)/1024,6) AS x, round((y-20)/768,6) AS y FROM ev")
+def coordinates_centered_normalized(spark, d):
+    return geo.normalize_coordinates(geo.center_on_landmark(events(spark, d), 10.0, 20.0), 1024.0, 768.0).select("curve_id", "t_idx", "x", "y")
+
+
+_SHARES = """sh AS (SELECT user_id AS curve_id, count(*) FILTER (event_type='click')/count(*)::DOUBLE AS a, count(*) FILTER (event_type='view')/count(*)::DOUBLE AS b,
+ count(*) FILTER (event_type NOT IN ('click','view'))/count(*)::DOUBLE AS c FROM events GROUP BY 1)"""
+
+
+def _shares(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    n = F.count(F.lit(1))
+    share = lambda c: F.count(F.when(c, 1)) / n
+    return e.groupBy(F.col("user_id").alias("curve_id")).agg(share(F.col("event_type") == "click").alias("a"), share(F.col("event_type") == "view").alias("b"), share(~F.col("event_type").isin("click", "view")).alias("c"))
+
+
+@query(f"WITH {_SHARES}, f AS (SELECT curve_id, greatest(a,1e-8) a, greatest(b,1e-8) b, greatest(c,1e-8) c FROM sh) SELECT curve_id, round(ln(a/c),6) AS alr_a, round(ln(b/c),6) AS alr_b FROM f")
+def alr(spark, d):
+    return geo.alr(_shares(spark, d), ("a", "b", "c"), "c").select("curve_id", "alr_a", "alr_b")
+
+
+@query(f"WITH {_SHARES}, f AS (SELECT curve_id, greatest(a,1e-8) a, greatest(b,1e-8) b, greatest(c,1e-8) c FROM sh) SELECT curve_id, round(a/(a+b+c),6) AS a, round(b/(a+b+c),6) AS b, round(c/(a+b+c),6) AS c FROM f")
+def inverse_alr(spark, d):
+    return geo.inverse_alr(geo.alr(_shares(spark, d), ("a", "b", "c"), "c"), ("a", "b", "c"), "c").select("curve_id", "a", "b", "c")
+
+
+def _warps(spark, d):
+    e = geo.normalize_time(events(spark, d))
+    first = e.groupBy("curve_id").agg(F.min(F.when(F.col("state") == 2, F.col("t"))).alias("m")).where("m > 0 and m < 1")
+    o = first.select("curve_id", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("at")) for k, v in enumerate((F.lit(0.0), F.col("m"), F.lit(1.0)))))).alias("z")).select("curve_id", "z.k", "z.at")
+    ref = o.groupBy("k").agg(F.percentile("at", 0.5).alias("at"))
+    grid = spark.range(21).select((F.col("id") / 20).alias("t"))
+    return geo.landmark_warp(grid, o, ref)
+
+
+_WARP = f"""{_EV}, nt AS (SELECT *, (t - min(t) OVER w)/(max(t) OVER w - min(t) OVER w) AS u FROM ev WINDOW w AS (PARTITION BY curve_id)),
+lm AS (SELECT * FROM (SELECT curve_id, min(u) FILTER (state = 2) AS m FROM nt GROUP BY curve_id) WHERE m > 0 AND m < 1), r AS (SELECT quantile_cont(m,0.5) AS r FROM lm),
+wp AS (SELECT curve_id, g/20.0::DOUBLE AS t, CASE WHEN g/20.0::DOUBLE < r THEN m*(g/20.0::DOUBLE)/r ELSE m + (1-m)*(g/20.0::DOUBLE - r)/(1-r) END AS warped FROM lm, r, (SELECT unnest(range(0,21)) AS g))"""
+
+
+@query(f"WITH {_WARP} SELECT curve_id, round(t,6) AS t, round(warped,6) AS warped FROM wp")
+def landmark_warp(spark, d):
+    return _warps(spark, d)
+
+
+@query(f"WITH {_WARP} SELECT curve_id, round(avg(abs(warped-t)),6) AS mean_abs_displacement, round(max(abs(warped-t)),6) AS max_abs_displacement, round(avg(warped-t),6) AS mean_displacement FROM wp GROUP BY curve_id")
+def phase_summary(spark, d):
+    return geo.phase_summary(_warps(spark, d))
+
+
+_TW = "(CASE WHEN t_idx IN (0,63) THEN 0.5 ELSE 1 END)/63.0"
+
+
+@query(f"WITH {_EM} SELECT curve_id, round(sum(x*{_TW}),6) AS integral FROM em GROUP BY curve_id")
+def trapezoid_integral(spark, d):
+    from ..functions.analytic import along, trapezoid_weight
+
+    e = embeddings(spark, d).withColumn("w", trapezoid_weight(F.col("t"), along("curve_id")))
+    return e.groupBy("curve_id").agg(F.sum(F.col("x") * F.col("w")).alias("integral"))
+
+
+@query(f"WITH {_EM} SELECT t_idx, round(avg(x),6) AS mean, round(stddev_samp(x)/sqrt(count(x)),6) AS se FROM em GROUP BY t_idx")
+def functional_mean_se(spark, d):
+    return inf.mean_function(embeddings(spark, d))
+
+
+@query(f"""WITH {_EM} SELECT a.t_idx AS i, b.t_idx AS j, round(covar_samp(a.x, b.x),6) AS cov FROM em a JOIN em b ON a.curve_id = b.curve_id AND a.t_idx <= b.t_idx GROUP BY 1, 2""")
+def covariance_surface(spark, d):
+    n, s, g = dec.moments(dist.curve_arrays(embeddings(spark, d)))
+    cov = (g - np.outer(s, s) / n) / (n - 1)
+    return spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(len(s)) for j in range(i, len(s))], "i int, j int, cov double")
+
+
+@query(f"""WITH {_EM}, p AS (SELECT participant, t_idx, avg(x) AS pm FROM em GROUP BY 1,2), g AS (SELECT t_idx, avg(x) AS gm FROM em GROUP BY 1)
+SELECT curve_id, em.t_idx, round(pm-gm,6) AS between, round(x-pm,6) AS within FROM em JOIN p USING (participant, t_idx) JOIN g USING (t_idx)""")
+def participant_decomposition(spark, d):
+    return dec.multilevel_parts(embeddings(spark, d)).select("curve_id", "t_idx", "between", "within")
+
+
+def _distances(spark, d):
+    a = dist.curve_arrays(embeddings(spark, d)).cache()
+    q = a.where("curve_id % 50 = 0")  # the stated query set, against all curves
+    return dist.l2_distances(dist.curve_pairs(a, F.broadcast(q)), (dec.trapezoid_weights(np.linspace(0, 1, 64))).tolist())
+
+
+_L2 = f"""{_EM}, l2 AS (SELECT a.curve_id AS a, b.curve_id AS b, sqrt(sum((a.x-b.x)*(a.x-b.x)*(CASE WHEN a.t_idx IN (0,63) THEN 0.5 ELSE 1 END)/63.0)) AS distance
+ FROM em a JOIN em b ON a.t_idx = b.t_idx AND a.curve_id <> b.curve_id WHERE a.curve_id % 50 = 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_L2} SELECT a, b, round(distance,6) AS distance FROM l2")
+def pairwise_l2(spark, d):
+    return _distances(spark, d)
+
+
+@query(f"WITH {_L2} SELECT * EXCLUDE (rank, distance), round(distance,6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM l2) WHERE rank <= 5")
+def nearest_curves(spark, d):
+    return dist.nearest(_distances(spark, d), 5)
+
+
+@query(f"""WITH {_EM}, f AS (SELECT t_idx, count(*) n, regr_slope(x, participant) b, regr_intercept(x, participant) a, avg(participant) m, regr_sxx(x, participant) sxx FROM em GROUP BY 1)
+SELECT t_idx, n, round(any_value(a),6) AS intercept, round(any_value(b),6) AS slope, round(sqrt(n/(n-2.0)*sum(pow((participant-m)*(x-a-b*participant),2))/pow(any_value(sxx),2)),6) AS slope_se FROM em JOIN f USING (t_idx) GROUP BY t_idx, n""")
+def fosr_ols(spark, d):
+    return inf.function_on_scalar(embeddings(spark, d), "participant")
+
+
+@query(f"""WITH {_EV}, s AS (SELECT curve_id, t_idx, x AS s0, lag(x,2) OVER w AS s1, lag(x,4) OVER w AS s2 FROM ev {_W}) SELECT curve_id, t_idx, round(s0,6) AS s0, round(s1,6) AS s1, round(s2,6) AS s2 FROM s WHERE t_idx >= 4""")
+def delay_embedding(spark, d):
+    e = rec.delay_embed(events(spark, d), ("x",), 3, 2)
+    return e.select("curve_id", "t_idx", *(F.col("state")[k].alias(f"s{k}") for k in range(3)))
+
+
+@query(f"""WITH {_EV}, c AS (SELECT curve_id, t_idx, x - avg(x) OVER (PARTITION BY curve_id) AS c FROM ev), l AS (SELECT unnest(range(0,6)) AS lag)
+SELECT a.curve_id, lag, round(sum(a.c*b.c)/any_value(v.v),6) AS acf FROM c a JOIN l ON true JOIN c b ON a.curve_id = b.curve_id AND b.t_idx = a.t_idx + lag JOIN (SELECT curve_id, sum(c*c) v FROM c GROUP BY 1) v ON v.curve_id = a.curve_id GROUP BY 1, 2""")
+def acf(spark, d):
+    return rec.autocorrelation(events(spark, d), "x", 5)
+
+
+@query(f"""WITH {_EV}, b AS (SELECT curve_id, t_idx, least(floor((x-min(x) OVER c)/(max(x) OVER c - min(x) OVER c)*8),7) AS b FROM ev WINDOW c AS (PARTITION BY curve_id)),
+p AS (SELECT curve_id, b, lead(b,1) OVER (PARTITION BY curve_id ORDER BY t_idx) AS b2 FROM b), j AS (SELECT curve_id, b, b2, count(*) c FROM p WHERE b2 IS NOT NULL GROUP BY 1,2,3)
+SELECT curve_id, round(sum(c/n*ln(c*n/(cx*cy))),6) AS ami FROM (SELECT *, sum(c) OVER (PARTITION BY curve_id,b)::DOUBLE cx, sum(c) OVER (PARTITION BY curve_id,b2)::DOUBLE cy, sum(c) OVER (PARTITION BY curve_id)::DOUBLE n FROM j) GROUP BY curve_id""")
+def ami(spark, d):
+    return rec.mutual_information(events(spark, d), "x", 1)
+
+
+_REC = f"{_EV}, pr AS (SELECT a.curve_id, a.t_idx AS i, b.t_idx AS j FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND b.t_idx - a.t_idx > 1 WHERE abs(a.x-b.x) <= 5)"
+
+
+def _rec(spark, d):
+    e = events(spark, d)
+    return e, rec.recurrence_pairs(e, ("x",), 5.0, 1)
+
+
+@query(f"WITH {_REC} SELECT * FROM pr")
+def recurrence_pairs(spark, d):
+    return _rec(spark, d)[1]
+
+
+@query(f"""WITH {_EV}, p AS (SELECT a.curve_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dd FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND b.t_idx - a.t_idx > 1), r AS (SELECT unnest([2.0,10.0,40.0])::DOUBLE AS radius)
+SELECT curve_id, radius, count(*) FILTER (dd <= radius) AS n_pairs, round(count(*) FILTER (dd <= radius)/count(*)::DOUBLE,6) AS rate FROM p, r GROUP BY 1, 2""")
+def radius_profile(spark, d):
+    return rec.radius_profile(events(spark, d), ("x", "y"), [2.0, 10.0, 40.0], 1)
+
+
+def _rqa_sql(pairs: str, base: str, key: str) -> str:
+    return f"""dg AS (SELECT {key}, j-i AS f, i - row_number() OVER (PARTITION BY {key}, j-i ORDER BY i) AS isl FROM {pairs}), dl AS (SELECT {key}, count(*) AS l FROM dg GROUP BY {key}, f, isl),
+fu AS (SELECT {key}, i, j FROM {pairs} UNION ALL SELECT {key}, j, i FROM {pairs}), vg AS (SELECT {key}, j, i - row_number() OVER (PARTITION BY {key}, j ORDER BY i) AS isl FROM fu), vl AS (SELECT {key}, count(*) AS l FROM vg GROUP BY {key}, j, isl),
+d AS (SELECT {key}, sum(CASE WHEN l>=2 THEN l ELSE 0 END)/sum(l)::DOUBLE AS determinism, avg(l) FILTER (l>=2) AS mean_diagonal, max(l) FILTER (l>=2) AS max_diagonal FROM dl GROUP BY {key}),
+en AS (SELECT {key}, -sum(p*ln(p)) AS diagonal_entropy FROM (SELECT {key}, l, count(*)/(sum(count(*)) OVER (PARTITION BY {key}))::DOUBLE AS p FROM dl WHERE l>=2 GROUP BY {key}, l) GROUP BY {key}),
+v AS (SELECT {key}, sum(CASE WHEN l>=2 THEN l ELSE 0 END)/sum(l)::DOUBLE AS laminarity, avg(l) FILTER (l>=2) AS trapping_time, max(l) FILTER (l>=2) AS max_vertical FROM vl GROUP BY {key}),
+nn AS (SELECT {key}, count(*) AS n FROM {base} GROUP BY {key}), np AS (SELECT {key}, count(*) AS n_pairs, sum(j-i) AS ls FROM {pairs} GROUP BY {key}),
+rq AS (SELECT {key}, n, coalesce(n_pairs,0) AS n_pairs, round(2*coalesce(n_pairs,0)/(n*n)::DOUBLE,6) AS recurrence_rate, round(determinism,6) AS determinism, round(mean_diagonal,6) AS mean_diagonal, max_diagonal, round(diagonal_entropy,6) AS diagonal_entropy,
+ round(laminarity,6) AS laminarity, round(trapping_time,6) AS trapping_time, max_vertical, round(100*ls/((n-1)*n_pairs)::DOUBLE,6) AS corm FROM nn LEFT JOIN np USING ({key}) LEFT JOIN d USING ({key}) LEFT JOIN en USING ({key}) LEFT JOIN v USING ({key}))"""
+
+
+@query(f"WITH {_REC}, {_rqa_sql('pr', 'ev', 'curve_id')} SELECT * FROM rq")
+def rqa_metrics(spark, d):
+    e, p = _rec(spark, d)
+    return rec.rqa_metrics(e, p)
+
+
+@query(f"""WITH {_EV}, nn0 AS (SELECT curve_id, count(*) n FROM ev GROUP BY 1), ws AS (SELECT curve_id, unnest(range(0, n-30+1, 15)) AS window_start FROM nn0), wd AS (SELECT ws.window_start, ev.* FROM ws JOIN ev ON ev.curve_id = ws.curve_id AND t_idx >= window_start AND t_idx < window_start + 30),
+pr AS (SELECT a.curve_id, a.window_start, a.t_idx AS i, b.t_idx AS j FROM wd a JOIN wd b ON a.curve_id = b.curve_id AND a.window_start = b.window_start AND b.t_idx > a.t_idx WHERE abs(a.x-b.x) <= 5), ce AS (SELECT curve_id, window_start, (min(t)+max(t))/2 AS centre FROM wd GROUP BY 1,2), {_rqa_sql('pr', 'wd', 'curve_id, window_start')}
+SELECT rq.*, round(centre,6) AS centre FROM rq JOIN ce USING (curve_id, window_start)""")
+def windowed_rqa(spark, d):
+    return rec.windowed_rqa(events(spark, d), ("x",), 5.0, 30, 15)
+
+
+@query(f"""WITH {_REC}, p2 AS (SELECT a.curve_id, a.t_idx AS i, b.t_idx AS j FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND b.t_idx - a.t_idx > 1 WHERE abs(a.y-b.y) <= 10), jp AS (SELECT * FROM pr INTERSECT SELECT * FROM p2), {_rqa_sql('jp', 'ev', 'curve_id')} SELECT * FROM rq""")
+def joint_rqa_metrics(spark, d):
+    e, p = _rec(spark, d)
+    return rec.rqa_metrics(e, rec.joint_pairs(p, rec.recurrence_pairs(e, ("y",), 10.0, 1)))
+
+
+@query(f"WITH {_EV} SELECT a.t_idx AS i, b.t_idx AS j FROM (SELECT * FROM ev WHERE curve_id = (SELECT min(curve_id) FROM ev)) a JOIN (SELECT * FROM ev WHERE curve_id = (SELECT max(curve_id) FROM ev)) b ON abs(a.x-b.x) <= 5")
+def cross_recurrence(spark, d):
+    e = events(spark, d)
+    ends = e.agg(F.min("curve_id").alias("lo"), F.max("curve_id").alias("hi"))
+    pick = lambda c: e.join(F.broadcast(ends.select(F.col(c).alias("curve_id"))), "curve_id")
+    return rec.cross_recurrence_pairs(pick("lo"), pick("hi"), ("x",), 5.0)
+
+
+_NET = f"""{_REC}, bo AS (SELECT curve_id, i AS t_idx FROM pr UNION ALL SELECT curve_id, j FROM pr), dg0 AS (SELECT curve_id, t_idx, count(*) AS degree FROM bo GROUP BY 1,2),
+tr AS (SELECT a.curve_id, a.i, a.j AS k, b.j FROM pr a JOIN pr b ON a.curve_id = b.curve_id AND a.j = b.i JOIN pr c ON c.curve_id = a.curve_id AND c.i = a.i AND c.j = b.j),
+tn AS (SELECT curve_id, t_idx, count(*) AS triangles FROM (SELECT curve_id, i AS t_idx FROM tr UNION ALL SELECT curve_id, k FROM tr UNION ALL SELECT curve_id, j FROM tr) GROUP BY 1,2),
+nd AS (SELECT curve_id, t_idx, coalesce(degree,0) AS degree, coalesce(triangles,0) AS triangles FROM ev LEFT JOIN dg0 USING (curve_id, t_idx) LEFT JOIN tn USING (curve_id, t_idx)),
+nc AS (SELECT *, CASE WHEN degree > 1 THEN 2*triangles/(degree*(degree-1))::DOUBLE ELSE 0 END AS clustering FROM nd)"""
+
+
+@query(f"WITH {_NET} SELECT curve_id, t_idx, degree, triangles, round(clustering,6) AS clustering FROM nc")
+def recurrence_network_nodes(spark, d):
+    return rec.network_nodes(*_rec(spark, d))
+
+
+@query(f"WITH {_NET} SELECT curve_id, count(*) AS n_nodes, round(sum(degree)/2.0::DOUBLE,6) AS n_edges, round(avg(degree),6) AS mean_degree, round(avg(clustering),6) AS mean_clustering, round(sum(triangles)/3.0::DOUBLE,6) AS n_triangles, round(CASE WHEN sum(degree*(degree-1)) > 0 THEN sum(triangles)/(sum(degree*(degree-1))/2.0::DOUBLE) END,6) AS transitivity FROM nc GROUP BY curve_id")
+def recurrence_network_summary(spark, d):
+    return rec.network_summary(rec.network_nodes(*_rec(spark, d)))
+
+
+_NN = f"""{_EV}, cand AS (SELECT a.curve_id, a.t_idx AS i, b.t_idx AS j, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dd FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND abs(a.t_idx-b.t_idx) > 2),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY curve_id, i ORDER BY dd, j) AS r FROM cand WHERE dd > 0) WHERE r = 1),
+dv AS (SELECT n.curve_id, k, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dd FROM nb n, (SELECT unnest(range(0,6)) AS k) h JOIN ev a ON a.curve_id = n.curve_id AND a.t_idx = n.i + k JOIN ev b ON b.curve_id = n.curve_id AND b.t_idx = n.j + k),
+dc AS (SELECT curve_id, k, avg(CASE WHEN dd > 0 THEN ln(dd) END) AS mean_log, count(*) FILTER (dd > 0) AS n, count(*) FILTER (dd = 0) AS zeros FROM dv GROUP BY 1,2)"""
+
+
+@query(f"WITH {_NN} SELECT curve_id, k, round(mean_log,6) AS mean_log, n, zeros FROM dc")
+def nn_divergence(spark, d):
+    return rec.divergence_curve(events(spark, d), ("x", "y"), 2, 5)
+
+
+@query(f"WITH {_NN} SELECT curve_id, round(regr_slope(mean_log,k),6) AS slope, round(regr_intercept(mean_log,k),6) AS intercept, round(regr_r2(mean_log,k),6) AS r2, count(*) AS n_points FROM dc WHERE k BETWEEN 0 AND 4 GROUP BY curve_id HAVING count(*) >= 3")
+def lyapunov_slope(spark, d):
+    return rec.lyapunov_slope(rec.divergence_curve(events(spark, d), ("x", "y"), 2, 5), 0, 4)
+
+
+@query(f"""WITH {_EV}, nb AS (SELECT a.curve_id, a.t_idx AS i, b.t_idx AS j FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND abs(a.t_idx-b.t_idx) > 2 WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 30),
+m AS (SELECT n.curve_id, n.i, k, avg(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))) AS dd, count(*) AS c FROM nb n, (SELECT unnest(range(0,4)) AS k) h JOIN ev a ON a.curve_id = n.curve_id AND a.t_idx = n.i + k JOIN ev b ON b.curve_id = n.curve_id AND b.t_idx = n.j + k GROUP BY 1,2,3)
+SELECT curve_id, k, round(avg(ln(dd)),6) AS mean_log, count(*) AS n FROM m WHERE c >= 2 AND dd > 0 GROUP BY 1,2""")
+def kantz_divergence(spark, d):
+    return rec.kantz_curve(events(spark, d), ("x", "y"), 30.0, 2, 3)
+
+
+@query(f"""WITH {_EV}, s AS (SELECT curve_id, t_idx, t, x-50 AS a, y, lead(x-50) OVER w AS b, lead(t) OVER w AS t2, lead(y) OVER w AS y2 FROM ev {_W})
+SELECT curve_id, t_idx AS i, round(t + a/(a-b)*(t2-t),6) AS t, round(y + a/(a-b)*(y2-y),6) AS y FROM s WHERE a < 0 AND b >= 0""")
+def poincare(spark, d):
+    return rec.poincare_crossings(events(spark, d), "x", 50.0, "positive", ("y",))
+
+
+def _states(spark, d):
+    return events(spark, d).select("curve_id", "t_idx", F.col("state").alias("target"), F.when(F.col("x") > 50, 1).otherwise(0).alias("source"), F.when(F.col("y") > 50, 1).otherwise(0).alias("condition"))
+
+
+def _te_sql(key: str, src: str, cond: bool = False) -> str:
+    c = ", c" if cond else ""
+    return f"""h AS (SELECT {key}, t_idx, target AS x, lag(target,1) OVER w AS y, lag(source,1) OVER w AS z{', lag(condition,1) OVER w AS c' if cond else ''} FROM {src} WINDOW w AS (PARTITION BY {key} ORDER BY t_idx)),
+lt AS (SELECT *, log2((count(*) OVER (PARTITION BY {key}, x, y, z{c}))::DOUBLE * (count(*) OVER (PARTITION BY {key}, y{c})) / ((count(*) OVER (PARTITION BY {key}, y, z{c}))::DOUBLE * (count(*) OVER (PARTITION BY {key}, x, y{c})))) AS local FROM h WHERE y IS NOT NULL AND z IS NOT NULL)"""
+
+
+_ST = f"{_EV}, st AS (SELECT curve_id, t_idx, state AS target, CASE WHEN x > 50 THEN 1 ELSE 0 END AS source, CASE WHEN y > 50 THEN 1 ELSE 0 END AS condition FROM ev)"
+
+
+@query(f"WITH {_ST}, {_te_sql('curve_id', 'st')} SELECT curve_id, round(avg(local),6) AS transfer_entropy, count(*) AS n_terms FROM lt GROUP BY 1")
+def transfer_entropy(spark, d):
+    return info.transfer_entropy(_states(spark, d), 1, 1, 1)
+
+
+@query(f"WITH {_ST}, {_te_sql('curve_id', 'st')} SELECT curve_id, t_idx, round(local,6) AS local FROM lt")
+def local_te(spark, d):
+    return info.local_transfer_entropy(_states(spark, d), 1, 1, 1).select("curve_id", "t_idx", "local")
+
+
+@query(f"WITH {_ST}, {_te_sql('curve_id', 'st', True)} SELECT curve_id, round(avg(local),6) AS transfer_entropy, count(*) AS n_terms FROM lt GROUP BY 1")
+def conditional_te(spark, d):
+    return info.transfer_entropy(_states(spark, d), 1, 1, 1, condition_history=1)
+
+
+@query(f"""WITH {_ST}, n AS (SELECT curve_id, count(*) AS n FROM st GROUP BY 1), sh AS (SELECT unnest([3,5,7,11]) AS shift),
+rs AS (SELECT st.curve_id, shift, st.t_idx, st.target, s2.source FROM st JOIN n USING (curve_id), sh JOIN st s2 ON s2.curve_id = st.curve_id AND (s2.t_idx + shift) % n.n = st.t_idx),
+{_te_sql('curve_id, shift', 'rs')}, nl AS (SELECT curve_id, shift, avg(local) AS te FROM lt GROUP BY 1,2), {_te_sql('curve_id', 'st').replace('h AS', 'h2 AS').replace('lt AS', 'l2 AS').replace('FROM h ', 'FROM h2 ')}, ob AS (SELECT curve_id, avg(local) AS o FROM l2 GROUP BY 1)
+SELECT curve_id, round(o,6) AS observed, count(*) AS n_shifts, round((1 + count(*) FILTER (te >= o - 1e-12))/(1.0 + count(*))::DOUBLE,6) AS p_value FROM nl JOIN ob USING (curve_id) GROUP BY curve_id, o""")
+def te_shift_test(spark, d):
+    return info.circular_shift_test(_states(spark, d), [3, 5, 7, 11], 1, 1, 1)
+
+
+@query(f"""WITH {_EV}, r AS (SELECT curve_id, observed, t_idx - row_number() OVER (PARTITION BY curve_id, observed ORDER BY t_idx) AS run FROM ev), g AS (SELECT curve_id, observed, run, count(*) AS n FROM r GROUP BY 1,2,3)
+SELECT curve_id, sum(n)::BIGINT AS n_candidates, sum(CASE WHEN observed = 1 THEN n ELSE 0 END)::BIGINT AS n_observed, coalesce(max(CASE WHEN observed = 0 THEN n END),0) AS longest_missing FROM g GROUP BY 1""")
+def longest_runs(spark, d):
+    return obs.longest_missing_runs(events(spark, d))
+
+
+@query(f"WITH {_EV}, p AS (SELECT *, lag(observed) OVER w AS po FROM ev {_W}) SELECT curve_id, t_idx, observed FROM p WHERE po = 1")
+def risk_set(spark, d):
+    return obs.risk_set(events(spark, d)).select("curve_id", "t_idx", "observed")
+
+
+@query(f"""WITH {_EV} SELECT curve_id, t_idx, round(last_value(CASE WHEN observed = 1 THEN x END IGNORE NULLS) OVER p,6) AS last_x, t_idx - last_value(CASE WHEN observed = 1 THEN t_idx END IGNORE NULLS) OVER p AS since_observed
+FROM ev WINDOW p AS (PARTITION BY curve_id ORDER BY t_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def history_state(spark, d):
+    return obs.history_state(events(spark, d), ("x",)).select("curve_id", "t_idx", "last_x", "since_observed")
+
+
+@query(f"""WITH {_EV}, b AS (SELECT *, CASE WHEN t < 0 THEN NULL WHEN t <= 100 THEN 0 WHEN t <= 300 THEN 1 WHEN t <= 500 THEN 2 WHEN t <= 900 THEN 3 END AS bin FROM ev)
+SELECT bin, count(*) AS n_candidates, sum(observed)::BIGINT AS n_observed, count(DISTINCT curve_id) AS n_curves FROM b WHERE bin IS NOT NULL GROUP BY bin""")
+def time_bin_support(spark, d):
+    return obs.time_bin_support(events(spark, d), [0.0, 100.0, 300.0, 500.0, 900.0])
+
+
+@query(f"""WITH {_EV}, a AS (SELECT avg(x) FILTER (observed=1) m1, avg(x) FILTER (observed=0) m0, var_samp(x) FILTER (observed=1) v1, var_samp(x) FILTER (observed=0) v0 FROM ev) SELECT round(m1,6) AS m1, round(m0,6) AS m0, round((m1-m0)/sqrt((v1+v0)/2),6) AS smd FROM a""")
+def smd_association(spark, d):
+    return obs.standardized_difference(events(spark, d), "x")
+
+
+@query(f"""WITH {_EV}, r AS (SELECT curve_id, observed, rank() OVER (PARTITION BY curve_id ORDER BY x) + (count(*) OVER (PARTITION BY curve_id, x) - 1)/2.0 AS r FROM ev) SELECT curve_id, round(corr(r, observed),6) AS association FROM r GROUP BY 1""")
+def spearman_association(spark, d):
+    return obs.spearman_association(events(spark, d), "x")
+
+
+@query(f"""WITH {_EV}, s AS (SELECT curve_id, avg(x) AS score FROM ev GROUP BY 1) SELECT curve_id, round(score,6) AS score, round((1 + (SELECT count(*) FROM s c WHERE c.curve_id % 2 = 0 AND c.score >= s.score))/(1.0 + (SELECT count(*) FROM s c WHERE c.curve_id % 2 = 0))::DOUBLE,6) AS p_value FROM s WHERE curve_id % 2 = 1""")
+def conformal_p(spark, d):
+    s = events(spark, d).groupBy("curve_id").agg(F.avg("x").alias("score"))
+    return inf.conformal_p_values(s.where("curve_id % 2 = 0"), s.where("curve_id % 2 = 1"))  # the split is the method's
+
+
+@query(f"""WITH {_EV}, s AS (SELECT curve_id, avg(x) AS v FROM ev GROUP BY 1), m AS (SELECT quantile_cont(v,0.5) AS m FROM s), d AS (SELECT quantile_cont(abs(v-m),0.5) AS mad FROM s, m) SELECT curve_id, round(v,6) AS v, round(0.67448975*(v-m)/mad,6) AS z FROM s, m, d""")
+def robust_z(spark, d):
+    return inf.robust_z(events(spark, d).groupBy("curve_id").agg(F.avg("x").alias("v")), "v")
+
+
+def _hours_grid(spark):
+    return spark.range(21).select(F.col("id").alias("g_idx"), (F.col("id") * 25.0).alias("g"))
+
+
+@query(f"""WITH {_EV}, g AS (SELECT i AS g_idx, i*25.0::DOUBLE AS g FROM (SELECT unnest(range(0,21)) AS i)), n AS (SELECT g_idx, g, t-g AS dd, 0.75*(1-pow((t-g)/60,2)) AS k, x FROM ev JOIN g ON abs(t-g) < 60),
+m AS (SELECT g_idx, g, count(*) AS n, sum(k) s0, sum(k*dd) s1, sum(k*dd*dd) s2, sum(k*x) t0, sum(k*dd*x) t1 FROM n GROUP BY 1,2) SELECT g_idx, round(g,6) AS g, n, round((s2*t0-s1*t1)/(s0*s2-s1*s1),6) AS mean FROM m""")
+def local_linear_mean(spark, d):
+    return sparse.local_linear_mean(events(spark, d), _hours_grid(spark), 60.0)
+
+
+@query(f"""WITH {_EV}, e AS (SELECT curve_id, t_idx, t, x - avg(x) OVER () AS e FROM ev) SELECT a.curve_id, count(*) AS n_pairs, round(avg(a.e*b.e),6) AS mean_product FROM e a JOIN e b ON a.curve_id = b.curve_id AND a.t_idx <> b.t_idx GROUP BY 1""")
+def raw_cov_pairs(spark, d):
+    e = events(spark, d)
+    m = e.agg(F.avg("x").alias("m"))
+    r = e.crossJoin(F.broadcast(m)).withColumn("e", F.col("x") - F.col("m"))
+    return sparse.raw_covariance_pairs(r).groupBy("curve_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("c").alias("mean_product"))
+
+
+@query(f"""WITH {_EV}, g AS (SELECT curve_id, count(x) k, avg(x) m, var_samp(x) v FROM ev GROUP BY 1), a AS (SELECT sum(k)::DOUBLE n, count(*)::DOUBLE q, sum(k*m) s, sum((k-1)*v) ssw, sum(k*m*m) sb, sum(k*k)::DOUBLE kk FROM g),
+b AS (SELECT s/n AS mean, ssw/(n-q) AS msw, greatest(0, ((sb-s*s/n)/(q-1) - ssw/(n-q))/((n-kk/n)/(q-1))) AS between FROM a) SELECT round(mean,6) AS mean, round(between,6) AS between, round(msw,6) AS within, round(between/(between+msw),6) AS icc FROM b""")
+def variance_decomposition(spark, d):
+    return inf.variance_components(events(spark, d), "x", "curve_id")
+
+
+_T64 = np.linspace(0, 1, 64)
+
+
+@query()
+def fpca_spectrum(spark, d):
+    fit = dec.fit_fpca(dist.curve_arrays(embeddings(spark, d)), _T64, 8)
+    return spark.createDataFrame([(s["component"], s["eigenvalue"], s["ratio"], s["cumulative"], s["gap"]) for s in dec.spectrum(fit)], "component int, eigenvalue double, ratio double, cumulative double, gap double")
+
+
+@query()
+def fpca_scores(spark, d):
+    a = dist.curve_arrays(embeddings(spark, d))
+    fit = dec.fit_fpca(a, _T64, 4)
+    return dec.scores(a, fit).select("curve_id", *(F.col("scores")[k].alias(f"score_{k + 1}") for k in range(4)))
+
+
+@query()
+def fpca_reconstruction_error(spark, d):
+    a = dist.curve_arrays(embeddings(spark, d))
+    return dec.reconstruction_error(a, dec.fit_fpca(a, _T64, 4))
+
+
+@query()
+def fpca_conformal_anomaly(spark, d):
+    a = dist.curve_arrays(embeddings(spark, d))
+    fit = dec.fit_fpca(a.where("curve_id % 3 = 0"), _T64, 4)
+    e = dec.reconstruction_error(a, fit).select("curve_id", F.col("rmse").alias("score"))
+    return inf.conformal_p_values(e.where("curve_id % 3 = 1"), e.where("curve_id % 3 = 2"))
+
+
+@query()
+def bootstrap_stability(spark, d):
+    s = dec.bootstrap_stability(dist.curve_arrays(embeddings(spark, d)), _T64, 3, 40)
+    return s.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean"), F.percentile("similarity", 0.05).alias("q05"))
+
+
+@query()
+def functional_mean_band(spark, d):
+    mean, se, c = inf.multiplier_mean_band(dist.curve_arrays(embeddings(spark, d)))
+    return spark.createDataFrame([(i, float(m), float(s), float(m - c * s), float(m + c * s)) for i, (m, s) in enumerate(zip(mean, se, strict=True))], "t_idx int, mean double, se double, lower double, upper double")
+
+
+@query()
+def wild_bootstrap(spark, d):
+    rows = events(spark, d).groupBy("curve_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumnRenamed("curve_id", "unit")
+    return inf.wild_slope_bootstrap(rows, "x", "y", 200)
+
+
+@query()
+def dtw_pairs(spark, d):
+    a = dist.curve_arrays(embeddings(spark, d))
+    return dist.alignment_distances(dist.curve_pairs(a, F.broadcast(a.where("curve_id % 50 = 0"))), "symmetric2")
+
+
+@query()
+def frechet_pairs(spark, d):
+    a = dist.curve_arrays(embeddings(spark, d))
+    return dist.alignment_distances(dist.curve_pairs(a, F.broadcast(a.where("curve_id % 50 = 0"))), "frechet")
+
+
+@query()
+def gee_fit(spark, d):
+    rows = events(spark, d).select("curve_id", "observed", F.lit(1.0).alias("one"), (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y"))
+    beta, cov = inf.logistic_gee(rows, "observed", ["one", "x", "y"], "curve_id")
+    return spark.createDataFrame([(n, float(b), float(v**0.5)) for n, b, v in zip(("intercept", "x", "y"), beta, np.diag(cov), strict=True)], "term string, estimate double, robust_se double")
+
+
+@query()
+def pace_scores(spark, d):
+    e, grid = events(spark, d), _hours_grid(spark)
+    m = sparse.local_linear_mean(e, grid, 60.0).orderBy("g_idx").collect()
+    g, mean = np.array([r.g for r in m]), np.array([r.mean for r in m])
+    res = e.withColumn("e", F.col("x") - float(mean.mean()))
+    cov = sparse.covariance_surface(sparse.raw_covariance_pairs(res), grid, 80.0)
+    surface = np.zeros((len(g), len(g)))
+    surface[cov["gi"], cov["gj"]] = cov["cov"].fillna(0.0)
+    noise = max(float(e.agg(F.var_samp("x")).first()[0]) - float(np.diag(surface).mean()), 1.0)
+    s = sparse.pace_scores(e, g, mean, surface, noise, 2)
+    return s.select("curve_id", F.col("scores")[0].alias("score_1"), F.col("scores")[1].alias("score_2"))
