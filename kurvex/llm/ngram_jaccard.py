@@ -22,6 +22,8 @@ from .runtime import drop, restrict, store
 from .textblocks import blocks, mix, signed
 
 WORDS = 5
+#: Elements of the sets of one block, where sets that share signatures but no component are compared.
+BLOCK = 150_000
 #: Sizes of one band: LOWEST * BAND**i and up, to a factor of BAND (and a quarter more, for the overlap).
 LOWEST, BAND = 4, 4
 
@@ -127,13 +129,76 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(_linked, "a long, b long")
 
 
+def _dense_links(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between block i and block j of a cluster, as many as join all that they link: overlaps are matrix products."""
+    ids = np.array(table.column("doc_id"))
+    block = np.array(table.column("block"))
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("members")]
+    size = np.array([len(x) for x in sets])
+    rows, cols = (np.flatnonzero(block == key[k].as_py()) for k in (1, 2))
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    u, inv, times = np.unique(every, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # only elements of two sets or more can overlap
+    shared = (times > 1)[inv]
+    element, of = number[inv[shared]], of[shared]
+    order = np.argsort(element, kind="stable")
+    element, of = element[order], of[order]
+    overlap = np.zeros((len(rows), len(cols)), np.float32)
+    place = np.full((2, len(sets)), -1)
+    place[0, rows], place[1, cols] = np.arange(len(rows)), np.arange(len(cols))
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        s = slice(*np.searchsorted(element, (lo, lo + 4096)))
+        pair = []
+        for k, n in ((0, len(rows)), (1, len(cols))):
+            m = np.zeros((n, 4096), np.float32)
+            at = place[k, of[s]]
+            m[at[at >= 0], element[s][at >= 0] - lo] = 1
+            pair.append(m)
+        overlap += pair[0] @ pair[1].T
+    common = overlap.astype(np.int64)
+    linked = 100 * common >= 80 * (size[rows][:, None] + size[cols][None, :] - common)
+    linked &= rows[:, None] < cols[None, :] if key[1] == key[2] else True
+    root = np.arange(len(sets))
+    out = []
+    for x, y in np.argwhere(linked):
+        a, b = rows[x], cols[y]
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[rows[x]], ids[cols[y]]))
+    out = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(out.min(1, initial=2**62)), pa.array(out.max(1, initial=-(2**62)))], ["a", "b"])
+
+
+def compared_in_blocks(clusters: DataFrame, digest: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) that join all linked sets of each cluster (doc_id, cluster).
+
+    A cluster is cut by set size into blocks of about ``BLOCK`` elements; only blocks whose sizes
+    can link meet, one task for each two blocks, and what a task sends on is a forest, not all pairs.
+    """
+    sized = clusters.join(digest.groupBy("doc_id").agg(F.first("n_shingles").alias("n")), "doc_id")
+    so_far = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "doc_id"))
+    sized = store(sized.withColumn("block", F.floor(so_far / BLOCK)), "blocks")
+    ends = sized.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    upper = ends.toDF("cluster", "j", "lo_j", "hi_j")
+    meet = ends.join(upper, "cluster").where("block <= j and 10 * hi >= 8 * lo_j").select("cluster", F.col("block").alias("i"), "j")
+    both = meet.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    dealt = sized.join(both, ["cluster", "block"]).select("doc_id", "cluster", "i", "j", "block")
+    sets = restrict(docs, clusters, "doc_id").mapInArrow(_sets(words), "doc_id long, members binary").dropDuplicates(["doc_id"])
+    return dealt.join(sets, "doc_id").groupBy("cluster", "i", "j").applyInArrow(_dense_links, "a long, b long")
+
+
 def ngram_jaccard_join(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Null or blank texts have empty sets and link with nothing.  Equal sets collapse to one
     representative (the smallest doc_id) and rejoin at the end; repeated doc_ids share one row.
-    Candidate groups are resolved by a star and a chain of pairs first; all remaining pairs are
-    those of one signature whose members still lie in different components.
+    Candidate groups are resolved by a star and a chain of pairs first; documents of signatures whose
+    members still lie in different components are compared in blocks, so that no link that could
+    join two components is left out and no pair of a group is sent out.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     digest = store(docs.mapInArrow(_digests(words), "doc_id long, n_shingles long, h1 long, h2 long"), "digests")
@@ -148,21 +213,18 @@ def ngram_jaccard_join(documents: DataFrame, words: int = WORDS) -> DataFrame:
     group = Window.partitionBy("sig")
     star = kept.select("doc_id", F.min("doc_id").over(group).alias("m"), F.lag("doc_id").over(group.orderBy("doc_id")).alias("l"))
     star = star.where("l is not null").select(F.explode(F.array("m", "l")).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    links = store(verified(store(star, "pairs"), unique, words), "links")
+    star = store(star, "pairs")
+    links = store(verified(star, unique, words), "links")
     labels = components(links)
-    tagged = kept.join(labels.toDF("doc_id", "label"), "doc_id", "left").select("sig", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    split = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    rest = store(tagged.join(split, "sig"), "rest")
-    other = rest.toDF("sig", "b", "label_b")
-    rest_pairs = rest.join(other, "sig").where("doc_id < b and label <> label_b").select(F.col("doc_id").alias("a"), "b").distinct()
-    rest_pairs = store(rest_pairs.join(links, ["a", "b"], "left_anti"), "pairs")
-    if not rest_pairs.isEmpty():
-        more = store(verified(rest_pairs, unique, words), "links")
+    tagged = kept.join(labels.toDF("doc_id", "new"), "doc_id", "left").select("sig", "doc_id", F.coalesce("new", "doc_id").alias("label"))
+    bounds = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("head")).where("lo <> hi").select("sig", "head")
+    open_ = store(tagged.join(bounds, "sig").select("doc_id", "head").distinct(), "open")
+    if not open_.isEmpty():
+        clusters = components(open_.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))).toDF("doc_id", "cluster")
+        more = store(compared_in_blocks(clusters, digest, unique, words), "links")
         if not more.isEmpty():
-            relabelled = links.union(more)
-            labels = components(relabelled)
+            labels = components(links.union(more))
     drop(kept)
-    drop(rest)
     out = digest.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"))
     out = out.join(extra.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels.toDF("rep", "label"), "rep", "left")
