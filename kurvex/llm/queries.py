@@ -92,4 +92,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_suffix_dedup, op8_decontaminate, op9_html_extraction, op10_bpe)}
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.c, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op2_quality_rules": f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents),
+w AS (SELECT row, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT row, {_WORDS.format("text")} AS ws FROM d)),
+t AS (SELECT row, i, w AS a, lead(w, 1) OVER v AS b, lead(w, 2) OVER v AS c FROM w WINDOW v AS (PARTITION BY row ORDER BY i)),
+k AS (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c) AS n FROM t WHERE c IS NOT NULL),
+rw AS (SELECT row, count(DISTINCT i + j) AS n_repeat_words FROM k, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY row),
+nw AS (SELECT row, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FROM w GROUP BY row),
+ln AS (SELECT row, source, line, i, {_WORDS.format(_LOWER.format("line"))} AS ws FROM (SELECT row, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT row, source, string_split(text, chr(10)) AS ls FROM d))),
+lw AS (SELECT row, source, line, i, array_to_string(ws, ' ') AS norm, len(ws) AS n FROM ln WHERE len(ws) > 0),
+du AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY row),
+dg AS (SELECT row, any_value(source) AS source, string_agg(norm, chr(10) ORDER BY i) AS digest FROM lw GROUP BY row),
+al AS (SELECT d.row, d.source, coalesce(digest, '') AS digest FROM d LEFT JOIN dg USING (row)),
+lim AS (SELECT source, greatest(20, floor(count(DISTINCT digest) * 0.001)) AS lim FROM al GROUP BY source),
+cm AS (SELECT lw.source, norm FROM lw JOIN al USING (row) JOIN lim ON lim.source = lw.source GROUP BY lw.source, norm HAVING count(DISTINCT digest) > any_value(lim)),
+rm AS (SELECT row, sum(n)::BIGINT AS removed_words FROM lw JOIN cm ON cm.source = lw.source AND cm.norm = lw.norm GROUP BY row),
+f AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+ FROM d LEFT JOIN nw USING (row) LEFT JOIN rw USING (row) LEFT JOIN du USING (row) LEFT JOIN rm USING (row))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= n_words * 0.5 AS kept FROM f""",
+    "op3_warc": "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY sha1(h)) AS head FROM p)\nSELECT page_id, payload_bytes, "
+    + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, {1 + 5 * k}, 5))::INT >> {b}) & 31), 1)" for k in range(8) for b in (15, 10, 5, 0))
+    + " AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM s",
+}
