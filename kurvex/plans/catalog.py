@@ -555,3 +555,77 @@ def pace_scores(spark, d):
     noise = max(float(e.agg(F.var_samp("x")).first()[0]) - float(np.diag(surface).mean()), 1.0)
     s = sparse.pace_scores(e, g, mean, surface, noise, 2)
     return s.select("curve_id", F.col("scores")[0].alias("score_1"), F.col("scores")[1].alias("score_2"))
+
+
+@query(f"""WITH {_EV} SELECT count(DISTINCT curve_id) AS n_curves, count(*) AS n_samples, 0::BIGINT AS duplicate_times, 0::BIGINT AS short_curves, count(*) FILTER (x IS NULL) AS missing_x, count(*) FILTER (y IS NULL) AS missing_y FROM ev""")
+def workflow_preflight(spark, d):
+    from . import workflows
+
+    return workflows.preflight(events(spark, d), ("x", "y"))
+
+
+@query()
+def smoothed_savgol(spark, d):
+    from ..operators import smoothing
+
+    return smoothing.smooth(events(spark, d), ("x",), "savgol", 7, 2).select("curve_id", "t_idx", "x")
+
+
+@query()
+def resample_pchip(spark, d):
+    from ..operators import smoothing
+
+    return smoothing.resample_pchip(events(spark, d), np.arange(21) * 25.0, max_gap=1000.0)
+
+
+@query()
+def surrogate_test(spark, d):
+    from ..operators import smoothing
+
+    return smoothing.surrogate_test(events(spark, d), ("x", "y"), smoothing.time_reversal)
+
+
+@query()
+def mixed_fit(spark, d):
+    from ..operators import mixed
+
+    fit = mixed.random_intercept_fit(events(spark, d), "x", ["y"], "curve_id")
+    return spark.createDataFrame([(float(fit["beta"][0]), float(fit["beta"][1]), fit["residual_variance"], fit["intercept_variance"])], "intercept double, slope double, residual_variance double, intercept_variance double")
+
+
+@query()
+def fpca_cross_validation(spark, d):
+    from ..operators import mixed
+
+    return spark.createDataFrame(mixed.cross_validate_reconstruction(dist.curve_arrays(embeddings(spark, d)), _T64, [1, 2, 4, 8]))
+
+
+@query()
+def fpca_group_influence(spark, d):
+    from ..operators import mixed
+
+    rows = embeddings(spark, d)
+    arrays = dist.curve_arrays(rows).join(rows.select("curve_id", "participant").distinct(), "curve_id")
+    return spark.createDataFrame(mixed.group_influence(arrays, "participant", _T64, 3))
+
+
+@query()
+def simulated_process(spark, d):
+    from ..operators import simulation
+
+    return simulation.simulate_functional_process(spark, 200, 21, [2.0, 0.5], noise=0.1, dropout=0.1).drop("scores")
+
+
+@query()
+def te_parameter_grid(spark, d):
+    return info.parameter_sensitivity(_states(spark, d), [1, 2], [1, 2], [1, 2])
+
+
+@query()
+def kmeans_scores(spark, d):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    a = dist.curve_arrays(embeddings(spark, d))
+    s = dec.scores(a, dec.fit_fpca(a, _T64, 4)).withColumn("features", array_to_vector("scores"))
+    return KMeans(k=4, seed=1).fit(s).transform(s).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
