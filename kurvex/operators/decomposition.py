@@ -192,3 +192,61 @@ def bootstrap_stability(arrays: DataFrame, time: np.ndarray, n_components: int,
 
     parts = arrays.select("curve_id", "values").mapInArrow(weigh, "rep long, n double, s array<double>, g array<double>")
     return parts.groupBy("rep").applyInPandas(factor, "rep long, component long, similarity double")
+
+
+def multilevel_fpca(samples: DataFrame, time: np.ndarray, between: float | int = 0.95, within: float | int = 0.95) -> tuple[Decomposition, Decomposition]:
+    """Components of participants' deviations from the curve-weighted grand mean, and of curves from their participant's mean."""
+    from .distances import curve_arrays
+
+    parts = multilevel_parts(samples)
+    one = parts.groupBy("participant", "t_idx").agg(F.first("between").alias("between")).withColumnRenamed("participant", "curve_id")
+    return fit_fpca(curve_arrays(one, ("between",)), time, between), fit_fpca(curve_arrays(parts, ("within",)), time, within)
+
+
+def compositional_fpca(parts: DataFrame, dims: tuple[str, ...], reference: str, time: np.ndarray, n_components: float | int = 0.95) -> Decomposition:
+    """Components of additive log-ratios of composition curves (three parts or more)."""
+    from .distances import curve_arrays
+    from .geometry import alr
+
+    if len(dims) < 3:
+        raise ValueError("three or more parts are needed")
+    logs = tuple(f"alr_{d}" for d in dims if d != reference)
+    return fit_fpca(curve_arrays(alr(parts, dims, reference), logs), time, n_components, dims=len(logs))
+
+
+def compare_fits(a: Decomposition, b: Decomposition) -> list[dict]:
+    """Matched components of two fits: similarity and both shares (registered against unregistered curves, for one)."""
+    sim = component_similarity(a, b)
+    return [{"component": i + 1, "matched": j + 1, "similarity": float(sim[i, j]), "ratio_a": float(a.ratio[i]), "ratio_b": float(b.ratio[j])} for i, j in enumerate(match_components(sim))]
+
+
+def spectrum_uncertainty(arrays: DataFrame, time: np.ndarray, n_components: int, replicates: int = 100, seed: int = 0) -> np.ndarray:
+    """Percentile intervals (2.5, 50, 97.5) of eigenvalues from grouped jackknife-style Poisson weights on hash groups of curves.
+
+    Moments are added up for 64 hash groups in one pass; replicates reweight the groups on the driver.
+    """
+    groups = 64
+    dealt = arrays.withColumn("g", F.pmod(F.xxhash64("curve_id", F.lit(seed)), F.lit(groups)))
+
+    def add(batches):
+        acc: dict = {}
+        for b in batches:
+            key, m = np.asarray(b.column(0)), np.asarray(b.column(1).flatten(), float).reshape(len(b), -1)
+            for k in np.unique(key):
+                x = m[key == k]
+                n, s, q = acc.get(k, (0, 0.0, 0.0))
+                acc[k] = (n + len(x), s + x.sum(0), q + x.T @ x)
+        for k, (n, s, q) in acc.items():
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], ["k", "n", "s", "q"])
+
+    acc = {}
+    for r in dealt.select("g", "values").mapInArrow(add, "k long, n long, s array<double>, q array<double>").toLocalIterator():
+        n, s, q = acc.get(r.k, (0, 0.0, 0.0))
+        acc[r.k] = (n + r.n, s + np.asarray(r.s), q + np.asarray(r.q).reshape(len(r.s), -1))
+    root, rng, out = np.sqrt(trapezoid_weights(time)), np.random.default_rng(seed), []
+    for _ in range(replicates):
+        w = rng.multinomial(len(acc), np.full(len(acc), 1 / len(acc)))
+        n, s, q = (sum(k * v[i] for k, v in zip(w, acc.values(), strict=True)) for i in range(3))
+        mean = s / n
+        out.append(np.linalg.eigvalsh((q - n * np.outer(mean, mean)) / (n - 1) * np.outer(root, root))[::-1][:n_components])
+    return np.percentile(out, [2.5, 50, 97.5], axis=0)

@@ -149,3 +149,43 @@ def variance_components(rows: DataFrame, value: str, group: str) -> DataFrame:
     k0 = (F.col("n") - F.col("kk") / F.col("n")) / (F.col("q") - 1)
     between = F.greatest(F.lit(0.0), (msb - msw) / k0)
     return a.select((F.col("s") / F.col("n")).alias("mean"), between.alias("between"), msw.alias("within"), (between / (between + msw)).alias("icc"))
+
+
+def family_test(observed: dict[str, float], replicates: dict[str, list[float]]) -> list[dict]:
+    """Max-t test of a family: each target's own p-value and the one adjusted by the largest studentised replicate."""
+    names = list(observed)
+    r = np.stack([np.asarray(replicates[k], float) for k in names])
+    sd = r.std(1, ddof=1)
+    z, t = np.abs(r / sd[:, None]), np.abs(np.array([observed[k] for k in names]) / sd)
+    top, n = z.max(0), r.shape[1]
+    return [{"target": k, "statistic": float(t[i]), "p_value": float((1 + (z[i] >= t[i]).sum()) / (n + 1)), "adjusted_p": float((1 + (top >= t[i]).sum()) / (n + 1))} for i, k in enumerate(names)]
+
+
+def monte_carlo_interval(exceedances: int, replicates: int, z: float = 1.959964) -> tuple[float, float]:
+    """Wilson interval of a Monte Carlo p-value."""
+    p, n = exceedances / replicates, replicates
+    mid, half = (p + z * z / (2 * n)) / (1 + z * z / n), z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    return float(max(0, mid - half)), float(min(1, mid + half))
+
+
+def gee_predictions(rows: DataFrame, predictors: list[str], beta: np.ndarray, cov: np.ndarray, z: float = 1.959964) -> DataFrame:
+    """Mean predictions with pointwise bands on the link scale (logit)."""
+    x = [F.col(p).cast("double") for p in predictors]
+    eta = sum((c * float(b) for c, b in zip(x, beta, strict=True)), F.lit(0.0))
+    var = sum((x[i] * x[j] * float(cov[i, j]) for i in range(len(x)) for j in range(len(x))), F.lit(0.0))
+    mean = lambda e: 1 / (1 + F.exp(-e))
+    return rows.withColumns({"mean": mean(eta), "lower": mean(eta - z * F.sqrt(var)), "upper": mean(eta + z * F.sqrt(var))})
+
+
+def percentile_interval(replicates: DataFrame, value: str, keys: list[str], level: float = 0.95) -> DataFrame:
+    """Percentile interval of bootstrap replicates."""
+    return replicates.groupBy(*keys).agg(F.percentile(value, (1 - level) / 2).alias("lower"), F.percentile(value, 0.5).alias("median"), F.percentile(value, (1 + level) / 2).alias("upper"))
+
+
+def residual_acf(residuals: DataFrame, max_lag: int) -> DataFrame:
+    """Lag correlation and semivariogram of residuals (curve_id, t_idx, e), over all pairs of a lag within curves."""
+    w = Window.partitionBy("curve_id").orderBy("t_idx")
+    r = residuals.withColumns({f"l{k}": F.lead("e", k).over(w) for k in range(1, max_lag + 1)})
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("f")) for k in range(1, max_lag + 1)))).alias("z")
+    p = r.select("e", rows).select("e", "z.lag", "z.f").where("f is not null")
+    return p.groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.corr("e", "f").alias("correlation"), (F.avg(F.pow(F.col("e") - F.col("f"), 2)) / 2).alias("semivariance"))

@@ -194,3 +194,40 @@ def poincare_crossings(samples: DataFrame, section: str, value: float, direction
     hit = (F.col("_a") < 0) & (F.col("_b") >= 0) if direction == "positive" else (F.col("_a") > 0) & (F.col("_b") <= 0)
     f = F.col("_a") / (F.col("_a") - F.col("_b"))
     return s.where(hit).select(CURVE, F.col("t_idx").alias("i"), (F.col("t") + f * (F.col("_t") - F.col("t"))).alias("t"), *((F.col(d) + f * (F.col(f"_{d}") - F.col(d))).alias(d) for d in dims))
+
+
+def false_neighbours(samples: DataFrame, dim: str, delay: int, max_dimension: int, theiler: int = 0, rtol: float = 10.0, atol: float = 2.0) -> DataFrame:
+    """Per curve and embedding dimension m: share of nearest neighbours that part in dimension m + 1.
+
+    A neighbour is false if the new coordinate's distance is over ``rtol`` times the distance, or the joint
+    distance is over ``atol`` population deviations of the curve.
+    """
+    w = along(CURVE)
+    sd = samples.groupBy(CURVE).agg(F.stddev_pop(dim).alias("sd"))
+    out = None
+    for m in range(1, max_dimension + 1):
+        cols = [(F.lag(dim, l * delay).over(w) if l else F.col(dim)).alias(f"e{l}") for l in range(m + 1)]
+        s = samples.select(CURVE, "t_idx", *cols).where(F.col(f"e{m}").isNotNull())
+        near = nearest_neighbours(s, tuple(f"e{l}" for l in range(m)), theiler)
+        new = s.select(CURVE, F.col("t_idx").alias("i"), F.col(f"e{m}").alias("p")), s.select(CURVE, F.col("t_idx").alias("j"), F.col(f"e{m}").alias("q"))
+        j = near.join(new[0], [CURVE, "i"]).join(new[1], [CURVE, "j"]).join(sd, CURVE).withColumn("g", F.abs(F.col("p") - F.col("q")))
+        false = (F.col("g") / F.col("d") > rtol) | (F.sqrt(F.col("d") * F.col("d") + F.col("g") * F.col("g")) / F.col("sd") > atol)
+        row = j.groupBy(CURVE).agg(F.lit(m).alias("dimension"), F.avg(false.cast("double")).alias("false_share"), F.count(F.lit(1)).alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def radius_for_rate(samples: DataFrame, dims: tuple[str, ...], rate: float, theiler: int = 0, steps: int = 24, branch: int = 6) -> DataFrame:
+    """Per curve the least radius found by bisection whose share of eligible pairs reaches ``rate``.
+
+    The pair distances are aggregated anew each pass for 2**branch - 1 inner radii at once, which are ``branch`` halvings.
+    """
+    pairs = _pairs(samples, dims, theiler, "euclidean").cache()
+    bounds = pairs.groupBy(CURVE).agg(F.lit(0.0).alias("lo"), F.max("d").alias("hi"))
+    cells = 1 << branch
+    for _ in range(-(-steps // branch)):  # one row per curve; each pass is a plan of one aggregate over the kept pairs
+        at = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * (k / cells)
+        counts = pairs.join(bounds, CURVE).groupBy(CURVE, "lo", "hi").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("d") <= at(k), 1)).alias(f"c{k}") for k in range(1, cells + 1)))
+        below = sum((F.when(F.col(f"c{k}") / F.col("n") < rate, 1).otherwise(0) for k in range(1, cells)), F.lit(0))
+        bounds = counts.withColumn("b", below).select(CURVE, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("b") / cells).alias("lo"), (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("b") + 1) / cells).alias("hi"))
+    return bounds.select(CURVE, F.col("hi").alias("radius"))
