@@ -45,3 +45,11 @@ def restrict(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi", li
     if keys.limit(limit + 1).count() <= limit:
         keys = F.broadcast(keys)
     return df.join(keys, on, how)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table this package has stored in the shared folder; call it when no result that reads them is needed any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kurvex-*")
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(p) or []:
+        fs.delete(found.getPath(), True)
