@@ -26,6 +26,17 @@ REMEMBERED = 200_000
 OUT_BYTES = 4 << 20
 
 _WORD = re.compile(r"[^ \t\n\r]+")
+#: Words whose pieces can be told without the library's normaliser: printable ASCII but the apostrophe, and letters of Latin-1.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """For translation: each Latin-1 letter as the two letters that stand for its UTF-8 bytes (printable bytes stand for themselves)."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class WordBpe:
@@ -46,6 +57,7 @@ class WordBpe:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.inner = Tokenizer(BPE(vocab=model["vocab"], merges=merges))
         self.last = Tokenizer(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
+        self.letters, self.pieces, self.model = byte_letters(), {}, self.last.model
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*model["vocab"].values(), *special.values()]) + 1
         self.tokens = [""] * size
@@ -57,14 +69,28 @@ class WordBpe:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word (text without white space)."""
         out: list[list[int] | None] = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= self.leaf]
-        for i, e in zip(short, self.full.encode_batch([words[i] for i in short], add_special_tokens=False), strict=True):
+        short = []
+        for i, w in enumerate(words):
+            if len(w) <= self.leaf:
+                if _PLAIN.fullmatch(w) and "<|" not in w:
+                    out[i] = [t for piece in _PIECE.findall(w.lower()) for t in self.piece(piece)]
+                else:
+                    short.append(i)
+        for i, e in zip(short, self.full.encode_batch_fast([words[i] for i in short], add_special_tokens=False), strict=True):
             out[i] = e.ids
         for i, w in enumerate(words):
             if out[i] is None:
                 out[i] = self.encode_long(w)
         return out  # type: ignore[return-value]
 
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one piece of the pre-tokeniser in plain characters."""
+        if (ids := self.pieces.get(piece)) is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+        return ids
+
     def encode_long(self, text: str) -> list[int]:
         """Ids of a long text without white space, by tree concatenation of its long pieces."""
         ids: list[int] = []
@@ -79,7 +105,7 @@ class WordBpe:
     def tree(self, piece: str) -> list[int]:
         """One piece of the pre-tokeniser: leaves of at most ``leaf`` symbols, joined pairwise."""
         leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
-        parts = [e.ids for e in self.inner.encode_batch(leaves[:-1], add_special_tokens=False)]
+        parts = [e.ids for e in self.inner.encode_batch_fast(leaves[:-1], add_special_tokens=False)]
         parts.append(self.last.encode(leaves[-1], add_special_tokens=False).ids)
         while len(parts) > 1:
             pairs = [(parts[i], parts[i + 1], i + 2 >= len(parts)) for i in range(0, len(parts) - 1, 2)]
@@ -100,7 +126,7 @@ class WordBpe:
             for ends in (False, True):
                 at = [i for i in open_ if (pairs[i][2] and w >= len(pairs[i][1])) == ends]
                 texts = [self.text_of(pairs[i][0][-w:] + pairs[i][1][:w], ends) for i in at]
-                fresh |= zip(at, (e.ids for e in (self.last if ends else self.inner).encode_batch(texts, add_special_tokens=False)), strict=True)
+                fresh |= zip(at, (e.ids for e in (self.last if ends else self.inner).encode_batch_fast(texts, add_special_tokens=False)), strict=True)
             for i, new in fresh.items():
                 left, right, _ = pairs[i]
                 if (w >= len(left) or new[0] == left[-w]) and (w >= len(right) or new[-1] == right[w - 1]):
