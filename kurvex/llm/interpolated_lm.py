@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .runtime import store
 from .textblocks import _LANES, blocks, mix
 
-#: Text bytes of a chunk, share of chunks whose documents are held out in turn (1 in HELD), resolution of EM cells per octave.
-CHUNK_BYTES, HELD, CELLS = 8 << 20, 8, 4
+#: Text bytes of a chunk, chunks to a key range, share of chunks whose documents are held out in turn (1 in HELD), resolution of EM cells per octave.
+CHUNK_BYTES, CHUNKS_PER_RANGE, HELD, CELLS = 2 << 20, 4, 8, 4
 _START, _END = np.uint64(0x51A2), np.uint64(0xE4D)
 _BITS = {1: 64, 2: 48}
 
@@ -219,7 +219,7 @@ def lm_scores(documents: DataFrame, held_out: Column) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     chunks = int(max(1, -(-size // CHUNK_BYTES)))
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
-    asked = docs.groupBy("chunk").applyInArrow(_requests(chunks), "chunk long, n int, r int, keys binary, counts binary")
+    asked = docs.groupBy("chunk").applyInArrow(_requests(-(-chunks // CHUNKS_PER_RANGE)), "chunk long, n int, r int, keys binary, counts binary")
     told = store(asked.groupBy("n", "r").applyInArrow(_totals, "chunk long, n int, r int, more binary, distinct long, tokens long"), "totals")
     sums = {x.n: x for x in told.where("chunk < 0").groupBy("n").agg(F.sum("distinct").alias("distinct"), F.sum("tokens").alias("tokens")).collect()}
     starts = docs.where("train").count()
