@@ -1,8 +1,8 @@
 """Line deduplication with a deletion-neighbourhood join.
 
-A line is its sequence of lower-case words; lines of fewer than ``min_words`` words are never
-removed.  A line occurrence is removed when an equal line, or one within one word edit
-(substitution, insertion or deletion), first occurs earlier in the order (doc_id, line number).
+A line is its sequence of lower-case words.  A line occurrence is removed when an equal line (of at
+least ``exact_words`` words), or one within one word edit (substitution, insertion or deletion; lines of
+at least ``min_words`` words), first occurs earlier in the order (doc_id, line number).
 Every candidate line emits the hash of each variant with one word deleted, keyed with the deleted
 place, and of itself.  Lines of one key and place differ by that one substitution, lines that equal a
 variant of another by one insertion, so the least occurrence of each key finds the earlier line by
@@ -44,13 +44,14 @@ def _halves(words, a, z):
     return out
 
 
-def _emit_lines(min_words: int):
+def _emit_lines(min_words: int, exact_words: int):
     def run(batches):
         for b in batches:
             ids = np.array(b.column(0))
             for i, _, block in blocks(b, lower=True):
-                doc, number, a, z, h = _line_rows(block, min_words)
-                cols = [ids[i + doc], number, signed(h), *map(signed, _halves(block.words, a, z))]
+                doc, number, a, z, h = _line_rows(block, min(min_words, exact_words))
+                halves = (np.where(z - a >= min_words, x, np.uint64(0)) for x in _halves(block.words, a, z))
+                cols = [ids[i + doc], number, signed(h), *map(signed, halves)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "line", "h", "b0", "b1", "b2", "b3"])
 
     return run
@@ -131,9 +132,10 @@ def _listed(docs: DataFrame, lines: DataFrame, item: str) -> DataFrame:
     return docs.join(lists, "doc_id").select("doc_id", "text", "wanted")
 
 
-def removable_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removable_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """(doc_id, line, h, near) of every line occurrence that an equal or near line precedes."""
-    lines = store(docs.mapInArrow(_emit_lines(min_words), "doc_id long, line int, h long, b0 long, b1 long, b2 long, b3 long"), "lines")
+    exact_words = min_words if exact_words is None else exact_words
+    lines = store(docs.mapInArrow(_emit_lines(min_words, exact_words), "doc_id long, line int, h long, b0 long, b1 long, b2 long, b3 long"), "lines")
     key = F.struct("doc_id", "line").alias("key")
     firsts = store(lines.groupBy("h").agg(F.min(key).alias("key"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(4))), "firsts")
     half = firsts.select("h", F.explode(F.array(*(f"b{k}" for k in range(4)))).alias("b")).where("b <> 0")
@@ -181,19 +183,22 @@ def _apply(min_words: int):
     return run
 
 
-def line_dedup(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(documents: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """``documents`` with the later equal and near lines taken out of ``text``, and n_removed and n_near added.
 
+    Near lines are sought among those of ``min_words`` words or more, equal ones among those of
+    ``exact_words`` (``min_words`` if not given; 1: all lines but blank ones).
+
     All other columns stay as they are; columns named n_removed or n_near are replaced.  Null and
     blank texts stay; a document may end up with an empty text.  Rows of one doc_id and text count as
     one document and share its fate; rows without a doc_id are kept whole and are not compared.
     """
     names = [c for c in documents.columns if c not in ("n_removed", "n_near")]
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    gone = removable_lines(docs, min_words).groupBy(F.col("doc_id").alias("gone_id"))
+    gone = removable_lines(docs, min_words, exact_words).groupBy(F.col("doc_id").alias("gone_id"))
     gone = gone.agg(F.collect_set(F.struct("line", "h")).alias("gone"), F.count(F.lit(1)).alias("n_removed"), F.count(F.when(F.col("near"), 1)).alias("n_near"))
     rest = [c for c in names if c != "text"]
     joined = documents.select(*names).join(gone, F.col("doc_id") == F.col("gone_id"), "left")
     joined = joined.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), "gone", *rest, F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
     schema = ", ".join([f"`{n}` {t}" for n, t in joined.dtypes[3:]] + ["text string"])
-    return joined.mapInArrow(_apply(min_words), schema).select(*names, "n_removed", "n_near")
+    return joined.mapInArrow(_apply(min_words if exact_words is None else min(min_words, exact_words)), schema).select(*names, "n_removed", "n_near")

@@ -41,7 +41,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(_table(spark, sf_dir, "documents"))
+    out = line_dedup(_table(spark, sf_dir, "documents"), exact_words=1)
     return out.select("doc_id", "n_removed", "n_near", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
