@@ -4,8 +4,8 @@ P(w|h) = a2[b] c(hw)/c(h) + a1[b] c(w)/N + a0[b]/(V+1), b the bucket of the cont
 Documents are dealt into chunks by doc_id.  Every chunk sends its distinct n-gram keys, sorted and
 packed, to the reducers of their key ranges; these add up the counts of all chunks and send the totals
 back to the chunks in the order of the keys, so no table of counts is ever broadcast and no row
-per token is shuffled.  The weights are learned by expectation-maximisation on the training documents
-of some chunks, each held out of the counts in turn (its own occurrences are deleted).
+per token is shuffled.  The weights are learned by expectation-maximisation on all training documents,
+each held out of the counts in turn (its own occurrences are deleted).
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .runtime import store
 from .textblocks import _LANES, blocks, mix
 
-#: Text bytes of a chunk, chunks to a key range, share of chunks whose documents are held out in turn (1 in HELD), resolution of EM cells per octave.
-CHUNK_BYTES, CHUNKS_PER_RANGE, HELD, CELLS = 2 << 20, 4, 8, 4
+#: Text bytes of a chunk, chunks to a key range, resolution of EM cells per octave.
+CHUNK_BYTES, CHUNKS_PER_RANGE, CELLS = 2 << 20, 4, 4
 _START, _END = np.uint64(0x51A2), np.uint64(0xE4D)
 _BITS = {1: 64, 2: 48}
 
@@ -225,8 +225,7 @@ def lm_scores(documents: DataFrame, held_out: Column) -> DataFrame:
     starts = docs.where("train").count()
     mixture = Mixture(sums[1].tokens if sums else 0, sums[1].distinct if sums else 0, starts, np.tile([0.4, 0.5, 0.1], (41, 1)))
     replies = told.where("chunk >= 0").select("chunk", "n", "r", "more")
-    some = F.pmod(F.col("chunk"), F.lit(HELD)) == 0
-    cells = docs.where(some).groupBy("chunk").cogroup(replies.where(some).groupBy("chunk")).applyInArrow(_cells(mixture), "b long, p long, w long, n long")
+    cells = docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cells(mixture), "b long, p long, w long, n long")
     cells = cells.groupBy("b", "p", "w").agg(F.sum("n").alias("n")).toPandas()
     if len(cells):
         mixture.weights = learn_weights(cells)

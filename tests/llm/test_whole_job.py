@@ -2,6 +2,9 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from kurvex.llm import interpolated_lm
 from kurvex.llm import queries as corpus
 
 
@@ -15,3 +18,19 @@ def test_short_lines_are_deduplicated(spark, tmp_path):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.n_near, r.kept_chars) for r in corpus.op4_line_dedup(spark, table(docs, tmp_path, "documents")).collect()}
     assert got == {0: (0, 0, len(texts[0])), 1: (2, 0, len("second text\n")), 2: (0, 0, len(texts[2])), 3: (2, 0, 0)}
+
+
+def test_mixture_weights_see_every_chunk(spark, monkeypatch):
+    """The weights are learned from as many tokens as are trained on, at any number of chunks."""
+    rng, seen = np.random.default_rng(3), []
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40, 30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learn = interpolated_lm.learn_weights
+    monkeypatch.setattr(interpolated_lm, "learn_weights", lambda cells: (seen.append(int(cells["n"].sum())), learn(cells))[1])
+    scores = []
+    for size in (8 << 20, 400):
+        monkeypatch.setattr(interpolated_lm, "CHUNK_BYTES", size)
+        rows = interpolated_lm.lm_scores(docs, F.col("doc_id") % 4 == 1).collect()
+        assert seen[-1] == rows[0].train_tokens == 45 * 31
+        scores.append([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
+    assert np.allclose(*scores)
