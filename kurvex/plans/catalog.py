@@ -452,6 +452,12 @@ def robust_z(spark, d):
     return inf.robust_z(events(spark, d).groupBy("curve_id").agg(F.avg("x").alias("v")), "v")
 
 
+def _span_grid(samples, points=21):
+    """Evenly spaced grid from the least to the greatest t of all curves."""
+    lo, hi = samples.agg(F.min("t"), F.max("t")).first()
+    return np.linspace(float(lo), float(hi), points) if lo is not None else np.zeros(0)
+
+
 def _hours_grid(spark):
     return spark.range(21).select(F.col("id").alias("g_idx"), (F.col("id") * 25.0).alias("g"))
 
@@ -545,11 +551,14 @@ def gee_fit(spark, d):
 
 @query()
 def pace_scores(spark, d):
-    e, grid = events(spark, d), _hours_grid(spark)
-    m = sparse.local_linear_mean(e, grid, 60.0).orderBy("g_idx").collect()
-    g, mean = np.array([r.g for r in m]), np.array([r.mean for r in m])
+    e = events(spark, d)
+    g = _span_grid(e)
+    grid = spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "g_idx long, g double")
+    m = {r.g_idx: r.mean for r in sparse.local_linear_mean(e, grid, max(60.0, float(g[1] - g[0]))).collect() if r.mean is not None}
+    at = np.array(sorted(m), int)
+    mean = np.interp(g, g[at], [m[k] for k in at])  # a point with too few samples takes its neighbours' mean
     res = e.withColumn("e", F.col("x") - float(mean.mean()))
-    cov = sparse.covariance_surface(sparse.raw_covariance_pairs(res), grid, 80.0)
+    cov = sparse.covariance_surface(sparse.raw_covariance_pairs(res), grid, max(80.0, float(g[1] - g[0])))
     surface = np.zeros((len(g), len(g)))
     surface[cov["gi"], cov["gj"]] = cov["cov"].fillna(0.0)
     noise = max(float(e.agg(F.var_samp("x")).first()[0]) - float(np.diag(surface).mean()), 1.0)
@@ -575,7 +584,8 @@ def smoothed_savgol(spark, d):
 def resample_pchip(spark, d):
     from ..operators import smoothing
 
-    return smoothing.resample_pchip(events(spark, d), np.arange(21) * 25.0, max_gap=1000.0)
+    e = events(spark, d)
+    return smoothing.resample_pchip(e, _span_grid(e), max_gap=1000.0)
 
 
 @query()
