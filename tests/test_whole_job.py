@@ -16,3 +16,9 @@ def test_grids_span_all_samples(spark, monkeypatch):
     out = catalog.pace_scores(spark, D).toPandas()
     assert grids[0][-1] == last and out.notna().all().all() and len(out) == catalog.events(spark, D).select("curve_id").distinct().count()
     assert catalog.resample_pchip(spark, D).agg({"t": "max"}).first()[0] == pytest.approx(last)
+
+
+def test_every_curve_has_an_anomaly_p_value(spark):
+    ids = [r.curve_id for r in catalog.embeddings(spark, D).select("curve_id").distinct().collect()]
+    got = catalog.fpca_conformal_anomaly(spark, D).collect()
+    assert sorted(r.curve_id for r in got) == sorted(ids) and all(0 < r.p_value <= 1 for r in got)
