@@ -3,8 +3,10 @@
 Words lose outer punctuation and case; numbers, names (capitalised inside a sentence) and units
 (after a number) become typed placeholders.  Windows of template tokens are hash-joined with the
 benchmark's; slots of matching windows must be consistent: along one alignment, equal values in the
-item stand for equal values in the document.  A document is contaminated by an item when the
-consistent matches cover at least ``share`` of the item's windows.
+item stand for equal values in the document.  Windows with few literals are compared by their exact
+values.  A document is contaminated by an item when the consistent matches cover at least ``share`` of
+the item's template windows or of all its windows; an item without a template window (short, or full of
+placeholders) also when its whole text is found, as a template if it has enough literals, else exactly.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quality_lines import run_hash
 from .runtime import store
-from .textblocks import _LANES, Block, blocks, mix, signed, span_hash
+from .textblocks import Block, blocks, mix, signed, span_hash
 from .toxicity import cores
 
 #: Words of a window, least words in it that are no placeholders, and share of an item's windows that must match.
@@ -29,6 +32,7 @@ UNITS = (
     "months years hz khz mhz ghz w kw v a c f k pct percent % usd eur dollars euros cents mph kmh bytes kb mb gb tb"
 ).split()
 _NUMBER, _NAME, _UNIT = (np.uint64(0xA1), np.uint64(0xB2), np.uint64(0xC3))
+_TEMPLATE, _EXACT = (np.uint64(0xD4), np.uint64(0xE5))
 
 
 def _hash_list(words: list[str]) -> np.ndarray:
@@ -64,46 +68,78 @@ def template(block: Block, low: Block) -> tuple[np.ndarray, np.ndarray]:
     return token, value
 
 
-def template_windows(block: Block, low: Block, size: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word, slot values) of each window of ``size`` words with enough literals; shorter texts are one window."""
-    token, value = template(block, low)
+def _canonical(block: Block):
+    """Template tokens and values of the words, values where a slot is and else zero, and the sums of literals before each word."""
+    token, value = template(block, Block(block.buf, block.off, lower=True))
     slot = (token == _NUMBER) | (token == _NAME) | (token == _UNIT)
-    n = len(token)
+    return token, value, np.where(slot, value, np.uint64(0)), np.cumsum(np.append(0, ~slot))
+
+
+def _starts(block: Block, size: int) -> np.ndarray:
+    """First words of the windows of ``size`` words inside one document."""
     doc = block.doc_of_word()
-    out_h, out_at, out_v = [], [], []
-    if n >= size:
-        h = np.zeros(n - size + 1, np.uint64)
-        for j in range(size):
-            h = h + token[j : n - size + 1 + j] * _LANES[j]
-        lit = np.cumsum(np.append(0, ~slot))
-        ok = np.flatnonzero((doc[: len(h)] == doc[size - 1 :]) & (lit[size:] - lit[: len(h)] >= literals))
-        vals = np.where(slot, value, np.uint64(0))
-        out_h.append(mix(h[ok]))
-        out_at.append(ok)
-        out_v.append(vals[ok[:, None] + np.arange(size)] if len(ok) else np.zeros((0, size), np.uint64))
-    if not out_h:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, size), np.uint64)
-    return out_h[0], out_at[0], out_v[0]
-
-
-def _windows(key: str, size: int, literals: int, wanted: np.ndarray | None):
-    """(key, place, h, slots) of the windows, of all or of those whose hash is wanted."""
+    return np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :]) if len(doc) >= size else np.zeros(0, np.int64)
+
+
+def _hashes(token, value, at, size):
+    """Template hash and exact hash of the windows that start at ``at``."""
+    return mix(run_hash(token, at, at + size) + _TEMPLATE), mix(run_hash(value, at, at + size) + _EXACT)
+
+
+def _batch(ids, at, kind, size, h, vals, key) -> pa.RecordBatch:
+    """Rows of windows of one size."""
+    slots = vals[at[:, None] + np.arange(size)]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(h) + 1, size, dtype=np.int32)), pa.array(signed(np.ascontiguousarray(slots)).ravel()))
+    place, at = kind
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(signed(h)), lists], [key, "place", "kind", "h", "slots"])
+
+
+def _item_windows(size: int, literals: int):
+    """(item_id, place, kind, h, slots) of the items' windows.
+
+    Kind 0: template of ``size`` words with enough literals; 1: window with fewer, by exact values; 2: the
+    whole text of an item without a window of kind 0, by exact values and, with enough literals, as a template.
+    """
+
+    def run(batches):
+        for b in batches:
+            ids = np.array(b.column(0))
+            for i, _, block in blocks(b):
+                token, value, vals, lit = _canonical(block)
+                at = _starts(block, size)
+                t, x = _hashes(token, value, at, size)
+                usable = lit[at + size] - lit[at] >= literals
+                doc = np.searchsorted(block.first, at, "right") - 1
+                if len(at):
+                    yield _batch(ids[i + doc], at, (np.where(usable, 0, 1), at - block.first[doc]), size, np.where(usable, t, x), vals, "item_id")
+                for d in np.setdiff1d(np.flatnonzero(np.diff(block.first)), doc[usable]):
+                    n, at = int(block.first[d + 1] - block.first[d]), block.first[d : d + 1]
+                    t, x = _hashes(token, value, at, n)
+                    for h in [x, t][: 2 if lit[at[0] + n] - lit[at[0]] >= literals else 1]:
+                        yield _batch(ids[i + d : i + d + 1], at, (np.full(1, 2), np.zeros(1, np.int64)), n, h, vals, "item_id")
+
+    return run
+
+
+def _document_windows(size: int, literals: int, sizes: list[int], wanted: np.ndarray, exact: bool):
+    """(doc_id, place, kind, h, slots) of the wanted windows, of ``size`` words (``exact``: by values too) and of the ``sizes`` of whole items."""
 
     def run(batches):
         for b in batches:
             ids = np.array(b.column(0))
             for i, _, block in blocks(b):
-                low = Block(block.buf, block.off, lower=True)
-                h, at, slots = template_windows(block, low, size, literals)
-                if wanted is not None and len(h):
-                    k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    hit = wanted[k] == h
-                    h, at, slots = h[hit], at[hit], slots[hit]
-                if len(h):
-                    doc = np.searchsorted(block.first, at, "right") - 1
-                    # documents without words share a boundary: the last of them holds the word
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(0, size * len(h) + 1, size, dtype=np.int32)), pa.array(signed(np.ascontiguousarray(slots)).ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array((at - block.first[doc]).astype(np.int64)), pa.array(signed(h)), values], [key, "place", "h", "slots"])
+                token, value, vals, lit = _canonical(block)
+                for n in sorted({size, *sizes}):
+                    at = _starts(block, n)
+                    t, x = _hashes(token, value, at, n)
+                    both = [(t, lit[at + n] - lit[at] >= literals)] + [(x, True)] * (exact or n in sizes)
+                    for h, ok in both:
+                        k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                        hit = np.flatnonzero((wanted[k] == h) & ok)
+                        if len(hit):
+                            doc = np.searchsorted(block.first, at[hit], "right") - 1
+                            # documents without words share a boundary: the last of them holds the word
+                            yield _batch(ids[i + doc], at[hit], (np.zeros(len(hit)), at[hit] - block.first[doc]), n, h[hit], vals, "doc_id")
 
     return run
 
@@ -111,28 +147,37 @@ def _windows(key: str, size: int, literals: int, wanted: np.ndarray | None):
 def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, matched, windows) of every document and item with enough consistent matches.
 
-    Null and blank texts and items shorter than a window match nothing.  Repeated documents each match;
+    Null and blank texts match nothing; an item shorter than a window is one window.  Repeated documents each match;
     repeated items of one item_id count as one.
     """
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
     items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null").dropDuplicates(["item_id"])
-    tests = store(items.mapInArrow(_windows("item_id", size, literals, None), "item_id long, place long, h long, slots array<long>"), "tests")
+    row = "place long, kind int, h long, slots array<long>"
+    tests = store(items.mapInArrow(_item_windows(size, literals), f"item_id long, {row}"), "tests")
     n = tests.select("h").distinct().count()
-    total = tests.groupBy("item_id").agg(F.countDistinct("place").alias("windows"))
+    by_kind = [F.countDistinct(F.when(F.col("kind") == k, F.col("place"))) for k in range(3)]
+    total = tests.groupBy("item_id").agg(by_kind[0].alias("templates"), by_kind[1].alias("exacts"))
+    total = total.select("item_id", "templates", F.greatest(F.col("templates") + F.col("exacts"), F.lit(1)).alias("windows"))
+    sizes = sorted(r.n for r in tests.where("kind = 2").select(F.size("slots").alias("n")).distinct().collect())
+    exact = not tests.where("kind = 1").isEmpty()
     slices = max(1, -(-n // SLICE))
     hits = None
     for k in range(slices):
         part = tests.select("h").distinct().where(F.pmod("h", F.lit(slices)) == k)
         wanted = np.sort(np.array([r.h for r in part.toLocalIterator()], np.int64).view(np.uint64))
         if len(wanted):
-            found = docs.mapInArrow(_windows("doc_id", size, literals, wanted), "doc_id long, place long, h long, slots array<long>")
+            found = docs.mapInArrow(_document_windows(size, literals, sizes, wanted, exact), f"doc_id long, {row}").drop("kind")
             hits = found if hits is None else hits.union(found)
     if hits is None:
         return tests.select(F.col("item_id").alias("doc_id"), "item_id", F.lit(0).cast("long").alias("matched"), F.lit(0).cast("long").alias("windows")).where("false")
-    both = hits.join(tests.toDF("item_id", "item_place", "h", "item_slots"), "h")
-    both = store(both.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "slots", "item_slots").distinct(), "hits")
-    slots = both.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select("doc_id", "item_id", "shift", F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).where("a <> 0")
-    clash = slots.groupBy("doc_id", "item_id", "shift", "a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").select("doc_id", "item_id", "shift").distinct()
-    good = both.join(clash, ["doc_id", "item_id", "shift"], "left_anti")
-    found = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("matched")).join(total, "item_id")
-    return found.where(F.col("matched") >= F.col("windows") * F.lit(share)).select("doc_id", "item_id", "matched", "windows")
+    both = hits.join(tests.toDF("item_id", "item_place", "kind", "h", "item_slots"), "h")
+    both = store(both.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "kind", "slots", "item_slots").distinct(), "hits")
+    at = ["doc_id", "item_id", "shift", "kind"]
+    slots = both.select(*at, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*at, F.col("s.item_slots").alias("a"), F.col("s.slots").alias("b")).where("a <> 0")
+    clash = slots.groupBy(*at, "a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").select(*at).distinct()
+    good = both.join(clash, at, "left_anti")
+    places = [F.countDistinct(F.when(F.col("kind") == k, F.col("item_place"))) for k in range(2)]
+    found = good.groupBy("doc_id", "item_id").agg(places[0].alias("t"), places[1].alias("x"), F.max(F.col("kind") == 2).alias("whole")).join(total, "item_id")
+    found = found.withColumn("matched", F.when(F.col("whole"), F.col("windows")).otherwise(F.col("t") + F.col("x")))
+    enough = (F.col("matched") >= F.col("windows") * F.lit(share)) | ((F.col("t") > 0) & (F.col("t") >= F.col("templates") * F.lit(share)))
+    return found.where(enough).select("doc_id", "item_id", "matched", "windows")

@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from kurvex.llm import interpolated_lm
+from kurvex.llm import decontaminate, interpolated_lm
 from kurvex.llm import queries as corpus
 
 
@@ -34,3 +34,13 @@ def test_mixture_weights_see_every_chunk(spark, monkeypatch):
         assert seen[-1] == rows[0].train_tokens == 45 * 31
         scores.append([r.score for r in sorted(rows, key=lambda r: r.doc_id)])
     assert np.allclose(*scores)
+
+
+def test_short_and_numeric_items_are_found(spark):
+    short, digits, sums = "what rhymes with orange", "12 kg 5 m 7 s 9 km 31 h 4 t", "add 12 kg 5 m 7 s to 31 kg 9 m 8 s then 12 kg 5 m 4 s gives total"
+    filler = " ".join(f"w{k}x" for k in range(30))
+    texts = [f"{filler} {short} {filler}", f"{filler} {digits} {filler}", f"{filler} {sums} {filler}", f"{filler} {sums.replace('12', '77')} {filler}", f"{filler} {digits.replace('12', '77')} {filler}", f"{filler} {sums.replace('then 12', 'then 77')}", filler, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, short), (2, digits), (3, sums), (4, None), (5, " ")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {(0, 1), (1, 2), (2, 3), (3, 3)} <= got <= {(0, 1), (1, 2), (2, 3), (3, 3), (4, 2), (5, 3)}
