@@ -121,11 +121,12 @@ def reporting_text(title: str, table: DataFrame, note: str = "") -> str:
     return f"{title}: {shown}.{more} {note}".strip()
 
 
-def plot_data(table: DataFrame, x: str, y: str, by: str | None = None, max_groups: int = 20) -> DataFrame:
-    """Tidy data for a figure (x, y, group): at most ``max_groups`` groups, as a figure shows; drawing is the caller's."""
+def plot_data(table: DataFrame, x: str, y: str, by: str | None = None, max_groups: int | None = None) -> DataFrame:
+    """Tidy data for a figure (x, y, group): all groups, or the first ``max_groups`` by name; drawing is the caller's."""
     t = table.select(F.col(x).alias("x"), F.col(y).alias("y"), (F.col(by) if by else F.lit("all")).cast("string").alias("group"))
-    if by:
-        t = t.join(F.broadcast(t.select("group").distinct().orderBy("group").limit(max_groups)), "group")
+    if by and max_groups is not None:
+        first = t.select(F.col("group").alias("shown")).distinct().orderBy("shown").limit(max_groups)
+        t = t.join(F.broadcast(first), F.col("group").eqNullSafe(F.col("shown")))
     return t.select("group", "x", "y")
 
 

@@ -22,3 +22,10 @@ def test_every_curve_has_an_anomaly_p_value(spark):
     ids = [r.curve_id for r in catalog.embeddings(spark, D).select("curve_id").distinct().collect()]
     got = catalog.fpca_conformal_anomaly(spark, D).collect()
     assert sorted(r.curve_id for r in got) == sorted(ids) and all(0 < r.p_value <= 1 for r in got)
+
+
+def test_plot_data_has_all_groups(spark):
+    from kurvex.plans import workflows
+
+    t = spark.createDataFrame([(float(i), 1.0, None if i == 30 else f"g{i}") for i in range(31)], "x double, y double, g string")
+    assert workflows.plot_data(t, "x", "y", "g").count() == 31 and workflows.plot_data(t, "x", "y", "g", 5).count() == 5
