@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
 from .bpe import bpe_encode_decode
 from .decontaminate import contaminated
 from .html_tree import extract_main_text, fit_tree_model, training_pages
@@ -16,7 +14,7 @@ from .interpolated_lm import lm_scores
 from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_lines import quality_rules
-from .runtime import shared_dir
+from .runtime import stored_path
 from .suffix_columns import remove_repeats
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 from .warc import read_archives, write_archives
@@ -35,7 +33,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/kurvex-warc-{uuid.uuid4().hex}"
+    path = stored_path(spark, "warc")
     write_archives(_table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -114,10 +112,8 @@ nw AS (SELECT row, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars FRO
 ln AS (SELECT row, source, line, i, {_WORDS.format(_LOWER.format("line"))} AS ws FROM (SELECT row, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT row, source, string_split(text, chr(10)) AS ls FROM d))),
 lw AS (SELECT row, source, line, i, array_to_string(ws, ' ') AS norm, len(ws) AS n FROM ln WHERE len(ws) > 0),
 du AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY row),
-dg AS (SELECT row, any_value(source) AS source, string_agg(norm, chr(10) ORDER BY i) AS digest FROM lw GROUP BY row),
-al AS (SELECT d.row, d.source, coalesce(digest, '') AS digest FROM d LEFT JOIN dg USING (row)),
-lim AS (SELECT source, greatest(20, floor(count(DISTINCT digest) * 0.001)) AS lim FROM al GROUP BY source),
-cm AS (SELECT lw.source, norm FROM lw JOIN al USING (row) JOIN lim ON lim.source = lw.source GROUP BY lw.source, norm HAVING count(DISTINCT digest) > any_value(lim)),
+lim AS (SELECT source, greatest(3, count(*) * 0.01) AS lim FROM d GROUP BY source),
+cm AS (SELECT lw.source, norm FROM lw JOIN lim ON lim.source = lw.source GROUP BY lw.source, norm HAVING count(DISTINCT row) > any_value(lim)),
 rm AS (SELECT row, sum(n)::BIGINT AS removed_words FROM lw JOIN cm ON cm.source = lw.source AND cm.norm = lw.norm GROUP BY row),
 f AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
  FROM d LEFT JOIN nw USING (row) LEFT JOIN rw USING (row) LEFT JOIN du USING (row) LEFT JOIN rm USING (row))
