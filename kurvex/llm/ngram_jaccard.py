@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import drop, restrict, store
+from .runtime import drop, restrict, small_batches, store, tidy
 from .textblocks import blocks, mix, signed
 
 WORDS = 5
-#: Elements of the sets of one block, where sets that share signatures but no component are compared.
-BLOCK = 150_000
+#: Elements and sets of one block at most, where sets that share signatures but no component are compared: a task holds
+#: two blocks and an overlap of BLOCK_SETS ** 2.  (A set of more than BLOCK elements is a block of its own.)
+BLOCK, BLOCK_SETS = 150_000, 2_000
+#: Members of a signature in one chain; a more frequent signature has several chains, all joined to its first member.
+CHAIN = 5_000
 #: Sizes of one band: LOWEST * BAND**i and up, to a factor of BAND (and a quarter more, for the overlap).
 LOWEST, BAND = 4, 4
 
@@ -76,7 +79,7 @@ def _digests(words: int):
                 two = signed(two)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(two[:, 0]), pa.array(two[:, 1])], ["doc_id", "n_shingles", "h1", "h2"])
 
-    return run
+    return tidy(run)
 
 
 def _signatures(words: int):
@@ -93,7 +96,7 @@ def _signatures(words: int):
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), *(pa.array(np.concatenate(a)) for a in (ids, band, x))], ["sig", "doc_id", "band", "x"])
 
-    return run
+    return tidy(run)
 
 
 def _sets(words: int):
@@ -103,9 +106,10 @@ def _sets(words: int):
                 blobs = [s.tobytes() for s in block.shingle_sets(words)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(blobs, pa.binary())], ["doc_id", "members"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _linked(batches):
     for b in batches:
         left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
@@ -129,6 +133,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(_linked, "a long, b long")
 
 
+@tidy
 def _dense_links(key: tuple, table: pa.Table) -> pa.Table:
     """Links between block i and block j of a cluster, as many as join all that they link: overlaps are matrix products."""
     ids = np.array(table.column("doc_id"))
@@ -173,59 +178,83 @@ def _dense_links(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array(out.min(1, initial=2**62)), pa.array(out.max(1, initial=-(2**62)))], ["a", "b"])
 
 
-def compared_in_blocks(clusters: DataFrame, digest: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Links (a, b) that join all linked sets of each cluster (doc_id, cluster).
+def compared_in_blocks(clusters: DataFrame, sizes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) that join all linked sets of each cluster (doc_id, cluster); sizes: (doc_id, n).
 
-    A cluster is cut by set size into blocks of about ``BLOCK`` elements; only blocks whose sizes
-    can link meet, one task for each two blocks, and what a task sends on is a forest, not all pairs.
+    A cluster is cut by set size, then by hash, into blocks of about ``BLOCK`` elements and ``BLOCK_SETS`` sets; only
+    blocks whose sizes can link meet, one task for each two blocks, and what a task sends on is a forest, not all pairs.
     """
-    sized = clusters.join(digest.groupBy("doc_id").agg(F.first("n_shingles").alias("n")), "doc_id")
-    so_far = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "doc_id"))
-    sized = store(sized.withColumn("block", F.floor(so_far / BLOCK)), "blocks")
-    ends = sized.groupBy("cluster", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    upper = ends.toDF("cluster", "j", "lo_j", "hi_j")
-    meet = ends.join(upper, "cluster").where("block <= j and 10 * hi >= 8 * lo_j").select("cluster", F.col("block").alias("i"), "j")
+    sized = clusters.join(sizes, "doc_id").withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
+    sized = store(sized, "sized")
+    steps = sized.groupBy("cluster", "step").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("elements"), F.count(F.lit(1)).alias("sets"))
+    parts = F.ceil(F.greatest(F.col("elements") / BLOCK, F.col("sets") / BLOCK_SETS)).cast("int")
+    steps = store(steps.select("cluster", "step", "lo", "hi", parts.alias("parts")), "steps")
+    placed = sized.join(steps.select("cluster", "step", "parts"), ["cluster", "step"]).select("doc_id", "cluster", "step", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
+    each = steps.select("cluster", "step", "lo", "hi", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    each = each.withColumn("block", F.col("step").cast("long") * (1 << 32) + F.col("part"))
+    meet = each.select("cluster", "hi", F.col("block").alias("i")).join(each.select("cluster", "lo", F.col("block").alias("j")), "cluster")
+    meet = meet.where("i <= j and 10 * hi >= 8 * lo").select("cluster", "i", "j")
     both = meet.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    dealt = sized.join(both, ["cluster", "block"]).select("doc_id", "cluster", "i", "j", "block")
-    sets = restrict(docs, clusters, "doc_id").mapInArrow(_sets(words), "doc_id long, members binary").dropDuplicates(["doc_id"])
+    dealt = placed.withColumn("block", F.col("step").cast("long") * (1 << 32) + F.col("part")).join(both, ["cluster", "block"]).select("doc_id", "cluster", "i", "j", "block")
+    sets = restrict(docs, clusters, "doc_id").mapInArrow(_sets(words), "doc_id long, members binary")
     return dealt.join(sets, "doc_id").groupBy("cluster", "i", "j").applyInArrow(_dense_links, "a long, b long")
 
 
+def copies_of(digest: DataFrame) -> DataFrame:
+    """(doc_id, rep): documents whose set equals that of a smaller doc_id, the least of which is rep.  Ids with different sets are left out."""
+    known = digest.where("doc_id is not null and n_shingles > 0")
+    reps = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep <> top").drop("top")
+    reps = store(reps, "reps")  # read back, so that a hot set's rows are split among tasks
+    of = lambda f: [f(c).alias(f"{f.__name__}_{c}") for c in ("h1", "h2", "n_shingles")]
+    clash = digest.where("doc_id is not null").groupBy("doc_id").agg(*of(F.min), *of(F.max)).where("min_h1 <> max_h1 or min_h2 <> max_h2 or min_n_shingles <> max_n_shingles")
+    clash = store(clash.select("doc_id"), "clash")
+    out = known.join(reps, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep")
+    out = store(restrict(out, clash, "doc_id", "left_anti"), "copies")
+    drop(reps, clash)
+    return out
+
+
 def ngram_jaccard_join(documents: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
-    Null or blank texts have empty sets and link with nothing.  Equal sets collapse to one
-    representative (the smallest doc_id) and rejoin at the end; repeated doc_ids share one row.
-    Candidate groups are resolved by a star and a chain of pairs first; documents of signatures whose
+    Null, empty and blank texts have empty sets and link with nothing; an empty table gives no rows.  Equal sets
+    collapse to one representative (the smallest doc_id) and rejoin at the end.  Rows that share a doc_id are one
+    document: each has its own n_shingles, and the document links by any of its texts.  Rows without a doc_id are
+    not compared and have no component.  Other columns are ignored, whatever their names; long texts are taken whole.
+    Candidate groups are resolved by a star and chains of pairs first; documents of signatures whose
     members still lie in different components are compared in blocks, so that no link that could
     join two components is left out and no pair of a group is sent out.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    digest = store(docs.mapInArrow(_digests(words), "doc_id long, n_shingles long, h1 long, h2 long"), "digests")
-    reps = digest.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    extra = digest.where("n_shingles > 0").join(reps, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep")
-    extra = store(extra, "copies")
+    small_batches(documents.sparkSession)
+    every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = every.where("doc_id is not null")
+    digest = store(every.mapInArrow(_digests(words), "doc_id long, n_shingles long, h1 long, h2 long"), "digests")
+    extra = copies_of(digest)
     unique = restrict(docs, extra, "doc_id", "left_anti")
     sigs = unique.mapInArrow(_signatures(words), "sig long, doc_id long, band int, x int")
-    shared = sigs.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("c > 1")
+    counts = store(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
     worst = Window.partitionBy("doc_id", "band").orderBy(F.desc("c"), "sig")
-    kept = store(shared.withColumn("r", F.row_number().over(worst)).where("r > x").select("sig", "doc_id"), "kept")
-    group = Window.partitionBy("sig")
-    star = kept.select("doc_id", F.min("doc_id").over(group).alias("m"), F.lag("doc_id").over(group.orderBy("doc_id")).alias("l"))
-    star = star.where("l is not null").select(F.explode(F.array("m", "l")).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    star = store(star, "pairs")
+    kept = sigs.join(counts, "sig").withColumn("r", F.row_number().over(worst)).where("r > x").select("sig", "doc_id", "c").distinct()
+    kept = store(kept, "kept")
+    heads = store(kept.groupBy("sig").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("top")).where("m <> top").select("sig", "m"), "heads")
+    chain = Window.partitionBy("sig", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / CHAIN))).orderBy("doc_id")
+    star = kept.join(heads, "sig").where("doc_id <> m").select(F.col("m").alias("a"), F.col("doc_id").alias("b"))
+    star = star.union(kept.select(F.lag("doc_id").over(chain).alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    star = store(star.distinct(), "pairs")
     links = store(verified(star, unique, words), "links")
     labels = components(links)
     tagged = kept.join(labels.toDF("doc_id", "new"), "doc_id", "left").select("sig", "doc_id", F.coalesce("new", "doc_id").alias("label"))
     bounds = tagged.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("head")).where("lo <> hi").select("sig", "head")
-    open_ = store(tagged.join(bounds, "sig").select("doc_id", "head").distinct(), "open")
+    bounds = store(bounds, "bounds")
+    open_ = store(kept.select("sig", "doc_id").join(bounds, "sig").select("doc_id", "head").distinct(), "open")
     if not open_.isEmpty():
         clusters = components(open_.select(F.col("head").alias("a"), F.col("doc_id").alias("b"))).toDF("doc_id", "cluster")
-        more = store(compared_in_blocks(clusters, digest, unique, words), "links")
+        sizes = digest.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+        more = store(compared_in_blocks(clusters, sizes, unique, words), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
-    drop(kept)
-    out = digest.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"))
-    out = out.join(extra.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    drop(counts, kept, heads, star, bounds, open_, links)
+    reps = extra.groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    out = digest.select("doc_id", "n_shingles").join(reps, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(labels.toDF("rep", "label"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
