@@ -1,9 +1,11 @@
 """Toxic passages by maximum-scoring segment search over token log-odds.
 
-Tokens are lower-case words without outer punctuation; a token scores the significant log-odds
-(informative Dirichlet prior) of its word or else of its first bytes, and every other token a small
-loss.  All maximal scoring segments of a text are found in linear time.  The sum of the segments is
-calibrated by an extreme-value (Gumbel) fit to clean documents and a logistic step to labels.
+Tokens are lower-case words without outer punctuation; a token scores the significant log-odds, of either
+sign (informative Dirichlet prior), of its word or else of its first bytes, and every other token a small
+loss.  All maximal scoring segments of a text are found in linear time.  Extreme-value (Gumbel) fits to clean
+documents tell how often their best segment, and the sum of their segments, gets as high by chance in a text of
+as many tokens: a segment beyond ``ALPHA`` is a significant passage, and the sum's statistic gives the score after a
+logistic step to labels.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import store
+from .runtime import small_batches, store, tidy
 from .textblocks import Block, blocks, mix, signed, span_hash
 
-#: Bound of the labelled sample that is fitted (documents), and of the significant features that are kept.
-SAMPLE, FEATURES = 20_000, 20_000
+#: Bound of the labelled sample that is fitted (documents); it also bounds the significant features that the driver gets.
+SAMPLE = 20_000
+#: Chance that a clean text has a passage as high as one that counts as significant, and tokens added to a text's length.
+ALPHA, EXTRA = 0.05, 50
 #: Strength of the prior (pseudo-counts) and least significance of a feature, in standard deviations.
 PRIOR, Z = 500.0, 3.5
 PREFIXES = (4, 5)
@@ -65,7 +69,8 @@ class ToxicModel:
     keys: np.ndarray
     weights: np.ndarray
     loss: float
-    gumbel: tuple[float, float] = (0.0, 1.0)
+    gumbel: tuple[float, float] = (0.0, 1.0)  # of the sum of a text's segments
+    passage: tuple[float, float] = (0.0, 1.0)  # of its best segment
     logit: tuple[float, float] = (0.0, 1.0)
 
     def token_scores(self, block: Block) -> np.ndarray:
@@ -77,29 +82,43 @@ class ToxicModel:
                 score[hit] = self.weights[at[hit]]
         return score
 
-    def segments(self, score: np.ndarray) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments (first, end, sum) of one text's token scores, in linear time."""
-        out: list[list[float]] = []  # first, end, sum before, sum at the end
-        total, last = 0.0, 0
-        for i in np.flatnonzero(score > 0):
-            total -= self.loss * (i - last)
-            last = i + 1
-            seg = [i, i + 1, total, total := total + score[i]]
+    @staticmethod
+    def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
+        """All maximal scoring segments (first, end, sum) of one text's token scores, in linear time.
+
+        ``open_`` has the candidates (first, end, total before, total at the end) with the place of the last one before
+        that starts lower: what stands between starts no lower and is passed over.
+        """
+        total = np.concatenate(([0.0], np.cumsum(score))).tolist()
+        done: list[tuple] = []
+        open_: list[tuple] = []
+        for i in np.flatnonzero(score > 0).tolist():
+            first, low, high = i, total[i], total[i + 1]
+            j = len(open_) - 1
             while True:
-                j = len(out) - 1
-                while j >= 0 and out[j][2] >= seg[2]:
-                    j -= 1
-                if j < 0 or out[j][3] >= seg[3]:
-                    out.append(seg)
+                while j >= 0 and open_[j][2] >= low:
+                    j = open_[j][4]
+                if j < 0:  # nothing before can grow any more
+                    done += open_
+                    open_ = [(first, i + 1, low, high, -1)]
                     break
-                seg = [out[j][0], seg[1], out[j][2], seg[3]]
-                del out[j:]
-        return [(int(s), int(e), t - b) for s, e, b, t in out]
+                if open_[j][3] >= high:
+                    open_.append((first, i + 1, low, high, j))
+                    break
+                first, low = open_[j][0], open_[j][2]
+                del open_[j:]
+                j = len(open_) - 1
+        return [(a, z, high - low) for a, z, low, high, _ in done + open_]
+
+    def chance(self, best: float, n: int) -> float:
+        """Chance that a clean text of n tokens has a segment that scores as high."""
+        mu, beta = self.passage
+        return float(-np.expm1(-(n + EXTRA) * np.exp(np.clip((mu - best) / beta, -700, 50))))
 
     def raw(self, total: float, n: int) -> float:
         """Extreme-value statistic: the segments' sum less what a clean text of n tokens reaches by chance."""
         mu, beta = self.gumbel
-        return (total - mu) / beta - np.log(max(n, 1)) if total > 0 else -mu / beta - np.log(max(n, 50))
+        return (total - mu) / beta - np.log(n + EXTRA)
 
     def score(self, raw: float) -> float:
         a, b = self.logit
@@ -122,21 +141,28 @@ def _counts(batches):
 
 
 def _raws(model: ToxicModel):
-    """(label, tokens, sum of segments) of each labelled document."""
+    """(label, tokens, sum of segments, best segment) of each labelled document."""
 
     def run(batches):
         for b in batches:
             label = np.array(b.column(2))
             for i, _, block in blocks(b, lower=True):
                 s = model.token_scores(block)
-                rows = [(int(label[i + d]), float(block.first[d + 1] - block.first[d]), sum(x[2] for x in model.segments(s[block.first[d] : block.first[d + 1]]))) for d in range(block.n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True)], ["label", "n", "s"])
+                rows = []
+                for d in range(block.n):
+                    found = [x[2] for x in model.segments(s[block.first[d] : block.first[d + 1]])]
+                    rows.append((int(label[i + d]), float(block.first[d + 1] - block.first[d]), float(sum(found)), float(max(found, default=0.0))))
+                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["label", "n", "s", "best"])
 
-    return run
+    return tidy(run)
 
 
 def weigh(counts: DataFrame, toxic_tokens: int, clean_tokens: int) -> ToxicModel:
-    """Significant log-odds of features under a Dirichlet prior in proportion to their overall counts."""
+    """Significant log-odds of features under a Dirichlet prior in proportion to their overall counts, in favour of either side.
+
+    All of them reach the driver: there are at most as many as the bounded sample has distinct words and prefixes.
+    """
     n = max(1, toxic_tokens + clean_tokens)
     a = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / n
     p = lambda c, total: F.log((F.col(c) + a) / (F.lit(float(total) + PRIOR) - F.col(c) - a))
@@ -144,15 +170,22 @@ def weigh(counts: DataFrame, toxic_tokens: int, clean_tokens: int) -> ToxicModel
     q, both = toxic_tokens / n, F.col("toxic") + F.col("clean")
     part = lambda c, share: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (both * F.lit(max(share, 1e-9))))).otherwise(0.0)
     z = F.sqrt(F.greatest(F.lit(0.0), 2 * (part("toxic", q) + part("clean", 1 - q))))  # likelihood ratio against equal shares
-    best = counts.select("h", odds.alias("w"), z.alias("z"), "toxic", "clean").where(F.col("z") > Z).where("toxic >= 3 and w > 1").orderBy(F.desc("z"), "h").limit(FEATURES).collect()
+    sides = "(toxic >= 3 and w > 1) or (clean >= 3 and w < -1)"
+    best = counts.select("h", odds.alias("w"), z.alias("z"), "toxic", "clean").where(F.col("z") > Z).where(sides).collect()
     h = np.array([r.h for r in best], np.int64).view(np.uint64)
     w = np.array([r.w for r in best], float)
     order = np.argsort(h)
-    share = lambda c, total: min(0.5, sum(r[c] for r in best) / 3 / max(1, total))
+    share = lambda c, total: min(0.5, sum(r[c] for r in best if r.w > 0) / 3 / max(1, total))
     loss = np.log((1 - share("clean", clean_tokens)) / (1 - share("toxic", toxic_tokens)))
     return ToxicModel(h[order], w[order], float(max(loss, 0.005)))
 
 
+def gumbel(highest: np.ndarray, size: np.ndarray) -> tuple[float, float]:
+    """Location (for one token) and scale of Gumbel values whose location grows with the logarithm of the size, by moments."""
+    beta = max(float(np.std(highest)) * np.sqrt(6) / np.pi, 0.5)
+    return float(np.mean(highest - beta * np.log(size))) - 0.5772 * beta, beta
+
+
 def fit_toxicity(labelled: DataFrame) -> ToxicModel:
     """Fits on rows (doc_id, text, toxic), bounded by ``labelled_sample``; two folds calibrate each other's weights."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
@@ -163,14 +196,12 @@ def fit_toxicity(labelled: DataFrame) -> ToxicModel:
     counts = counts.where("h <> 0")
     t = [totals.get(k, (0, 0)) for k in (0, 1)]
     halves = [weigh(counts.where(F.col("fold") == k), *t[k]) for k in (0, 1)]
-    got = [r for k in (0, 1) for r in part.where(F.col("fold") == 1 - k).select("doc_id", "text", "toxic").mapInArrow(_raws(halves[k]), "label long, n double, s double").collect()]
+    got = [r for k in (0, 1) for r in part.where(F.col("fold") == 1 - k).select("doc_id", "text", "toxic").mapInArrow(_raws(halves[k]), "label long, n double, s double, best double").collect()]
     whole = counts.groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     model = weigh(whole, t[0][0] + t[1][0], t[0][1] + t[1][1])
-    y, n, s = (np.array([r[c] for r in got], float) for c in ("label", "n", "s"))
-    clean = s[y == 0]
-    if len(clean):
-        beta = max(float(np.std(clean)) * np.sqrt(6) / np.pi, 0.5)
-        model.gumbel = (float(np.mean(clean - beta * np.log(np.maximum(n[y == 0], 1)))) - 0.5772 * beta, beta)
+    y, n, s, best = (np.array([r[c] for r in got], float) for c in ("label", "n", "s", "best"))
+    if (y == 0).any():
+        model.gumbel, model.passage = (gumbel(x[y == 0], n[y == 0] + EXTRA) for x in (s, best))
     if 0 < y.sum() < len(y):
         x = np.array([model.raw(v, k) for v, k in zip(s, n, strict=True)])
         model.logit = _logistic(x, y)
@@ -179,6 +210,7 @@ def fit_toxicity(labelled: DataFrame) -> ToxicModel:
     return model
 
 
+@tidy
 def _fold_counts(batches):
     for b in batches:
         for fold in (0, 1):
@@ -211,37 +243,48 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 1e-6) / scale)
 
 
-def _scored(model: ToxicModel):
+def _scored(model: ToxicModel, columns: list[str]):
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("chance", pa.float64())]))
+
     def run(batches):
         for b in batches:
+            kept = dict(zip([f.name for f in b.column(1).type], b.column(1).flatten(), strict=True))
             for i, j, block in blocks(b, "_text", lower=True):
                 s = model.token_scores(block)
                 hit = np.searchsorted(np.flatnonzero(s > 0), block.first)
                 score, spans = [], []
                 for d in range(block.n):
-                    a, z = block.first[d], block.first[d + 1]
+                    a, z = int(block.first[d]), int(block.first[d + 1])
                     found = model.segments(s[a:z]) if hit[d] < hit[d + 1] else []
                     score.append(model.score(model.raw(sum(x[2] for x in found), z - a)))
-                    spans.append([{"first": x, "end": y, "score": float(v)} for x, y, v in found])
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(b.num_columns) if b.schema.names[k] != "_text"), pa.array(score, pa.float64()), pa.array(spans, kind)], [*(n for n in b.schema.names if n != "_text"), "score", "passages"])
+                    rated = [(x, y, v, model.chance(v, z - a)) for x, y, v in found]
+                    spans.append([{"first": x, "end": y, "score": float(v), "chance": p} for x, y, v, p in rated if p <= ALPHA])
+                out = {c: x.slice(i, j - i) for c, x in kept.items()} | {"score": pa.array(score, pa.float64()), "passages": pa.array(spans, kind)}
+                yield pa.RecordBatch.from_arrays([out[c] for c in columns], columns)
 
-    return run
+    return tidy(run)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicModel, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row with score (0 to 1) and passages (word range and score of each maximal segment).
+    """Columns ``keep`` of every row with score (0 to 1) and passages (word range, score and chance of each significant segment).
 
-    Null, empty and blank texts get the score of a text without hits.  No shuffle: rows are independent.
+    Null, empty and blank texts get the score of a text without hits.  No shuffle: rows are independent, repeated rows get
+    the same result, texts are read whole.  A kept column named score or passages is replaced; other names can't clash.
     """
-    d = documents.select(F.col("text").cast("string").alias("_text"), *keep)
-    schema = ", ".join([f"`{n}` {t}" for n, t in d.dtypes[1:]] + ["score double", "passages array<struct<first: int, end: int, score: double>>"])
-
-    return d.mapInArrow(_scored(model), schema)
+    small_batches(documents.sparkSession)
+    kept = [c for c in keep if c not in ("score", "passages")]
+    d = documents.select(F.col("text").cast("string").alias("_text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in kept)).alias("_row"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema["_row"].dataType.fields[1:]]
+    schema = ", ".join([*kinds, "score double", "passages array<struct<first: int, end: int, score: double, chance: double>>"])
+    return d.mapInArrow(_scored(model, [*kept, "score", "passages"]), schema)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` labelled documents (doc_id, text, toxic), by the least hash of doc_id; the ids are broadcast."""
+    """At most ``sample`` labelled documents (doc_id, text, toxic), by the least hash of doc_id; the ids are broadcast.
+
+    A doc_id counts once: with its highest label and its least text.  Rows without doc_id or label are left out.
+    """
     ids = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").where("doc_id is not null and toxic is not null")
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic")
+    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    found = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
