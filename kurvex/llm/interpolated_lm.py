@@ -1,7 +1,8 @@
 """Bigram language model by deleted interpolation, with counts that grow with the corpus.
 
-P(w|h) = a2[b] c(hw)/c(h) + a1[b] c(w)/N + a0[b]/(V+1), b the bucket of the context's frequency.
-Documents are dealt into chunks by doc_id.  Every chunk sends its distinct n-gram keys, sorted and
+P(w|h) = a2[b] c(hw)/c(h) + a1[b] c(w)/N + a0[b]/(V+1), b the bucket of the context's frequency; contexts that were
+never seen are a bucket of their own, where a2 is 0 and the other two add up to 1.
+Documents are dealt into chunks by hash.  Every chunk sends its distinct n-gram keys, sorted and
 packed, to the reducers of their key ranges; these add up the counts of all chunks and send the totals
 back to the chunks in the order of the keys, so no table of counts is ever broadcast and no row
 per token is shuffled.  The weights are learned by expectation-maximisation on all training documents,
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import store
+from .runtime import small_batches, store, tidy
 from .textblocks import _LANES, blocks, mix
 
 #: Text bytes of a chunk, chunks to a key range, resolution of EM cells per octave.
@@ -94,9 +95,10 @@ def _requests(ranges: int):
         cols = list(zip(*rows, strict=True)) or [()] * 5
         return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "n", "r", "keys", "counts"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _totals(key: tuple, table: pa.Table) -> pa.Table:
     """Of one key range: what other chunks add to each chunk's counts; and a row with the range's distinct keys and tokens."""
     chunks = table.column("chunk").to_pylist()
@@ -168,7 +170,18 @@ def _cells(mix_: Mixture):
             out = {"b": u[:, 0], "p": u[:, 1], "w": u[:, 2], "n": n}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    return run
+    return tidy(run)
+
+
+def normalised(weights: np.ndarray) -> np.ndarray:
+    """Weights that add up to 1 in each bucket; bucket 0 holds the contexts that were never seen, where no pair has a share."""
+    weights = weights.copy()
+    weights[0, 0] = 0
+    return weights / weights.sum(1, keepdims=True)
+
+
+def start_weights() -> np.ndarray:
+    return normalised(np.tile([0.4, 0.5, 0.1], (41, 1)))
 
 
 def learn_weights(cells: pd.DataFrame, steps: int = 60) -> np.ndarray:
@@ -176,8 +189,7 @@ def learn_weights(cells: pd.DataFrame, steps: int = 60) -> np.ndarray:
     b, n = cells["b"].to_numpy(), cells["n"].to_numpy(float)
     ratio = lambda x: np.where(x > 0, 2.0 ** ((x - 1000) / CELLS), 0.0)
     like = np.stack((ratio(cells["p"].to_numpy()), ratio(cells["w"].to_numpy()), np.ones(len(b))), 1)
-    every = np.array([0.4, 0.5, 0.1])
-    weights = np.tile(every, (41, 1))
+    weights = start_weights()
     for _ in range(steps):
         post = weights[b] * like
         post *= (n / post.sum(1))[:, None]
@@ -186,8 +198,7 @@ def learn_weights(cells: pd.DataFrame, steps: int = 60) -> np.ndarray:
         if total.sum() == 0:
             break
         every = (total.sum(0) + 1e-3) / (total.sum(0) + 1e-3).sum()
-        total += 20 * every
-        weights = total / total.sum(1, keepdims=True)
+        weights = normalised(total + 20 * every)
     return weights
 
 
@@ -206,24 +217,27 @@ def _scores(mix_: Mixture):
         kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(ids, pa.int64()), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return run
+    return tidy(run)
 
 
 def lm_scores(documents: DataFrame, held_out: Column) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Counts are of the rows where ``held_out`` is false (null: held out).  Null texts are empty: one end token.
-    Repeated rows count as often as they occur.  An empty table gives no rows; without training rows all is uniform.
+    Repeated rows, rows of one doc_id and rows without one are documents of their own and count as often as they occur.
+    An empty table gives no rows; without training rows all is uniform.  Other columns are ignored, whatever their names;
+    a long text is scored whole, in one chunk.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(~held_out, F.lit(False)).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     chunks = int(max(1, -(-size // CHUNK_BYTES)))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     asked = docs.groupBy("chunk").applyInArrow(_requests(-(-chunks // CHUNKS_PER_RANGE)), "chunk long, n int, r int, keys binary, counts binary")
     told = store(asked.groupBy("n", "r").applyInArrow(_totals, "chunk long, n int, r int, more binary, distinct long, tokens long"), "totals")
     sums = {x.n: x for x in told.where("chunk < 0").groupBy("n").agg(F.sum("distinct").alias("distinct"), F.sum("tokens").alias("tokens")).collect()}
     starts = docs.where("train").count()
-    mixture = Mixture(sums[1].tokens if sums else 0, sums[1].distinct if sums else 0, starts, np.tile([0.4, 0.5, 0.1], (41, 1)))
+    mixture = Mixture(sums[1].tokens if sums else 0, sums[1].distinct if sums else 0, starts, start_weights())
     replies = told.where("chunk >= 0").select("chunk", "n", "r", "more")
     cells = docs.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_cells(mixture), "b long, p long, w long, n long")
     cells = cells.groupBy("b", "p", "w").agg(F.sum("n").alias("n")).toPandas()
