@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_lines import run_hash
-from .runtime import store
+from .runtime import small_batches, store, tidy
 from .textblocks import Block, blocks, mix, signed, span_hash
 from .toxicity import cores
 
@@ -31,6 +31,8 @@ UNITS = (
     "kg g mg lb lbs oz t km m cm mm mi ft in inch inches yd l ml s sec seconds min minutes h hours days weeks "
     "months years hz khz mhz ghz w kw v a c f k pct percent % usd eur dollars euros cents mph kmh bytes kb mb gb tb"
 ).split()
+#: First byte and range of the second byte of capital letters with two bytes (Latin-1, Greek, Cyrillic).
+CAPITALS = ((0xC3, 0x80, 0x9E), (0xCE, 0x86, 0x8F), (0xCE, 0x91, 0xAB), (0xD0, 0x80, 0xAF))
 _NUMBER, _NAME, _UNIT = (np.uint64(0xA1), np.uint64(0xB2), np.uint64(0xC3))
 _TEMPLATE, _EXACT = (np.uint64(0xD4), np.uint64(0xE5))
 
@@ -51,7 +53,10 @@ def template(block: Block, low: Block) -> tuple[np.ndarray, np.ndarray]:
     number = digits[end] > digits[start]
     first = block.buf[start]
     second = block.buf[np.minimum(start + 1, len(block.buf) - 1)]
-    upper = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+    upper = (first >= 65) & (first <= 90)
+    for lead, lo, hi in CAPITALS:
+        upper |= (first == lead) & (second >= lo) & (second <= hi)
+    upper &= (first != 0xC3) | (second != 0x97)  # the multiplication sign stands among the capitals
     tail = block.buf[block.we - 1]
     opens = np.ones(len(start), bool)  # first word of a sentence, line or document
     lines = np.cumsum(np.append(0, block.buf == 10))
@@ -118,7 +123,7 @@ def _item_windows(size: int, literals: int):
                     for h in [x, t][: 2 if lit[at[0] + n] - lit[at[0]] >= literals else 1]:
                         yield _batch(ids[i + d : i + d + 1], at, (np.full(1, 2), np.zeros(1, np.int64)), n, h, vals, "item_id")
 
-    return run
+    return tidy(run)
 
 
 def _document_windows(size: int, literals: int, sizes: list[int], wanted: np.ndarray, exact: bool):
@@ -141,17 +146,20 @@ def _document_windows(size: int, literals: int, sizes: list[int], wanted: np.nda
                             # documents without words share a boundary: the last of them holds the word
                             yield _batch(ids[i + doc], at[hit], (np.zeros(len(hit)), at[hit] - block.first[doc]), n, h[hit], vals, "doc_id")
 
-    return run
+    return tidy(run)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, matched, windows) of every document and item with enough consistent matches.
 
-    Null and blank texts match nothing; an item shorter than a window is one window.  Repeated documents each match;
-    repeated items of one item_id count as one.
+    Null, empty and blank texts match nothing; an item shorter than a window is one window; empty tables give no rows.
+    Rows of one doc_id are one document, which is contaminated if a text of it is; rows without a doc_id or item_id are
+    left out; of repeated items of one item_id the least text counts.  Items that tie each have a row.  Other columns are
+    ignored, whatever their names; long texts are searched whole.
     """
+    small_batches(documents.sparkSession)
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null").dropDuplicates(["item_id"])
+    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     row = "place long, kind int, h long, slots array<long>"
     tests = store(items.mapInArrow(_item_windows(size, literals), f"item_id long, {row}"), "tests")
     n = tests.select("h").distinct().count()
