@@ -16,7 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+from .runtime import small_batches, tidy
+
+#: A tag with its attributes; a quote only opens a value right after an equals sign.  Nothing is given back, so time is linear.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+#: The same without quotes, for what follows a value that is never closed.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -24,13 +29,15 @@ _SPACE = re.compile(r"\s+")
 
 #: HTML's void, raw-text and block elements, and what implies the end of an open element.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
+RAW = set("script style textarea title noscript template iframe noembed noframes".split())
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select "
     "summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = set("script style noscript template iframe head title select option button input svg math canvas object audio video textarea".split())
+NEVER = set("script style noscript template iframe noembed noframes title select option datalist button input textarea".split())
+#: Elements of drawings and formulas, which a slash may end.
+DRAWN = set("svg path g use circle rect line polyline polygon ellipse stop math mspace".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Class and id words that tell boilerplate or content, one feature each.
@@ -51,80 +58,118 @@ _TAGS = {t: f"t:{t}" for t in "article main section p h1 h2 h3 h4 h5 h6 blockquo
 
 #: Share of the weight of features that repeat what others of the same node or its text already tell.
 DEPENDENT = 0.4
+#: Share of training pages without an element around the article.
+BARE = 0.15
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cues", "text", "children", "label", "hidden", "inside")
-
-    def __init__(self, tag: str, parent: int, cues: tuple = (), text: str | None = None, label: int | None = None, hidden: bool = False):
-        self.tag, self.parent, self.cues, self.text, self.children, self.label, self.hidden, self.inside = tag, parent, cues, text, [], label, hidden, False
+    __slots__ = ("tag", "parent", "cues", "text", "children", "label")
+
+    def __init__(self, tag: str, parent: int, cues: tuple = (), text: str | None = None, label: int | None = None):
+        self.tag, self.parent, self.cues, self.text, self.children, self.label = tag, parent, cues, text, [], label
+
+
+def tokens(page: str):
+    """(kind, value) of the page's texts, start tags and end tags in order, in linear time.
+
+    Kinds: text; open (name, attributes, where the tag ends); close (name).  ``send`` a place to go on from there.
+    Comments and declarations are passed over; a tag that never ends takes the rest of the page, as in HTML.
+    """
+    pos = begin = 0
+    last, tag = page.rfind(">"), _TAG
+    while True:
+        at = page.find("<", pos)
+        if at < 0:
+            yield "text", page[begin:]
+            return
+        mark = page[at + 1 : at + 2]
+        if mark in ("!", "?"):
+            yield "text", page[begin:at]
+            end = page.find("-->", at + 4) + 2 if page.startswith("<!--", at) else page.find(">", at)
+            pos = begin = end + 1 if end > at else len(page)
+        elif mark.isascii() and mark.isalpha() or mark == "/" and page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha():
+            if at > last:
+                yield "text", page[begin:at]
+                return
+            m = tag.match(page, at)
+            if m is None:  # a quote that closes behind the last tag: quotes tell nothing from here on
+                tag = _PLAIN
+                continue
+            yield "text", page[begin:at]
+            pos = begin = m.end()
+            pos = begin = (yield ("close", m[2].lower()) if m[1] else ("open", (m[2].lower(), m[3], pos))) or pos
+        else:
+            pos = at + 1
 
 
 def parse(page: str, labelled: bool = False) -> list[Node]:
-    """Nodes in page order, node 0 the root; text nodes have the tag ``#``.  Bad markup never fails: strays are dropped, open elements end with their parent."""
+    """Nodes in page order, node 0 the root; text nodes have the tag ``#``.
+
+    Bad markup never fails: strays are dropped, open elements end with their parent.  Open elements are looked up by
+    name, so that the time is linear in the page however deep it is.
+    """
     nodes = [Node("html", -1)]
     stack = [0]
-    pos, n = 0, len(page)
+    places: dict[str, list[int]] = {}  # of the open elements of each name in the stack
+    blocks = [0]
 
     def add(node: Node) -> int:
         nodes.append(node)
         nodes[node.parent].children.append(len(nodes) - 1)
         return len(nodes) - 1
 
-    def text(s: str) -> None:
-        if s:
-            add(Node("#", stack[-1], text=html.unescape(s)))
-
-    while pos < n:
-        m = _TOKEN.search(page, pos)
-        if not m:
-            text(page[pos:])
-            break
-        text(page[pos : m.start()])
-        pos = m.end()
-        if m[2] is None:
+    def last(names) -> int:
+        return max((places[t][-1] for t in names if places.get(t)), default=0)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[nodes[stack.pop()].tag].pop()
+        while blocks[-1] >= k:
+            blocks.pop()
+
+    found, goto = tokens(page), None
+    while True:
+        try:
+            kind, value = found.send(goto)
+        except StopIteration:
+            return nodes
+        goto = None
+        if kind == "text":
+            if value:
+                add(Node("#", stack[-1], text=html.unescape(value)))
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
+        if kind == "close":
+            if places.get(value):
+                close(places[value][-1])
             continue
-        if tag in ("html", "body"):
+        tag, attrs, pos = value
+        if tag in ("html", "head", "body"):
+            if labelled and tag == "body":
+                nodes[0].label = int('data-label="1"' in attrs)
             continue
         if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag in SCOPE[tag]:
-                    break
-                if nodes[stack[k]].tag in CLOSES[tag]:
-                    del stack[k:]
-                    break
-        elif tag in BLOCK:  # a block ends an open paragraph and what is open inside it
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == "p":
-                    del stack[k:]
-                    break
-                if nodes[stack[k]].tag in BLOCK:
-                    break
-        attrs = m[3]
+            if (k := last(CLOSES[tag])) > last(SCOPE[tag]):
+                close(k)
+        elif tag in BLOCK and nodes[stack[blocks[-1]]].tag == "p":  # a block ends an open paragraph and what is open inside it
+            close(blocks[-1])
         cues: tuple = ()
         label = None
-        hidden = False
         if attrs.strip(" /"):
-            cues = tuple({_CUE[w] for a in _ATTR.findall(attrs) for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a).lower()) if w in _CUE})
-            hidden = bool(_HIDDEN.search(attrs))
+            words = {_CUE[w] for a in _ATTR.findall(attrs) for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a).lower()) if w in _CUE}
+            cues = tuple(sorted(words | ({"hidden"} if _HIDDEN.search(attrs) else set())))
             if labelled and "data-label" in attrs:
                 label = int('data-label="1"' in attrs)
-        node = add(Node(tag, stack[-1], cues, label=label, hidden=hidden))
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = end.end() if end else n
-        elif tag not in VOID and not attrs.rstrip().endswith("/"):
+        node = add(Node(tag, stack[-1], cues, label=label))
+        if tag in RAW or tag == "xmp":
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, pos)
+            if tag == "xmp":
+                add(Node("#", node, text=page[pos : end.start() if end else len(page)]))
+            goto = end.end() if end else len(page)
+        elif tag not in VOID and not (tag in DRAWN and attrs.rstrip().endswith("/")):  # HTML ignores the slash of its own elements
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
-        elif tag not in VOID and tag not in ("svg", "path", "g", "use", "circle", "rect"):
-            stack.append(node)  # HTML ignores the slash of ordinary elements
-    return nodes
 
 
 def _size(n: int) -> int:
@@ -211,7 +256,7 @@ class TreeModel:
         dead = [False] * len(nodes)
         out: list[str] = []
         for i, x in enumerate(nodes):
-            dead[i] = (i > 0 and dead[x.parent]) or x.hidden or x.tag in NEVER
+            dead[i] = (i > 0 and dead[x.parent]) or x.tag in NEVER
         self._walk(nodes, m, dead, out)
         return _SPACE.sub(" ", "".join(out)).strip()
 
@@ -271,7 +316,7 @@ def training_pages(count: int = 400, seed: int = 7) -> list[str]:
 
     def off(tag: str, inner: str, names: str = "") -> str:
         cls = f' class="{r.choice(names.split())}"' if names and r.random() < 0.8 else ""
-        return f'<{tag} data-label="0"{cls}>{inner}</{tag}>'
+        return f'<{tag} data-label="0"{cls}>{inner}</{tag.split()[0]}>'
 
     def junk() -> str:
         return r.choice([
@@ -279,7 +324,7 @@ def training_pages(count: int = 400, seed: int = 7) -> list[str]:
             lambda: off(r.choice(["header", "div"]), f"<a href='/'>{words(1, 3)}</a> {words(0, 4)}", "header masthead topbar"),
             lambda: off(r.choice(["div", "section", "aside"]), sentence() if r.random() < 0.7 else para(), "ad advert banner sponsored promo"),
             lambda: off(r.choice(["aside", "div"]), f"<h3>{words(1, 3)}</h3><ul>{links(r.randint(2, 6))}</ul><p>{sentence()}</p>", "sidebar related widget teaser"),
-            lambda: off("div", f"<p>{sentence()}</p><button>{word()}</button>", "cookie consent notice alert popup newsletter"),
+            lambda: off(r.choice(["div", "div hidden", "div style='display:none'"]), f"<p>{sentence()}</p><button>{word()}</button>", "cookie consent notice alert popup newsletter"),
             lambda: off("form", f"<label>{words(1, 3)}</label><input name=q><button>{word()}</button>", "search login subscribe"),
             lambda: off(r.choice(["div", "section", "ul", "ol"]), "".join(f"<div class='comment'><b>{word()}</b><p>{para()}</p></div>" for _ in range(r.randint(1, 5))), "comments comment replies discussion"),
             lambda: off("div", "".join(f"<a href='#'>{word()}</a> " for _ in range(4)), "share social"),
@@ -289,7 +334,7 @@ def training_pages(count: int = 400, seed: int = 7) -> list[str]:
         inner = para()
         if r.random() < 0.3:
             inner = inner.replace(" ", f" <a href='/{word()}'>{words(1, 2)}</a> ", 1)
-        return r.choice([f"<p>{inner}</p>"] * 6 + [f"<h2>{words(2, 6)}</h2>", f"<blockquote>{inner}</blockquote>", f"<ul><li>{sentence()}</li><li>{sentence()}</li></ul>", f"<p><b>{inner}<br>", f"<p>{words(1, 3)}.</p>", f"<pre>{words(3, 20)}</pre>", f"<table><tr><td>{words(1, 3)}</td><td>{sentence()}</td></tr></table>"])
+        return r.choice([f"<p>{inner}</p>"] * 6 + [f"<p{r.choice([' hidden', ''])}>{inner}</p>"] + [f"<h2>{words(2, 6)}</h2>", f"<blockquote>{inner}</blockquote>", f"<ul><li>{sentence()}</li><li>{sentence()}</li></ul>", f"<p><b>{inner}<br>", f"<p>{words(1, 3)}.</p>", f"<pre>{words(3, 20)}</pre>", f"<table><tr><td>{words(1, 3)}</td><td>{sentence()}</td></tr></table>"])
 
     out = []
     for _ in range(count):
@@ -301,7 +346,9 @@ def training_pages(count: int = 400, seed: int = 7) -> list[str]:
             inner += junk()
         before, after = "".join(junk() for _ in range(r.randint(0, 4))), "".join(junk() for _ in range(r.randint(0, 4)))
         foot = off("footer", r.choice([f"© {word()} {words(1, 6)}", f"<p>{sentence()}</p><a href='/'>{word()}</a>", sentence()]), "footer legal copyright") if r.random() < 0.9 else ""
-        body = f'<body data-label="0">{before}<{tag}{cls} data-label="1">{inner}</{tag}>{after}{foot}</body>'
+        bare = int(r.random() < BARE)  # no element around the article: its blocks stand in the body
+        main = inner if bare else f'<{tag}{cls} data-label="1">{inner}</{tag}>'
+        body = f'<body data-label="{bare}">{before}{main}{after}{foot}</body>'
         out.append(f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title></head>{body}</html>")
     return out
 
@@ -314,10 +361,16 @@ def _extract(model: TreeModel):
                 texts = [model.text(h.as_py() or "") for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return run
+    return tidy(run)
 
 
 def extract_main_text(pages: DataFrame, model: TreeModel) -> DataFrame:
-    """page_id, url and main text of every row (empty if none); null html is empty, rows are independent (no shuffle)."""
+    """page_id, url and main text of every row (empty if none).
+
+    Null and empty html have an empty text, an empty table gives no rows.  Rows are independent (no shuffle): repeated rows and
+    rows without a page_id or url have their results too.  A node whose marginal is exactly one half counts as content.
+    Other columns are ignored, whatever their names; a page is read whole, in time linear in its length.
+    """
+    small_batches(pages.sparkSession)
     rows = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
     return rows.mapInArrow(_extract(model), "page_id long, url string, text string")
