@@ -1,8 +1,8 @@
 """BPE encoding and decoding with tree concatenation for long unsplit text.
 
 A text is split at white space, which no piece of the pre-tokeniser crosses, so every distinct
-word is encoded once per task.  A word without white space of more than ``LEAF`` characters is
-encoded as a tree: its leaves in parallel, then level by level each pair of halves is joined by
+word is encoded once per task.  A piece of more than ``LEAF`` characters (a long word, or a run without white space of
+any length) is encoded as a tree: its leaves in parallel, then level by level each pair of halves is joined by
 re-encoding a window of tokens around the join, grown until its outermost token on either side
 equals the token that was there.  A BPE encoding is the right one exactly if every adjacent pair
 of tokens re-encodes to itself; tokens inside the halves and inside the window do, and the shared
@@ -19,10 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LEAF = 512
-WINDOW = 8
-#: Words remembered by a task between batches; the memory is emptied when full and only saves time.
-REMEMBERED = 200_000
+from .runtime import small_batches, tidy
+
+#: Symbols of a leaf, and tokens on either side of a join in its first window.
+LEAF, WINDOW = 12, 2
+#: Leaves and windows above this number are encoded as one batch of the library, which works on them in parallel.
+BATCH = 64
+#: Words and pieces remembered by a task between batches; a memory is emptied when full and only saves time.
+REMEMBERED = 100_000
 OUT_BYTES = 4 << 20
 
 _WORD = re.compile(r"[^ \t\n\r]+")
@@ -57,7 +61,7 @@ class WordBpe:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.inner = Tokenizer(BPE(vocab=model["vocab"], merges=merges))
         self.last = Tokenizer(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
-        self.letters, self.pieces, self.model = byte_letters(), {}, self.last.model
+        self.letters, self.pieces, self.model, self.within = byte_letters(), {}, self.last.model, self.inner.model
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*model["vocab"].values(), *special.values()]) + 1
         self.tokens = [""] * size
@@ -71,11 +75,10 @@ class WordBpe:
         out: list[list[int] | None] = [None] * len(words)
         short = []
         for i, w in enumerate(words):
-            if len(w) <= self.leaf:
-                if _PLAIN.fullmatch(w) and "<|" not in w:
-                    out[i] = [t for piece in _PIECE.findall(w.lower()) for t in self.piece(piece)]
-                else:
-                    short.append(i)
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                out[i] = [t for piece in _PIECE.findall(w.lower()) for t in self.piece(piece)]
+            elif len(w) <= self.leaf:
+                short.append(i)
         for i, e in zip(short, self.full.encode_batch_fast([words[i] for i in short], add_special_tokens=False), strict=True):
             out[i] = e.ids
         for i, w in enumerate(words):
@@ -88,9 +91,19 @@ class WordBpe:
         if (ids := self.pieces.get(piece)) is None:
             if len(self.pieces) >= REMEMBERED:
                 self.pieces.clear()
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+            text = piece if piece.isascii() else piece.translate(self.letters)
+            ids = self.tree(text) if len(text) > self.leaf else self.encoded([text], True)[0]
+            if len(text) <= 4 * self.leaf:
+                self.pieces[piece] = ids
         return ids
 
+    def encoded(self, texts: list[str], last: bool) -> list[list[int]]:
+        """Ids of texts inside a piece (``last``: that end it), in symbols."""
+        if len(texts) > BATCH:
+            return [e.ids for e in (self.last if last else self.inner).encode_batch_fast(texts, add_special_tokens=False)]
+        tokenize = self.model.tokenize if last else self.within.tokenize
+        return [[t.id for t in tokenize(x)] for x in texts]
+
     def encode_long(self, text: str) -> list[int]:
         """Ids of a long text without white space, by tree concatenation of its long pieces."""
         ids: list[int] = []
@@ -105,8 +118,7 @@ class WordBpe:
     def tree(self, piece: str) -> list[int]:
         """One piece of the pre-tokeniser: leaves of at most ``leaf`` symbols, joined pairwise."""
         leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
-        parts = [e.ids for e in self.inner.encode_batch_fast(leaves[:-1], add_special_tokens=False)]
-        parts.append(self.last.encode(leaves[-1], add_special_tokens=False).ids)
+        parts = self.encoded(leaves[:-1], False) + self.encoded(leaves[-1:], True)
         while len(parts) > 1:
             pairs = [(parts[i], parts[i + 1], i + 2 >= len(parts)) for i in range(0, len(parts) - 1, 2)]
             joined = self.join(pairs)
@@ -126,7 +138,7 @@ class WordBpe:
             for ends in (False, True):
                 at = [i for i in open_ if (pairs[i][2] and w >= len(pairs[i][1])) == ends]
                 texts = [self.text_of(pairs[i][0][-w:] + pairs[i][1][:w], ends) for i in at]
-                fresh |= zip(at, (e.ids for e in (self.last if ends else self.inner).encode_batch_fast(texts, add_special_tokens=False)), strict=True)
+                fresh |= zip(at, self.encoded(texts, ends), strict=True)
             for i, new in fresh.items():
                 left, right, _ = pairs[i]
                 if (w >= len(left) or new[0] == left[-w]) and (w >= len(right) or new[-1] == right[w - 1]):
@@ -167,7 +179,7 @@ def _coded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             if rows:
                 yield _batch(rows, names)
 
-    return run
+    return tidy(run)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -179,8 +191,10 @@ def bpe_encode_decode(documents: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded text.
 
     Null texts count as empty: no tokens, empty ids, empty decoded text.  Rows are independent
-    (no shuffle), so repeated rows give repeated results; other columns are ignored.
+    (no shuffle), so repeated rows give repeated results, and rows without a doc_id theirs; an empty table gives no rows.
+    Other columns are ignored, whatever their names; a long text is encoded whole.
     ``path`` is the vocabulary file's place on every machine.
     """
+    small_batches(documents.sparkSession)
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return docs.mapInArrow(_coded(path), "doc_id long, n_tokens long, ids binary, decoded string")
