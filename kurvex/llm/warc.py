@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_KEYS, store
+from .runtime import BROADCAST_KEYS, small_batches, store, tidy
 
 MAGIC = b"WARC/1.0\r\n"
 #: Bytes of one candidate held while its end isn't reached; beyond it the record is re-read by range if it is reachable.
@@ -173,6 +173,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _OUT, strict=True)], [n for n, _ in _OUT])
 
 
+@tidy
 def _scan(batches):
     now: _Split | None = None
     for b in batches:
@@ -190,6 +191,7 @@ def _scan(batches):
         yield _rows(rows)
 
 
+@tidy
 def _offsets(batches):
     """(file, split, offset in the split, bytes with their magic) of every segment."""
     key, pos = None, 0
@@ -212,7 +214,13 @@ def _assembled(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The verified records of the archives under ``path``: page_id, payload_bytes, payload_digest, declared, record_type, refers_to."""
+    """The verified records of the archives under ``path``: page_id, payload_bytes, payload_digest, declared, record_type, refers_to.
+
+    Uncompressed WARC 1.0 with a Content-Length in every record.  Records of other writers are read too: of types other than
+    response and revisit as they are, without a page_id where the id is not one of ``write_archives``.  What stands before a
+    file's first record, and magic that no chain from the first record reaches, is passed over; an empty folder gives no rows.
+    """
+    small_batches(spark)
     text = spark.read.option("lineSep", MAGIC.decode()).text(path)
     text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))
     found = store(text.mapInArrow(_scan, _SCHEMA), "candidates")
