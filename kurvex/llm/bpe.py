@@ -26,8 +26,8 @@ LEAF, WINDOW = 12, 2
 #: Leaves and windows above this number are encoded as one batch of the library, which works on them in parallel.
 BATCH = 64
 #: Words and pieces remembered by a task between batches; a memory is emptied when full and only saves time.
-REMEMBERED = 100_000
-OUT_BYTES = 4 << 20
+REMEMBERED = 20_000
+OUT_BYTES = 2 << 20
 
 _WORD = re.compile(r"[^ \t\n\r]+")
 #: Words whose pieces can be told without the library's normaliser: printable ASCII but the apostrophe, and letters of Latin-1.

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 #: Keys are broadcast only when their exact count is at most this (16 bytes each: 16 MB); beyond it a shuffle join runs.
 BROADCAST_KEYS = 1_000_000
-#: Most rows and bytes of an Arrow batch: texts are long, and a task holds a batch several times over.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Most rows and bytes of an Arrow batch: texts are long, a task holds a batch several times over, and buffers of many MB
+#: that come and go leave holes in the memory of processes that live long.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
