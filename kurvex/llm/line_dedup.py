@@ -1,27 +1,34 @@
 """Line deduplication with a deletion-neighbourhood join.
 
 A line is its sequence of lower-case words.  A line occurrence is removed when an equal line (of at
-least ``exact_words`` words), or one within one word edit (substitution, insertion or deletion; lines of
+least ``exact_words`` words), or one within ``edits`` word edits (substitution, insertion or deletion; lines of
 at least ``min_words`` words), first occurs earlier in the order (doc_id, line number).
-Every candidate line emits the hash of each variant with one word deleted, keyed with the deleted
-place, and of itself.  Lines of one key and place differ by that one substitution, lines that equal a
-variant of another by one insertion, so the least occurrence of each key finds the earlier line by
-aggregates alone; the words of both are then compared.  Candidates are lines that share the hash of
-their first or last half with a different line: one edit leaves one of the halves whole.
+Every candidate line emits itself and each variant with up to ``edits`` words deleted, as a key of two
+independent 64-bit hashes with the deleted places.  What two lines have in common decides their distance:
+variants of one deletion at one place differ by that one substitution, a line that equals a variant of
+another by the words deleted there, and so on (``near_keys``).  So equal keys of those kinds are the
+verification, up to a collision of 128 bits, no text is sent, and the least occurrence of each key finds
+the earlier line by aggregates alone: no group is ever paired.
+Candidates are lines that share a piece with a different line: edits + 1 pieces can't all be hit.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_lines import lines_of, run_hash
-from .runtime import BROADCAST_KEYS, store
+from .runtime import BROADCAST_KEYS, drop, small_batches, store, tidy
 from .textblocks import _LANES, blocks, mix, powers, signed
 
-MIN_WORDS = 8
+#: With one edit in five words at most, near lines are equal to four fifths.
+MIN_WORDS, EDITS = 5, 1
+#: Variants that a task makes at once (one line's at least).
+VARIANTS = 1 << 16
+_SECOND = np.uint64(0x2D358DCCAA6C78A5)
 
 
 def _line_rows(block, min_words: int):
@@ -34,37 +41,69 @@ def _line_rows(block, min_words: int):
     return doc, number.astype(np.int32), a, z, run_hash(block.words, a, z)
 
 
-def _halves(words, a, z):
-    """Hashes of the first and last p words of each line, p either half of its length; four columns, equal ones zero."""
+def _pieces(words, a, z, edits: int) -> list[np.ndarray]:
+    """Hashes of pieces of each line (0: none), of which lines within ``edits`` word edits share one.
+
+    One edit: the first or the last half stays whole; p words, p either half of the length.  Two edits: the first
+    or the last third stays whole, or else one edit falls on each and the middle moves by a word at most; thirds of
+    every length within two words.
+    """
     n, out = z - a, []
-    for k, p in enumerate(((n - 1) // 2, n // 2)):
-        for side, (s, e) in enumerate(((a, a + p), (z - p, z))):
-            h = mix(run_hash(words, s, e) + p.astype(np.uint64) * _LANES[50 + side])
-            out.append(np.where((n % 2 == 1) & (k == 1), np.uint64(0), h))
+    if edits == 1:
+        for k, p in enumerate(((n - 1) // 2, n // 2)):
+            for side, (s, e) in enumerate(((a, a + p), (z - p, z))):
+                h = mix(run_hash(words, s, e) + p.astype(np.uint64) * _LANES[50 + side])
+                out.append(np.where((n % 2 == 1) & (k == 1), np.uint64(0), h))
+        return out
+    last = np.full(len(n), -1)
+    out.append(np.where(n <= 6, np.uint64(1), np.uint64(0)))  # too short for thirds: all are compared
+    for m in range(-2, 3):
+        f = np.maximum((n + m - 2) // 3, 0)
+        use = (f > 0) & (f != last)
+        last = f
+        for side, s in enumerate((a, z - f, a + f, a + f + 1, a + f + 2)):
+            e = np.minimum(s + f, z)
+            h = mix(run_hash(words, s, np.maximum(e, s)) + f.astype(np.uint64) * _LANES[50 + min(side, 2)])
+            out.append(np.where(use & (s + f <= z), h, np.uint64(0)))
     return out
 
 
-def _emit_lines(min_words: int, exact_words: int):
+def _emit_lines(min_words: int, exact_words: int, edits: int):
     def run(batches):
         for b in batches:
             ids = np.array(b.column(0))
             for i, _, block in blocks(b, lower=True):
                 doc, number, a, z, h = _line_rows(block, min(min_words, exact_words))
-                halves = (np.where(z - a >= min_words, x, np.uint64(0)) for x in _halves(block.words, a, z))
-                cols = [ids[i + doc], number, signed(h), *map(signed, halves)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc_id", "line", "h", "b0", "b1", "b2", "b3"])
-
-    return run
-
-
-def _shifted(n: int) -> np.ndarray:
-    """Powers of the hash base for words that move one place to the left."""
-    pw, inv = powers(n + 1)
-    return np.concatenate((inv[1:2], pw[: n - 1]))
-
-
-def _emit_variants(min_words: int):
-    """Deletion variants of the listed lines: key, place (-1: the line itself), doc_id, line."""
+                found = np.stack([np.where(z - a >= min_words, x, np.uint64(0)) for x in _pieces(block.words, a, z, edits)], 1)
+                size = (found != 0).sum(1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(signed(found[found != 0])))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(number), pa.array(signed(h)), lists], ["doc_id", "line", "h", "pieces"])
+
+    return tidy(run)
+
+
+def line_variants(words: np.ndarray, a: np.ndarray, z: np.ndarray, edits: int):
+    """Of lines (word ranges) with up to ``edits`` words deleted: line, key, deletions, deleted places (-1: none)."""
+    pw, inv = powers(len(words) + 3)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * pw[: len(words)])))  # of the words before each place
+    n = z - a
+    line = np.repeat(np.arange(len(a)), n + 1)
+    p = np.arange(len(line)) - np.repeat(np.cumsum(n + 1) - n, n + 1)  # -1: the line itself
+    part = lambda r, s, e, left: (sums[e] - sums[s]) * inv[a[r] + left]  # noqa: E731  a run of words, moved to the left
+    size = n[line].astype(np.uint64)
+    key = np.where(p < 0, part(line, a[line], z[line], 0) + size, part(line, a[line], a[line] + np.maximum(p, 0), 0) + part(line, a[line] + p + 1, z[line], 1) + size - np.uint64(1))
+    out = [(line, mix(key), (p >= 0).astype(np.int8), p, np.full(len(p), -1))]
+    if edits > 1:
+        for r in range(len(a)):
+            x, y = np.triu_indices(n[r], 1)
+            key = part(r, a[r], a[r] + x, 0) + part(r, a[r] + x + 1, a[r] + y, 1) + part(r, a[r] + y + 1, z[r], 2) + np.uint64(n[r]) - np.uint64(2)
+            out.append((np.full(len(x), r), mix(key), np.full(len(x), 2, np.int8), x, y))
+    line, key, gone, p, q = (np.concatenate(c) for c in zip(*out, strict=True))
+    return line, key, gone, p.astype(np.int32), q.astype(np.int32)
+
+
+def _emit_variants(min_words: int, edits: int):
+    """Variants of the listed lines: key, second hash, deletions, places, doc_id, line."""
 
     def run(batches):
         for b in batches:
@@ -72,56 +111,52 @@ def _emit_variants(min_words: int):
             wanted = [set(x.as_py()) for x in b.column(2)]
             for i, _, block in blocks(b, lower=True):
                 doc, number, a, z, h = _line_rows(block, min_words)
-                keys, places, rows = [], [], []
-                for r in range(len(doc)):
-                    if int(signed(h[r : r + 1])[0]) not in wanted[i + doc[r]]:
-                        continue
-                    w, n = block.words[a[r] : z[r]], z[r] - a[r]
-                    left = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * powers(n + 1)[0][:n])))  # words before
-                    right = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * _shifted(n))))  # the same, one place further left
-                    v = left[:n] + (right[n] - right[1:])
-                    keys.append(np.concatenate((mix(v + np.uint64(n - 1)), mix(left[n:] + np.uint64(n)))))
-                    places.append(np.append(np.arange(n), -1))
-                    rows.append(np.full(n + 1, r))
-                if rows:
-                    rows = np.concatenate(rows)
-                    cols = [signed(np.concatenate(keys)), np.concatenate(places).astype(np.int32), ids[i + doc[rows]], number[rows]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "place", "doc_id", "line"])
-
-    return run
-
-
-def _emit_words(min_words: int):
-    """The words of the listed lines, as one string."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for i, text, hs in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                wanted = set(hs.as_py())
-                for n, line in enumerate((text.as_py() or "").encode().split(b"\n")):
-                    if n in wanted:
-                        out.append((i.as_py(), n, b" ".join(line.lower().split()).decode()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "line", "words"])
+                at = np.flatnonzero([x in wanted[i + d] for d, x in zip(doc.tolist(), signed(h).tolist(), strict=True)])
+                while len(at):  # as many lines as make a bounded number of variants
+                    few = max(1, int(np.searchsorted(np.cumsum(((z - a)[at] + 1.0) ** edits), VARIANTS)))
+                    now, at = at[:few], at[few:]
+                    line, key, gone, p, q = line_variants(block.words, a[now], z[now], edits)
+                    check = line_variants(mix(block.words + _SECOND), a[now], z[now], edits)[1]
+                    r = now[line]
+                    cols = [signed(key), signed(check), gone, p, q, ids[i + doc[r]], number[r]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "check", "gone", "p", "q", "doc_id", "line"])
 
-    return run
+    return tidy(run)
 
 
-def within_one_edit(a: list[str], b: list[str]) -> bool:
-    """Word edit distance of at most one."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))  # noqa: B905
-    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+def near_keys(variants: DataFrame, edits: int) -> DataFrame:
+    """(at, first): the least line that each line's variants prove to be within ``edits`` edits.
 
-
-def _near(batches):
-    for b in batches:
-        ok = [within_one_edit(x.as_py().split(" "), y.as_py().split(" ")) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
-        yield from pa.Table.from_batches([b]).select(["doc_id", "line"]).filter(pa.array(ok, pa.bool_())).to_batches()
+    One edit: one deletion at one place (substitution); a whole line against one deletion (insertion).
+    Two: also one deletion each at any places, one whole line against two deletions, two deletions each at the
+    same places, and two against one where one of the two places is the other line's (p, or q - 1 after p's insertion).
+    """
+    both = ["key", "check"]
+    least = lambda k: F.min(F.when(F.col("gone") == k, F.col("at"))).alias(f"m{k}")
+    found = []
+
+    def meet(rows: DataFrame, on: list[str], per: list, choose, keep: str) -> None:
+        firsts = store(rows.groupBy(*on).agg(*per, F.count(F.lit(1)).alias("c")).where("c > 1").where(keep).drop("c"), "firsts")
+        found.append(firsts)
+        metas.append(rows.join(firsts, on).select("at", choose.alias("first")))
+
+    metas: list[DataFrame] = []
+    if edits == 1:
+        meet(variants.where("gone = 1"), [*both, "p"], [F.min("at").alias("m")], F.col("m"), "m is not null")
+        meet(variants, both, [least(0), least(1)], F.when(F.col("gone") == 0, F.col("m1")).otherwise(F.col("m0")), "m0 is not null and m1 is not null")
+    else:
+        near = F.when(F.col("gone") == 0, F.least("m1", "m2")).when(F.col("gone") == 1, F.least("m0", "m1")).otherwise(F.col("m0"))
+        meet(variants, both, [least(0), least(1), least(2)], near, "m1 is not null or m0 is not null")
+        meet(variants.where("gone = 2"), [*both, "p", "q"], [F.min("at").alias("m")], F.col("m"), "m is not null")
+        one = variants.where("gone = 1").withColumn("s", F.col("p"))
+        two = variants.where("gone = 2").withColumn("s", F.explode(F.array_distinct(F.array(F.col("p"), F.col("q") - 1))))
+        meet(one.union(two), [*both, "s"], [least(1), least(2)], F.when(F.col("gone") == 1, F.col("m2")).otherwise(F.col("m1")), "m1 is not null and m2 is not null")
+    out = metas[0]
+    for x in metas[1:]:
+        out = out.union(x)
+    out = store(out.where("first < at").groupBy("at").agg(F.min("first").alias("first")), "earlier")
+    drop(*found)
+    return out
 
 
 def _listed(docs: DataFrame, lines: DataFrame, item: str) -> DataFrame:
@@ -132,73 +167,79 @@ def _listed(docs: DataFrame, lines: DataFrame, item: str) -> DataFrame:
     return docs.join(lists, "doc_id").select("doc_id", "text", "wanted")
 
 
-def removable_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
+def removable_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None, edits: int = EDITS) -> DataFrame:
     """(doc_id, line, h, near) of every line occurrence that an equal or near line precedes."""
     exact_words = min_words if exact_words is None else exact_words
-    lines = store(docs.mapInArrow(_emit_lines(min_words, exact_words), "doc_id long, line int, h long, b0 long, b1 long, b2 long, b3 long"), "lines")
+    lines = store(docs.mapInArrow(_emit_lines(min_words, exact_words, edits), "doc_id long, line int, h long, pieces array<long>"), "lines")
     key = F.struct("doc_id", "line").alias("key")
-    firsts = store(lines.groupBy("h").agg(F.min(key).alias("key"), *(F.first(f"b{k}").alias(f"b{k}") for k in range(4))), "firsts")
-    half = firsts.select("h", F.explode(F.array(*(f"b{k}" for k in range(4)))).alias("b")).where("b <> 0")
-    shared = half.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b")
-    near = store(half.join(shared, "b").select("h").distinct(), "near")
-    near = store(firsts.select("h", "key").join(near, "h").select("key.doc_id", "key.line", "h"), "candidates")
-    variants = _listed(docs, near, "h").mapInArrow(_emit_variants(min_words), "key long, place int, doc_id long, line int")
+    firsts = store(lines.groupBy("h").agg(F.min(key).alias("key"), F.first("pieces").alias("pieces")), "firsts")
+    piece = firsts.select("h", F.explode("pieces").alias("b"))
+    shared = store(piece.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b"), "shared")
+    candidates = store(piece.join(shared, "b").select("h").distinct(), "near")
+    near = store(firsts.select("h", "key").join(candidates, "h").select("key.doc_id", "key.line", "h"), "candidates")
+    drop(shared, candidates)
+    variants = _listed(docs, near, "h").mapInArrow(_emit_variants(min_words, edits), "key long, check long, gone tinyint, p int, q int, doc_id long, line int")
     variants = variants.join(near.select("doc_id", "line"), ["doc_id", "line"], "left_semi")
-    variants = store(variants.select("key", "place", F.struct("doc_id", "line").alias("at")), "variants")
-    by_place = variants.where("place >= 0").groupBy("key", "place").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("c"))
-    by_key = variants.groupBy("key").agg(F.min(F.when(F.col("place") >= 0, F.col("at"))).alias("cut"), F.min(F.when(F.col("place") < 0, F.col("at"))).alias("whole"))
-    by_key = by_key.where("cut is not null and whole is not null")
-    swapped = variants.join(by_place.where("c > 1"), ["key", "place"]).select("at", "first")
-    grown = variants.join(by_key, "key").select("at", F.when(F.col("place") < 0, F.col("cut")).otherwise(F.col("whole")).alias("first"))
-    earlier = swapped.union(grown).where("first < at").groupBy("at").agg(F.min("first").alias("first"))
-    earlier = store(earlier.select("at.doc_id", "at.line", F.col("first.doc_id").alias("doc0"), F.col("first.line").alias("line0")), "earlier")
-    ends = earlier.select("doc_id", "line").union(earlier.select("doc0", "line0")).distinct()
-    words = store(_listed(docs, ends, "line").mapInArrow(_emit_words(min_words), "doc_id long, line int, words string").dropDuplicates(["doc_id", "line"]), "words")
-    pairs = earlier.join(words.withColumnRenamed("words", "x"), ["doc_id", "line"]).join(words.toDF("doc0", "line0", "y"), ["doc0", "line0"])
-    flagged = store(pairs.select("doc_id", "line", "x", "y").mapInArrow(_near, "doc_id long, line int"), "flagged")
+    variants = store(variants.select("key", "check", "gone", "p", "q", F.struct("doc_id", "line").alias("at")), "variants")
+    flagged = near_keys(variants, edits)
     again = lines.select("doc_id", "line", "h").join(firsts.select("h", "key"), "h").where(F.struct("doc_id", "line") != F.col("key"))
     again = again.select("doc_id", "line", "h", F.lit(False).alias("near"))
-    first = flagged.join(near, ["doc_id", "line"]).select("doc_id", "line", "h", F.lit(True).alias("near"))
-    return store(again.union(first), "removable")
+    first = flagged.select("at.doc_id", "at.line").join(near, ["doc_id", "line"]).select("doc_id", "line", "h", F.lit(True).alias("near"))
+    out = store(again.union(first), "removable")
+    drop(lines, firsts, near, variants, flagged)
+    return out
 
 
-def _apply(min_words: int):
+def _apply(min_words: int, columns: list[str]):
+    """Rows (struct), their text and the lines to take out: the row's columns with the text that is left, n_removed and n_near."""
+
     def run(batches):
         for b in batches:
-            ids = b.column(0)
-            for i, j, block in blocks(pa.RecordBatch.from_arrays([ids, b.column(1)], ["doc_id", "text"]), lower=True):
+            row, text, gone = b.column(0), b.column(1), b.column(2)
+            hit = np.flatnonzero(np.array(gone.is_valid()))
+            left, removed, nearly = [], np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            part = pa.RecordBatch.from_arrays([text.take(pa.array(hit))], ["text"])
+            for i, _, block in blocks(part, lower=True):
                 doc, number, _, _, h = _line_rows(block, min_words)
-                at, out = np.searchsorted(doc, np.arange(block.n + 1)), []
+                at = np.searchsorted(doc, np.arange(block.n + 1))
                 for d in range(block.n):
-                    gone = b.column(2)[i + d].as_py()
-                    text = b.column(1)[i + d].as_py()
-                    if gone:
-                        gone = {(x["line"], x["h"]) for x in gone}
-                        s = slice(at[d], at[d + 1])
-                        cut = {int(n) for n, x in zip(number[s], signed(h[s]), strict=True) if (int(n), int(x)) in gone}
-                        text = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in cut)
-                    out.append(text)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3, b.num_columns)), pa.array(out, pa.string())], [*b.schema.names[3:], "text"])
+                    r = int(hit[i + d])
+                    listed = {(x["line"], x["h"]): x["near"] for x in gone[r].as_py()}
+                    s = slice(at[d], at[d + 1])
+                    cut = {int(n): listed[int(n), int(x)] for n, x in zip(number[s], signed(h[s]), strict=True) if (int(n), int(x)) in listed}
+                    removed[r], nearly[r] = len(cut), sum(cut.values())
+                    left.append("\n".join(x for n, x in enumerate(text[r].as_py().split("\n")) if n not in cut))
+            if left:
+                text = pc.replace_with_mask(text, gone.is_valid(), pa.array(left, pa.string()))
+            fields = dict(zip([f.name for f in row.type], row.flatten(), strict=True)) | {"text": text, "n_removed": pa.array(removed), "n_near": pa.array(nearly)}
+            yield pa.RecordBatch.from_arrays([fields[c] for c in columns], columns)
 
-    return run
+    return tidy(run)
 
 
-def line_dedup(documents: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
+def line_dedup(documents: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None, edits: int = EDITS) -> DataFrame:
     """``documents`` with the later equal and near lines taken out of ``text``, and n_removed and n_near added.
 
     Near lines are sought among those of ``min_words`` words or more, equal ones among those of
-    ``exact_words`` (``min_words`` if not given; 1: all lines but blank ones).
-
-    All other columns stay as they are; columns named n_removed or n_near are replaced.  Null and
-    blank texts stay; a document may end up with an empty text.  Rows of one doc_id and text count as
-    one document and share its fate; rows without a doc_id are kept whole and are not compared.
+    ``exact_words`` (``min_words`` if not given; 1: all lines but blank ones).  ``edits`` is 1 or 2; a line of n
+    words has n + 1 variants with 1, about n * n / 2 with 2.
+
+    All other columns stay as they are, whatever their names; columns named n_removed or n_near are replaced.  Null and
+    blank texts stay, an empty table gives no rows; a document may end up with an empty text, one long line is one line.
+    Of equal or near lines the first in the order (doc_id, line) stays.  Rows of one doc_id and text count as
+    one document and share its fate; rows of one doc_id and different texts lose the lines that their id has to lose
+    where they stand in the row's own text.  Rows without a doc_id are kept whole and are not compared.
     """
+    if edits not in (1, 2):
+        raise ValueError("edits must be 1 or 2")
+    small_batches(documents.sparkSession)
     names = [c for c in documents.columns if c not in ("n_removed", "n_near")]
-    docs = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null")
-    gone = removable_lines(docs, min_words, exact_words).groupBy(F.col("doc_id").alias("gone_id"))
-    gone = gone.agg(F.collect_set(F.struct("line", "h")).alias("gone"), F.count(F.lit(1)).alias("n_removed"), F.count(F.when(F.col("near"), 1)).alias("n_near"))
-    rest = [c for c in names if c != "text"]
-    joined = documents.select(*names).join(gone, F.col("doc_id") == F.col("gone_id"), "left")
-    joined = joined.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), "gone", *rest, F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
-    schema = ", ".join([f"`{n}` {t}" for n, t in joined.dtypes[3:]] + ["text string"])
-    return joined.mapInArrow(_apply(min_words if exact_words is None else min(min_words, exact_words)), schema).select(*names, "n_removed", "n_near")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    gone = removable_lines(docs, min_words, exact_words, edits).groupBy(F.col("doc_id").alias("gone_id"))
+    gone = gone.agg(F.collect_set(F.struct("line", "h", "near")).alias("gone"))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("row_text"), F.col("doc_id").cast("long").alias("row_id"))
+    joined = rows.join(gone, F.col("row_id") == F.col("gone_id"), "left").select("row", "row_text", "gone")
+    kinds = {f.name: f.dataType.simpleString() for f in joined.schema["row"].dataType.fields} | {"text": "string", "n_removed": "bigint", "n_near": "bigint"}
+    columns = [*names, "n_removed", "n_near"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    return joined.mapInArrow(_apply(min_words if exact_words is None else min(min_words, exact_words), columns), schema)
