@@ -67,6 +67,19 @@ def test_ngram_join_is_exact(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_force(texts)
 
 
+def test_ngram_blocks_are_exact(spark, monkeypatch):
+    """Small blocks and chains: groups that neither star nor chain resolves are compared in many blocks."""
+    from kurvex.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 400)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 5)
+    monkeypatch.setattr(ngram_jaccard, "CHAIN", 3)
+    common = prose(60)
+    texts = [f"{common} {edited(BASES[k % 4 + 2], k % 5)}" for k in range(40)] + [edited(f"{common} {prose(20)}", 3) for _ in range(40)]
+    got = ngram_jaccard_join(documents(spark, texts)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components_by_force(texts)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_jaccard_join(documents(spark).limit(0)).count() == 0
 
@@ -119,22 +132,51 @@ def test_line_dedup(spark):
                 first.setdefault(w, (i, n))
                 rows.append((i, n, w))
     for a in first:
-        near |= {a for b in first if first[b] < first[a] and line_dedup.within_one_edit(list(a), list(b))}
+        near |= {a for b in first if first[b] < first[a] and distance(a, b) <= 1}
     gone = defaultdict(set)
     for i, n, w in rows:
         if first[w] != (i, n) or w in near:
             gone[i].add(n)
-    out = line_dedup.line_dedup(documents(spark, texts))
+    out = line_dedup.line_dedup(documents(spark, texts), min_words=8)
     assert out.columns == [*documents(spark, texts).columns, "n_removed", "n_near"]
     for r in out.collect():
         t = texts[r.doc_id]
         assert r.text == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[r.doc_id])) and r.n_removed == len(gone[r.doc_id])
 
 
-def test_word_edits():
-    e = line_dedup.within_one_edit
-    assert e(list("abc"), list("abc")) and e(list("abc"), list("axc")) and e(list("abc"), list("abxc")) and e(list("bc"), list("abc"))
-    assert not e(list("abc"), list("axy")) and not e(list("abc"), list("abcde")) and not e(list("abc"), list("bca"))
+def distance(a, b):
+    """Word edit distance by the textbook table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def changed(line, k):
+    """``line`` after k random substitutions, insertions and deletions of words."""
+    w = line.split(" ")
+    for _ in range(k):
+        at, kind = R.randrange(len(w)), R.randrange(3)
+        w[at : at + (kind != 1)] = [R.choice(VOCAB)] * (kind != 2)
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_near_lines_are_those_of_the_edit_distance(spark, edits):
+    bases = [prose(n) for n in (5, 6, 7, 9, 11, 14)]
+    texts = ["\n".join(changed(R.choice(bases), R.randrange(4)) for _ in range(4)) for _ in range(30)]
+    first, near = {}, set()
+    for i, t in enumerate(texts):
+        for n, line in enumerate(t.split("\n")):
+            if len(w := tuple(words(line))) >= 5:
+                first.setdefault(w, (i, n))
+    for a in first:
+        near |= {first[a] for b in first if first[b] < first[a] and distance(a, b) <= edits}
+    docs = documents(spark, texts).select("doc_id", "text")
+    got = {(r.doc_id, r.line) for r in line_dedup.removable_lines(docs, 5, 5, edits).where("near").collect()}
+    assert got == near and near
 
 
 def test_suffix_columns(spark):
@@ -154,6 +196,29 @@ def test_suffix_columns(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [2, 8])
+def test_hot_keys_are_split(spark, most):
+    """One passage in many contexts: its key is split again and again, and the result is that of brute force."""
+    from pyspark.sql import functions as F
+
+    passage = "".join(R.choice("abcd ") for _ in range(180))
+    letters = lambda n: "".join(R.choice("efgh") for _ in range(n))
+    texts = [letters(R.randrange(40)) + passage[R.randrange(60) : 180 - R.randrange(60)] + letters(R.randrange(40)) for _ in range(60)]
+    texts += [f"{letters(40)}{passage}{letters(40)}" for _ in range(20)]
+    docs = documents(spark, texts).union(documents(spark, texts).where(F.col("doc_id") % 7 == 0))  # some rows twice
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        want[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    rows = suffix_columns.remove_repeats(docs, most).collect()
+    assert len(rows) == docs.count() and all(bytes(r.kept) == want[r.doc_id] for r in rows)
+
+
 def test_segments_cover_every_window():
     raw = np.frombuffer(("".join(R.choice("abc") for _ in range(900))).encode(), np.uint8)
     off = np.array([0, 300, 350, 900])
@@ -220,14 +285,36 @@ def test_toxic_passages(spark):
             assert any(w in bad for w in texts[i].split()[p["first"] : p["end"]])
 
 
+def maximal(s, lo, hi):
+    """All maximal scoring segments of s[lo:hi] by their definition: the best one, then those on either side of it."""
+    best = max(((s[a:b].sum(), a - b, a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    return [*maximal(s, lo, best[2]), best[2:], *maximal(s, best[3], hi)]
+
+
 def test_maximal_segments():
-    model = toxicity.ToxicModel(np.zeros(0, np.uint64), np.zeros(0), 1.0)
-    for _ in range(100):
-        s = np.array([R.choice([-1.0, -1.0, 2.0, 0.5, 3.0]) for _ in range(14)])
-        best = max(((s[a:b].sum(), a, b) for a in range(14) for b in range(a + 1, 15)), key=lambda x: x[0])
-        found = model.segments(s)
-        if best[0] > 0:
-            assert max(x[2] for x in found) == pytest.approx(best[0])
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 14, 25):
+        for _ in range(40):
+            s = rng.normal(-0.2, 1, n)
+            found = toxicity.ToxicModel.segments(s)
+            assert [x[:2] for x in found] == maximal(s, 0, n)
+            assert np.allclose([x[2] for x in found], [s[a:z].sum() for a, z, _ in found])
+
+
+def test_segments_take_linear_time():
+    s = np.tile([1.0, -2.0], 200_000)  # every segment starts lower than all before it
+    assert len(toxicity.ToxicModel.segments(s)) == 200_000
+    s = np.tile([2.0, -1.0], 200_000)
+    assert len(toxicity.ToxicModel.segments(s)) == 1
+
+
+def test_chances_of_passages():
+    model = toxicity.ToxicModel(np.zeros(0, np.uint64), np.zeros(0), 0.1, passage=toxicity.gumbel(np.random.default_rng(2).gumbel(3 + np.log(150), 1, 20_000), np.full(20_000, 150.0)))
+    assert model.chance(-50, 100) == pytest.approx(1) and model.chance(40, 100) < 1e-9
+    rng = np.random.default_rng(3)
+    assert np.mean([model.chance(x, 100) <= 0.05 for x in rng.gumbel(3 + np.log(150), 1, 5000)]) == pytest.approx(0.05, abs=0.015)
 
 
 def test_language_model(spark, monkeypatch):
@@ -252,11 +339,58 @@ def test_language_model(spark, monkeypatch):
     assert interpolated_lm.lm_scores(documents(spark, texts).limit(0), F.col("doc_id") % 4 == 1).count() == 0
 
 
+def test_language_model_scores_by_force(spark, monkeypatch):
+    """The mixture formula with given weights, contexts that were never seen included: probabilities add up to one."""
+    from pyspark.sql import functions as F
+
+    weights = interpolated_lm.normalised(np.random.default_rng(4).dirichlet([2, 2, 1], 41))
+    monkeypatch.setattr(interpolated_lm, "learn_weights", lambda cells: weights)
+    texts = [*TEXTS[:20], *[prose(30) for _ in range(20)], "neverseen w1 w2 alsonew", "neverseen alsonew"]
+    train = [i for i in range(len(texts) - 2) if i % 3]
+    tokens = [[*words(t), "\0"] for t in texts]
+    one, two, starts = Counter(), Counter(), Counter()
+    for i in train:
+        before = ["^", *tokens[i][:-1]]
+        one.update(tokens[i])
+        two.update(zip(before, tokens[i], strict=True))
+        starts["^"] += 1
+    n, v = sum(one.values()), len(one)
+
+    def p(h, w):
+        c = starts[h] if h == "^" else one[h]
+        a = weights[min(40, int(np.log2(c + 1)))]
+        return (a[0] * two[h, w] / c if c else 0) + a[1] * one[w] / n + a[2] / (v + 1)
+
+    held = F.col("doc_id").isin([i for i in range(len(texts)) if i not in train])
+    for r in interpolated_lm.lm_scores(documents(spark, texts), held).collect():
+        t = tokens[r.doc_id]
+        assert r.score == pytest.approx(sum(np.log10(p(h, w)) for h, w in zip(["^", *t[:-1]], t, strict=True)))
+    for h in ("^", "neverseen", "w1", "w2"):  # over all known tokens and one unknown
+        assert sum(p(h, w) for w in [*one, "unknown"]) == pytest.approx(1)
+
+
 def test_packed_numbers():
     for v in ([], [0], [0, 255, 256, 2**40], [2**63]):
         assert interpolated_lm.unpack(interpolated_lm.pack(np.array(v, np.uint64))).tolist() == v
 
 
+def test_html_markup():
+    model = html_tree.fit_tree_model(html_tree.training_pages())
+    assert model.text("<p title=it's>First paragraph of some length here. Yes it's so.</p>") == "First paragraph of some length here. Yes it's so."
+    assert model.text("<article><p>It holds that <math><mi>x</mi>=2</math> for all. And more text here.</p></article>") == "It holds that x=2 for all. And more text here."
+    assert model.text("<article><p hidden>One para of the text. It is long enough.</p><p>One more line. Yes.</p></article>") == "One para of the text. It is long enough. One more line. Yes."
+    assert model.text("<head><title>x</title><p>Some body text without an end of its head. Yes.") == "Some body text without an end of its head. Yes."
+
+
+@pytest.mark.parametrize("page", ["<a x " * 200_000, "<b>" * 100_000 + "</i>" * 100_000, '<a b="' * 150_000 + '>"', "<b>" * 50_000 + "<div></div>" * 50_000, "<div>" * 150_000, "<ul><li>" + "<b>" * 50_000 + "<ul><li></li></ul>" * 30_000, "<!-- " * 200_000, "<" * 500_000])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_tree.fit_tree_model(html_tree.training_pages(20)).text(page)
+    assert time.process_time() - start < 8
+
+
 def test_html_held_out_pages():
     model, right, total = html_tree.fit_tree_model(html_tree.training_pages(200)), 0, 0
     for page in html_tree.training_pages(60, 99):
