@@ -181,11 +181,13 @@ def _dense_links(key: tuple, table: pa.Table) -> pa.Table:
 def compared_in_blocks(clusters: DataFrame, sizes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Links (a, b) that join all linked sets of each cluster (doc_id, cluster); sizes: (doc_id, n).
 
-    A cluster is cut by set size, then by hash, into blocks of about ``BLOCK`` elements and ``BLOCK_SETS`` sets; only
+    A cluster too large for one block is cut by set size, then by hash, into blocks of about ``BLOCK`` elements and ``BLOCK_SETS`` sets; only
     blocks whose sizes can link meet, one task for each two blocks, and what a task sends on is a forest, not all pairs.
     """
-    sized = clusters.join(sizes, "doc_id").withColumn("step", F.floor(F.log2("n") * 8).cast("int"))
-    sized = store(sized, "sized")
+    sized = store(clusters.join(sizes, "doc_id"), "sized")
+    large = sized.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("sets"))
+    large = store(large.where((F.col("elements") > BLOCK) | (F.col("sets") > BLOCK_SETS)).select("cluster", F.lit(True).alias("large")), "large")
+    sized = sized.join(large, "cluster", "left").select("doc_id", "cluster", "n", F.when(F.col("large"), F.floor(F.log2("n") * 8).cast("int")).otherwise(0).alias("step"))
     steps = sized.groupBy("cluster", "step").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("elements"), F.count(F.lit(1)).alias("sets"))
     parts = F.ceil(F.greatest(F.col("elements") / BLOCK, F.col("sets") / BLOCK_SETS)).cast("int")
     steps = store(steps.select("cluster", "step", "lo", "hi", parts.alias("parts")), "steps")

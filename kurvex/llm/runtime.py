@@ -20,6 +20,11 @@ BROADCAST_KEYS = 1_000_000
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
+#: Bytes of groups after which a worker gives memory back: small groups would pay more for that than for their work.
+RELEASE_BYTES = 32 << 20
+_seen = [0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
@@ -115,6 +120,9 @@ def tidy(run):
         try:
             return run(first, second)
         finally:
-            release()
+            _seen[0] += getattr(first, "nbytes", 0) + getattr(second, "nbytes", 0)
+            if _seen[0] > RELEASE_BYTES:
+                _seen[0] = 0
+                release()
 
     return group
