@@ -124,8 +124,8 @@ def _emit_variants(min_words: int, edits: int):
     return tidy(run)
 
 
-def near_keys(variants: DataFrame, edits: int) -> DataFrame:
-    """(at, first): the least line that each line's variants prove to be within ``edits`` edits.
+def near_keys(variants: DataFrame, edits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(at, first): the least line that each line's variants prove to be within ``edits`` edits; and the stored tables it reads.
 
     One edit: one deletion at one place (substitution); a whole line against one deletion (insertion).
     Two: also one deletion each at any places, one whole line against two deletions, two deletions each at the
@@ -154,9 +154,7 @@ def near_keys(variants: DataFrame, edits: int) -> DataFrame:
     out = metas[0]
     for x in metas[1:]:
         out = out.union(x)
-    out = store(out.where("first < at").groupBy("at").agg(F.min("first").alias("first")), "earlier")
-    drop(*found)
-    return out
+    return out.where("first < at").groupBy("at").agg(F.min("first").alias("first")), found
 
 
 def _listed(docs: DataFrame, lines: DataFrame, item: str) -> DataFrame:
@@ -175,18 +173,18 @@ def removable_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: in
     firsts = store(lines.groupBy("h").agg(F.min(key).alias("key"), F.first("pieces").alias("pieces")), "firsts")
     piece = firsts.select("h", F.explode("pieces").alias("b"))
     shared = store(piece.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b"), "shared")
-    candidates = store(piece.join(shared, "b").select("h").distinct(), "near")
+    candidates = piece.join(shared, "b").select("h").distinct()
     near = store(firsts.select("h", "key").join(candidates, "h").select("key.doc_id", "key.line", "h"), "candidates")
-    drop(shared, candidates)
+    drop(shared)
     variants = _listed(docs, near, "h").mapInArrow(_emit_variants(min_words, edits), "key long, check long, gone tinyint, p int, q int, doc_id long, line int")
     variants = variants.join(near.select("doc_id", "line"), ["doc_id", "line"], "left_semi")
     variants = store(variants.select("key", "check", "gone", "p", "q", F.struct("doc_id", "line").alias("at")), "variants")
-    flagged = near_keys(variants, edits)
+    flagged, read = near_keys(variants, edits)
     again = lines.select("doc_id", "line", "h").join(firsts.select("h", "key"), "h").where(F.struct("doc_id", "line") != F.col("key"))
     again = again.select("doc_id", "line", "h", F.lit(False).alias("near"))
     first = flagged.select("at.doc_id", "at.line").join(near, ["doc_id", "line"]).select("doc_id", "line", "h", F.lit(True).alias("near"))
     out = store(again.union(first), "removable")
-    drop(lines, firsts, near, variants, flagged)
+    drop(lines, firsts, near, variants, *read)
     return out
 
 
