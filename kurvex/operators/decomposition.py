@@ -1,18 +1,22 @@
-"""Functional principal components: Spark adds up the moments, the driver factors one matrix of grid size.
+"""Functional principal components: Spark adds up one Gram matrix of grid size, the driver factors it.
 
-The Gram matrix is added up per partition (``mapInArrow``) and summed; its size is that of the grid
-squared and doesn't follow the number of curves.
+Curves are rows of ``arrays`` (curve_id, values: the flattened, time-major grid).  What reaches the driver, and what is
+sent to tasks, has the size of the grid and doesn't follow the number of curves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import assign
+from ..functions.sums import gram, matrix, replicate_grams, vector
+
 
 def trapezoid_weights(t: np.ndarray, normalize: bool = False) -> np.ndarray:
     t = np.asarray(t, float)
@@ -26,172 +30,237 @@ def trapezoid_weights(t: np.ndarray, normalize: bool = False) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Decomposition:
-    """Mean and components on the flattened (time-major) grid, eigenvalues, their shares, weights and curve count."""
+    """Mean and components on the flattened (time-major) grid, eigenvalues, their shares, weights, curve count, scale of each place."""
 
     mean: np.ndarray
     components: np.ndarray
     explained_variance: np.ndarray
     ratio: np.ndarray
     weights: np.ndarray
-    n: int
+    n: float
+    scale: np.ndarray | float = field(default=1.0)
 
+    @property
+    def basis(self) -> np.ndarray:
+        """Scores are centred values times this matrix (places x components)."""
+        return (self.components * self.weights / np.square(self.scale)).T
 
-def _moments(batches):
-    n, s, g = 0, None, None
-    for b in batches:
-        v = b.column(b.schema.get_field_index("values"))
-        m = np.asarray(v.flatten(), float).reshape(len(v), -1)
-        if s is None:
-            s, g = np.zeros(m.shape[1]), np.zeros((m.shape[1],) * 2)
-        n, s, g = n + len(m), s + m.sum(0), g + m.T @ m
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))], ["n", "s", "g"])
+    def first(self, k: int) -> Decomposition:
+        return Decomposition(self.mean, self.components[:k], self.explained_variance[:k], self.ratio[:k], self.weights, self.n, self.scale)
 
 
 def moments(arrays: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, sum and Gram matrix of the curves' value arrays; one row per task reaches the driver."""
-    parts = arrays.select("values").mapInArrow(_moments, "n long, s array<double>, g array<double>")
-    n, s, g = 0, 0.0, 0.0
-    for r in parts.toLocalIterator():
-        n, s, g = n + r.n, s + np.asarray(r.s), g + np.asarray(r.g).reshape(len(r.s), -1)
-    return n, s, g
+    """Number, sum and Gram matrix of the curves' value arrays; one row reaches the driver."""
+    g = gram(arrays, vector("values"))
+    return int(round(g[0, 0])), g[0, 1:], g[1:, 1:]
 
 
-def fit_fpca(arrays: DataFrame, time: np.ndarray, n_components: float | int = 0.95, dims: int = 1, scale: np.ndarray | None = None) -> Decomposition:
-    """Quadrature-weighted principal components; a share takes the least number of components above it."""
-    n, s, g = moments(arrays)
-    if n < 2:
-        raise ValueError("two or more curves are needed")
-    w = np.repeat(trapezoid_weights(time), dims)
+def dimension_scales(mean_square: np.ndarray, weights: np.ndarray, dims: int) -> np.ndarray:
+    """Scale of each place: the root of its dimension's integrated variance over the length of the domain."""
+    v, w = mean_square.reshape(-1, dims), weights.reshape(-1, dims)
+    return np.tile(np.sqrt((v * w).sum(0) / w.sum(0)), len(v))
+
+
+def factor(n: float, s: np.ndarray, g: np.ndarray, weights: np.ndarray, n_components: float | int, scale: np.ndarray | float = 1.0) -> Decomposition:
+    """Quadrature-weighted components of a number, sum and Gram matrix; a share takes the least number of components above it."""
     mean = s / n
     cov = (g - n * np.outer(mean, mean)) / (n - 1)
-    if scale is not None:
-        cov = cov / np.outer(scale, scale)
-    root = np.sqrt(w)
-    ev, vec = np.linalg.eigh(cov * np.outer(root, root))
+    root = np.sqrt(weights) / scale
+    ev, vec = np.linalg.eigh(cov * np.outer(root, root) if np.ndim(root) else cov * root * root)
     order = np.argsort(ev)[::-1]
     ev, vec = np.maximum(ev[order], 0), vec[:, order]
-    ratio = ev / ev.sum()
+    total = ev.sum()
+    ratio = ev / total if total > 0 else np.zeros(len(ev))
     k = int(np.searchsorted(np.cumsum(ratio), n_components, "right") + 1) if isinstance(n_components, float) else n_components
-    k = min(k, n - 1, len(ev))
-    comp = (vec[:, :k] / root[:, None]).T
+    k = int(min(k, max(1, n - 1), len(ev)))
+    comp = (vec[:, :k] / np.sqrt(weights)[:, None]).T * scale
     sign = np.sign(comp[np.arange(k), np.abs(comp).argmax(1)])
-    return Decomposition(mean, comp * sign[:, None], ev[:k], ratio[:k], w, n)
+    return Decomposition(mean, comp * np.where(sign == 0, 1, sign)[:, None], ev[:k], ratio[:k], weights, n, scale)
+
+
+def fit_fpca(arrays: DataFrame, time: np.ndarray, n_components: float | int = 0.95, dims: int = 1, scale: np.ndarray | None = None, scaling: str = "none") -> Decomposition:
+    """Components of one or more dimensions.  ``scaling`` ``integrated`` divides each dimension by its integrated deviation."""
+    n, s, g = moments(arrays)
+    if n < 2:
+        raise ValueError("two or more curves are needed")
+    w = np.repeat(trapezoid_weights(time), dims)
+    if scaling == "integrated":
+        scale = dimension_scales((np.diag(g) - s * s / n) / (n - 1), w, dims)
+    elif scaling != "none":
+        raise ValueError("scaling is none or integrated")
+    return factor(n, s, g, w, n_components, 1.0 if scale is None else np.asarray(scale, float))
+
+
+def _mapped(arrays: DataFrame, columns: list[str], schema: str, names: list[str], run) -> DataFrame:
+    def batches(found):
+        for b in found:
+            if len(b):
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns) - 1)), *run(matrix(b.column(len(columns) - 1)))], names)
+
+    return arrays.select(*columns).mapInArrow(batches, schema)
+
+
+def _lists(m: np.ndarray) -> pa.Array:
+    return pa.array(m.tolist(), pa.list_(pa.float64()))
 
 
 def scores(arrays: DataFrame, fit: Decomposition) -> DataFrame:
     """Scores (one array per curve) by projection; a batch is one matrix product."""
-    basis = (fit.components * fit.weights).T
+    return _mapped(arrays, ["curve_id", "values"], f"curve_id {dict(arrays.dtypes)['curve_id']}, scores array<double>", ["curve_id", "scores"], lambda m: [_lists((m - fit.mean) @ fit.basis)])
 
-    def run(batches):
-        for b in batches:
-            m = np.asarray(b.column(1).flatten(), float).reshape(len(b), -1) - fit.mean if len(b) else np.zeros((0, len(fit.mean)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((m @ basis).tolist(), pa.list_(pa.float64()))], ["curve_id", "scores"])
 
-    return arrays.select("curve_id", "values").mapInArrow(run, "curve_id long, scores array<double>")
+def score_frame(scored: DataFrame, k: int, prefix: str = "FPC", curves: DataFrame | None = None) -> DataFrame:
+    """One column per score, with the curves' metadata if they are given."""
+    out = scored.select("curve_id", *(F.col("scores")[i].alias(f"{prefix}{i + 1}") for i in range(k)))
+    return out if curves is None else out.join(curves, "curve_id")
 
 
-def reconstruct(score_rows: DataFrame, fit: Decomposition) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            m = np.asarray(b.column(1).flatten(), float).reshape(len(b), -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((m @ fit.components + fit.mean).tolist(), pa.list_(pa.float64()))], ["curve_id", "values"])
+def reconstruct(score_rows: DataFrame, fit: Decomposition, n_components: int | None = None) -> DataFrame:
+    """Mean and components summed by the scores: (curve_id, values)."""
+    k = n_components or len(fit.components)
+    return _mapped(score_rows, ["curve_id", "scores"], f"curve_id {dict(score_rows.dtypes)['curve_id']}, values array<double>", ["curve_id", "values"], lambda m: [_lists(m[:, :k] @ fit.components[:k] + fit.mean)])
 
-    return score_rows.select("curve_id", "scores").mapInArrow(run, "curve_id long, values array<double>")
 
+def reconstruction_error(arrays: DataFrame, fit: Decomposition, candidates: list[int] | None = None) -> DataFrame:
+    """Weighted root-mean-square distance of each curve from its reconstruction: rmse, or an array with one for each of the ``candidates``."""
+    total = fit.weights.sum()
 
-def reconstruction_error(arrays: DataFrame, fit: Decomposition) -> DataFrame:
-    """Weighted root-mean-square distance of each curve from its reconstruction."""
-    basis = (fit.components * fit.weights).T
+    def errors(m: np.ndarray, ks: list[int]) -> np.ndarray:
+        m = m - fit.mean
+        z, out = m @ fit.basis, []
+        for k in ks:
+            e = m - z[:, :k] @ fit.components[:k]
+            out.append(np.sqrt((e * e) @ fit.weights / total))
+        return np.stack(out, 1)
 
-    def run(batches):
-        for b in batches:
-            m = np.asarray(b.column(1).flatten(), float).reshape(len(b), -1) - fit.mean
-            e = m - (m @ basis) @ fit.components
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.sqrt((e * e) @ fit.weights / fit.weights.sum()))], ["curve_id", "rmse"])
+    kind = dict(arrays.dtypes)["curve_id"]
+    if candidates is None:
+        return _mapped(arrays, ["curve_id", "values"], f"curve_id {kind}, rmse double", ["curve_id", "rmse"], lambda m: [pa.array(errors(m, [len(fit.components)])[:, 0])])
+    return _mapped(arrays, ["curve_id", "values"], f"curve_id {kind}, rmse array<double>", ["curve_id", "rmse"], lambda m: [_lists(errors(m, candidates))])
+
+
+def reconstruction_curve(arrays: DataFrame, fit: Decomposition) -> DataFrame:
+    """Mean and median error over curves for each number of components."""
+    e = reconstruction_error(arrays, fit, list(range(1, len(fit.components) + 1)))
+    return e.select(F.posexplode("rmse").alias("k", "rmse")).groupBy((F.col("k") + 1).alias("n_components")).agg(F.avg("rmse").alias("mean_rmse"), F.percentile("rmse", 0.5).alias("median_rmse"))
+
+
+def spectrum(fit: Decomposition, near: float | None = None) -> list[dict]:
+    """Eigenvalue, share, cumulative share, gap to the next (plain, relative, as a ratio) of each component; with ``near`` whether the relative gap is below it."""
+    ev, out = fit.explained_variance, []
+    for k, v in enumerate(ev):
+        row = {"component": k + 1, "eigenvalue": float(v), "ratio": float(fit.ratio[k]), "cumulative": float(fit.ratio[: k + 1].sum())}
+        after = float(ev[k + 1]) if k + 1 < len(ev) else None
+        row |= {"gap": None if after is None else float(v) - after, "relative_gap": None if after is None or v <= 0 else (float(v) - after) / float(v), "next_ratio": None if after is None or v <= 0 else after / float(v)}
+        out.append(row if near is None else row | {"near_tie": None if row["relative_gap"] is None else row["relative_gap"] < near})
+    return out
 
-    return arrays.select("curve_id", "values").mapInArrow(run, "curve_id long, rmse double")
 
+def select_n_components(fit: Decomposition, threshold: float = 0.95) -> int:
+    """The least number of components whose cumulative share reaches the threshold."""
+    c = np.cumsum(fit.ratio)
+    if c[-1] < threshold - 1e-12:
+        raise ValueError("the fitted components don't reach the threshold")
+    return int(np.searchsorted(c, threshold - 1e-12) + 1)
 
-def spectrum(fit: Decomposition) -> list[dict]:
-    """Eigenvalue, share, cumulative share, gap to the next and relative gap of each component."""
-    ev = fit.explained_variance
-    return [{"component": k + 1, "eigenvalue": float(ev[k]), "ratio": float(fit.ratio[k]), "cumulative": float(fit.ratio[: k + 1].sum()), "gap": float(ev[k] - ev[k + 1]) if k + 1 < len(ev) else None} for k in range(len(ev))]
+
+def component_trajectories(fit: Decomposition, component: int, multipliers: tuple[float, ...] = (-2.0, -1.0, 0.0, 1.0, 2.0)) -> pd.DataFrame:
+    """The mean plus multiples of one component's standard deviation: (multiplier, place, value)."""
+    step = np.sqrt(fit.explained_variance[component - 1]) * fit.components[component - 1]
+    return pd.concat([pd.DataFrame({"multiplier": m, "place": np.arange(len(step)), "value": fit.mean + m * step}) for m in multipliers], ignore_index=True)
+
+
+def signed_similarity(a: Decomposition, b: Decomposition) -> np.ndarray:
+    """Signed weighted cosines of two sets of components, each in the geometry of its own fit."""
+    return (a.components * a.weights / a.scale) @ (b.components / b.scale).T
 
 
 def component_similarity(a: Decomposition, b: Decomposition) -> np.ndarray:
     """Absolute weighted inner products of two sets of components."""
-    return np.abs((a.components * a.weights) @ b.components.T)
+    return np.abs(signed_similarity(a, b))
 
 
 def match_components(similarity: np.ndarray) -> list[int]:
-    """Assignment of rows to columns with the greatest total (dynamic programme over subsets; up to about 12 components)."""
-    n, m = similarity.shape
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for i in range(n):
-        nxt: dict[int, tuple[float, list[int]]] = {}
-        for mask, (v, path) in best.items():
-            for j in range(m):
-                if not mask >> j & 1:
-                    c = (v + similarity[i, j], [*path, j])
-                    if (mask | 1 << j) not in nxt or nxt[mask | 1 << j][0] < c[0]:
-                        nxt[mask | 1 << j] = c
-        best = nxt
-    return max(best.values())[1]
+    """Assignment of rows to columns with the greatest total, in cubic time."""
+    return assign(np.abs(similarity))
 
 
 def principal_angles(a: Decomposition, b: Decomposition) -> np.ndarray:
     """Principal angles between two component subspaces in the weighted space."""
-    s = np.linalg.svd((a.components * a.weights) @ b.components.T, compute_uv=False)
-    return np.arccos(np.clip(s, -1, 1))
+    return np.arccos(np.clip(np.linalg.svd(signed_similarity(a, b), compute_uv=False), -1, 1))
+
+
+def subspace_distance(angles: np.ndarray) -> tuple[float, float]:
+    """Distance of the projectors on two subspaces, plain and divided by its largest possible value."""
+    d = float(np.sqrt(2 * (np.sin(angles) ** 2).sum()))
+    return d, d / float(np.sqrt(2 * len(angles)))
+
+
+def compare_subspaces(a: Decomposition, b: Decomposition, start: int = 0, size: int = 2) -> dict:
+    """Principal angles (degrees) and projector distance of the components start + 1 to start + size of two fits."""
+    cut = lambda f: Decomposition(f.mean, f.components[start : start + size], f.explained_variance[start : start + size], f.ratio[start : start + size], f.weights, f.n, f.scale)
+    angles = principal_angles(cut(a), cut(b))
+    plain, share = subspace_distance(angles)
+    return {"angles": np.degrees(angles).tolist(), "projector_distance": plain, "normalized_distance": share}
 
 
 def multilevel_parts(samples: DataFrame) -> DataFrame:
-    """Participant mean minus the grand mean, and curve minus participant mean, on a common grid."""
-    from pyspark.sql import Window
+    """Participant mean minus the grand mean, and curve minus participant mean, on a common grid.
 
-    p, g = Window.partitionBy("participant", "t_idx"), Window.partitionBy("t_idx")
-    return samples.select("curve_id", "participant", "t_idx", "t", (F.avg("x").over(p) - F.avg("x").over(g)).alias("between"), (F.col("x") - F.avg("x").over(p)).alias("within"))
+    The grand mean weights curves.  Both means are aggregates: participants' are joined by participant and place (a hot
+    participant is pre-aggregated and its join can be split), the grand mean has the size of the grid and is broadcast.
+    """
+    sums = samples.groupBy("participant", "t_idx").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    grand = sums.groupBy("t_idx").agg((F.sum("s") / F.sum("n")).alias("gm"))
+    means = sums.select("participant", "t_idx", (F.col("s") / F.col("n")).alias("pm"))
+    return samples.join(means, ["participant", "t_idx"]).join(F.broadcast(grand), "t_idx").select("curve_id", "participant", "t_idx", "t", (F.col("pm") - F.col("gm")).alias("between"), (F.col("x") - F.col("pm")).alias("within"))
 
 
-def bootstrap_stability(arrays: DataFrame, time: np.ndarray, n_components: int, replicates: int, seed: int = 0) -> DataFrame:
-    """Similarity of each component to its bootstrap counterpart: Poisson(1) weights per curve and replicate.
+def bootstrap_fits(arrays: DataFrame, time: np.ndarray, n_components: int, replicates: int, unit: str = "curve_id", dims: int = 1, seed: int = 0, reference: Decomposition | None = None) -> DataFrame:
+    """Refits on bootstrap counts of ``unit`` (curves, or whole participants), matched to the reference's components.
 
-    Each task adds up weighted moments of all replicates, so replicates cost no copies of the data; the
-    moments (replicates x grid squared) are reduced by replicate and factored in a grouped kernel.
+    One row per replicate and component: rep, component, matched, similarity, eigenvalue, ratio, cumulative, shape (with the
+    reference's sign), mean, angles (principal angles of all components, in radians).
     """
-    fit = fit_fpca(arrays, time, n_components)
+    fit = reference or fit_fpca(arrays, time, n_components, dims)
 
-    def weigh(batches):
-        total: dict[int, list] = {}
+    def refit(batches):
         for b in batches:
-            ids = np.asarray(b.column(0))
-            m = np.asarray(b.column(1).flatten(), float).reshape(len(b), -1)
-            for r in range(replicates):
-                u = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1009 + r + 1) * 0xBF58476D1CE4E5B9 % 2**64)) ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
-                u = ((u >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(float) / 2**53
-                k = np.searchsorted(np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720.0])), u)
-                t = total.setdefault(r, [0.0, 0.0, 0.0])
-                t[0] += k.sum()
-                t[1] = t[1] + k @ m
-                t[2] = t[2] + (m * k[:, None]).T @ m
-        for r, (n, s, g) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([float(n)]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))], ["rep", "n", "s", "g"])
-
-    def factor(pdf):
-        import pandas as pd
-
-        n, s, g = pdf["n"].sum(), np.sum(np.stack(pdf["s"]), 0), np.sum(np.stack(pdf["g"]), 0)
-        mean, p = s / n, len(s)
-        root = np.sqrt(fit.weights)
-        _, vec = np.linalg.eigh((g.reshape(p, p) / n - np.outer(mean, mean)) * np.outer(root, root))
-        comp = (vec[:, ::-1][:, :n_components] / root[:, None]).T
-        sim = np.abs((fit.components * fit.weights) @ comp.T)
-        at = match_components(sim)
-        return pd.DataFrame({"rep": pdf["rep"].iloc[0], "component": np.arange(1, len(at) + 1), "similarity": [float(sim[i, j]) for i, j in enumerate(at)]})
-
-    parts = arrays.select("curve_id", "values").mapInArrow(weigh, "rep long, n double, s array<double>, g array<double>")
-    return parts.groupBy("rep").applyInPandas(factor, "rep long, component long, similarity double")
+            out = []
+            for rep, flat in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                g = np.asarray(flat.values, float)
+                p = int(round(len(g) ** 0.5))
+                g = g.reshape(p, p)
+                if g[0, 0] < 2:
+                    continue
+                again = factor(g[0, 0], g[0, 1:], g[1:, 1:], fit.weights, len(fit.components), fit.scale)
+                sim = signed_similarity(fit, again)
+                angles = principal_angles(fit, again).tolist()
+                at = assign(np.abs(sim))
+                for i, j in enumerate(at):
+                    sign = -1.0 if sim[i, j] < 0 else 1.0
+                    out.append((rep, i + 1, j + 1, abs(float(sim[i, j])), float(again.explained_variance[j]), float(again.ratio[j]), float(again.ratio[: j + 1].sum()), (again.components[j] * sign).tolist(), again.mean.tolist(), angles))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), *(pa.float64(),) * 4, *(pa.list_(pa.float64()),) * 3)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], BOOT)
+
+    g = replicate_grams(arrays, vector("values"), unit, replicates, seed)
+    return g.select("rep", "gram").mapInArrow(refit, "rep long, component long, matched long, similarity double, eigenvalue double, ratio double, cumulative double, shape array<double>, mean array<double>, angles array<double>")
+
+
+BOOT = ["rep", "component", "matched", "similarity", "eigenvalue", "ratio", "cumulative", "shape", "mean", "angles"]
+
+
+def bootstrap_stability(arrays: DataFrame, time: np.ndarray, n_components: int, replicates: int, seed: int = 0, unit: str = "curve_id") -> DataFrame:
+    """Similarity of each component to its bootstrap counterpart: (rep, component, similarity)."""
+    return bootstrap_fits(arrays, time, n_components, replicates, unit, seed=seed).select("rep", "component", "similarity")
+
+
+def spectrum_uncertainty(arrays: DataFrame, time: np.ndarray, n_components: int, replicates: int = 100, seed: int = 0, unit: str = "curve_id") -> np.ndarray:
+    """Percentile intervals (2.5, 50, 97.5) of the eigenvalues over bootstrap counts of ``unit``."""
+    boot = bootstrap_fits(arrays, time, n_components, replicates, unit, seed=seed)
+    rows = boot.groupBy("component").agg(F.percentile("eigenvalue", F.array(*(F.lit(q) for q in (0.025, 0.5, 0.975)))).alias("q")).orderBy("component").collect()
+    return np.array([r.q for r in rows]).T
 
 
 def multilevel_fpca(samples: DataFrame, time: np.ndarray, between: float | int = 0.95, within: float | int = 0.95) -> tuple[Decomposition, Decomposition]:
@@ -214,39 +283,17 @@ def compositional_fpca(parts: DataFrame, dims: tuple[str, ...], reference: str,
     return fit_fpca(curve_arrays(alr(parts, dims, reference), logs), time, n_components, dims=len(logs))
 
 
+def reconstruct_composition(score_rows: DataFrame, fit: Decomposition, dims: tuple[str, ...], reference: str) -> DataFrame:
+    """Compositions (curve_id, t_idx, one column per part) of scores: log-ratios are reconstructed, then closed to shares."""
+    from .geometry import inverse_alr
+
+    logs = [f"alr_{d}" for d in dims if d != reference]
+    flat = reconstruct(score_rows, fit).select("curve_id", F.posexplode("values").alias("place", "v"))
+    wide = flat.groupBy("curve_id", F.floor(F.col("place") / len(logs)).cast("int").alias("t_idx")).agg(*(F.max(F.when(F.col("place") % len(logs) == k, F.col("v"))).alias(c) for k, c in enumerate(logs)))
+    return inverse_alr(wide, dims, reference).select("curve_id", "t_idx", *dims)
+
+
 def compare_fits(a: Decomposition, b: Decomposition) -> list[dict]:
     """Matched components of two fits: similarity and both shares (registered against unregistered curves, for one)."""
     sim = component_similarity(a, b)
     return [{"component": i + 1, "matched": j + 1, "similarity": float(sim[i, j]), "ratio_a": float(a.ratio[i]), "ratio_b": float(b.ratio[j])} for i, j in enumerate(match_components(sim))]
-
-
-def spectrum_uncertainty(arrays: DataFrame, time: np.ndarray, n_components: int, replicates: int = 100, seed: int = 0) -> np.ndarray:
-    """Percentile intervals (2.5, 50, 97.5) of eigenvalues from grouped jackknife-style Poisson weights on hash groups of curves.
-
-    Moments are added up for 64 hash groups in one pass; replicates reweight the groups on the driver.
-    """
-    groups = 64
-    dealt = arrays.withColumn("g", F.pmod(F.xxhash64("curve_id", F.lit(seed)), F.lit(groups)))
-
-    def add(batches):
-        acc: dict = {}
-        for b in batches:
-            key, m = np.asarray(b.column(0)), np.asarray(b.column(1).flatten(), float).reshape(len(b), -1)
-            for k in np.unique(key):
-                x = m[key == k]
-                n, s, q = acc.get(k, (0, 0.0, 0.0))
-                acc[k] = (n + len(x), s + x.sum(0), q + x.T @ x)
-        for k, (n, s, q) in acc.items():
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], ["k", "n", "s", "q"])
-
-    acc = {}
-    for r in dealt.select("g", "values").mapInArrow(add, "k long, n long, s array<double>, q array<double>").toLocalIterator():
-        n, s, q = acc.get(r.k, (0, 0.0, 0.0))
-        acc[r.k] = (n + r.n, s + np.asarray(r.s), q + np.asarray(r.q).reshape(len(r.s), -1))
-    root, rng, out = np.sqrt(trapezoid_weights(time)), np.random.default_rng(seed), []
-    for _ in range(replicates):
-        w = rng.multinomial(len(acc), np.full(len(acc), 1 / len(acc)))
-        n, s, q = (sum(k * v[i] for k, v in zip(w, acc.values(), strict=True)) for i in range(3))
-        mean = s / n
-        out.append(np.linalg.eigvalsh((q - n * np.outer(mean, mean)) / (n - 1) * np.outer(root, root))[::-1][:n_components])
-    return np.percentile(out, [2.5, 50, 97.5], axis=0)

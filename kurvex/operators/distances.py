@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 CURVE = "curve_id"
+#: Queries that are broadcast at most; beyond it, the number of blocks that they are dealt to.
+BROADCAST_CURVES, BLOCKS = 10_000, 256
 
 
 def curve_arrays(samples: DataFrame, dims: tuple[str, ...] = ("x",)) -> DataFrame:
@@ -18,9 +20,19 @@ def curve_arrays(samples: DataFrame, dims: tuple[str, ...] = ("x",)) -> DataFram
 
 
 def curve_pairs(arrays: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """Pairs of a declared query set (small, broadcast after a check by the caller) with all curves, or all pairs a < b of a declared small set."""
-    a = (arrays if queries is None else queries).select(F.col(CURVE).alias("a"), F.col("values").alias("va"))
+    """Pairs of a declared query set with all curves, or all pairs a < b of a declared small set.
+
+    The queries are broadcast only if their number is at most ``BROADCAST_CURVES``; beyond it they meet all curves in blocks.
+    """
+    queries_ = arrays if queries is None else queries
+    a = queries_.select(F.col(CURVE).alias("a"), F.col("values").alias("va"))
     b = arrays.select(F.col(CURVE).alias("b"), F.col("values").alias("vb"))
+    if queries_.limit(BROADCAST_CURVES + 1).count() <= BROADCAST_CURVES:
+        a = F.broadcast(a)
+    else:
+        a = a.withColumn("_k", F.pmod(F.xxhash64("a"), F.lit(BLOCKS)))
+        b = b.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+        return a.join(b, "_k").where(F.col("a") < F.col("b") if queries is None else F.col("a") != F.col("b")).drop("_k")
     return a.join(b, F.col("a") < F.col("b") if queries is None else F.col("a") != F.col("b"))
 
 
@@ -86,8 +98,45 @@ def alignment_distances(pairs: DataFrame, kind: str, dims: int = 1) -> DataFrame
     return pairs.select("a", "b", run("va", "vb").alias("distance"))
 
 
+def score_distances(scored: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """Euclidean distances of the first k scores: of a declared query set to all curves, or of all pairs of a small set."""
+    values = F.slice("scores", 1, k).alias("values")
+    return l2_distances(curve_pairs(scored.select(CURVE, values), None if queries is None else queries.select(CURVE, values)), [1.0] * k)
+
+
+def ranked(distances: DataFrame, column: str = "distance", buckets: int = 64) -> DataFrame:
+    """Average ranks of a distance over all pairs: buckets by approximate quantiles, ranks inside, offsets of the buckets below."""
+    cuts = distances.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first().q or []
+    b = distances.withColumn("_b", sum(((F.col(column) >= float(c)).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("c"))
+    below = counts.join(counts.select(F.col("_b").alias("o"), F.col("c").alias("n")), F.col("o") < F.col("_b"), "left").groupBy("_b").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_below"))
+    inside = F.rank().over(Window.partitionBy("_b").orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy("_b", column)) - 1) / 2
+    return b.join(F.broadcast(below), "_b").withColumn("rank", inside + F.col("_below")).drop("_b", "_below")
+
+
 def distance_sensitivity(left: DataFrame, right: DataFrame) -> DataFrame:
     """Spearman correlation of two distance tables over their pairs (average ranks)."""
-    j = left.select("a", "b", F.col("distance").alias("p")).join(right.select("a", "b", F.col("distance").alias("q")), ["a", "b"])
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-    return j.select(rank("p").alias("p"), rank("q").alias("q")).agg(F.corr("p", "q").alias("spearman"))
+    a = ranked(left).select("a", "b", F.col("rank").alias("p"))
+    return a.join(ranked(right).select("a", "b", F.col("rank").alias("q")), ["a", "b"]).agg(F.corr("p", "q").alias("spearman"))
+
+
+def compare_specifications(tables: dict[str, DataFrame], k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Distance specifications compared by pairs: (left, right, spearman, mean_jaccard), and per curve a: (a, left, right, jaccard, tie).
+
+    Neighbourhoods are the k nearest of each a; ``tie`` tells that the k-th distance isn't separated from the next in either.
+    """
+    names, overall, local = list(tables), None, None
+    w = Window.partitionBy("a").orderBy("distance", "b")
+    sets = {}
+    for n, t in tables.items():
+        r = t.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+        last, after = F.max(F.when(F.col("r") == k, F.col("distance"))), F.max(F.when(F.col("r") == k + 1, F.col("distance")))
+        sets[n] = r.groupBy("a").agg(F.collect_set(F.when(F.col("r") <= k, F.col("b"))).alias("near"), (F.abs(after - last) <= 1e-12 * F.abs(last)).alias("tie"))
+    for i, left in enumerate(names):
+        for right in names[i + 1 :]:
+            j = sets[left].toDF("a", "p", "tp").join(sets[right].toDF("a", "q", "tq"), "a")
+            jaccard = F.size(F.array_intersect("p", "q")) / F.size(F.array_union("p", "q"))
+            one = j.select("a", F.lit(left).alias("left"), F.lit(right).alias("right"), jaccard.alias("jaccard"), (F.coalesce("tp", F.lit(False)) | F.coalesce("tq", F.lit(False))).alias("tie"))
+            row = distance_sensitivity(tables[left], tables[right]).crossJoin(one.agg(F.avg("jaccard").alias("mean_jaccard"))).select(F.lit(left).alias("left"), F.lit(right).alias("right"), "spearman", "mean_jaccard")
+            overall, local = (row, one) if overall is None else (overall.union(row), local.union(one))
+    return overall, local

@@ -23,8 +23,13 @@ def common_overlap_interval(samples: DataFrame) -> DataFrame:
     return per.agg(F.max("a").alias("start"), F.min("b").alias("end")).withColumn("valid", F.col("end") > F.col("start"))
 
 
+def union_interval(samples: DataFrame) -> DataFrame:
+    """The interval from the first to the last time of any curve."""
+    return samples.agg(F.min("t").alias("start"), F.max("t").alias("end")).withColumn("valid", F.col("end") > F.col("start"))
+
+
 def make_common_grid(interval: DataFrame, n_time: int) -> DataFrame:
-    """``n_time`` equally spaced times over the interval (start, end)."""
+    """``n_time`` equally spaced times over the interval (start, end): that of ``common_overlap_interval``, ``union_interval`` or a declared one."""
     i = F.explode(F.sequence(F.lit(0), F.lit(n_time - 1))).alias("g_idx")
     return interval.select("start", "end", i).select("g_idx", (F.col("start") + F.col("g_idx") * (F.col("end") - F.col("start")) / (n_time - 1)).alias("g"))
 
@@ -64,17 +69,28 @@ def interpolate_short_gaps(samples: DataFrame, dim: str, max_gap: float) -> Data
 
 
 def normalize_time(samples: DataFrame, start: float = 0.0, end: float = 1.0, per_curve: bool = True) -> DataFrame:
-    w = Window.partitionBy(CURVE) if per_curve else Window.partitionBy()
-    lo, hi = F.min("t").over(w), F.max("t").over(w)
-    return samples.withColumn("t", F.lit(start) + (F.col("t") - lo) / (hi - lo) * (end - start))
+    """Times mapped linearly to [start, end], from each curve's range or from that of all curves (one row, broadcast)."""
+    if per_curve:
+        w = Window.partitionBy(CURVE)
+        lo, hi, rows = F.min("t").over(w), F.max("t").over(w), samples
+    else:
+        rows = samples.crossJoin(F.broadcast(samples.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))))
+        lo, hi = F.col("_lo"), F.col("_hi")
+    return rows.withColumn("t", F.lit(start) + (F.col("t") - lo) / (hi - lo) * (end - start)).drop("_lo", "_hi")
 
 
 def normalize_coordinates(samples: DataFrame, width: float, height: float, x: str = "x", y: str = "y") -> DataFrame:
     return samples.withColumns({x: F.col(x) / width, y: F.col(y) / height})
 
 
-def center_on_landmark(samples: DataFrame, landmark_x: float, landmark_y: float, x: str = "x", y: str = "y") -> DataFrame:
-    return samples.withColumns({x: F.col(x) - landmark_x, y: F.col(y) - landmark_y})
+def center_on_landmark(samples: DataFrame, landmark_x: float | None = None, landmark_y: float | None = None, x: str = "x", y: str = "y", landmarks: DataFrame | None = None) -> DataFrame:
+    """Coordinates relative to one landmark, or to each curve's own (``landmarks``: curve_id, landmark_x, landmark_y; a curve without one is an error)."""
+    if landmarks is None:
+        return samples.withColumns({x: F.col(x) - landmark_x, y: F.col(y) - landmark_y})
+    if not samples.select(CURVE).distinct().join(landmarks, CURVE, "left_anti").isEmpty():
+        raise ValueError("a curve has no landmark")
+    rows = samples.join(landmarks.select(CURVE, "landmark_x", "landmark_y"), CURVE)
+    return rows.withColumns({x: F.col(x) - F.col("landmark_x"), y: F.col(y) - F.col("landmark_y")}).drop("landmark_x", "landmark_y")
 
 
 def differentiate(samples: DataFrame, dims: tuple[str, ...] = ("x", "y"), order: int = 1) -> DataFrame:
@@ -142,3 +158,66 @@ def landmark_warp(grid: DataFrame, observed: DataFrame, reference: DataFrame) ->
 def phase_summary(warps: DataFrame) -> DataFrame:
     d = F.col("warped") - F.col("t")
     return warps.groupBy(CURVE).agg(F.avg(F.abs(d)).alias("mean_abs_displacement"), F.max(F.abs(d)).alias("max_abs_displacement"), F.avg(d).alias("mean_displacement"))
+
+
+def simplex_violations(parts: DataFrame, dims: tuple[str, ...], tolerance: float = 1e-7) -> DataFrame:
+    """How many compositions have a negative part or don't sum to one (absolute tolerance, and 1e-5 relative): one row."""
+    total = sum((F.col(d) for d in dims), F.lit(0.0))
+    count = lambda c: F.count(F.when(c, 1))
+    return parts.agg(F.count(F.lit(1)).alias("n_points"), count(F.least(*dims) < -tolerance).alias("negative"), count(F.abs(total - 1) > tolerance + 1e-5).alias("not_closed"))
+
+
+def validate_simplex(parts: DataFrame, dims: tuple[str, ...], tolerance: float = 1e-7) -> None:
+    v = simplex_violations(parts, dims, tolerance).first()
+    if v.negative or v.not_closed:
+        raise ValueError(f"{v.negative} compositions have a negative part, {v.not_closed} don't sum to one")
+
+
+def validate_missing(samples: DataFrame, dims: tuple[str, ...], max_fraction: float) -> None:
+    """Fails when a curve's share of samples with any missing dimension is over the tolerance."""
+    missing = F.lit(False)
+    for d in dims:
+        missing = missing | F.col(d).isNull()
+    bad = samples.groupBy(CURVE).agg(F.avg(missing.cast("double")).alias("share")).where(F.col("share") > max_fraction)
+    found = [r[CURVE] for r in bad.orderBy(CURVE).limit(5).collect()]
+    if found:
+        raise ValueError(f"curves miss more than {max_fraction:g} of their samples: {found}")
+
+
+def require_defined(samples: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """The samples, if no direction measure is undefined anywhere (speed at or below its bound); else an error."""
+    bad = F.lit(False)
+    for m in measures:
+        bad = bad | F.col(m).isNull()
+    if not samples.where(bad).isEmpty():
+        raise ValueError(f"undefined: {', '.join(measures)}")
+    return samples
+
+
+def register(samples: DataFrame, warps: DataFrame, dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """Curves resampled through their warps: value at grid time t is the curve's at h(t), by linear interpolation.
+
+    ``warps`` has curve_id, t, warped.  Warped times and samples are put in one sorted stream per curve, as in ``resample_linear``.
+    """
+    points = warps.select(CURVE, F.col("warped").alias("s"), F.col("t").alias("grid_t"), *(F.lit(None).cast("double").alias(d) for d in dims), F.lit(0).alias("is_sample"))
+    both = samples.select(CURVE, F.col("t").alias("s"), F.lit(None).cast("double").alias("grid_t"), *dims, F.lit(1).alias("is_sample")).unionByName(points)
+    back = Window.partitionBy(CURVE).orderBy("s", F.desc("is_sample")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(CURVE).orderBy("s", "is_sample").rowsBetween(0, Window.unboundedFollowing)
+    for d in dims:
+        v = F.when((F.col("is_sample") == 1) & F.col(d).isNotNull(), F.struct(F.col("s").alias("t"), F.col(d).alias("v")))
+        both = both.withColumn(f"_b{d}", F.last(v, True).over(back)).withColumn(f"_a{d}", F.first(v, True).over(ahead))
+    w = Window.partitionBy(CURVE).orderBy("t")
+    out = both.where("is_sample = 0").select(CURVE, F.col("grid_t").alias("t"), *(_blend(F.col(f"_b{d}"), F.col(f"_a{d}"), F.col("s"), None).alias(d) for d in dims))
+    return out.withColumn("t_idx", F.row_number().over(w) - 1)
+
+
+def phase_curves(warps: DataFrame, kind: str = "displacement") -> DataFrame:
+    """Warps as curves of one dimension (curve_id, t_idx, t, x): the displacement h(t) - t, or h(t) itself."""
+    w = Window.partitionBy(CURVE).orderBy("t")
+    value = F.col("warped") - F.col("t") if kind == "displacement" else F.col("warped")
+    return warps.select(CURVE, (F.row_number().over(w) - 1).alias("t_idx"), "t", value.alias("x"))
+
+
+def landmark_frame(observed: DataFrame, reference: DataFrame) -> DataFrame:
+    """Each curve's landmarks beside the reference's, with their shift."""
+    return observed.join(F.broadcast(reference.select("k", F.col("at").alias("reference"))), "k").select(CURVE, "k", "at", "reference", (F.col("at") - F.col("reference")).alias("shift"))

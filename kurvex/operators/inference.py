@@ -6,6 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import simultaneous
+from ..functions.sums import add_up, gram, scalars, vector, wild_sums
+from .stability import higher
+
 
 def function_on_scalar(samples: DataFrame, predictor: str, value: str = "x") -> DataFrame:
     """Pointwise least squares of the value on one predictor: intercept, slope, HC1 standard error of the slope."""
@@ -15,24 +19,10 @@ def function_on_scalar(samples: DataFrame, predictor: str, value: str = "x") ->
 
 
 def design_regression(arrays: DataFrame, design: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (predictors x grid) and (X'X)^-1 for many predictors; X'X and X'Y are added up per task."""
-    import pyarrow as pa
-
-    def run(batches):
-        xx = xy = None
-        for b in batches:
-            x = np.stack([np.asarray(b.column(k), float) for k in range(len(design))], 1)
-            y = np.asarray(b.column(len(design)).flatten(), float).reshape(len(b), -1)
-            xx, xy = (x.T @ x, x.T @ y) if xx is None else (xx + x.T @ x, xy + x.T @ y)
-        if xx is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([xx.ravel().tolist()], pa.list_(pa.float64())), pa.array([xy.ravel().tolist()], pa.list_(pa.float64()))], ["xx", "xy"])
-
-    xx = xy = 0.0
-    for r in arrays.select(*design, "values").mapInArrow(run, "xx array<double>, xy array<double>").toLocalIterator():
-        xx, xy = xx + np.asarray(r.xx), xy + np.asarray(r.xy)
-    p = len(design)
-    inverse = np.linalg.inv(xx.reshape(p, p))
-    return inverse @ xy.reshape(p, -1), inverse
+    """Coefficients (predictors x grid) and (X'X)^-1 for many predictors; X'X and X'Y are one Gram matrix."""
+    g, p = gram(arrays, F.concat(scalars(*design), F.col("values"))), len(design)
+    inverse = np.linalg.inv(g[:p, :p])
+    return inverse @ g[:p, p:], inverse
 
 
 def mean_function(samples: DataFrame, value: str = "x") -> DataFrame:
@@ -40,36 +30,44 @@ def mean_function(samples: DataFrame, value: str = "x") -> DataFrame:
     return samples.groupBy("t_idx").agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"))
 
 
-def multiplier_mean_band(arrays: DataFrame, replicates: int = 200, level: float = 0.95, seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mean, standard error and the simultaneous critical value from Gaussian multipliers; the draws are keyed by curve, so tasks add up."""
-    import pyarrow as pa
-
-    from .decomposition import moments
-
-    n, s, g = moments(arrays)
-    mean, se = s / n, np.sqrt(np.maximum(np.diag(g) / n - (s / n) ** 2, 0) * n / (n - 1) / n)
+def unit_means(arrays: DataFrame, unit: str) -> DataFrame:
+    """Mean values of each unit's curves (curve_id: the unit's hash), pre-aggregated in every task."""
+    parts = arrays.select(F.xxhash64(unit).alias("curve_id"), F.lit(1.0).alias("n"), "values")
+    return add_up(parts, ["curve_id"]).select("curve_id", F.transform("values", lambda v: v / F.col("n")).alias("values"))
 
-    def run(batches):
-        total = 0.0
-        for b in batches:
-            m = np.asarray(b.column(1).flatten(), float).reshape(len(b), -1) - mean
-            z = np.stack([np.random.default_rng([seed, int(i) & 0x7FFFFFFF]).standard_normal(replicates) for i in np.asarray(b.column(0))])
-            total = total + z.T @ m
-        if not np.isscalar(total):
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["z"])
 
-    z = sum(np.asarray(r.z) for r in arrays.select("curve_id", "values").mapInArrow(run, "z array<double>").toLocalIterator()).reshape(replicates, -1)
-    top = np.abs(z / n / np.where(se > 0, se, np.inf)).max(1)
-    return mean, se, float(np.quantile(top, level))
+def multiplier_mean_band(arrays: DataFrame, replicates: int = 200, level: float = 0.95, seed: int = 0, unit: str | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, standard error and the simultaneous critical value from Gaussian multipliers of curves, or of ``unit`` (the mean of unit means).
 
+    The draws are a function of the unit, so tasks add up; points without variance don't count, the quantile isn't interpolated.
+    """
+    from .decomposition import moments
 
-def conformal_p_values(calibration: DataFrame, target: DataFrame) -> DataFrame:
-    """(1 + number of calibration scores at or above the target's) / (n + 1), by ranks in one sorted stream."""
-    both = calibration.select(F.lit(None).cast("long").alias("curve_id"), "score", F.lit(1).alias("c")).union(target.select("curve_id", "score", F.lit(0)))
-    above = F.sum("c").over(Window.orderBy(F.desc("score"), F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = arrays if unit is None else unit_means(arrays, unit)
+    n, s, g = moments(rows)
+    mean, se = s / n, np.sqrt(np.maximum(np.diag(g) / n - (s / n) ** 2, 0) * n / (n - 1) / n)
+    z = wild_sums(rows, F.array(F.lit(1.0)), vector("values"), "curve_id", replicates, "normal", seed)[:, 0]
+    return mean, se, float(simultaneous(((z[:, 1:] - z[:, :1] * mean) / n)[:, None], np.zeros((1, len(mean))), se[None], level, "family")[0])
+
+
+def conformal_p_values(calibration: DataFrame, target: DataFrame, buckets: int = 64) -> DataFrame:
+    """(1 + number of calibration scores at or above the target's) / (n + 1).
+
+    Scores are dealt to buckets of about equal size by approximate quantiles, ranked inside a bucket, and offset by the
+    counts of the buckets above: ranks are exact, and no task gets all rows.
+    """
+    cuts = calibration.agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], 10_000).alias("q")).first().q or []
+    bucket = sum(((F.col("score") >= float(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    kind = dict(target.dtypes)["curve_id"]
+    both = calibration.select(F.lit(None).cast(kind).alias("curve_id"), F.col("score").cast("double").alias("score"), F.lit(1).alias("c")).union(target.select("curve_id", F.col("score").cast("double"), F.lit(0)))
+    both = both.withColumn("bucket", bucket)
+    counts = both.where("c = 1").groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+    inside = F.sum("c").over(Window.partitionBy("bucket").orderBy(F.desc("score"), F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = both.withColumn("inside", inside).where("c = 0")
+    above = ranked.select("bucket").distinct().join(F.broadcast(counts.toDF("other", "k")), F.col("other") > F.col("bucket"), "left").groupBy("bucket").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("above"))
     n = calibration.agg(F.count(F.lit(1)).alias("n"))
-    ranked = both.withColumn("k", above).where("c = 0")
-    return ranked.crossJoin(F.broadcast(n)).select("curve_id", "score", ((1 + F.col("k")) / (1 + F.col("n"))).alias("p_value"))
+    out = ranked.join(F.broadcast(above), "bucket").crossJoin(F.broadcast(n))
+    return out.select("curve_id", "score", ((1 + F.col("inside") + F.col("above")) / (1 + F.col("n"))).alias("p_value"))
 
 
 def robust_z(rows: DataFrame, value: str) -> DataFrame:
@@ -80,40 +78,26 @@ def robust_z(rows: DataFrame, value: str) -> DataFrame:
     return dev.crossJoin(F.broadcast(mad)).withColumn("z", F.when(F.col("mad") > 0, 0.67448975 * (F.col(value) - F.col("med")) / F.col("mad")).otherwise(0.0)).drop("med", "mad")
 
 
-def draws(units: DataFrame, replicates: int, seed: int, kind: str = "rademacher") -> DataFrame:
-    """(unit, rep, w): reproducible wild weights or Poisson bootstrap counts, a function of unit, replicate and seed alone."""
-    u = F.pmod(F.xxhash64("unit", "rep", F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    r = units.select("unit", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    if kind == "rademacher":
-        return r.withColumn("w", F.when(u < 0.5, -1.0).otherwise(1.0))
-    edges, w, p, acc = [], F.lit(7.0), np.exp(-1.0), 0.0
-    for k in range(7):
-        acc += p
-        edges.append(acc)
-        p /= k + 1
-    for k in range(6, -1, -1):
-        w = F.when(u < edges[k], float(k)).otherwise(w)
-    return r.withColumn("w", w)
-
-
 def wild_slope_bootstrap(rows: DataFrame, y: str, x: str, replicates: int, seed: int = 0) -> DataFrame:
     """Wild bootstrap of a scalar slope under the null: replicate slopes from sign-flipped null residuals."""
     m = rows.agg(F.avg(y).alias("my"), F.avg(x).alias("mx"), F.regr_sxx(y, x).alias("sxx"))
-    r = rows.crossJoin(F.broadcast(m)).select("unit", ((F.col(x) - F.col("mx")) * (F.col(y) - F.col("my")) / F.col("sxx")).alias("h"))
-    return r.join(draws(rows.select("unit").distinct(), replicates, seed), "unit").groupBy("rep").agg(F.sum(F.col("h") * F.col("w")).alias("slope"))
+    h = rows.crossJoin(F.broadcast(m)).select("unit", ((F.col(x) - F.col("mx")) * (F.col(y) - F.col("my")) / F.col("sxx")).alias("h"))
+    total = wild_sums(h, F.array(F.lit(1.0)), F.array("h"), "unit", replicates, "rademacher", seed)[:, 0, 0]
+    return rows.sparkSession.createDataFrame([(r, float(v)) for r, v in enumerate(total)], "rep int, slope double")
 
 
 def bootstrap_means(rows: DataFrame, value: str, replicates: int, seed: int = 0) -> DataFrame:
     """Poisson bootstrap replicates of the mean over units."""
-    return rows.join(draws(rows.select("unit").distinct(), replicates, seed, "poisson"), "unit").groupBy("rep").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"))
+    total = wild_sums(rows.where(F.col(value).isNotNull()), F.array(F.lit(1.0)), F.array(F.lit(1.0), F.col(value).cast("double")), "unit", replicates, "poisson", seed)[:, 0]
+    return rows.sparkSession.createDataFrame([(r, float(v[1] / v[0])) for r, v in enumerate(total) if v[0] > 0], "rep int, mean double")
 
 
 def simultaneous_band(estimate: DataFrame, replicates: DataFrame, level: float = 0.95) -> DataFrame:
-    """Bands estimate ± c * se with c the level's quantile of max |draw - estimate| / se; (t_idx, estimate) and (rep, t_idx, value)."""
+    """Bands estimate ± c * se with c the level's quantile (not interpolated) of max |draw - estimate| / se; (t_idx, estimate) and (rep, t_idx, value)."""
     e = replicates.join(F.broadcast(estimate), "t_idx")
     se = e.groupBy("t_idx").agg(F.stddev_samp("value").alias("se"))
-    top = e.join(F.broadcast(se), "t_idx").groupBy("rep").agg(F.max(F.abs(F.col("value") - F.col("estimate")) / F.col("se")).alias("m"))
-    c = top.agg(F.percentile("m", level).alias("c"))
+    top = e.join(F.broadcast(se), "t_idx").groupBy("rep").agg(F.max(F.when(F.col("se") > 0, F.abs(F.col("value") - F.col("estimate")) / F.col("se")).otherwise(0.0)).alias("m"))
+    c = top.agg(higher("m", level).alias("c"))
     return estimate.join(se, "t_idx").crossJoin(F.broadcast(c)).select("t_idx", "estimate", "se", (F.col("estimate") - F.col("c") * F.col("se")).alias("lower"), (F.col("estimate") + F.col("c") * F.col("se")).alias("upper"))
 
 

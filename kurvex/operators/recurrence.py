@@ -1,7 +1,8 @@
 """Embedding, recurrence quantification, recurrence networks, divergence and sections.
 
-All pair work is an equi-join on the curve with a residual predicate, so it stays within curves; a
-curve's own length bounds its pairs.  ``pairs`` is (curve_id, i, j) with i < j.
+Pairs within a radius meet in cells: states are dealt to a grid of cells as wide as the radius, and a cell only
+meets its neighbours, an equi-join on (curve, cell).  So neither work nor skew follows the square of a curve's length,
+but for states that really are that near.  ``pairs`` is (curve_id, i, j) with i < j; line measures read them once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analytic import along
+from ..functions.shared import stored
 
 CURVE = "curve_id"
 
@@ -59,44 +61,92 @@ def _pairs(samples: DataFrame, dims: tuple[str, ...], theiler: int, metric: str,
     return a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.t_idx").alias("i"), F.col("b.t_idx").alias("j"), distance("a", "b", dims, metric).alias("d"))
 
 
+def _cells(side: str, dims: tuple[str, ...], radius: float, spread: bool):
+    """Cell of a state as one array column; with ``spread`` its cell and all neighbours, one row each."""
+    own = [F.floor(F.col(d) / (radius * (1 + 1e-9))).cast("long") for d in dims]  # a little wider: distances are rounded
+    if not spread:
+        return F.array(*own).alias(side)
+    moves = [()]
+    for _ in own:
+        moves = [(*m, k) for m in moves for k in (-1, 0, 1)]
+    return F.explode(F.array(*(F.array(*(c + k for c, k in zip(own, m, strict=True))) for m in moves))).alias(side)
+
+
+def near_pairs(a: DataFrame, b: DataFrame, dims: tuple[str, ...], radius: float, metric: str, keys: tuple[str, ...], also: Column | None = None) -> DataFrame:
+    """Pairs of a's and b's samples at a distance of at most ``radius``, with keys, i, j and d; ``also`` is a condition on (i, j).
+
+    Cells have one, two or three dimensions at most (the first ones): any more multiply neighbours without pruning much.
+    """
+    grid = dims[:3]
+    known = lambda x: x.where(reduce(lambda p, q: p & q, [F.col(d).isNotNull() for d in dims]))
+    if radius > 0:
+        left = known(a).select(*keys, F.col("t_idx").alias("i"), F.struct(*dims).alias("p"), _cells("cell", grid, radius, True))
+        right = known(b).select(*keys, F.col("t_idx").alias("j"), F.struct(*dims).alias("q"), _cells("cell", grid, radius, False))
+    else:  # only equal states
+        cell = F.array(*(F.col(d).cast("double") for d in grid)).alias("cell")
+        left = known(a).select(*keys, F.col("t_idx").alias("i"), F.struct(*dims).alias("p"), cell)
+        right = known(b).select(*keys, F.col("t_idx").alias("j"), F.struct(*dims).alias("q"), cell)
+    both = left.join(right, [*keys, "cell"])
+    both = both if also is None else both.where(also)
+    return both.withColumn("d", distance("p", "q", dims, metric)).where(F.col("d") <= radius).select(*keys, "i", "j", "d")
+
+
 def recurrence_pairs(samples: DataFrame, dims: tuple[str, ...], radius: float, theiler: int = 0, metric: str = "euclidean", keys: tuple[str, ...] = (CURVE,)) -> DataFrame:
-    """Recurrent pairs i < j with j - i > theiler and distance <= radius (inclusive)."""
-    return _pairs(samples, dims, theiler, metric, keys).where(F.col("d") <= radius).select(*keys, "i", "j")
+    """Recurrent pairs i < j with j - i > theiler and distance <= radius (inclusive); missing states have none."""
+    return near_pairs(samples, samples, dims, radius, metric, keys, F.col("j") - F.col("i") > theiler).select(*keys, "i", "j")
 
 
 def cross_recurrence_pairs(a: DataFrame, b: DataFrame, dims: tuple[str, ...], radius: float) -> DataFrame:
     """(i, j) of two declared curves' samples within the radius, all of both."""
-    x, y = a.alias("a"), b.alias("b")
-    return x.join(y, distance("a", "b", dims) <= radius).select(F.col("a.t_idx").alias("i"), F.col("b.t_idx").alias("j"))
+    return near_pairs(a, b, dims, radius, "euclidean", ()).select("i", "j")
+
+
+def eligible_pairs(samples: DataFrame, theiler: int, keys: tuple[str, ...] = (CURVE,)) -> DataFrame:
+    """Number of samples and of pairs with j - i > theiler of every curve, by the formula."""
+    m = F.col("n") - theiler
+    n = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("eligible", F.when(m > 1, (m * (m - 1) / 2).cast("long")).otherwise(F.lit(0).cast("long")))
 
 
 def radius_profile(samples: DataFrame, dims: tuple[str, ...], radii: list[float], theiler: int = 0) -> DataFrame:
-    """Per curve and radius: pairs within it and their share of the eligible pairs; one pass over the pairs."""
-    p = _pairs(samples, dims, theiler, "euclidean")
-    counts = p.groupBy(CURVE).agg(F.count(F.lit(1)).alias("eligible"), *(F.count(F.when(F.col("d") <= r, 1)).alias(f"c{k}") for k, r in enumerate(radii)))
-    rows = F.explode(F.array(*(F.struct(F.lit(float(r)).alias("radius"), F.col(f"c{k}").alias("n_pairs")) for k, r in enumerate(radii)))).alias("z")
-    return counts.select(CURVE, "eligible", rows).select(CURVE, "z.radius", "z.n_pairs", (F.col("z.n_pairs") / F.col("eligible")).alias("rate"))
-
-
-def line_lengths(pairs: DataFrame, line: str, keys: tuple[str, ...]) -> DataFrame:
-    """Lengths of unbroken lines: ``line`` is the diagonal (j - i fixed) or vertical (j fixed) family."""
-    if line == "diagonal":
-        p, fixed, run = pairs.withColumn("f", F.col("j") - F.col("i")), "f", "i"
-    else:
-        p, fixed, run = pairs.withColumn("f", F.col("j")), "f", "i"
-    island = F.col(run) - F.row_number().over(Window.partitionBy(*keys, fixed).orderBy(run))
-    return p.withColumn("island", island).groupBy(*keys, fixed, "island").agg(F.count(F.lit(1)).alias("length"))
-
-
-def _line_metrics(lines: DataFrame, keys: tuple[str, ...], least: int, names: tuple[str, str, str, str], entropy: bool) -> DataFrame:
-    long = F.col("length") >= least
-    agg = [F.sum(F.when(long, F.col("length")).otherwise(0)).alias("_in"), F.sum("length").alias("_all"), F.avg(F.when(long, F.col("length"))).alias(names[1]), F.max(F.when(long, F.col("length"))).alias(names[2])]
-    out = lines.groupBy(*keys).agg(*agg).withColumn(names[0], F.col("_in") / F.col("_all")).drop("_in", "_all")
-    if entropy:
-        freq = lines.where(long).groupBy(*keys, "length").agg(F.count(F.lit(1)).alias("c"))
-        freq = freq.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy(*keys)))
-        out = out.join(freq.groupBy(*keys).agg((-F.sum(F.col("p") * F.log("p"))).alias(names[3])), list(keys), "left")
-    return out
+    """Per curve and radius: pairs within it and their share of the eligible pairs; one pass over the pairs within the largest radius."""
+    p = near_pairs(samples, samples, dims, max(radii), "euclidean", (CURVE,), F.col("j") - F.col("i") > theiler)
+    counts = p.groupBy(CURVE).agg(*(F.count(F.when(F.col("d") <= r, 1)).alias(f"c{k}") for k, r in enumerate(radii)))
+    rows = F.explode(F.array(*(F.struct(F.lit(float(r)).alias("radius"), F.coalesce(F.col(f"c{k}"), F.lit(0)).alias("n_pairs")) for k, r in enumerate(radii)))).alias("z")
+    out = eligible_pairs(samples, theiler).where("eligible > 0").join(counts, CURVE, "left").select(CURVE, "eligible", rows)
+    return out.select(CURVE, "z.radius", "z.n_pairs", (F.col("z.n_pairs") / F.col("eligible")).alias("rate"))
+
+
+def line_lengths(pairs: DataFrame, keys: tuple[str, ...], symmetric: bool = True) -> DataFrame:
+    """Histogram of unbroken lines: keys, family (0 diagonal, 1 vertical), length, lines, and the lines' offsets times lengths.
+
+    Each pair is read once and stands in its diagonal and, ``symmetric``, in two columns of the full matrix.
+    """
+    row = lambda family, fixed, run: F.struct(F.lit(family).alias("family"), fixed.cast("long").alias("fixed"), run.cast("long").alias("run"))
+    i, j = F.col("i"), F.col("j")
+    cells = [row(0, j - i, i), row(1, j, i)] + ([row(1, i, j)] if symmetric else [])
+    p = pairs.select(*keys, F.explode(F.array(*cells)).alias("z")).select(*keys, "z.family", "z.fixed", "z.run")
+    island = F.col("run") - F.row_number().over(Window.partitionBy(*keys, "family", "fixed").orderBy("run"))
+    lines = p.withColumn("island", island).groupBy(*keys, "family", "fixed", "island").agg(F.count(F.lit(1)).alias("length"))
+    return lines.groupBy(*keys, "family", "length").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("fixed") * F.col("length")).alias("offsets"))
+
+
+def line_measures(histogram: DataFrame, keys: tuple[str, ...], min_diagonal: int = 2, min_vertical: int = 2) -> DataFrame:
+    """All line measures of a histogram by one aggregate: shares, means, longest lines and the entropy of diagonal lengths (nats)."""
+    length, lines = F.col("length"), F.col("lines")
+    diagonal, vertical = F.col("family") == 0, F.col("family") == 1
+    d, v = diagonal & (length >= min_diagonal), vertical & (length >= min_vertical)
+    total = lambda cond, value: F.sum(F.when(cond, value))
+    a = histogram.groupBy(*keys).agg(
+        total(diagonal, length * lines).alias("n_pairs"), total(diagonal, F.col("offsets")).alias("lag_sum"), total(vertical, length * lines).alias("_v"),
+        F.coalesce(total(d, length * lines), F.lit(0)).alias("_dl"), total(d, lines).alias("_dn"), F.max(F.when(d, length)).alias("max_diagonal"), total(d, lines * F.log(lines)).alias("_de"),
+        F.coalesce(total(v, length * lines), F.lit(0)).alias("_vl"), total(v, lines).alias("_vn"), F.max(F.when(v, length)).alias("max_vertical"),
+    )
+    return a.withColumns({
+        "determinism": F.col("_dl") / F.col("n_pairs"), "mean_diagonal": F.when(F.col("_dn") > 0, F.col("_dl") / F.col("_dn")), "diagonal_lines": F.coalesce("_dn", F.lit(0)),
+        "diagonal_entropy": F.when(F.col("_dn") > 0, F.log("_dn") - F.col("_de") / F.col("_dn")),
+        "laminarity": F.col("_vl") / F.col("_v"), "trapping_time": F.when(F.col("_vn") > 0, F.col("_vl") / F.col("_vn")),
+    }).drop("_v", "_dl", "_dn", "_de", "_vl", "_vn")
 
 
 def rqa_metrics(samples: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = (CURVE,), min_diagonal: int = 2, min_vertical: int = 2) -> DataFrame:
@@ -106,15 +156,19 @@ def rqa_metrics(samples: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = (C
     """
     k = list(keys)
     n = samples.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-    count = pairs.groupBy(*k).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("j") - F.col("i")).alias("lag_sum"))
-    diagonal = _line_metrics(line_lengths(pairs, "diagonal", keys), keys, min_diagonal, ("determinism", "mean_diagonal", "max_diagonal", "diagonal_entropy"), True)
-    full = pairs.select(*k, "i", "j").union(pairs.select(*k, "j", "i"))
-    vertical = _line_metrics(line_lengths(full, "vertical", keys), keys, min_vertical, ("laminarity", "trapping_time", "max_vertical", ""), False)
-    out = n.join(count, k, "left").join(diagonal, k, "left").join(vertical, k, "left")
+    out = n.join(line_measures(line_lengths(pairs, keys), keys, min_diagonal, min_vertical), k, "left")
     rate = 2 * F.coalesce("n_pairs", F.lit(0)) / (F.col("n") * F.col("n"))
     return out.select(*k, "n", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), rate.alias("recurrence_rate"), "determinism", "mean_diagonal", "max_diagonal", "diagonal_entropy", "laminarity", "trapping_time", "max_vertical", (100 * F.col("lag_sum") / ((F.col("n") - 1) * F.col("n_pairs"))).alias("corm"))
 
 
+def cross_rqa_metrics(a: DataFrame, b: DataFrame, pairs: DataFrame, min_diagonal: int = 2, min_vertical: int = 2) -> DataFrame:
+    """The line measures of a cross recurrence (i of a, j of b): one row; all cells count, both triangles apart."""
+    measures = line_measures(line_lengths(pairs.withColumn("_one", F.lit(1)), ("_one",), False), ("_one",), min_diagonal, min_vertical)
+    size = a.agg(F.count(F.lit(1)).alias("n_a")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_b"))).withColumn("_one", F.lit(1))
+    out = size.join(measures, "_one", "left")
+    return out.select("n_a", "n_b", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), (F.coalesce("n_pairs", F.lit(0)) / (F.col("n_a") * F.col("n_b"))).alias("recurrence_rate"), "determinism", "mean_diagonal", "max_diagonal", F.coalesce("diagonal_lines", F.lit(0)).alias("diagonal_lines"), "diagonal_entropy", "laminarity", "trapping_time", "max_vertical")
+
+
 def windows(samples: DataFrame, window: int, step: int) -> DataFrame:
     """Samples of each full window (window_start); a tail shorter than the window has none."""
     last = F.floor((F.count(F.lit(1)).over(Window.partitionBy(CURVE)) - window) / step) * step
@@ -217,17 +271,65 @@ def false_neighbours(samples: DataFrame, dim: str, delay: int, max_dimension: in
     return out
 
 
-def radius_for_rate(samples: DataFrame, dims: tuple[str, ...], rate: float, theiler: int = 0, steps: int = 24, branch: int = 6) -> DataFrame:
-    """Per curve the least radius found by bisection whose share of eligible pairs reaches ``rate``.
+def radius_for_rate(samples: DataFrame, dims: tuple[str, ...], rate: float, theiler: int = 0, steps: int = 48, branch: int = 6) -> DataFrame:
+    """Per curve the least radius found by ``steps`` halvings of [0, length of the ranges] whose share of eligible pairs reaches ``rate``.
 
-    The pair distances are aggregated anew each pass for 2**branch - 1 inner radii at once, which are ``branch`` halvings.
+    A pass counts the pairs within 2**branch - 1 inner radii at once, which are ``branch`` halvings; the curves' bounds are all
+    that is kept from pass to pass.  All pairs of a curve are needed, as the radius isn't known before.
     """
-    pairs = _pairs(samples, dims, theiler, "euclidean").cache()
-    bounds = pairs.groupBy(CURVE).agg(F.lit(0.0).alias("lo"), F.max("d").alias("hi"))
+    pairs = _pairs(samples, dims, theiler, "euclidean")
+    spread = sum(((F.max(d) - F.min(d)) * (F.max(d) - F.min(d)) for d in dims), F.lit(0.0))
+    bounds = samples.groupBy(CURVE).agg(F.lit(0.0).alias("lo"), F.sqrt(spread).alias("hi"))
     cells = 1 << branch
-    for _ in range(-(-steps // branch)):  # one row per curve; each pass is a plan of one aggregate over the kept pairs
+    for _ in range(-(-steps // branch)):
         at = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * (k / cells)
         counts = pairs.join(bounds, CURVE).groupBy(CURVE, "lo", "hi").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("d") <= at(k), 1)).alias(f"c{k}") for k in range(1, cells + 1)))
         below = sum((F.when(F.col(f"c{k}") / F.col("n") < rate, 1).otherwise(0) for k in range(1, cells)), F.lit(0))
         bounds = counts.withColumn("b", below).select(CURVE, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("b") / cells).alias("lo"), (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("b") + 1) / cells).alias("hi"))
+        bounds = stored(bounds, "bounds")
     return bounds.select(CURVE, F.col("hi").alias("radius"))
+
+
+def network_components(samples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Connected components of every curve's recurrence network: how many, and the size of the largest.
+
+    Labels fall to the least of a node's neighbours and of their labels (hooking and pointer jumping), so the rounds grow
+    with the logarithm of a network's diameter; every round is stored.
+    """
+    both = stored(pairs.select(CURVE, F.col("i").alias("a"), F.col("j").alias("b")).union(pairs.select(CURVE, "j", "i")), "edges")
+    labels = stored(samples.select(CURVE, F.col("t_idx").cast("long").alias("node"), F.col("t_idx").cast("long").alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(CURVE, F.col("node").alias("b"), "label"), [CURVE, "b"]).groupBy(CURVE, F.col("a").cast("long").alias("node")).agg(F.min("label").alias("m"))
+        hooked = labels.join(near, [CURVE, "node"], "left").select(CURVE, "node", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        onward = hooked.select(CURVE, F.col("node").alias("label"), F.col("label").alias("jump"))
+        fresh = stored(hooked.join(onward, [CURVE, "label"]).select(CURVE, "node", "old", F.least("label", "jump").alias("label")), "labels")
+        done = fresh.where("label <> old").isEmpty()
+        labels = fresh.select(CURVE, "node", "label")
+        if done:
+            break
+    sizes = labels.groupBy(CURVE, "label").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy(CURVE).agg(F.count(F.lit(1)).alias("n_components"), F.max("n").alias("largest_component"))
+
+
+def joint_components(pairs: dict[str, DataFrame], joint: DataFrame) -> DataFrame:
+    """Pairs of each system, of all together, and the share of a system's pairs that are joint: (curve_id, system, n_pairs, joint_share)."""
+    shared = joint.groupBy(CURVE).agg(F.count(F.lit(1)).alias("joint"))
+    out = None
+    for name, p in pairs.items():
+        row = p.groupBy(CURVE).agg(F.count(F.lit(1)).alias("n_pairs")).join(shared, CURVE, "left").select(CURVE, F.lit(name).alias("system"), "n_pairs", (F.coalesce("joint", F.lit(0)) / F.col("n_pairs")).alias("joint_share"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def metric_arrays(windowed: DataFrame, metric: str) -> DataFrame:
+    """A windowed measure as curves (curve_id, values in window order); curves must have the same windows and no missing value."""
+    rows = windowed.groupBy(CURVE).agg(F.array_sort(F.collect_list(F.struct("window_start", F.col(metric).cast("double").alias("v")))).alias("s"), F.count(metric).alias("n"))
+    return rows.where(F.col("n") == F.size("s")).select(CURVE, F.col("s.v").alias("values"))
+
+
+def windowed_mean_band(windowed: DataFrame, metric: str, replicates: int = 500, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Simultaneous band of a windowed measure's mean over curves that share their windows: (window, mean, se, lower, upper)."""
+    from .inference import multiplier_mean_band
+
+    mean, se, c = multiplier_mean_band(metric_arrays(windowed, metric), replicates, level, seed)
+    return windowed.sparkSession.createDataFrame([(i, float(m), float(s), float(m - c * s), float(m + c * s)) for i, (m, s) in enumerate(zip(mean, se, strict=True))], "window int, mean double, se double, lower double, upper double")

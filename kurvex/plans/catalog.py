@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 from ..operators import decomposition as dec
 from ..operators import distances as dist
+from ..operators import function_on_scalar as fos
+from ..operators import functional_mixed as fm
+from ..operators import generalized as gen
 from ..operators import geometry as geo
 from ..operators import inference as inf
 from ..operators import information as info
 from ..operators import observation as obs
 from ..operators import recurrence as rec
+from ..operators import score_regression as sr
 from ..operators import sparse
+from ..operators import sparse_fit as sf
+from ..operators import stability as stab
+from ..operators import wild
 from ..sources.curves import embeddings, events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,11 +47,11 @@ def _round(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def query(sql: str | None = None):
-    """Registers a query by its name; ``sql`` is its oracle."""
+def query(sql: str | None = None, exact: bool = False):
+    """Registers a query by its name; ``sql`` is its oracle.  ``exact``: plain arithmetic that both engines do alike isn't rounded."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: _round(f(spark, sf_dir))
+        QUERIES[f.__name__] = f if exact else lambda spark, sf_dir: _round(f(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -145,7 +152,7 @@ def landmark_distance(spark, d):
     return geo.distance_to_landmark(events(spark, d), 50.0, 50.0).select("curve_id", "t_idx", "distance")
 
 
-@query(f"WITH {_EV} SELECT curve_id, t_idx, round((x-10)/1024,6) AS x, round((y-20)/768,6) AS y FROM ev")
+@query(f"WITH {_EV} SELECT curve_id, t_idx, (x-10.0::DOUBLE)/1024.0::DOUBLE AS x, (y-20.0::DOUBLE)/768.0::DOUBLE AS y FROM ev", exact=True)
 def coordinates_centered_normalized(spark, d):
     return geo.normalize_coordinates(geo.center_on_landmark(events(spark, d), 10.0, 20.0), 1024.0, 768.0).select("curve_id", "t_idx", "x", "y")
 
@@ -224,10 +231,14 @@ def participant_decomposition(spark, d):
     return dec.multilevel_parts(embeddings(spark, d)).select("curve_id", "t_idx", "between", "within")
 
 
+def _query_pairs(spark, d):
+    """The stated query set (every curve whose id is divisible by 50) with all curves."""
+    a = dist.curve_arrays(embeddings(spark, d))
+    return dist.curve_pairs(a, a.where("curve_id % 50 = 0"))
+
+
 def _distances(spark, d):
-    a = dist.curve_arrays(embeddings(spark, d)).cache()
-    q = a.where("curve_id % 50 = 0")  # the stated query set, against all curves
-    return dist.l2_distances(dist.curve_pairs(a, F.broadcast(q)), (dec.trapezoid_weights(np.linspace(0, 1, 64))).tolist())
+    return dist.l2_distances(_query_pairs(spark, d), (dec.trapezoid_weights(np.linspace(0, 1, 64))).tolist())
 
 
 _L2 = f"""{_EM}, l2 AS (SELECT a.curve_id AS a, b.curve_id AS b, sqrt(sum((a.x-b.x)*(a.x-b.x)*(CASE WHEN a.t_idx IN (0,63) THEN 0.5 ELSE 1 END)/63.0)) AS distance
@@ -441,10 +452,13 @@ def spearman_association(spark, d):
     return obs.spearman_association(events(spark, d), "x")
 
 
-@query(f"""WITH {_EV}, s AS (SELECT curve_id, avg(x) AS score FROM ev GROUP BY 1) SELECT curve_id, round(score,6) AS score, round((1 + (SELECT count(*) FROM s c WHERE c.curve_id % 2 = 0 AND c.score >= s.score))/(1.0 + (SELECT count(*) FROM s c WHERE c.curve_id % 2 = 0))::DOUBLE,6) AS p_value FROM s WHERE curve_id % 2 = 1""")
+@query(f"""WITH {_EV}, s AS (SELECT curve_id, curve_id % 2 AS half, avg(x) AS score FROM ev GROUP BY 1, 2)
+SELECT curve_id, round(score,6) AS score, round((1 + (SELECT count(*) FROM s c WHERE c.half <> s.half AND c.score >= s.score))/(1.0 + (SELECT count(*) FROM s c WHERE c.half <> s.half))::DOUBLE,6) AS p_value FROM s""")
 def conformal_p(spark, d):
+    """Cross-conformal: each half of the curves is calibrated by the other, so every curve gets a p-value."""
     s = events(spark, d).groupBy("curve_id").agg(F.avg("x").alias("score"))
-    return inf.conformal_p_values(s.where("curve_id % 2 = 0"), s.where("curve_id % 2 = 1"))  # the split is the method's
+    halves = [s.where(F.col("curve_id") % 2 == k) for k in (0, 1)]
+    return inf.conformal_p_values(halves[0], halves[1]).union(inf.conformal_p_values(halves[1], halves[0]))
 
 
 @query(f"""WITH {_EV}, s AS (SELECT curve_id, avg(x) AS v FROM ev GROUP BY 1), m AS (SELECT quantile_cont(v,0.5) AS m FROM s), d AS (SELECT quantile_cont(abs(v-m),0.5) AS mad FROM s, m) SELECT curve_id, round(v,6) AS v, round(0.67448975*(v-m)/mad,6) AS z FROM s, m, d""")
@@ -458,14 +472,15 @@ def _span_grid(samples, points=21):
     return np.linspace(float(lo), float(hi), points) if lo is not None else np.zeros(0)
 
 
-def _hours_grid(spark):
-    return spark.range(21).select(F.col("id").alias("g_idx"), (F.col("id") * 25.0).alias("g"))
+def _grid_table(spark, grid):
+    return spark.createDataFrame([(i, float(g)) for i, g in enumerate(grid)], "g_idx long, g double")
 
 
-@query(f"""WITH {_EV}, g AS (SELECT i AS g_idx, i*25.0::DOUBLE AS g FROM (SELECT unnest(range(0,21)) AS i)), n AS (SELECT g_idx, g, t-g AS dd, 0.75*(1-pow((t-g)/60,2)) AS k, x FROM ev JOIN g ON abs(t-g) < 60),
-m AS (SELECT g_idx, g, count(*) AS n, sum(k) s0, sum(k*dd) s1, sum(k*dd*dd) s2, sum(k*x) t0, sum(k*dd*x) t1 FROM n GROUP BY 1,2) SELECT g_idx, round(g,6) AS g, n, round((s2*t0-s1*t1)/(s0*s2-s1*s1),6) AS mean FROM m""")
+@query(f"""WITH {_EV}, sp AS (SELECT min(t) lo, max(t) hi FROM ev), g AS (SELECT i AS g_idx, lo + i * ((hi - lo) / 20) AS g FROM sp, (SELECT unnest(range(0,21)) AS i)), n AS (SELECT g_idx, g, t-g AS dd, 0.75*(1-pow((t-g)/60,2)) AS k, x FROM ev JOIN g ON abs(t-g) < 60),
+m AS (SELECT g_idx, g, count(*) AS n, sum(k) s0, sum(k*dd) s1, sum(k*dd*dd) s2, sum(k*x) t0, sum(k*dd*x) t1 FROM n GROUP BY 1,2) SELECT g_idx, round(g,6) AS g, n, round(CASE WHEN n >= 3 THEN (s2*t0-s1*t1)/(s0*s2-s1*s1) END,6) AS mean FROM m""")
 def local_linear_mean(spark, d):
-    return sparse.local_linear_mean(events(spark, d), _hours_grid(spark), 60.0)
+    e = events(spark, d)
+    return sparse.local_linear_mean(e, _grid_table(spark, _span_grid(e)), 60.0)
 
 
 @query(f"""WITH {_EV}, e AS (SELECT curve_id, t_idx, t, x - avg(x) OVER () AS e FROM ev) SELECT a.curve_id, count(*) AS n_pairs, round(avg(a.e*b.e),6) AS mean_product FROM e a JOIN e b ON a.curve_id = b.curve_id AND a.t_idx <> b.t_idx GROUP BY 1""")
@@ -488,7 +503,7 @@ _T64 = np.linspace(0, 1, 64)
 @query()
 def fpca_spectrum(spark, d):
     fit = dec.fit_fpca(dist.curve_arrays(embeddings(spark, d)), _T64, 8)
-    return spark.createDataFrame([(s["component"], s["eigenvalue"], s["ratio"], s["cumulative"], s["gap"]) for s in dec.spectrum(fit)], "component int, eigenvalue double, ratio double, cumulative double, gap double")
+    return spark.createDataFrame([tuple(s.values()) for s in dec.spectrum(fit)], "component int, eigenvalue double, ratio double, cumulative double, gap double, relative_gap double, next_ratio double")
 
 
 @query()
@@ -537,14 +552,12 @@ def wild_bootstrap(spark, d):
 
 @query()
 def dtw_pairs(spark, d):
-    a = dist.curve_arrays(embeddings(spark, d))
-    return dist.alignment_distances(dist.curve_pairs(a, F.broadcast(a.where("curve_id % 50 = 0"))), "symmetric2")
+    return dist.alignment_distances(_query_pairs(spark, d), "symmetric2")
 
 
 @query()
 def frechet_pairs(spark, d):
-    a = dist.curve_arrays(embeddings(spark, d))
-    return dist.alignment_distances(dist.curve_pairs(a, F.broadcast(a.where("curve_id % 50 = 0"))), "frechet")
+    return dist.alignment_distances(_query_pairs(spark, d), "frechet")
 
 
 @query()
@@ -554,21 +567,32 @@ def gee_fit(spark, d):
     return spark.createDataFrame([(n, float(b), float(v**0.5)) for n, b, v in zip(("intercept", "x", "y"), beta, np.diag(cov), strict=True)], "term string, estimate double, robust_se double")
 
 
+def _sparse_fit(spark, d, dims=("x",), noise=None):
+    """Sparse components of the event curves over their whole span; a bandwidth of a quarter of it."""
+    e = events(spark, d)
+    grid = _span_grid(e, 9)
+    width = float(grid[-1] - grid[0]) / 4
+    return e, sf.fit(e, grid, 2, width, width, dims, noise=noise)
+
+
 @query()
 def pace_scores(spark, d):
+    e, fit = _sparse_fit(spark, d)
+    return sf.score_frame(sf.pace_scores(e, fit))
+
+
+@query()
+def sparse_planar_scores(spark, d):
     e = events(spark, d)
-    g = _span_grid(e)
-    grid = spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "g_idx long, g double")
-    m = {r.g_idx: r.mean for r in sparse.local_linear_mean(e, grid, max(60.0, float(g[1] - g[0]))).collect() if r.mean is not None}
-    at = np.array(sorted(m), int)
-    mean = np.interp(g, g[at], [m[k] for k in at])  # a point with too few samples takes its neighbours' mean
-    res = e.withColumn("e", F.col("x") - float(mean.mean()))
-    cov = sparse.covariance_surface(sparse.raw_covariance_pairs(res), grid, max(80.0, float(g[1] - g[0])))
-    surface = np.zeros((len(g), len(g)))
-    surface[cov["gi"], cov["gj"]] = cov["cov"].fillna(0.0)
-    noise = max(float(e.agg(F.var_samp("x")).first()[0]) - float(np.diag(surface).mean()), 1.0)
-    s = sparse.pace_scores(e, g, mean, surface, noise, 2)
-    return s.select("curve_id", F.col("scores")[0].alias("score_1"), F.col("scores")[1].alias("score_2"))
+    v = e.agg(F.var_samp("x"), F.var_samp("y")).first()
+    _, fit = _sparse_fit(spark, d, ("x", "y"), [0.9 * v[0], 0.9 * v[1]])
+    return sf.score_frame(sf.pace_scores(e, fit))
+
+
+@query()
+def sparse_partial_prediction(spark, d):
+    e, fit = _sparse_fit(spark, d)
+    return sf.partial_prediction(e, fit, float(fit.grid[5])).drop("channel")
 
 
 @query(f"""WITH {_EV} SELECT count(DISTINCT curve_id) AS n_curves, count(*) AS n_samples, 0::BIGINT AS duplicate_times, 0::BIGINT AS short_curves, count(*) FILTER (x IS NULL) AS missing_x, count(*) FILTER (y IS NULL) AS missing_y FROM ev""")
@@ -644,3 +668,148 @@ def kmeans_scores(spark, d):
     a = dist.curve_arrays(embeddings(spark, d))
     s = dec.scores(a, dec.fit_fpca(a, _T64, 4)).withColumn("features", array_to_vector("scores"))
     return KMeans(k=4, seed=1).fit(s).transform(s).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH RECURSIVE {_REC}, bo AS (SELECT curve_id, i AS a, j AS b FROM pr UNION ALL SELECT curve_id, j, i FROM pr),
+re AS (SELECT curve_id, t_idx AS a, t_idx AS b FROM ev UNION SELECT re.curve_id, re.a, bo.b FROM re JOIN bo ON bo.curve_id = re.curve_id AND bo.a = re.b),
+lb AS (SELECT curve_id, a, min(b) AS l FROM re GROUP BY 1, 2), sz AS (SELECT curve_id, l, count(*) AS n FROM lb GROUP BY 1, 2) SELECT curve_id, count(*) AS n_components, max(n) AS largest_component FROM sz GROUP BY 1""")
+def recurrence_network_components(spark, d):
+    return rec.network_components(*_rec(spark, d))
+
+
+@query(f"""WITH {_EV}, a AS (SELECT * FROM ev WHERE curve_id = (SELECT min(curve_id) FROM ev)), b AS (SELECT * FROM ev WHERE curve_id = (SELECT max(curve_id) FROM ev)), pr AS (SELECT a.t_idx AS i, b.t_idx AS j FROM a JOIN b ON abs(a.x-b.x) <= 5),
+dg AS (SELECT j-i AS f, i - row_number() OVER (PARTITION BY j-i ORDER BY i) AS isl FROM pr), dl AS (SELECT count(*) AS l FROM dg GROUP BY f, isl), vg AS (SELECT j, i - row_number() OVER (PARTITION BY j ORDER BY i) AS isl FROM pr), vl AS (SELECT count(*) AS l FROM vg GROUP BY j, isl),
+en AS (SELECT -sum(p*ln(p)) AS e FROM (SELECT count(*)/(sum(count(*)) OVER ())::DOUBLE AS p FROM dl WHERE l >= 2 GROUP BY l)),
+na AS (SELECT count(*) AS n_a FROM a), nb AS (SELECT count(*) AS n_b FROM b), np AS (SELECT count(*) AS n_pairs FROM pr),
+dm AS (SELECT sum(CASE WHEN l>=2 THEN l ELSE 0 END)/sum(l)::DOUBLE AS det, avg(l) FILTER (l>=2) AS md, max(l) FILTER (l>=2) AS xd, count(*) FILTER (l>=2) AS nd FROM dl), vm AS (SELECT sum(CASE WHEN l>=2 THEN l ELSE 0 END)/sum(l)::DOUBLE AS lam, avg(l) FILTER (l>=2) AS tt, max(l) FILTER (l>=2) AS xv FROM vl)
+SELECT n_a, n_b, n_pairs, round(n_pairs/(n_a*n_b)::DOUBLE,6) AS recurrence_rate, round(det,6) AS determinism, round(md,6) AS mean_diagonal, xd AS max_diagonal, nd AS diagonal_lines, round(e,6) AS diagonal_entropy, round(lam,6) AS laminarity, round(tt,6) AS trapping_time, xv AS max_vertical FROM na, nb, np, dm, vm, en""")
+def cross_rqa_metrics(spark, d):
+    e = events(spark, d)
+    ends = e.agg(F.min("curve_id").alias("lo"), F.max("curve_id").alias("hi"))
+    a, b = (e.join(F.broadcast(ends.select(F.col(c).alias("curve_id"))), "curve_id") for c in ("lo", "hi"))
+    return rec.cross_rqa_metrics(a, b, rec.cross_recurrence_pairs(a, b, ("x",), 5.0))
+
+
+@query(f"""WITH {_REC}, p2 AS (SELECT a.curve_id, a.t_idx AS i, b.t_idx AS j FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND b.t_idx - a.t_idx > 1 WHERE abs(a.y-b.y) <= 10), jn AS (SELECT curve_id, count(*) AS joint FROM (SELECT * FROM pr INTERSECT SELECT * FROM p2) GROUP BY 1),
+al AS (SELECT curve_id, 'x' AS system, count(*) AS n_pairs FROM pr GROUP BY 1 UNION ALL SELECT curve_id, 'y', count(*) FROM p2 GROUP BY 1) SELECT curve_id, system, n_pairs, round(coalesce(joint,0)/n_pairs::DOUBLE,6) AS joint_share FROM al LEFT JOIN jn USING (curve_id)""")
+def joint_recurrence_components(spark, d):
+    e, p = _rec(spark, d)
+    q = rec.recurrence_pairs(e, ("y",), 10.0, 1)
+    return rec.joint_components({"x": p, "y": q}, rec.joint_pairs(p, q))
+
+
+@query(f"""WITH {_SHARES} SELECT count(*) AS n_points, count(*) FILTER (least(a,b,c) < -1e-7) AS negative, count(*) FILTER (abs(a+b+c-1) > 1e-7 + 1e-5) AS not_closed FROM sh""")
+def simplex_check(spark, d):
+    return geo.simplex_violations(_shares(spark, d), ("a", "b", "c"))
+
+
+@query(f"""WITH {_EV}, e AS (SELECT curve_id, t_idx, x - avg(x) OVER (PARTITION BY curve_id) AS e FROM ev), v AS (SELECT curve_id, avg(e*e) AS v FROM e GROUP BY 1), l AS (SELECT unnest(range(0,4)) AS lag),
+p AS (SELECT a.curve_id, lag, a.e AS e, b.e AS f FROM e a JOIN l ON true JOIN e b ON b.curve_id = a.curve_id AND b.t_idx = a.t_idx + lag), c AS (SELECT p.curve_id, lag, count(*) AS n, sum(e*f) AS s, sum((e-f)*(e-f)) AS d, any_value(v) AS v FROM p JOIN v USING (curve_id) GROUP BY 1, 2)
+SELECT lag, sum(n)::BIGINT AS n_pairs, round(sum(s)/sum(n),6) AS autocovariance, round(sum(s/v)/sum(n),6) AS autocorrelation, round(sum(d)/(2*sum(n)),6) AS semivariance FROM c GROUP BY lag""")
+def residual_dependence(spark, d):
+    e = events(spark, d)
+    mean = e.groupBy("curve_id").agg(F.avg("x").alias("m"))
+    rows = e.join(mean, "curve_id").withColumn("r", F.col("x") - F.col("m")).withColumn("participant", F.col("curve_id"))
+    arrays = rows.groupBy("curve_id", "participant").agg(F.array_sort(F.collect_list(F.struct("t_idx", "r"))).alias("s")).select("curve_id", "participant", F.col("s.r").alias("residual"))
+    return fm.residual_diagnostics(arrays, 3)
+
+
+@query(f"""WITH {_EM}, p AS (SELECT participant, t_idx, avg(x) AS m FROM em GROUP BY 1, 2) SELECT t_idx, round(avg(m),6) AS mean, round(stddev_samp(m)/sqrt(count(*)),6) AS se FROM p GROUP BY 1""")
+def participant_mean_se(spark, d):
+    a = inf.unit_means(_labelled(spark, d), "participant")
+    return a.select(F.posexplode("values").alias("t_idx", "x")).groupBy("t_idx").agg(F.avg("x").alias("mean"), (F.stddev_samp("x") / F.sqrt(F.count(F.lit(1)))).alias("se"))
+
+
+def _labelled(spark, d):
+    """Embedding curves as arrays with their label (participant), a share of positive values (up) and a predictor in [0, 1) made of the id (z)."""
+    e = embeddings(spark, d)
+    up = F.size(F.filter("values", lambda v: v > 0)) / F.size("values")
+    return dist.curve_arrays(e).join(e.select("curve_id", "participant").distinct(), "curve_id").withColumns({"up": up, "z": F.pmod(F.col("curve_id") * 7919, F.lit(101)) / 101.0})
+
+
+@query(f"""WITH {_EM}, z AS (SELECT vec_id AS curve_id, ((vec_id * 7919) % 101) / 101.0::DOUBLE AS z FROM embeddings), f AS (SELECT t_idx, regr_slope(x, z) b, regr_intercept(x, z) a, avg(z) m, regr_sxx(x, z) sxx, count(*) n FROM em JOIN z USING (curve_id) GROUP BY 1),
+h AS (SELECT t_idx, sum(pow((z-m)*(x-a-b*z)/sxx,2)) AS s FROM em JOIN z USING (curve_id) JOIN f USING (t_idx) GROUP BY 1)
+SELECT t_idx AS place, round(b,6) AS estimate, round(sqrt(n/(n-2.0::DOUBLE)*s),6) AS se FROM f JOIN h USING (t_idx)""")
+def fosr_robust_slope(spark, d):
+    m = fos.fit(fos.design(_labelled(spark, d), ["z"]), ["z"])
+    return fos.coefficient_frame(spark, m).where("coefficient = 'z'").select("place", "estimate", "se")
+
+
+@query()
+def fosr_simultaneous_bands(spark, d):
+    rows = fos.design(_labelled(spark, d), ["z", "up"])
+    m = fos.fit(rows, ["z", "up"])
+    return fos.coefficient_frame(spark, m, fos.bootstrap(rows, m, 200))
+
+
+@query()
+def generalized_functions(spark, d):
+    rows = _labelled(spark, d).withColumn("values", F.transform("values", lambda v: F.when(v > 0, 1.0).otherwise(0.0)))
+    return gen.coefficient_frame(spark, gen.fit(gen.model_rows(rows, ["z"], "participant"), _T64, ["z"], "binomial", 5))
+
+
+@query()
+def mixed_functions(spark, d):
+    m = fm.fit(_labelled(spark, d), fm.layout(_T64, ["z"], 5, 3), "participant", iterations=6)
+    return fm.coefficient_frame(spark, m)
+
+
+@query()
+def score_regression_cv(spark, d):
+    return spark.createDataFrame(sr.summarise(sr.cross_validate(_labelled(spark, d), _T64, "up", [1, 2, 4, 8])))
+
+
+@query()
+def score_regression_slope_band(spark, d):
+    a = _labelled(spark, d)
+    return spark.createDataFrame(sr.slope_band(sr.bootstrap_regression(a, _T64, "up", 3, 50), sr.train(a, _T64, "up", 3)))
+
+
+@query()
+def wild_projection_family(spark, d):
+    a = _labelled(spark, d)
+    scored = dec.scores(a, dec.fit_fpca(a, _T64, 3)).join(a.select("curve_id", "up"), "curve_id")
+    targets = scored.where("curve_id % 50 = 0").select("curve_id", "scores").orderBy("curve_id").toPandas()  # the stated query set
+    return wild.family_test(spark, wild.wild_projection(scored, "up", targets, 2, 3, 200))
+
+
+def _bootstrap(spark, d):
+    a = _labelled(spark, d)
+    fit = dec.fit_fpca(a, _T64, 3)
+    return a, fit, dec.bootstrap_fits(a, _T64, 3, 40, reference=fit)
+
+
+@query()
+def fpca_component_bands(spark, d):
+    _, fit, boot = _bootstrap(spark, d)
+    return stab.component_bands(boot, fit)
+
+
+@query()
+def fpca_spectrum_uncertainty(spark, d):
+    _, fit, boot = _bootstrap(spark, d)
+    return stab.spectrum_uncertainty(boot, fit)
+
+
+@query()
+def fpca_score_uncertainty(spark, d):
+    a, fit, boot = _bootstrap(spark, d)
+    return stab.score_uncertainty(boot, fit, a)
+
+
+@query()
+def fpca_subspace_stability(spark, d):
+    return stab.summarise_subspace_stability(stab.subspace_stability(_bootstrap(spark, d)[2]))
+
+
+@query()
+def fpca_outliers(spark, d):
+    a = _labelled(spark, d)
+    fit = dec.fit_fpca(a, _T64, 4)
+    return stab.diagnose_outliers(dec.reconstruction_error(a, fit), dec.scores(a, fit), 4)
+
+
+@query()
+def windowed_rqa_mean_band(spark, d):
+    w = rec.windowed_rqa(events(spark, d), ("x",), 5.0, 15, 15)
+    return rec.windowed_mean_band(w.where("window_start < 45"), "recurrence_rate", 200)

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import stored
 from ..operators import decomposition as dec
 from ..operators import distances as dist
 from ..operators import geometry as geo
@@ -31,8 +32,9 @@ class WorkflowResult:
     provenance: dict = field(default_factory=lambda: {"interpolated": False, "imputed": False, "parameters_selected": False})
 
     def step(self, name: str, run: Callable[[], DataFrame]) -> DataFrame:
+        """Runs a step to its end: its table is stored, so the seconds are those of its work and later steps don't repeat it."""
         start = time.perf_counter()
-        self.tables[name] = out = run()
+        self.tables[name] = out = stored(run(), name)
         self.steps.append({"order": len(self.steps) + 1, "step": name, "seconds": round(time.perf_counter() - start, 3)})
         return out
 
@@ -73,7 +75,7 @@ def fpca_workflow(samples: DataFrame, time_grid, *, dim: str = "x", n_components
     scored = w.step("scores", lambda: dec.scores(arrays, fit))
     w.step("reconstruction", lambda: dec.reconstruct(scored, fit))
     w.step("errors", lambda: dec.reconstruction_error(arrays, fit))
-    w.step("spectrum", lambda: samples.sparkSession.createDataFrame([tuple(s.values()) for s in dec.spectrum(fit)], "component int, eigenvalue double, ratio double, cumulative double, gap double"))
+    w.step("spectrum", lambda: samples.sparkSession.createDataFrame([tuple(s.values()) for s in dec.spectrum(fit)], "component int, eigenvalue double, ratio double, cumulative double, gap double, relative_gap double, next_ratio double"))
     return w
 
 
