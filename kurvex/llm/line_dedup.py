@@ -4,10 +4,10 @@ A line is its sequence of lower-case words.  A line occurrence is removed when a
 least ``exact_words`` words), or one within ``edits`` word edits (substitution, insertion or deletion; lines of
 at least ``min_words`` words), first occurs earlier in the order (doc_id, line number).
 Every candidate line emits itself and each variant with up to ``edits`` words deleted, as a key of two
-independent 64-bit hashes with the deleted places.  What two lines have in common decides their distance:
+independent hashes (64 and 32 bits) with the deleted places.  What two lines have in common decides their distance:
 variants of one deletion at one place differ by that one substitution, a line that equals a variant of
 another by the words deleted there, and so on (``near_keys``).  So equal keys of those kinds are the
-verification, up to a collision of 128 bits, no text is sent, and the least occurrence of each key finds
+verification, up to a collision of 96 bits, no text is sent, and the least occurrence of each key finds
 the earlier line by aggregates alone: no group is ever paired.
 Candidates are lines that share a piece with a different line: edits + 1 pieces can't all be hit.
 """
@@ -41,6 +41,11 @@ def _line_rows(block, min_words: int):
     return doc, number.astype(np.int32), a, z, run_hash(block.words, a, z)
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """The upper half of each hash, as a signed number: enough to select candidates, and half the room."""
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _pieces(words, a, z, edits: int) -> list[np.ndarray]:
     """Hashes of pieces of each line (0: none), of which lines within ``edits`` word edits share one.
 
@@ -76,7 +81,7 @@ def _emit_lines(min_words: int, exact_words: int, edits: int):
                 doc, number, a, z, h = _line_rows(block, min(min_words, exact_words))
                 found = np.stack([np.where(z - a >= min_words, x, np.uint64(0)) for x in _pieces(block.words, a, z, edits)], 1)
                 size = (found != 0).sum(1)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(signed(found[found != 0])))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(short(found[found != 0])))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(number), pa.array(signed(h)), lists], ["doc_id", "line", "h", "pieces"])
 
     return tidy(run)
@@ -118,7 +123,7 @@ def _emit_variants(min_words: int, edits: int):
                     line, key, gone, p, q = line_variants(block.words, a[now], z[now], edits)
                     check = line_variants(mix(block.words + _SECOND), a[now], z[now], edits)[1]
                     r = now[line]
-                    cols = [signed(key), signed(check), gone, p, q, ids[i + doc[r]], number[r]]
+                    cols = [signed(key), short(check), gone, p, q, ids[i + doc[r]], number[r]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "check", "gone", "p", "q", "doc_id", "line"])
 
     return tidy(run)
@@ -168,24 +173,25 @@ def _listed(docs: DataFrame, lines: DataFrame, item: str) -> DataFrame:
 def removable_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None, edits: int = EDITS) -> DataFrame:
     """(doc_id, line, h, near) of every line occurrence that an equal or near line precedes."""
     exact_words = min_words if exact_words is None else exact_words
-    lines = store(docs.mapInArrow(_emit_lines(min_words, exact_words, edits), "doc_id long, line int, h long, pieces array<long>"), "lines")
+    lines = store(docs.mapInArrow(_emit_lines(min_words, exact_words, edits), "doc_id long, line int, h long, pieces array<int>"), "lines")
     key = F.struct("doc_id", "line").alias("key")
     firsts = store(lines.groupBy("h").agg(F.min(key).alias("key"), F.first("pieces").alias("pieces")), "firsts")
+    again = lines.select("doc_id", "line", "h").join(firsts.select("h", "key"), "h").where(F.struct("doc_id", "line") != F.col("key"))
+    again = store(again.select("doc_id", "line", "h", F.lit(False).alias("near")), "again")
+    drop(lines)
     piece = firsts.select("h", F.explode("pieces").alias("b"))
     shared = store(piece.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b"), "shared")
     candidates = piece.join(shared, "b").select("h").distinct()
     near = store(firsts.select("h", "key").join(candidates, "h").select("key.doc_id", "key.line", "h"), "candidates")
-    drop(shared)
-    variants = _listed(docs, near, "h").mapInArrow(_emit_variants(min_words, edits), "key long, check long, gone tinyint, p int, q int, doc_id long, line int")
+    drop(shared, firsts)
+    variants = _listed(docs, near, "h").mapInArrow(_emit_variants(min_words, edits), "key long, check int, gone tinyint, p int, q int, doc_id long, line int")
     variants = variants.join(near.select("doc_id", "line"), ["doc_id", "line"], "left_semi")
     variants = store(variants.select("key", "check", "gone", "p", "q", F.struct("doc_id", "line").alias("at")), "variants")
     flagged, read = near_keys(variants, edits)
-    again = lines.select("doc_id", "line", "h").join(firsts.select("h", "key"), "h").where(F.struct("doc_id", "line") != F.col("key"))
-    again = again.select("doc_id", "line", "h", F.lit(False).alias("near"))
     first = flagged.select("at.doc_id", "at.line").join(near, ["doc_id", "line"]).select("doc_id", "line", "h", F.lit(True).alias("near"))
-    out = store(again.union(first), "removable")
-    drop(lines, firsts, near, variants, *read)
-    return out
+    first = store(first, "flagged")
+    drop(near, variants, *read)
+    return again.union(first)
 
 
 def _apply(min_words: int, columns: list[str]):
@@ -235,7 +241,7 @@ def line_dedup(documents: DataFrame, min_words: int = MIN_WORDS, exact_words: in
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     gone = removable_lines(docs, min_words, exact_words, edits).groupBy(F.col("doc_id").alias("gone_id"))
     gone = gone.agg(F.collect_set(F.struct("line", "h", "near")).alias("gone"))
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("row_text"), F.col("doc_id").cast("long").alias("row_id"))
+    rows = documents.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names if c != "text")).alias("row"), F.col("text").cast("string").alias("row_text"), F.col("doc_id").cast("long").alias("row_id"))
     joined = rows.join(gone, F.col("row_id") == F.col("gone_id"), "left").select("row", "row_text", "gone")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema["row"].dataType.fields} | {"text": "string", "n_removed": "bigint", "n_near": "bigint"}
     columns = [*names, "n_removed", "n_near"]
