@@ -19,7 +19,7 @@ from kurvex.llm.toxicity import fit_toxicity, labelled_sample, score_toxicity
 
 
 def _row(docs: DataFrame):
-    """All columns of ``docs`` as one struct, so that none can clash with an operator's own."""
+    """The columns of ``docs`` as one struct, so that none can clash with an operator's own."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
 
@@ -40,7 +40,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Documents that lose nothing stay as they are, those with a null or blank text and rows without a doc_id too.
     Of equal or near lines the first in the order (doc_id, line) stays.  Other columns stay, whatever their names.
     """
-    out = line_dedup(docs.select("doc_id", "text", _row(docs)), exact_words=1).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    out = line_dedup(docs.select("doc_id", "text", _row(docs.drop("text"))), exact_words=1).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     chars = F.when(F.col("n_removed") > 0, F.length("text"))
     fresh = {"text": F.col("text"), "n_chars": F.coalesce(chars.cast(dict(docs.dtypes).get("n_chars", "long")), F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*((fresh[c] if c in fresh else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
