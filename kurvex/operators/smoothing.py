@@ -108,13 +108,16 @@ def iaaft(v: np.ndarray, rng: np.random.Generator, iterations: int = 200, tolera
     return s
 
 
-def surrogate_test(samples: DataFrame, dims: tuple[str, ...], statistic, n_surrogates: int = 19, seed: int = 0) -> DataFrame:
-    """Plus-one p-value of each curve's statistic (a function of the value matrix) against its own surrogates."""
+def surrogate_test(samples: DataFrame, dims: tuple[str, ...], statistic, n_surrogates: int = 19, seed: int = 0, min_samples: int = 8) -> DataFrame:
+    """Plus-one p-value of each curve's statistic (a function of the value matrix) against its own surrogates.
+
+    Curves with fewer than ``min_samples`` complete samples have too few phases to surrogate: their row has NULLs.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("t_idx")[list(dims)].dropna().to_numpy(float)
         curve = int(pdf[CURVE].iloc[0])
-        if len(v) < 8:
+        if len(v) < min_samples:
             return pd.DataFrame({CURVE: [curve], "observed": [None], "p_value": [None]})
         rng = np.random.default_rng([seed, curve & 0x7FFFFFFF])
         seen = statistic(v)
