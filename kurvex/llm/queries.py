@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
 from .decontaminate import contaminated
+from .filter_audit import filter_audit
 from .html_tree import extract_main_text, fit_tree_model, training_pages
 from .interpolated_lm import lm_scores
 from .line_dedup import line_dedup
@@ -88,7 +89,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_suffix_dedup, op8_decontaminate, op9_html_extraction, op10_bpe)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_suffix_dedup, op8_decontaminate, op9_html_extraction, op10_bpe, op13_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -121,4 +126,20 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NO
     "op3_warc": "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY sha1(h)) AS head FROM p)\nSELECT page_id, payload_bytes, "
     + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, {1 + 5 * k}, 5))::INT >> {b}) & 31), 1)" for k in range(8) for b in (15, 10, 5, 0))
     + " AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM s",
+    "op13_filter_audit": f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT row, count(*) AS words, count(DISTINCT w) AS distinct_words FROM (SELECT row, unnest({_WORDS.format("text")}) AS w FROM d) GROUP BY row),
+e AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+m AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic, (coalesce(words, 0) < 200)::INT + 2 * (100 * coalesce(distinct_words, 0) < 50 * coalesce(words, 0))::INT
+ + 4 * (100 * len(regexp_extract_all(d.text, '[A-Z]')) > 3 * length(d.text))::INT + 8 * regexp_matches(d.text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > e.first, false)::INT AS failed
+ FROM d LEFT JOIN w USING (row) LEFT JOIN e ON e.text = d.text LEFT JOIN m ON m.doc_id = d.doc_id),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit, list_sum([1 << (ascii(x) - 65) FOR x IN string_split(filter_order[:step - 1], '') IF x <> ''])::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+t AS (SELECT c.*, s.* REPLACE (coalesce(before, 0) AS before) FROM c, s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (failed & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS removed,
+ coalesce(sum(n) FILTER (failed & before <> 0 AND failed & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (failed = bit), 0)::BIGINT AS unique_fails,
+ coalesce(sum(good) FILTER (failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (failed & before = 0 AND failed & bit <> 0), 0)::BIGINT AS toxic_lost,
+ coalesce(sum(n * (120 // greatest(bit_count(failed), 1))) FILTER (failed & bit <> 0), 0)::BIGINT AS shapley FROM t GROUP BY part, filter_order, step""",
 }

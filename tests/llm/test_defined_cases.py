@@ -32,7 +32,10 @@ def empty(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("empty"), [], [])
 
 
-@pytest.mark.parametrize("name", sorted(corpus.QUERIES))
+SUMMARIES = {"op13_filter_audit"}  # held against brute force on odd rows in their own tests
+
+
+@pytest.mark.parametrize("name", sorted(set(corpus.QUERIES) - SUMMARIES))
 def test_every_row_has_a_result(spark, odd, name):
     rows = corpus.QUERIES[name](spark, odd).collect()
     pages = name in ("op3_warc", "op9_html_extraction")
