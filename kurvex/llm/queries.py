@@ -16,6 +16,7 @@ from .line_dedup import line_dedup
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_lines import quality_rules
 from .runtime import stored_path
+from .sort_means import sort_means
 from .suffix_columns import remove_repeats
 from .toxicity import fit_toxicity, labelled_sample, score_toxicity
 from .warc import read_archives, write_archives
@@ -89,15 +90,37 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_suffix_dedup, op8_decontaminate, op9_html_extraction, op10_bpe, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_suffix_dedup, op8_decontaminate, op9_html_extraction, op10_bpe, op12_sort_means, op13_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _clustering_sql(rounds: int = 5, k: int = 40) -> str:
+    """Lloyd's rounds in full: every distance of every round, one block of tables a round."""
+    sql = f"""WITH p AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS m FROM p WHERE vec_id IS NOT NULL QUALIFY c < {k}),\n"""
+    for r in range(rounds + 1):
+        sql += f"""a{r} AS MATERIALIZED (SELECT row, vec_id, v, min(struct_pack(d, c)) AS best FROM (SELECT row, vec_id, v, c, list_sum([(v[i] - m[i]) * (v[i] - m[i]) FOR i IN range(1, 65)])::BIGINT AS d FROM p, c{r}) GROUP BY row, vec_id, v),\n"""
+        if r < rounds:
+            sql += f"""u{r} AS (SELECT best.c AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(w.m, c{r}.m) AS m FROM c{r} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM u{r} GROUP BY c) w ON w.c = c{r}.c),\n"""
+    return (
+        sql
+        + f"""h AS (SELECT c, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN h ON h.c = best.c"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
@@ -126,6 +149,7 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NO
     "op3_warc": "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY sha1(h)) AS head FROM p)\nSELECT page_id, payload_bytes, "
     + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, {1 + 5 * k}, 5))::INT >> {b}) & 31), 1)" for k in range(8) for b in (15, 10, 5, 0))
     + " AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM s",
+    "op12_sort_means": _clustering_sql(),
     "op13_filter_audit": f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
 w AS (SELECT row, count(*) AS words, count(DISTINCT w) AS distinct_words FROM (SELECT row, unnest({_WORDS.format("text")}) AS w FROM d) GROUP BY row),
 e AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
