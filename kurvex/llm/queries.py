@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode_decode
+from .byte_convnet import fit_language_model, predict_language
 from .decontaminate import contaminated
 from .filter_audit import filter_audit
 from .html_tree import extract_main_text, fit_tree_model, training_pages
@@ -90,6 +91,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = fit_language_model(docs.where(~held_out(3, 1)).select("text", "lang"))
+    return predict_language(docs, net, ["doc_id"]).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means(_table(spark, sf_dir, "embeddings"))
 
@@ -98,7 +105,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_suffix_dedup, op8_decontaminate, op9_html_extraction, op10_bpe, op12_sort_means, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_warc, op4_line_dedup, op5_toxicity, op6_lm_scoring, op7_suffix_dedup, op8_decontaminate, op9_html_extraction, op10_bpe, op11_language_id, op12_sort_means, op13_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
