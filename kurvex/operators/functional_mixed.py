@@ -2,7 +2,7 @@
 
 On a common grid all curves share one residual-and-trial covariance A, so a participant enters the likelihood only by the
 sums of z z' and z y' over their curves (z: 1 and the predictors).  These sums are added up once and stored; a likelihood is
-one pass over participants, and a pass takes as many parameter vectors as wanted: gradients by differences, line searches,
+one pass over participants, and a pass takes as many parameter vectors as wanted: exact gradients, line searches,
 and all replicates of a full-refit bootstrap go together.
 """
 
@@ -70,6 +70,29 @@ class Layout:
         return a if t is None else a + (self.trial @ t) @ (self.trial @ t).T
 
 
+    def chained(self, theta: np.ndarray, by_g: np.ndarray, by_a: np.ndarray) -> np.ndarray:
+        """Derivatives by the parameters, given those by participants' covariance and by the curves' covariance (both symmetric)."""
+        factor, t, sd, rho = self.unpack(theta)
+        parts = [_by_factor(2 * by_g @ factor, factor)]
+        if t is not None:
+            parts.append(_by_factor(2 * self.trial.T @ by_a @ self.trial @ t, t))
+        parts.append([2 * sd * sd * (by_a * self.residual(rho)).sum()])
+        if self.correlation == "exponential":
+            gap = np.abs(self.time[:, None] - self.time[None, :])
+            parts.append([sd * sd * (by_a * self.residual(rho) * gap).sum() / rho])
+        elif self.correlation == "ar1":
+            lag = np.abs(np.subtract.outer(np.arange(len(self.time)), np.arange(len(self.time))))
+            parts.append([sd * sd * (by_a * lag * rho ** np.maximum(lag - 1, 0)).sum() * (1 - rho * rho)])
+        return np.concatenate(parts)
+
+
+def _by_factor(g: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """Derivatives by the entries of a factor as derivatives by its parameters."""
+    g = g.copy()
+    g[np.diag_indices(len(g))] *= np.diag(factor)
+    return g[np.tril_indices(len(g))]
+
+
 def _factor(theta: np.ndarray, d: int) -> np.ndarray:
     """Lower triangle with positive diagonal (logarithms) of a covariance factor."""
     out = np.zeros((d, d))
@@ -98,6 +121,7 @@ class MixedFit:
     reml: bool
     iterations: int
     boundary: bool
+    decrement: float
     stats: DataFrame = field(repr=False, default=None)
 
     @property
@@ -146,36 +170,86 @@ def _contributions(lay: Layout, theta: np.ndarray, zz: np.ndarray, zy: np.ndarra
     return info, score, np.linalg.slogdet(q)[1], -np.einsum("nd,nd->n", e, inner[:, :, -1])
 
 
+@dataclass(frozen=True)
+class _Point:
+    """What a likelihood's gradient needs besides the participants: coefficients and the inverse of their information."""
+
+    theta: np.ndarray
+    beta: np.ndarray
+    inverse: np.ndarray
+
+
+def _curvature_sums(lay: Layout, at: _Point, zz: np.ndarray, zy: np.ndarray, w: np.ndarray, reml: bool) -> list[np.ndarray]:
+    """Weighted sums over participants from which the derivatives by both covariances follow (see ``_Likelihood.gradients``).
+
+    A curve's prediction and the columns that restricted likelihood adds are combinations of the fixed and the random basis,
+    so all sums are small matrices of their coefficients.
+    """
+    factor, f, r, q, p = lay.unpack(at.theta)[0], lay.fixed, lay.random, len(lay.names), len(zz)
+    a = np.linalg.inv(lay.within(at.theta))
+    k, m, cols = f.shape[1], r.shape[1], lay.at
+    kron = lambda s, g: np.einsum("npq,ab->npaqb", s, g).reshape(p, s.shape[1] * g.shape[0], -1)
+    xz, c = kron(zz[:, :, cols], f.T @ a @ r), kron(zz[:, cols][:, :, cols], r.T @ a @ r)
+    h = factor @ np.linalg.solve(np.eye(lay.d) + factor.T @ c @ factor, np.broadcast_to(factor.T, (p, lay.d, lay.d)))
+    beta = at.beta.reshape(q, k)
+    e = ((zy[:, cols] - zz[:, cols] @ (beta @ f.T)) @ a @ r).reshape(p, -1)
+    b = np.einsum("nij,nj->ni", h, e)
+    u = e - np.einsum("nij,nj->ni", c, b)
+    by_effect = c - c @ h @ c - u[:, :, None] * u[:, None, :]
+    d = h @ np.swapaxes(xz, 1, 2)
+    both = np.zeros((p, q, k + m))  # coefficients of the prediction of every predictor
+    both[:, :, :k] = beta
+    both[:, cols, k:] += b.reshape(p, len(cols), m)
+    columns = np.zeros((p, q, k + m, q * k))
+    for i in range(q):
+        columns[:, i, :k, i * k : (i + 1) * k] = np.eye(k)
+    columns[:, cols, k:] -= d.reshape(p, len(cols), m, q * k)
+    restricted = np.zeros((k + m, k + m))
+    if reml:
+        n = np.swapaxes(xz, 1, 2) - c @ d
+        by_effect = by_effect - n @ at.inverse @ np.swapaxes(n, 1, 2)
+        restricted = np.einsum("n,nij,nixs,st,njyt->xy", w, zz, columns, at.inverse, columns, optimize=True)
+    spread = np.einsum("n,nij,niajb->ab", w, zz[:, cols][:, :, cols], h.reshape(p, len(cols), m, len(cols), m), optimize=True)
+    cross = np.einsum("n,nix,nit->xt", w, both, zy, optimize=True)
+    return [np.tensordot(w, by_effect, 1), spread, cross, np.einsum("n,nix,nij,njy->xy", w, both, zz, both, optimize=True), restricted]
+
+
 class _Likelihood:
     """Losses of parameter vectors; each belongs to a replicate (0 and weights of one without bootstrap)."""
 
     def __init__(self, lay: Layout, stats: DataFrame, yy: np.ndarray, curves: np.ndarray, reml: bool, replicates: int = 0, seed: int = 0):
         self.lay, self.stats, self.yy, self.curves, self.reml, self.replicates, self.seed = lay, stats, yy, curves, reml, replicates, seed
 
-    def __call__(self, thetas: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list]:
-        lay, replicates, seed = self.lay, self.replicates, self.seed
-        q, t = len(lay.names), len(lay.time)
-        size = q * lay.fixed.shape[1]
+    def _sums(self, of: np.ndarray, width: int, part) -> np.ndarray:
+        """One pass: for each of the parameter vectors the sum of ``part(index, zz, zy, weights)`` over all participants."""
+        q, t, replicates, seed = len(self.lay.names), len(self.lay.time), self.replicates, self.seed
 
         def run(batches):
-            total = np.zeros((len(thetas), size * size + size + 2))
-            seen = False
+            total, seen = np.zeros((len(of), width)), False
             for b in batches:
                 if not len(b):
                     continue
                 seen = True
                 w = draws(np.asarray(b.column(0)), replicates, seed, "poisson") if replicates else np.ones((len(b), 1))
                 zz, zy = matrix(b.column(1)).reshape(-1, q, q), matrix(b.column(2)).reshape(-1, q, t)
-                for j, theta in enumerate(thetas):
-                    info, score, logs, quad = _contributions(lay, theta, zz, zy)
-                    k = w[:, of[j]]
-                    total[j, : size * size] += np.tensordot(k, info, 1).ravel()
-                    total[j, size * size : -2] += k @ score
-                    total[j, -2:] += k @ logs, k @ quad
+                for j in range(len(of)):
+                    total[j] += part(j, zz, zy, w[:, of[j]])
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
 
-        s = np.asarray(add_up(self.stats.select("u", "zz", "zy").mapInArrow(run, "s array<double>")).first().s).reshape(len(thetas), -1)
+        return np.asarray(add_up(self.stats.select("u", "zz", "zy").mapInArrow(run, "s array<double>")).first().s).reshape(len(of), width)
+
+    def __call__(self, thetas: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list]:
+        """Loss of each vector, and its (beta, information) where it is finite."""
+        lay, t = self.lay, len(self.lay.time)
+        size = len(lay.names) * lay.fixed.shape[1]
+
+        def part(j, zz, zy, w):
+            with np.errstate(all="ignore"):  # a step into nowhere has an infinite loss
+                info, score, logs, quad = _contributions(lay, thetas[j], zz, zy)
+                return np.concatenate((np.tensordot(w, info, 1).ravel(), w @ score, [w @ logs, w @ quad]))
+
+        s = self._sums(of, size * size + size + 2, part)
         losses, states = np.full(len(thetas), np.inf), [None] * len(thetas)
         for j, theta in enumerate(thetas):
             info, score = s[j, : size * size].reshape(size, size), s[j, size * size : -2]
@@ -190,41 +264,66 @@ class _Likelihood:
             states[j] = (beta, info)
         return losses, states
 
+    def gradients(self, thetas: np.ndarray, states: list, of: np.ndarray) -> np.ndarray:
+        """Derivatives of the losses: by participants' covariance G, by the curves' covariance A, then by what both are made of."""
+        lay, reml = self.lay, self.reml
+        points = [_Point(x, beta, np.linalg.inv(info)) for x, (beta, info) in zip(thetas, states, strict=True)]
+        d, t, k, m = lay.d, len(lay.time), lay.fixed.shape[1], lay.random.shape[1]
+        shapes = [(d, d), (m, m), (k + m, t), (k + m, k + m), (k + m, k + m)]
+        sizes = [x * y for x, y in shapes]
+        s = self._sums(of, sum(sizes), lambda j, zz, zy, w: np.concatenate([x.ravel() for x in _curvature_sums(lay, points[j], zz, zy, w, reml)]))
+        basis = np.concatenate((lay.fixed, lay.random), 1)
+        out = np.zeros_like(thetas)
+        for j, theta in enumerate(thetas):
+            by_g, spread, cross, square, restricted = (x.reshape(shape) for x, shape in zip(np.split(s[j], np.cumsum(sizes)[:-1]), shapes, strict=True))
+            a = np.linalg.inv(lay.within(theta))
+            rest = self.yy[of[j]] - basis @ cross - (basis @ cross).T + basis @ (square + restricted) @ basis.T
+            by_a = 0.5 * (self.curves[of[j]] * a - a @ (lay.random @ spread @ lay.random.T + rest) @ a)
+            out[j] = lay.chained(theta, 0.5 * by_g, by_a)
+        return out
+
+
+#: Step lengths that a line search tries in its one pass.
+_LENGTHS = 2.0 ** np.arange(3, -11, -1)
+
+
+def _minimise(f: _Likelihood, start: np.ndarray, iterations: int, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, list, int, np.ndarray]:
+    """Newton steps of every replicate at once: a pass for all step lengths, two for all gradients and their differences.
 
-def _minimise(f: _Likelihood, start: np.ndarray, iterations: int, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray, list, int]:
-    """Quasi-Newton steps of every replicate at once: one pass for all gradients, one for all step lengths."""
+    A replicate has converged when half of its Newton decrement, the decrease of the loss that a full step promises, is under
+    ``tolerance``; it then costs nothing more.  Directions of no curvature, as on the way to a variance of zero, move by the gradient.
+    Returned: parameters, losses, states, iterations, and that decrement of every replicate.
+    """
     r, d = start.shape
-    x, h = start.copy(), np.tile(np.eye(d) * 0.1, (r, 1, 1))
-    loss, states = f(x, np.arange(r))
-    gradient, step = None, 1e-4
-    lengths = 2.0 ** -np.arange(0, 9)
-    for turn in range(iterations):
-        moves = np.concatenate((np.eye(d), -np.eye(d))) * step
-        losses, _ = f((x[:, None, :] + moves).reshape(-1, d), np.repeat(np.arange(r), 2 * d))
-        losses = losses.reshape(r, 2, d)
-        fresh = np.nan_to_num((losses[:, 0] - losses[:, 1]) / (2 * step), posinf=0, neginf=0)
-        if gradient is not None:
-            for i in range(r):
-                y, s = fresh[i] - gradient[i], x[i] - before[i]
-                if y @ s > 1e-10:
-                    rho = 1 / (y @ s)
-                    left = np.eye(d) - rho * np.outer(s, y)
-                    h[i] = left @ h[i] @ left.T + rho * np.outer(s, s)
-        gradient, before = fresh, x.copy()
-        direction = -np.einsum("rij,rj->ri", h, gradient)
-        direction *= np.minimum(1, 2 / np.maximum(np.abs(direction).max(1), 1e-12))[:, None]
-        losses, found = f((x[:, None, :] + lengths[None, :, None] * direction[:, None, :]).reshape(-1, d), np.repeat(np.arange(r), len(lengths)))
-        losses = losses.reshape(r, -1)
-        best, gain = losses.argmin(1), np.zeros(r)
-        for i in range(r):
-            if losses[i, best[i]] < loss[i]:
-                gain[i] = loss[i] - losses[i, best[i]]
-                x[i], loss[i], states[i] = x[i] + lengths[best[i]] * direction[i], losses[i, best[i]], found[i * len(lengths) + best[i]]
-            else:
-                h[i] = np.eye(d) * 0.01
-        if gain.max() < tolerance:
+    x, left, decrement, turn = start.copy(), np.arange(r), np.full(r, np.inf), 0
+    loss, states = f(x, left)
+    if any(state is None for state in states):
+        raise RuntimeError("the likelihood has no finite value at the start")
+    for turn in range(1, iterations + 1):
+        near = (x[left, None] + 1e-4 * np.eye(d)).reshape(-1, d)
+        of = np.repeat(left, d)
+        beside = f(near, of)[1]
+        slopes = f.gradients(np.concatenate((x[left], near)), [*(states[i] for i in left), *beside], np.concatenate((left, of)))
+        gradient, around = slopes[: len(left)], slopes[len(left) :].reshape(-1, d, d)
+        second = (around - gradient[:, None]) / 1e-4
+        value, vector = np.linalg.eigh((second + np.swapaxes(second, 1, 2)) / 2)
+        direction = -np.einsum("rik,rk,rjk,rj->ri", vector, 1 / np.maximum(np.abs(value), 1e-6), vector, gradient)
+        decrement[left] = -0.5 * np.einsum("ri,ri->r", direction, gradient)
+        going = decrement[left] >= tolerance
+        left, direction = left[going], direction[going]
+        if not len(left):
             break
-    return x, loss, states, turn + 1
+        direction *= np.minimum(1, 4 / np.maximum(np.abs(direction).max(1), 1e-12))[:, None]
+        losses, found = f((x[left, None, :] + _LENGTHS[None, :, None] * direction[:, None, :]).reshape(-1, d), np.repeat(left, len(_LENGTHS)))
+        losses = losses.reshape(len(left), -1)
+        best, moved = losses.argmin(1), losses.min(1) < loss[left]
+        for k in np.flatnonzero(moved):
+            i = left[k]
+            x[i], loss[i], states[i] = x[i] + _LENGTHS[best[k]] * direction[k], losses[k, best[k]], found[k * len(_LENGTHS) + best[k]]
+        left = left[moved]  # no lower point on the way: the decrement tells how far off it ends
+        if not len(left):
+            break
+    return x, loss, states, turn, decrement
 
 
 def _start(lay: Layout, deviation: float) -> np.ndarray:
@@ -240,23 +339,32 @@ def _start(lay: Layout, deviation: float) -> np.ndarray:
     return x
 
 
-def fit(arrays: DataFrame, lay: Layout, participant: str, reml: bool = True, iterations: int = 60) -> MixedFit:
-    """Restricted or full maximum likelihood of the covariance parameters, generalised least squares of the coefficients."""
+def fit(arrays: DataFrame, lay: Layout, participant: str, reml: bool = True, iterations: int = 60, tolerance: float = 1e-6) -> MixedFit:
+    """Restricted or full maximum likelihood of the covariance parameters, generalised least squares of the coefficients.
+
+    An error if ``iterations`` end before the loss is within ``tolerance`` of its minimum (by half the Newton decrement), or if
+    the predictor of a random slope is the same in all curves of some participant.
+    """
     predictors = list(lay.names[1:])
     stats = stored(participant_sums(arrays, predictors, participant), "participants")
     participants = stats.count()
     if participants < max(4, len(lay.names) + 1):
         raise ValueError("there are too few participants")
+    q = len(lay.names)
+    for k in lay.slopes:  # a participant's sums of 1, z and z z, whose spread is to be positive
+        n, one, two = (F.element_at("zz", i) for i in (1, k + 1, k * q + k + 1))
+        if not stats.where(n * two - one * one <= 1e-10 * n * two).isEmpty():
+            raise ValueError(f"{lay.names[k]} has a random slope, but does not vary within every participant")
     g = gram(arrays, F.concat(F.array(F.lit(1.0)), F.col("values")))
     n, t = g[0, 0], len(lay.time)
     deviation = float(np.sqrt(max((np.trace(g[1:, 1:]) - (g[0, 1:] ** 2).sum() / n) / (n * t), 1e-12)))
     f = _Likelihood(lay, stats, g[None, 1:, 1:], np.array([n]), reml)
-    x, loss, states, turns = _minimise(f, _start(lay, deviation)[None], iterations)
-    if states[0] is None:
-        raise RuntimeError("the likelihood has no finite value at the start")
+    x, loss, states, turns, decrement = _minimise(f, _start(lay, deviation)[None], iterations, tolerance)
+    if decrement[0] >= tolerance:
+        raise RuntimeError(f"the fit has not converged after {turns} iterations: half the Newton decrement is {decrement[0]:.3g}")
     beta, info = states[0]
     ev = np.linalg.eigvalsh(lay.unpack(x[0])[0] @ lay.unpack(x[0])[0].T)
-    return MixedFit(lay, beta.reshape(len(lay.names), -1), info, x[0], float(loss[0]), participants, int(n), reml, turns, bool(ev[0] < 1e-6 * max(ev[-1], 1e-12)), stats)
+    return MixedFit(lay, beta.reshape(len(lay.names), -1), info, x[0], float(loss[0]), participants, int(n), reml, turns, bool(ev[0] < 1e-6 * max(ev[-1], 1e-12)), float(decrement[0]), stats)
 
 
 def coefficient_frame(spark: SparkSession, m: MixedFit, draws_: np.ndarray | None = None, level: float = 0.95, scope: str = "each") -> DataFrame:
@@ -289,8 +397,11 @@ def bootstrap(m: MixedFit, replicates: int = 500, seed: int = 0) -> np.ndarray:
     return beta.reshape(replicates, q, -1) @ lay.fixed.T
 
 
-def full_refit(m: MixedFit, arrays: DataFrame, participant: str, replicates: int = 20, seed: int = 0, iterations: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficient functions and covariance parameters of replicates in which everything is estimated anew, all in the same passes."""
+def full_refit(m: MixedFit, arrays: DataFrame, participant: str, replicates: int = 20, seed: int = 0, iterations: int = 60, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficient functions and covariance parameters of replicates in which everything is estimated anew, all in the same passes.
+
+    An error names the replicates that have not converged.
+    """
     g = replicate_grams(arrays.select(F.xxhash64(participant).alias("u"), "values"), F.concat(F.array(F.lit(1.0)), F.col("values")), "u", replicates, seed)
     # the counts of replicate_grams hash the hash once more: the statistics are keyed in the same way
     stats = m.stats.withColumn("u", F.xxhash64("u"))
@@ -300,7 +411,9 @@ def full_refit(m: MixedFit, arrays: DataFrame, participant: str, replicates: int
         x = np.asarray(r.gram).reshape(t + 1, t + 1)
         yy[r.rep], n[r.rep] = x[1:, 1:], x[0, 0]
     f = _Likelihood(m.layout, stats, yy, n, m.reml, replicates, seed)
-    x, _, states, _ = _minimise(f, np.tile(m.theta, (replicates, 1)), iterations, 1e-3)
+    x, _, states, turns, decrement = _minimise(f, np.tile(m.theta, (replicates, 1)), iterations, tolerance)
+    if (decrement >= tolerance).any():
+        raise RuntimeError(f"replicates {np.flatnonzero(decrement >= tolerance).tolist()} have not converged after {turns} iterations")
     beta = np.stack([s[0].reshape(m.beta.shape) for s in states])
     return beta @ m.layout.fixed.T, x
 
@@ -366,7 +479,7 @@ def random_effects(m: MixedFit, effect: str = "intercept") -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(b(matrix(x.column(1)).reshape(-1, q, q), matrix(x.column(2)).reshape(-1, q, t)).tolist(), pa.list_(pa.float64()))], ["u", "values"])
 
-    small = MixedFit(m.layout, m.beta, m.information, m.theta, m.loss, m.participants, m.curves, m.reml, m.iterations, m.boundary)
+    small = MixedFit(m.layout, m.beta, m.information, m.theta, m.loss, m.participants, m.curves, m.reml, m.iterations, m.boundary, m.decrement)
     stats, m = m.stats, small  # the tasks get the numbers alone
     return stats.select("u", "zz", "zy").mapInArrow(run, "u long, values array<double>")
 

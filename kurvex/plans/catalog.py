@@ -750,7 +750,7 @@ def generalized_functions(spark, d):
 
 @query()
 def mixed_functions(spark, d):
-    m = fm.fit(_labelled(spark, d), fm.layout(_T64, ["z"], 5, 3), "participant", iterations=6)
+    m = fm.fit(_labelled(spark, d), fm.layout(_T64, ["z"], 5, 3), "participant")
     return fm.coefficient_frame(spark, m)
 
 

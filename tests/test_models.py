@@ -244,9 +244,54 @@ def test_mixed_likelihood(spark, curves, data, how):
             assert losses[j] == pytest.approx(loss) and np.allclose(states[j][0], beta) and np.allclose(states[j][1], info)
 
 
+@pytest.mark.parametrize("how", [{}, {"random_slope": "c", "correlation": "ar1"}, {"trial_size": 2, "correlation": "exponential"}])
+def test_mixed_gradient(spark, curves, data, how):
+    lay = fm.layout(T, ["c"], 4, 3, **how)
+    y = np.stack(data["values"])
+    stats = fm.participant_sums(curves, ["c"], "participant")
+    theta = np.random.default_rng(1).normal(size=sum(lay.sizes) + 1) * 0.3
+    for reml in (True, False):
+        f = fm._Likelihood(lay, stats, (y.T @ y)[None], np.array([48.0]), reml)
+        d = len(theta)
+        losses = f(np.concatenate((theta + 1e-5 * np.eye(d), theta - 1e-5 * np.eye(d))), np.zeros(2 * d, int))[0]
+        got = f.gradients(theta[None], f(theta[None], np.zeros(1, int))[1], np.zeros(1, int))[0]
+        assert np.allclose(got, (losses[:d] - losses[d:]) / 2e-5, rtol=1e-4, atol=1e-3)
+
+
+@pytest.mark.parametrize("reml", [True, False])
+def test_mixed_random_intercept_in_closed_form(spark, reml):
+    """One constant random effect per participant on a balanced design: the variance components of the analysis of variance."""
+    rng = np.random.default_rng(2)
+    p, n, t = 30, 5, 4
+    y = 40 + 25 * rng.normal(size=(p, 1, 1)) + 3 * rng.normal(size=(p, n, t))
+    rows = spark.createDataFrame([(i * n + j, i, y[i, j].tolist()) for i in range(p) for j in range(n)], "curve_id long, participant long, values array<double>")
+    one = np.ones((t, 1))
+    m = fm.fit(rows, fm.Layout(np.arange(t, dtype=float), ("intercept",), one, one), "participant", reml)
+    mean = y.mean((1, 2))
+    within = ((y - mean[:, None, None]) ** 2).sum() / (p * (n * t - 1))
+    between = n * t * ((mean - mean.mean()) ** 2).sum() / (p - 1 if reml else p)
+    factor, _, sd, _ = m.layout.unpack(m.theta)
+    assert sd**2 == pytest.approx(within, rel=1e-3) and factor[0, 0] ** 2 == pytest.approx((between - within) / (n * t), rel=1e-3)
+    assert m.beta[0, 0] == pytest.approx(y.mean()) and m.decrement < 1e-6 and m.errors[0, 0] ** 2 == pytest.approx((between if reml else between) / (p * n * t), rel=1e-3)
+
+
+def test_mixed_fit_is_an_optimum_at_any_scale(spark, curves, data):
+    lay, rng = fm.layout(T, ["c"], 4, 2), np.random.default_rng(0)
+    x, y, person = np.column_stack((np.ones(48), data.c)), np.stack(data["values"]), data.participant.to_numpy()
+    for scale in (1.0, 1e-3, 50.0):
+        m = fm.fit(curves.withColumn("values", F.transform("values", lambda v: v * scale)), lay, "participant")
+        loss = lambda v, s=scale: dense_loss(lay, v, x, s * y, person, True)[0]
+        assert m.loss == pytest.approx(loss(m.theta)) and m.decrement < 1e-6
+        assert all(loss(m.theta + size * rng.normal(size=len(m.theta))) > m.loss - 1e-5 for size in (1.0, 0.3, 0.1, 0.01) for _ in range(12))
+    with pytest.raises(RuntimeError):
+        fm.fit(curves, lay, "participant", iterations=1)
+    with pytest.raises(ValueError):  # the slope's predictor is one number per participant
+        fm.fit(curves.withColumn("own", F.col("participant") * 0.5), fm.layout(T, ["own"], 4, 2, random_slope="own"), "participant")
+
+
 def test_mixed_fit(spark, curves, data):
     lay = fm.layout(T, ["c"], 4, 3)
-    m = fm.fit(curves, lay, "participant", iterations=8)
+    m = fm.fit(curves, lay, "participant")
     x, y = np.column_stack((np.ones(48), data.c)), np.stack(data["values"])
     loss, beta, _, blups = dense_loss(lay, m.theta, x, y, data.participant.to_numpy(), True)
     assert m.loss == pytest.approx(loss, rel=1e-6) and np.allclose(m.beta.ravel(), beta)
@@ -263,7 +308,7 @@ def test_mixed_fit(spark, curves, data):
     assert fm.residual_pairs(fm.residuals(curves, m, "participant"), 2).count() == 48 * 9
     assert fm.compare_diagnostics(diag["overall"], diag["overall"]).where("abs(delta_semivariance) > 1e-12").count() == 0
     draws = fm.bootstrap(m, 50)
-    refit, thetas = fm.full_refit(m, curves, "participant", 3, iterations=2)
+    refit, thetas = fm.full_refit(m, curves, "participant", 3)
     assert draws.shape == (50, 2, 11) and refit.shape == (3, 2, 11)
     audit = fm.refit_audit(m, curves, "participant", 3)
     n = fm.refit_trial_audit(curves, "participant", audit).agg(F.sum("count")).first()[0]
