@@ -2,7 +2,7 @@
 
 Normalised lines (lower-case words, white space collapsed) are hashed; on each host (``source``)
 the documents that hold a line are counted, each once.  Lines above the limit are removed, and a
-document that keeps less than ``min_left`` of its words is rejected as depleted.
+document that keeps less than ``left_percent`` of its words, or fewer than ``least_left`` words, is rejected as depleted.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .runtime import BROADCAST_KEYS, small_batches, store, tidy
 from .textblocks import Block, blocks, mix, powers, signed, span_hash
 
-#: A line is common when more than SHARE of the host's documents hold it, and more than MIN_DOCUMENTS; least share of words to keep.
-MIN_DOCUMENTS, SHARE, MIN_LEFT = 3, 0.01, 0.5
+#: A line is common when more than SHARE of the host's documents hold it, and more than MIN_DOCUMENTS; least share (in percent) and number of words to keep.
+MIN_DOCUMENTS, SHARE, LEFT_PERCENT, LEAST_LEFT = 3, 0.01, 80, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -99,12 +99,12 @@ def _measure(batches):
             )
 
 
-def quality_rules(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def quality_rules(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE, left_percent: float = LEFT_PERCENT, least_left: int = LEAST_LEFT) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
 
     A line is common on a host when more than ``share`` of the host's documents hold it, and more than
     ``min_documents`` of them, so the rule is the same on small and large hosts.  A document whose common lines leave
-    less than ``min_left`` of its words is depleted and rejected; one that keeps exactly that share stays.
+    less than ``left_percent`` of its words, or fewer than ``least_left`` words, is depleted and rejected; one that keeps exactly so much stays.
 
     Null, empty and blank texts have no words and fail; a null host is a host of its own; an empty table gives no rows.
     Every row is a document of its own, rows of one or of no doc_id too; a line counts once for each, however often it
@@ -123,5 +123,6 @@ def quality_rules(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, shar
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = rows.drop("lines", "line_words", "source").join(lost, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", base)
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.col("n_words") * F.lit(min_left))
+    left = F.col("n_words") - F.col("removed_words")
+    kept = ~F.col("base_failed") & (100 * left >= F.lit(left_percent) * F.col("n_words")) & (left >= least_left)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", kept.alias("kept"))

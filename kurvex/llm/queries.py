@@ -152,7 +152,7 @@ cm AS (SELECT lw.source, norm FROM lw JOIN lim ON lim.source = lw.source GROUP B
 rm AS (SELECT row, sum(n)::BIGINT AS removed_words FROM lw JOIN cm ON cm.source = lw.source AND cm.norm = lw.norm GROUP BY row),
 f AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
  FROM d LEFT JOIN nw USING (row) LEFT JOIN rw USING (row) LEFT JOIN du USING (row) LEFT JOIN rm USING (row))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= n_words * 0.5 AS kept FROM f""",
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed_words) >= 80 * n_words AND n_words - removed_words >= 50 AS kept FROM f""",
     "op3_warc": "WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY sha1(h)) AS head FROM p)\nSELECT page_id, payload_bytes, "
     + " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, {1 + 5 * k}, 5))::INT >> {b}) & 31), 1)" for k in range(8) for b in (15, 10, 5, 0))
     + " AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM s",

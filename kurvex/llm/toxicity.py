@@ -35,18 +35,13 @@ _PUNCT[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 def cores(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word without its outer ASCII punctuation (words of punctuation alone stay)."""
-    start, end = block.ws.copy(), block.we.copy()
-    for _ in range(64):
-        m = _PUNCT[block.buf[start]] & (end - start > 1)
-        if not m.any():
-            break
-        start[m] += 1
-    for _ in range(64):
-        m = _PUNCT[block.buf[end - 1]] & (end - start > 1)
-        if not m.any():
-            break
-        end[m] -= 1
-    return start, end
+    if not len(block.ws):
+        return block.ws, block.we
+    inner = np.flatnonzero(~_PUNCT[block.buf])
+    first = np.append(inner, len(block.buf))[np.searchsorted(inner, block.ws)]
+    last = np.insert(inner, 0, -1)[np.searchsorted(inner, block.we)]
+    empty = first >= block.we  # nothing but punctuation
+    return np.where(empty, block.ws, first), np.where(empty, block.we, last + 1)
 
 
 def features(block: Block) -> list[np.ndarray]:

@@ -94,14 +94,22 @@ def _page(urn: str | None) -> int | None:
 
 
 def _record(raw: bytes) -> tuple:
-    """page_id, payload_bytes, payload_digest, declared digest, record_type, refers_to of a whole record after its magic."""
+    """page_id, payload_bytes, payload_digest, declared digest, record_type, refers_to of a whole record after its magic.
+
+    Only a block of type ``application/http`` starts with an HTTP header, which ends at its first empty line (without one the
+    whole block is header); the payload of other blocks is the block.
+    """
     at, length = _header(raw)
     head, block = raw[:at], raw[at : at + length]
     kind = _field(head, "WARC-Type")
-    cut = block.find(b"\r\n\r\n") + 4
+    cut = 0
+    if (_field(head, "Content-Type") or "").lower().startswith("application/http"):
+        end = block.find(b"\r\n\r\n")
+        cut = len(block) if end < 0 else end + 4
     payload, declared = block[cut:], (_field(head, "WARC-Payload-Digest") or "").removeprefix("sha1:")
-    if kind == "revisit":  # the HTTP header that is kept tells the full payload's length
-        size, digest = int(_LENGTH.search(block[:cut])[1]), declared
+    if kind == "revisit":  # the HTTP header that is kept tells the full payload's length; without one it isn't known
+        told = _LENGTH.search(block[:cut])
+        size, digest = int(told[1]) if told else None, declared or None
     else:
         size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
     return _page(_field(head, "WARC-Record-ID")), size, digest, declared, kind, _page(_field(head, "WARC-Refers-To"))
@@ -217,7 +225,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The verified records of the archives under ``path``: page_id, payload_bytes, payload_digest, declared, record_type, refers_to.
 
     Uncompressed WARC 1.0 with a Content-Length in every record.  Records of other writers are read too: of types other than
-    response and revisit as they are, without a page_id where the id is not one of ``write_archives``.  What stands before a
+    response and revisit as they are, without a page_id where the id is not one of ``write_archives``; a revisit that keeps
+    no HTTP header has no payload_bytes, one that declares no digest no payload_digest.  What stands before a
     file's first record, and magic that no chain from the first record reaches, is passed over; an empty folder gives no rows.
     """
     small_batches(spark)
@@ -247,7 +256,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     if not long.isEmpty():
         long = store(long, "long")
         parts = text.join(long.select("file").distinct().hint("broadcast") if long.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else long.select("file").distinct(), "file", "left_semi")
-        parts = parts.mapInArrow(_offsets, "file string, split long, at long, raw binary").join(base, ["file", "split"]).select("file", (F.col("at") + F.col("base")).alias("at"), "raw")
-        parts = parts.join(long, "file").where("at >= lo and at < hi")
+        parts = parts.mapInArrow(_offsets, "file string, split long, at long, raw binary").join(base, ["file", "split"]).select("file", "split", (F.col("at") + F.col("base")).alias("at"), "raw")
+        # A split has one long record that runs past its end and few that were given up for their size, so a segment meets few.
+        ends = base.select("file", "split", "base", F.lead("base").over(Window.partitionBy("file").orderBy("split")).alias("end"))
+        spans = long.join(ends, "file").where("lo < coalesce(end, hi) and hi > base").select("file", "split", "lo", "hi")
+        parts = parts.join(spans, ["file", "split"]).where("at >= lo and at < hi")
         records = records.union(parts.groupBy("file", "lo").applyInPandas(_assembled, ", ".join(f"{n} {_SQL[t]}" for n, t in _RECORD)))
     return records

@@ -432,3 +432,26 @@ def test_blocks_keep_words():
     for _, _, block in textblocks.blocks(b, limit=50):
         n += np.diff(block.first).tolist()
     assert n == [len(WORD.findall(t)) for t in texts]
+
+
+@pytest.mark.parametrize("mark", ["!", "\"", "(-"])
+def test_cores_of_words_with_any_number_of_marks(mark):
+    from kurvex.llm.textblocks import Block
+    from kurvex.llm.toxicity import cores
+
+    words = [mark * n + w + mark * m for n in (0, 1, 63, 64, 65, 500) for m in (0, 64, 70) for w in ("word", "a.b", "x")] + [mark * 90, "é" + mark * 200]
+    text = " ".join(words).encode()
+    block = Block(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    got = [text[a:z].decode() for a, z in zip(*cores(block), strict=True)]
+    import string
+
+    assert got == [w.strip(string.punctuation) or w for w in words]
+
+
+def test_line_frequency_decides_on_the_given_tables(spark):
+    """Documents that pass the base rules and are rejected for the lines they share with their host's documents."""
+    from kurvex.llm import queries
+
+    rows = queries.op2_quality_rules(spark, "/root/testdata/sf0.01").collect()
+    depleted = [r for r in rows if not r.base_failed and not r.kept]
+    assert depleted and all(r.removed_words > 0 and (r.n_words - r.removed_words < 50 or 100 * r.removed_words > 20 * r.n_words) for r in depleted)

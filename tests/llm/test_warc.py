@@ -35,6 +35,26 @@ def test_round_trip(spark, tmp_path, monkeypatch, split, held):
             spark.conf.set(k, v)
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Blocks without an HTTP header are payloads as a whole; revisits need no block; records may come in any order of fields."""
+
+    def record(kind, block, *fields):
+        return (MAGIC + "".join(f"{x}\r\n" for x in (*fields, f"WARC-Type: {kind}", f"Content-Length: {len(block)}")) + "\r\n" + block + "\r\n\r\n").encode()
+
+    http = "Content-Type: application/http; msgtype=response"
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(b"".join([
+        record("warcinfo", "software: x\r\n", "Content-Type: application/warc-fields"), record("metadata", "a: b\r\n"), record("revisit", "", "WARC-Payload-Digest: sha1:ABC"), record("revisit", "HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n", http),
+        record("revisit", "HTTP/1.1 304 Not Modified\r\n\r\n", http), record("response", "HTTP/1.1 200 OK\r\n\r\nbody", http), record("response", "no end of header", http), record("resource", "one\r\n\r\ntwo", "content-type: text/plain"), record("request", "GET / HTTP/1.1\r\n\r\n", http.replace("response", "request")),
+    ]))
+    sha = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    got = warc.read_archives(spark, f"file://{tmp_path}/b").select("record_type", "payload_bytes", "payload_digest", "page_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([
+        ("warcinfo", 13, sha("software: x\r\n"), None), ("metadata", 6, sha("a: b\r\n"), None), ("revisit", None, "ABC", None), ("revisit", 77, None, None), ("revisit", None, None, None),
+        ("response", 4, sha("body"), None), ("response", 0, sha(""), None), ("resource", 10, sha("one\r\n\r\ntwo"), None), ("request", 0, sha(""), None),
+    ], key=repr)
+
+
 def test_no_pages(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
