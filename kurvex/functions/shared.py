@@ -23,4 +23,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/kurvex-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kurvex_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more; other tables are left alone."""
+    for df in frames:
+        if path := getattr(df, "_kurvex_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

@@ -60,7 +60,7 @@ def select_components(cv: pd.DataFrame, rule: str = "minimum") -> int:
     return int(s.index[s["mean"] <= s.loc[best, "mean"] + s.loc[best, "std"] / np.sqrt(s.loc[best, "count"])].min())
 
 
-def group_influence(arrays: DataFrame, group: str, time: np.ndarray, n_components: int) -> pd.DataFrame:
+def group_influence(arrays: DataFrame, group: str, time: np.ndarray, n_components: int) -> DataFrame:
     """One minus the least similarity of the components without each group to all; moments per group, subtracted from the whole."""
     import pyarrow as pa
 
@@ -70,17 +70,20 @@ def group_influence(arrays: DataFrame, group: str, time: np.ndarray, n_component
 
     def add(batches):
         acc: dict = {}
+        group_kind = None
         for b in batches:
-            g = np.asarray(b.column(0))
+            group_kind = b.column(0).type
+            g = np.asarray(b.column(0).to_pandas())
             m = np.asarray(b.column(1).flatten(), float).reshape(len(b), -1)
-            for k in np.unique(g):
+            for k in pd.unique(g):
                 x = m[g == k]
                 n, s, q = acc.get(k, (0, 0.0, 0.0))
                 acc[k] = (n + len(x), s + x.sum(0), q + x.T @ x)
         for k, (n, s, q) in acc.items():
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], ["k", "n", "s", "q"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], group_kind), pa.array([n]), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([q.ravel().tolist()], pa.list_(pa.float64()))], ["k", "n", "s", "q"])
 
     n0, s0, g0 = moments(arrays)
+    kind = dict(arrays.dtypes)[group]
 
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
         n, s, g = n0 - pdf["n"].sum(), s0 - np.sum(np.stack(pdf["s"]), 0), g0 - np.sum(np.stack(pdf["q"]), 0).reshape(len(s0), -1)
@@ -89,10 +92,10 @@ def group_influence(arrays: DataFrame, group: str, time: np.ndarray, n_component
         comp = (vec[:, ::-1][:, :n_components] / root[:, None]).T
         sim = component_similarity(whole, Decomposition(mean, comp, np.zeros(0), np.zeros(0), w, n))
         at = match_components(sim)
-        return pd.DataFrame({"grp": [int(pdf["k"].iloc[0])], "influence": [1 - min(float(sim[i, j]) for i, j in enumerate(at))]})
+        return pd.DataFrame({"grp": [pdf["k"].iloc[0]], "influence": [1 - min(float(sim[i, j]) for i, j in enumerate(at))]})
 
-    parts = arrays.select(F.col(group).cast("long"), "values").mapInArrow(add, "k long, n long, s array<double>, q array<double>")
-    return parts.groupBy("k").applyInPandas(refit, "grp long, influence double").toPandas()
+    parts = arrays.select(F.col(group), "values").where(F.col(group).isNotNull()).mapInArrow(add, f"k {kind}, n long, s array<double>, q array<double>")
+    return parts.groupBy("k").applyInPandas(refit, f"grp {kind}, influence double")
 
 
 def random_intercept_fit(rows: DataFrame, y: str, predictors: list[str], group: str) -> dict:

@@ -1,4 +1,4 @@
-"""Embedding, recurrence quantification, recurrence networks, divergence and sections.
+"""Embedding, recurrence quantification, recurrence networks, divergence and sections (nearest neighbours: ``neighbours``).
 
 Pairs within a radius meet in cells: states are dealt to a grid of cells as wide as the radius, and a cell only
 meets its neighbours, an equi-join on (curve, cell).  So neither work nor skew follows the square of a curve's length,
@@ -55,40 +55,36 @@ def distance(a: str, b: str, dims: tuple[str, ...], metric: str = "euclidean") -
     return F.sqrt(reduce(lambda p, q: p + q, [x * x for x in d])) if len(d) > 1 else d[0]
 
 
-def _pairs(samples: DataFrame, dims: tuple[str, ...], theiler: int, metric: str, keys: tuple[str, ...] = (CURVE,)) -> DataFrame:
-    a, b = samples.alias("a"), samples.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("b.t_idx") - F.col("a.t_idx") > theiler]
-    return a.join(b, on).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.t_idx").alias("i"), F.col("b.t_idx").alias("j"), distance("a", "b", dims, metric).alias("d"))
-
-
-def _cells(side: str, dims: tuple[str, ...], radius: float, spread: bool):
-    """Cell of a state as one array column; with ``spread`` its cell and all neighbours, one row each."""
-    own = [F.floor(F.col(d) / (radius * (1 + 1e-9))).cast("long") for d in dims]  # a little wider: distances are rounded
-    if not spread:
-        return F.array(*own).alias(side)
+def cell_of(dims: tuple[str, ...], width: float | Column, around: bool = False) -> Column:
+    """Cell of a state on a grid of that width, as an array; with ``around`` an array of its own and all neighbouring cells."""
+    own = [F.floor(F.col(d) / (width * (1 + 1e-9))).cast("long") for d in dims]  # a little wider: distances are rounded
+    if not around:
+        return F.array(*own)
     moves = [()]
     for _ in own:
         moves = [(*m, k) for m in moves for k in (-1, 0, 1)]
-    return F.explode(F.array(*(F.array(*(c + k for c, k in zip(own, m, strict=True))) for m in moves))).alias(side)
+    return F.array(*(F.array(*(c + k for c, k in zip(own, m, strict=True))) for m in moves))
 
 
-def near_pairs(a: DataFrame, b: DataFrame, dims: tuple[str, ...], radius: float, metric: str, keys: tuple[str, ...], also: Column | None = None) -> DataFrame:
+def near_pairs(a: DataFrame, b: DataFrame, dims: tuple[str, ...], radius: float | Column, metric: str, keys: tuple[str, ...], also: Column | None = None) -> DataFrame:
     """Pairs of a's and b's samples at a distance of at most ``radius``, with keys, i, j and d; ``also`` is a condition on (i, j).
 
+    ``radius`` may be an expression of columns that both have: each group of the keys has a radius, above zero, of its own.
     Cells have one, two or three dimensions at most (the first ones): any more multiply neighbours without pruning much.
     """
     grid = dims[:3]
     known = lambda x: x.where(reduce(lambda p, q: p & q, [F.col(d).isNotNull() for d in dims]))
-    if radius > 0:
-        left = known(a).select(*keys, F.col("t_idx").alias("i"), F.struct(*dims).alias("p"), _cells("cell", grid, radius, True))
-        right = known(b).select(*keys, F.col("t_idx").alias("j"), F.struct(*dims).alias("q"), _cells("cell", grid, radius, False))
+    within = radius if isinstance(radius, Column) else F.lit(float(radius))
+    if isinstance(radius, Column) or radius > 0:
+        left = known(a).select(*keys, F.col("t_idx").alias("i"), F.struct(*dims).alias("p"), within.alias("_within"), F.explode(cell_of(grid, radius, around=True)).alias("cell"))
+        right = known(b).select(*keys, F.col("t_idx").alias("j"), F.struct(*dims).alias("q"), cell_of(grid, radius).alias("cell"))
     else:  # only equal states
         cell = F.array(*(F.col(d).cast("double") for d in grid)).alias("cell")
-        left = known(a).select(*keys, F.col("t_idx").alias("i"), F.struct(*dims).alias("p"), cell)
+        left = known(a).select(*keys, F.col("t_idx").alias("i"), F.struct(*dims).alias("p"), within.alias("_within"), cell)
         right = known(b).select(*keys, F.col("t_idx").alias("j"), F.struct(*dims).alias("q"), cell)
     both = left.join(right, [*keys, "cell"])
     both = both if also is None else both.where(also)
-    return both.withColumn("d", distance("p", "q", dims, metric)).where(F.col("d") <= radius).select(*keys, "i", "j", "d")
+    return both.withColumn("d", distance("p", "q", dims, metric)).where("d <= _within").select(*keys, "i", "j", "d")
 
 
 def recurrence_pairs(samples: DataFrame, dims: tuple[str, ...], radius: float, theiler: int = 0, metric: str = "euclidean", keys: tuple[str, ...] = (CURVE,)) -> DataFrame:
@@ -96,9 +92,9 @@ def recurrence_pairs(samples: DataFrame, dims: tuple[str, ...], radius: float, t
     return near_pairs(samples, samples, dims, radius, metric, keys, F.col("j") - F.col("i") > theiler).select(*keys, "i", "j")
 
 
-def cross_recurrence_pairs(a: DataFrame, b: DataFrame, dims: tuple[str, ...], radius: float) -> DataFrame:
-    """(i, j) of two declared curves' samples within the radius, all of both."""
-    return near_pairs(a, b, dims, radius, "euclidean", ()).select("i", "j")
+def cross_recurrence_pairs(a: DataFrame, b: DataFrame, dims: tuple[str, ...], radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j) of the samples within the radius of declared pairs of curves: rows of a and b with equal keys."""
+    return near_pairs(a, b, dims, radius, "euclidean", keys).select(*keys, "i", "j")
 
 
 def eligible_pairs(samples: DataFrame, theiler: int, keys: tuple[str, ...] = (CURVE,)) -> DataFrame:
@@ -161,12 +157,14 @@ def rqa_metrics(samples: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = (C
     return out.select(*k, "n", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), rate.alias("recurrence_rate"), "determinism", "mean_diagonal", "max_diagonal", "diagonal_entropy", "laminarity", "trapping_time", "max_vertical", (100 * F.col("lag_sum") / ((F.col("n") - 1) * F.col("n_pairs"))).alias("corm"))
 
 
-def cross_rqa_metrics(a: DataFrame, b: DataFrame, pairs: DataFrame, min_diagonal: int = 2, min_vertical: int = 2) -> DataFrame:
-    """The line measures of a cross recurrence (i of a, j of b): one row; all cells count, both triangles apart."""
-    measures = line_measures(line_lengths(pairs.withColumn("_one", F.lit(1)), ("_one",), False), ("_one",), min_diagonal, min_vertical)
-    size = a.agg(F.count(F.lit(1)).alias("n_a")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_b"))).withColumn("_one", F.lit(1))
-    out = size.join(measures, "_one", "left")
-    return out.select("n_a", "n_b", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), (F.coalesce("n_pairs", F.lit(0)) / (F.col("n_a") * F.col("n_b"))).alias("recurrence_rate"), "determinism", "mean_diagonal", "max_diagonal", F.coalesce("diagonal_lines", F.lit(0)).alias("diagonal_lines"), "diagonal_entropy", "laminarity", "trapping_time", "max_vertical")
+def cross_rqa_metrics(a: DataFrame, b: DataFrame, pairs: DataFrame, min_diagonal: int = 2, min_vertical: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The line measures of cross recurrences (i of a, j of b), a row for each declared pair; all cells count, both triangles apart."""
+    one = lambda x: x if keys else x.withColumn("_one", F.lit(1))
+    k = list(keys) or ["_one"]
+    measures = line_measures(line_lengths(one(pairs), tuple(k), False), tuple(k), min_diagonal, min_vertical)
+    size = one(a).groupBy(*k).agg(F.count(F.lit(1)).alias("n_a")).join(one(b).groupBy(*k).agg(F.count(F.lit(1)).alias("n_b")), k)
+    out = size.join(measures, k, "left")
+    return out.select(*keys, "n_a", "n_b", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), (F.coalesce("n_pairs", F.lit(0)) / (F.col("n_a") * F.col("n_b"))).alias("recurrence_rate"), "determinism", "mean_diagonal", "max_diagonal", F.coalesce("diagonal_lines", F.lit(0)).alias("diagonal_lines"), "diagonal_entropy", "laminarity", "trapping_time", "max_vertical")
 
 
 def windows(samples: DataFrame, window: int, step: int) -> DataFrame:
@@ -206,24 +204,6 @@ def network_summary(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(CURVE).agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("degree") / 2).alias("n_edges"), F.avg("degree").alias("mean_degree"), F.avg("clustering").alias("mean_clustering"), (F.sum("triangles") / 3).alias("n_triangles"), F.when(triples > 0, F.sum("triangles") / triples).alias("transitivity"))
 
 
-def nearest_neighbours(samples: DataFrame, dims: tuple[str, ...], theiler: int) -> DataFrame:
-    """The nearest later or earlier state further than ``theiler`` in time, at a distance above zero; ties by index."""
-    a, b = samples.alias("a"), samples.alias("b")
-    d = distance("a", "b", dims)
-    near = a.join(b, (F.col("a.curve_id") == F.col("b.curve_id")) & (F.abs(F.col("a.t_idx") - F.col("b.t_idx")) > theiler)).where(d > 0)
-    return near.groupBy(F.col("a.curve_id").alias(CURVE), F.col("a.t_idx").alias("i")).agg(F.min(F.struct(d.alias("d"), F.col("b.t_idx").alias("j"))).alias("m")).select(CURVE, "i", "m.j", "m.d")
-
-
-def divergence_curve(samples: DataFrame, dims: tuple[str, ...], theiler: int, max_horizon: int) -> DataFrame:
-    """Mean log distance of nearest neighbours after k steps, pairs of distance zero counted apart."""
-    nn = nearest_neighbours(samples, dims, theiler).select(CURVE, "i", "j", F.explode(F.sequence(F.lit(0), F.lit(max_horizon))).alias("k"))
-    a = samples.select(CURVE, F.col("t_idx").alias("ai"), F.struct(*dims).alias("p"))
-    b = samples.select(CURVE, F.col("t_idx").alias("bj"), F.struct(*dims).alias("q"))
-    m = nn.withColumns({"ai": F.col("i") + F.col("k"), "bj": F.col("j") + F.col("k")}).join(a, [CURVE, "ai"]).join(b, [CURVE, "bj"])
-    d = distance("p", "q", dims)
-    return m.withColumn("d", d).groupBy(CURVE, "k").agg(F.avg(F.when(F.col("d") > 0, F.log("d"))).alias("mean_log"), F.count(F.when(F.col("d") > 0, 1)).alias("n"), F.count(F.when(F.col("d") == 0, 1)).alias("zeros"))
-
-
 def kantz_curve(samples: DataFrame, dims: tuple[str, ...], radius: float, theiler: int, max_horizon: int, min_neighbours: int = 2) -> DataFrame:
     """Log of the mean distance to all neighbours within the radius after k steps, averaged over references with enough of them."""
     p = recurrence_pairs(samples, dims, radius, theiler)
@@ -250,46 +230,6 @@ def poincare_crossings(samples: DataFrame, section: str, value: float, direction
     return s.where(hit).select(CURVE, F.col("t_idx").alias("i"), (F.col("t") + f * (F.col("_t") - F.col("t"))).alias("t"), *((F.col(d) + f * (F.col(f"_{d}") - F.col(d))).alias(d) for d in dims))
 
 
-def false_neighbours(samples: DataFrame, dim: str, delay: int, max_dimension: int, theiler: int = 0, rtol: float = 10.0, atol: float = 2.0) -> DataFrame:
-    """Per curve and embedding dimension m: share of nearest neighbours that part in dimension m + 1.
-
-    A neighbour is false if the new coordinate's distance is over ``rtol`` times the distance, or the joint
-    distance is over ``atol`` population deviations of the curve.
-    """
-    w = along(CURVE)
-    sd = samples.groupBy(CURVE).agg(F.stddev_pop(dim).alias("sd"))
-    out = None
-    for m in range(1, max_dimension + 1):
-        cols = [(F.lag(dim, l * delay).over(w) if l else F.col(dim)).alias(f"e{l}") for l in range(m + 1)]
-        s = samples.select(CURVE, "t_idx", *cols).where(F.col(f"e{m}").isNotNull())
-        near = nearest_neighbours(s, tuple(f"e{l}" for l in range(m)), theiler)
-        new = s.select(CURVE, F.col("t_idx").alias("i"), F.col(f"e{m}").alias("p")), s.select(CURVE, F.col("t_idx").alias("j"), F.col(f"e{m}").alias("q"))
-        j = near.join(new[0], [CURVE, "i"]).join(new[1], [CURVE, "j"]).join(sd, CURVE).withColumn("g", F.abs(F.col("p") - F.col("q")))
-        false = (F.col("g") / F.col("d") > rtol) | (F.sqrt(F.col("d") * F.col("d") + F.col("g") * F.col("g")) / F.col("sd") > atol)
-        row = j.groupBy(CURVE).agg(F.lit(m).alias("dimension"), F.avg(false.cast("double")).alias("false_share"), F.count(F.lit(1)).alias("n"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def radius_for_rate(samples: DataFrame, dims: tuple[str, ...], rate: float, theiler: int = 0, steps: int = 48, branch: int = 6) -> DataFrame:
-    """Per curve the least radius found by ``steps`` halvings of [0, length of the ranges] whose share of eligible pairs reaches ``rate``.
-
-    A pass counts the pairs within 2**branch - 1 inner radii at once, which are ``branch`` halvings; the curves' bounds are all
-    that is kept from pass to pass.  All pairs of a curve are needed, as the radius isn't known before.
-    """
-    pairs = _pairs(samples, dims, theiler, "euclidean")
-    spread = sum(((F.max(d) - F.min(d)) * (F.max(d) - F.min(d)) for d in dims), F.lit(0.0))
-    bounds = samples.groupBy(CURVE).agg(F.lit(0.0).alias("lo"), F.sqrt(spread).alias("hi"))
-    cells = 1 << branch
-    for _ in range(-(-steps // branch)):
-        at = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * (k / cells)
-        counts = pairs.join(bounds, CURVE).groupBy(CURVE, "lo", "hi").agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col("d") <= at(k), 1)).alias(f"c{k}") for k in range(1, cells + 1)))
-        below = sum((F.when(F.col(f"c{k}") / F.col("n") < rate, 1).otherwise(0) for k in range(1, cells)), F.lit(0))
-        bounds = counts.withColumn("b", below).select(CURVE, (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("b") / cells).alias("lo"), (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("b") + 1) / cells).alias("hi"))
-        bounds = stored(bounds, "bounds")
-    return bounds.select(CURVE, F.col("hi").alias("radius"))
-
-
 def network_components(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     """Connected components of every curve's recurrence network: how many, and the size of the largest.
 
@@ -322,9 +262,14 @@ def joint_components(pairs: dict[str, DataFrame], joint: DataFrame) -> DataFrame
 
 
 def metric_arrays(windowed: DataFrame, metric: str) -> DataFrame:
-    """A windowed measure as curves (curve_id, values in window order); curves must have the same windows and no missing value."""
+    """A windowed measure as curves (curve_id, values in window order); an error unless all curves have the same windows and no missing value."""
     rows = windowed.groupBy(CURVE).agg(F.array_sort(F.collect_list(F.struct("window_start", F.col(metric).cast("double").alias("v")))).alias("s"), F.count(metric).alias("n"))
-    return rows.where(F.col("n") == F.size("s")).select(CURVE, F.col("s.v").alias("values"))
+    seen = rows.agg(F.min(F.xxhash64("s.window_start")).alias("a"), F.max(F.xxhash64("s.window_start")).alias("b"), F.max(F.size("s") - F.col("n")).alias("missing")).first()
+    if seen.a != seen.b:
+        raise ValueError("curves differ in their windows")
+    if seen.missing:
+        raise ValueError(f"{metric} is missing in some window")
+    return rows.select(CURVE, F.col("s.v").alias("values"))
 
 
 def windowed_mean_band(windowed: DataFrame, metric: str, replicates: int = 500, level: float = 0.95, seed: int = 0) -> DataFrame:

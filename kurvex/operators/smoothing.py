@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CURVE = "curve_id"
 
@@ -86,9 +87,9 @@ def resample_pchip(samples: DataFrame, grid: np.ndarray, dim: str = "x", max_gap
         if max_gap is not None and len(t) > 1:
             k = np.clip(np.searchsorted(t, grid, "right") - 1, 0, len(t) - 2)
             out[(t[k + 1] - t[k] > max_gap) & (grid > t[k]) & (grid < t[k + 1])] = np.nan
-        return pd.DataFrame({CURVE: int(pdf[CURVE].iloc[0]), "g_idx": np.arange(len(grid)), "t": grid, dim: [None if np.isnan(x) else x for x in out]})
+        return pd.DataFrame({CURVE: pdf[CURVE].iloc[0], "g_idx": np.arange(len(grid)), "t": grid, dim: [None if np.isnan(x) else x for x in out]})
 
-    return samples.select(CURVE, "t", dim).groupBy(CURVE).applyInPandas(run, f"curve_id long, g_idx int, t double, {dim} double")
+    return samples.select(CURVE, "t", dim).groupBy(CURVE).applyInPandas(run, f"curve_id {dict(samples.dtypes)[CURVE]}, g_idx int, t double, {dim} double")
 
 
 def iaaft(v: np.ndarray, rng: np.random.Generator, iterations: int = 200, tolerance: float = 1e-8) -> np.ndarray:
@@ -116,15 +117,16 @@ def surrogate_test(samples: DataFrame, dims: tuple[str, ...], statistic, n_surro
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("t_idx")[list(dims)].dropna().to_numpy(float)
-        curve = int(pdf[CURVE].iloc[0])
+        curve = pdf[CURVE].iloc[0]
         if len(v) < min_samples:
             return pd.DataFrame({CURVE: [curve], "observed": [None], "p_value": [None]})
-        rng = np.random.default_rng([seed, curve & 0x7FFFFFFF])
+        rng = np.random.default_rng([seed, int(pdf["_hash"].iloc[0]) & 0x7FFFFFFF])
         seen = statistic(v)
         null = [statistic(iaaft(v, rng)) for _ in range(n_surrogates)]
         return pd.DataFrame({CURVE: [curve], "observed": [float(seen)], "p_value": [(1 + sum(x >= seen for x in null)) / (n_surrogates + 1)]})
 
-    return samples.select(CURVE, "t_idx", *dims).groupBy(CURVE).applyInPandas(run, "curve_id long, observed double, p_value double")
+    rows = samples.select(CURVE, F.xxhash64(CURVE).alias("_hash"), "t_idx", *dims)
+    return rows.groupBy(CURVE).applyInPandas(run, f"curve_id {dict(samples.dtypes)[CURVE]}, observed double, p_value double")
 
 
 def time_reversal(v: np.ndarray) -> float:

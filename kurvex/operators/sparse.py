@@ -1,9 +1,8 @@
-"""Sparse and irregular decomposition: local-linear mean, raw covariance pairs and their surface, conditional scores."""
+"""Smoothers of sparse curves: local-linear mean, raw covariance pairs, conformal radius (fits: ``sparse_fit``)."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,116 +32,6 @@ def raw_covariance_pairs(residuals: DataFrame, value: str = "e") -> DataFrame:
     return a.join(b, CURVE).where("i <> j").select(CURVE, "s", "t", (F.col("p") * F.col("q")).alias("c"))
 
 
-def covariance_surface(pairs: DataFrame, grid: DataFrame, bandwidth: float, min_pairs: int = 6) -> pd.DataFrame:
-    """Local-linear covariance surface on the grid squared: ten moments per cell in Spark, a 3x3 solve per cell on the driver."""
-    g = grid.select("g_idx", "g")
-    h = bandwidth
-    near = pairs.join(F.broadcast(g.toDF("gi", "gs")), F.abs(F.col("s") - F.col("gs")) < h).join(F.broadcast(g.toDF("gj", "gt")), F.abs(F.col("t") - F.col("gt")) < h)
-    ds, dt = F.col("s") - F.col("gs"), F.col("t") - F.col("gt")
-    k = epanechnikov(ds / h) * epanechnikov(dt / h)
-    m = near.groupBy("gi", "gj").agg(F.count(F.lit(1)).alias("n"), *(F.sum(k * z).alias(f"m{i}") for i, z in enumerate((F.lit(1.0), ds, dt, ds * ds, ds * dt, dt * dt, F.col("c"), ds * F.col("c"), dt * F.col("c"))))).toPandas()
-    a = np.stack([m[["m0", "m1", "m2"]].to_numpy(), m[["m1", "m3", "m4"]].to_numpy(), m[["m2", "m4", "m5"]].to_numpy()], 1)
-    y = m[["m6", "m7", "m8"]].to_numpy()
-    ok = (m["n"].to_numpy() >= min_pairs) & (np.abs(np.linalg.det(a)) > 1e-14)
-    m["cov"] = np.nan
-    m.loc[ok, "cov"] = np.linalg.solve(a[ok], y[ok][..., None])[:, 0, 0]
-    return m[["gi", "gj", "n", "cov"]]
-
-
-def repair_psd(cov: np.ndarray) -> np.ndarray:
-    """Symmetric part with negative eigenvalues set to zero."""
-    ev, vec = np.linalg.eigh((cov + cov.T) / 2)
-    return (vec * np.maximum(ev, 0)) @ vec.T
-
-
-def pace_scores(samples: DataFrame, grid: np.ndarray, mean: np.ndarray, cov: np.ndarray, noise: float, n_components: int, value: str = "x") -> DataFrame:
-    """Conditional expectations of the scores given each curve's own samples (broadcast: grid-sized arrays only)."""
-    w = np.gradient(grid)
-    root = np.sqrt(w)
-    ev, vec = np.linalg.eigh(repair_psd(cov) * np.outer(root, root))
-    ev, phi = ev[::-1][:n_components], (vec[:, ::-1][:, :n_components] / root[:, None]).T
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna().sort_values("t")
-        t = pdf["t"].to_numpy()
-        inside = (t >= grid[0]) & (t <= grid[-1])
-        t, v = t[inside], pdf[value].to_numpy()[inside]
-        f = np.stack([np.interp(t, grid, p) for p in phi], 1) if len(t) else np.zeros((0, n_components))
-        sigma = (f * ev) @ f.T + (noise + 1e-10) * np.eye(len(t))
-        s = ev * (f.T @ np.linalg.solve(sigma, v - np.interp(t, grid, mean))) if len(t) else np.zeros(n_components)
-        return pd.DataFrame({CURVE: [int(pdf[CURVE].iloc[0])] if len(pdf) else [], "scores": [s.tolist()] if len(pdf) else []})
-
-    return samples.select(CURVE, "t", value).groupBy(CURVE).applyInPandas(run, "curve_id long, scores array<double>")
-
-
-def planar_covariance_pairs(residuals: DataFrame, dims: tuple[str, ...] = ("ex", "ey")) -> DataFrame:
-    """Residual products of every two channels at two times of a curve (block, s, t, c); a channel with itself only at different times."""
-    long = residuals.select(CURVE, "t_idx", "t", F.explode(F.array(*(F.struct(F.lit(k).alias("d"), F.col(c).alias("e")) for k, c in enumerate(dims)))).alias("z")).select(CURVE, "t_idx", "t", "z.d", "z.e").where("e is not null")
-    a, b = long.toDF(CURVE, "i", "s", "p", "u"), long.toDF(CURVE, "j", "t", "q", "v")
-    return a.join(b, CURVE).where("not (i = j and p = q)").select(CURVE, F.concat("p", "q").alias("block"), "s", "t", (F.col("u") * F.col("v")).alias("c"))
-
-
-def planar_surface(pairs: DataFrame, grid: DataFrame, bandwidth: float, dims: int = 2) -> np.ndarray:
-    """Joint covariance (channel-major) on the grid from the blocks' surfaces, made symmetric and positive semidefinite."""
-    n = grid.count()
-    out = np.zeros((dims * n, dims * n))
-    for p in range(dims):
-        for q in range(dims):
-            s = covariance_surface(pairs.where(F.col("block") == f"{p}{q}"), grid, bandwidth)
-            block = np.zeros((n, n))
-            block[s["gi"], s["gj"]] = s["cov"].fillna(0.0)
-            out[p * n : (p + 1) * n, q * n : (q + 1) * n] = block
-    return repair_psd(out)
-
-
-def channel_to_time_major(n_time: int, dims: int = 2) -> np.ndarray:
-    """Permutation that takes channel-major to time-major order."""
-    return np.arange(n_time * dims).reshape(dims, n_time).T.ravel()
-
-
-def joint_pace_scores(samples: DataFrame, grid: np.ndarray, means: np.ndarray, cov: np.ndarray, noise: np.ndarray, n_components: int, dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """Conditional scores and their posterior deviations from all channels; a missing channel value is left out, not filled."""
-    w = np.tile(np.gradient(grid), len(dims))
-    root = np.sqrt(w)
-    ev, vec = np.linalg.eigh(cov * np.outer(root, root))
-    ev, phi = np.maximum(ev[::-1][:n_components], 0), (vec[:, ::-1][:, :n_components] / root[:, None]).T.reshape(n_components, len(dims), -1)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f, y, s = [], [], []
-        for k, d in enumerate(dims):
-            p = pdf[["t", d]].dropna()
-            p = p[(p["t"] >= grid[0]) & (p["t"] <= grid[-1])]
-            f.append(np.stack([np.interp(p["t"], grid, c[k]) for c in phi], 1).reshape(-1, n_components))
-            y.append(p[d].to_numpy() - np.interp(p["t"], grid, means[k]))
-            s.append(np.full(len(p), noise[k] + 1e-10))
-        f, y, s = np.concatenate(f), np.concatenate(y), np.concatenate(s)
-        gain = np.linalg.solve((f * ev) @ f.T + np.diag(s), f * ev).T if len(y) else np.zeros((n_components, 0))
-        sd = np.sqrt(np.maximum(ev - np.einsum("kn,nk->k", gain, f * ev), 0))
-        return pd.DataFrame({CURVE: [int(pdf[CURVE].iloc[0])], "scores": [(gain @ y).tolist()], "score_sd": [sd.tolist()]})
-
-    return samples.select(CURVE, "t", *dims).groupBy(CURVE).applyInPandas(run, "curve_id long, scores array<double>, score_sd array<double>")
-
-
-def partial_prediction(samples: DataFrame, cutoff: float, grid: np.ndarray, mean: np.ndarray, cov: np.ndarray, noise: float, n_components: int, value: str = "x", z: float = 1.959964) -> DataFrame:
-    """Each curve's future on the grid given its samples up to the cutoff alone: prediction with a Gaussian band."""
-    root = np.sqrt(np.gradient(grid))
-    ev, vec = np.linalg.eigh(repair_psd(cov) * np.outer(root, root))
-    ev, phi = np.maximum(ev[::-1][:n_components], 0), (vec[:, ::-1][:, :n_components] / root[:, None]).T
-    ahead = grid > cutoff
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[(pdf["t"] <= cutoff) & (pdf["t"] >= grid[0])].dropna()
-        f = np.stack([np.interp(p["t"], grid, c) for c in phi], 1).reshape(-1, n_components)
-        gain = np.linalg.solve((f * ev) @ f.T + (noise + 1e-10) * np.eye(len(p)), f * ev).T if len(p) else np.zeros((n_components, 0))
-        s = gain @ (p[value].to_numpy() - np.interp(p["t"], grid, mean))
-        post = np.diag(ev) - gain @ (f * ev)
-        at = phi[:, ahead]
-        centre, sd = mean[ahead] + s @ at, np.sqrt(np.maximum(np.einsum("kg,kl,lg->g", at, post, at), 0) + noise)
-        return pd.DataFrame({CURVE: int(pdf[CURVE].iloc[0]), "t": grid[ahead], "prediction": centre, "lower": centre - z * sd, "upper": centre + z * sd})
-
-    return samples.select(CURVE, "t", value).groupBy(CURVE).applyInPandas(run, "curve_id long, t double, prediction double, lower double, upper double")
-
-
 def conformal_radius(calibration: DataFrame, alpha: float = 0.1) -> float:
     """The ceil((n + 1)(1 - alpha))-th least calibration score (column ``score``); infinite if there are too few."""
     n = calibration.count()
@@ -150,27 +39,3 @@ def conformal_radius(calibration: DataFrame, alpha: float = 0.1) -> float:
     if k > n:
         return float("inf")
     return float(calibration.agg(F.percentile("score", (k - 1) / max(1, n - 1)).alias("q")).first().q)
-
-
-def _squared_error(grid: np.ndarray, mean: np.ndarray):
-    @F.pandas_udf("double")
-    def error(t: pd.Series, x: pd.Series) -> pd.Series:
-        return (x - np.interp(t, grid, mean)) ** 2
-
-    return error
-
-
-def select_bandwidth(samples: DataFrame, grid: DataFrame, candidates: list[float], folds: int = 5, value: str = "x") -> pd.DataFrame:
-    """Held-out squared error of the local-linear mean per bandwidth; curves are dealt to folds by the hash of their id."""
-    dealt = samples.withColumn("fold", F.pmod(F.xxhash64(CURVE), F.lit(folds)).cast("int")).cache()
-    rows = []
-    for h in candidates:
-        for f in range(folds):
-            m = local_linear_mean(dealt.where(F.col("fold") != f), grid, h, value).orderBy("g_idx").toPandas()
-            g, v = m["g"].to_numpy(), m["mean"].to_numpy(float)
-            ok = np.isfinite(v)
-            held = dealt.where((F.col("fold") == f) & F.col("t").between(float(g[ok][0]), float(g[ok][-1])))
-
-            rows.append((h, f, held.select(_squared_error(g[ok], v[ok])("t", F.col(value)).alias("e")).agg(F.avg("e")).first()[0]))
-    dealt.unpersist()
-    return pd.DataFrame(rows, columns=["bandwidth", "fold", "error"])

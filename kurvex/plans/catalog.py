@@ -22,6 +22,7 @@ from ..operators import geometry as geo
 from ..operators import inference as inf
 from ..operators import information as info
 from ..operators import observation as obs
+from ..operators import neighbours as nbr
 from ..operators import recurrence as rec
 from ..operators import score_regression as sr
 from ..operators import sparse
@@ -329,14 +330,6 @@ def joint_rqa_metrics(spark, d):
     return rec.rqa_metrics(e, rec.joint_pairs(p, rec.recurrence_pairs(e, ("y",), 10.0, 1)))
 
 
-@query(f"WITH {_EV} SELECT a.t_idx AS i, b.t_idx AS j FROM (SELECT * FROM ev WHERE curve_id = (SELECT min(curve_id) FROM ev)) a JOIN (SELECT * FROM ev WHERE curve_id = (SELECT max(curve_id) FROM ev)) b ON abs(a.x-b.x) <= 5")
-def cross_recurrence(spark, d):
-    e = events(spark, d)
-    ends = e.agg(F.min("curve_id").alias("lo"), F.max("curve_id").alias("hi"))
-    pick = lambda c: e.join(F.broadcast(ends.select(F.col(c).alias("curve_id"))), "curve_id")
-    return rec.cross_recurrence_pairs(pick("lo"), pick("hi"), ("x",), 5.0)
-
-
 _NET = f"""{_REC}, bo AS (SELECT curve_id, i AS t_idx FROM pr UNION ALL SELECT curve_id, j FROM pr), dg0 AS (SELECT curve_id, t_idx, count(*) AS degree FROM bo GROUP BY 1,2),
 tr AS (SELECT a.curve_id, a.i, a.j AS k, b.j FROM pr a JOIN pr b ON a.curve_id = b.curve_id AND a.j = b.i JOIN pr c ON c.curve_id = a.curve_id AND c.i = a.i AND c.j = b.j),
 tn AS (SELECT curve_id, t_idx, count(*) AS triangles FROM (SELECT curve_id, i AS t_idx FROM tr UNION ALL SELECT curve_id, k FROM tr UNION ALL SELECT curve_id, j FROM tr) GROUP BY 1,2),
@@ -354,7 +347,8 @@ def recurrence_network_summary(spark, d):
     return rec.network_summary(rec.network_nodes(*_rec(spark, d)))
 
 
-_NN = f"""{_EV}, cand AS (SELECT a.curve_id, a.t_idx AS i, b.t_idx AS j, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dd FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND abs(a.t_idx-b.t_idx) > 2),
+_NN = f"""{_EV}, stt AS (SELECT curve_id, x, y, min(t_idx) AS f, max(t_idx) AS l FROM ev GROUP BY 1, 2, 3),
+cand AS (SELECT a.curve_id, a.t_idx AS i, CASE WHEN b.f < a.t_idx - 2 THEN b.f ELSE b.l END AS j, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dd FROM ev a JOIN stt b ON a.curve_id = b.curve_id AND (b.f < a.t_idx - 2 OR b.l > a.t_idx + 2)),
 nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY curve_id, i ORDER BY dd, j) AS r FROM cand WHERE dd > 0) WHERE r = 1),
 dv AS (SELECT n.curve_id, k, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dd FROM nb n, (SELECT unnest(range(0,6)) AS k) h JOIN ev a ON a.curve_id = n.curve_id AND a.t_idx = n.i + k JOIN ev b ON b.curve_id = n.curve_id AND b.t_idx = n.j + k),
 dc AS (SELECT curve_id, k, avg(CASE WHEN dd > 0 THEN ln(dd) END) AS mean_log, count(*) FILTER (dd > 0) AS n, count(*) FILTER (dd = 0) AS zeros FROM dv GROUP BY 1,2)"""
@@ -362,12 +356,78 @@ dc AS (SELECT curve_id, k, avg(CASE WHEN dd > 0 THEN ln(dd) END) AS mean_log, co
 
 @query(f"WITH {_NN} SELECT curve_id, k, round(mean_log,6) AS mean_log, n, zeros FROM dc")
 def nn_divergence(spark, d):
-    return rec.divergence_curve(events(spark, d), ("x", "y"), 2, 5)
+    return nbr.divergence_curve(events(spark, d), ("x", "y"), 2, 5)
 
 
 @query(f"WITH {_NN} SELECT curve_id, round(regr_slope(mean_log,k),6) AS slope, round(regr_intercept(mean_log,k),6) AS intercept, round(regr_r2(mean_log,k),6) AS r2, count(*) AS n_points FROM dc WHERE k BETWEEN 0 AND 4 GROUP BY curve_id HAVING count(*) >= 3")
 def lyapunov_slope(spark, d):
-    return rec.lyapunov_slope(rec.divergence_curve(events(spark, d), ("x", "y"), 2, 5), 0, 4)
+    return rec.lyapunov_slope(nbr.divergence_curve(events(spark, d), ("x", "y"), 2, 5), 0, 4)
+
+
+@query(f"WITH {_NN} SELECT curve_id, i, j, round(dd,6) AS d FROM nb")
+def nearest_neighbours(spark, d):
+    return nbr.nearest_neighbours(events(spark, d), ("x", "y"), 2)
+
+
+_FNN = """g{m} AS (SELECT curve_id, t_idx, {cols} FROM ev WINDOW w AS (PARTITION BY curve_id ORDER BY t_idx)), h{m} AS (SELECT * FROM g{m} WHERE e{m} IS NOT NULL),
+s{m} AS (SELECT curve_id, {dims}, min(t_idx) AS f, max(t_idx) AS l FROM h{m} GROUP BY ALL),
+c{m} AS (SELECT * FROM (SELECT a.curve_id, a.t_idx AS i, a.e{m} AS p, CASE WHEN b.f < a.t_idx - 2 THEN b.f ELSE b.l END AS j, sqrt({dist}) AS dd FROM h{m} a JOIN s{m} b ON a.curve_id = b.curve_id AND (b.f < a.t_idx - 2 OR b.l > a.t_idx + 2)) WHERE dd > 0 QUALIFY row_number() OVER (PARTITION BY curve_id, i ORDER BY dd, j) = 1),
+r{m} AS (SELECT c.curve_id, {m} AS dimension, avg((abs(c.p - b.e{m}) / dd > 10 OR sqrt(dd*dd + (c.p - b.e{m})*(c.p - b.e{m})) / sd > 2)::INT) AS false_share, count(*) AS n FROM c{m} c JOIN h{m} b ON b.curve_id = c.curve_id AND b.t_idx = c.j JOIN sds ON sds.curve_id = c.curve_id GROUP BY 1)"""
+
+
+def _false_sql(m: int) -> str:
+    part = lambda f, to, sep: sep.join(f(l) for l in range(to))
+    return _FNN.format(m=m, cols=part(lambda l: f"lag(x, {l}) OVER w AS e{l}", m + 1, ", "), dims=part(lambda l: f"e{l}", m, ", "), dist=part(lambda l: f"(a.e{l}-b.e{l})*(a.e{l}-b.e{l})", m, " + "))
+
+
+@query(f"""WITH {_EV}, sds AS (SELECT curve_id, stddev_pop(x) AS sd FROM ev GROUP BY 1), {_false_sql(1)}, {_false_sql(2)}, {_false_sql(3)}
+SELECT curve_id, dimension, round(false_share,6) AS false_share, n FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)""")
+def false_neighbours(spark, d):
+    return nbr.false_neighbours(events(spark, d), "x", 1, 3, 2)
+
+
+@query(f"""WITH {_EV}, pd AS (SELECT a.curve_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS dd FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND b.t_idx - a.t_idx > 2 WHERE a.x + a.y IS NOT NULL AND b.x + b.y IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY dd) AS r, count(*) OVER (PARTITION BY curve_id) AS n FROM pd) SELECT curve_id, round(dd,6) AS radius FROM rk WHERE r = greatest(1, ceil(n * 0.07::DOUBLE - 1e-9))""")
+def target_rate_radius(spark, d):
+    return nbr.radius_for_rate(events(spark, d), ("x", "y"), 0.07, 2)
+
+
+def _declared(spark, d):
+    """The stated query set, curves with an id divisible by 50, each against all other curves: a pair's key is (query, curve_id)."""
+    e = events(spark, d)
+    queries = e.where("curve_id % 50 = 0").withColumnRenamed("curve_id", "query")
+    ids = e.select("curve_id").distinct()
+    pair = queries.select("query").distinct().crossJoin(ids).where("query <> curve_id")  # ids alone
+    return queries.join(pair, "query"), e.join(pair, "curve_id")
+
+
+_DECLARED = f"{_EV}, qa AS (SELECT curve_id AS query, t_idx, x, y FROM ev WHERE curve_id % 50 = 0)"
+
+
+@query(f"""WITH {_DECLARED}, pd AS (SELECT query, b.curve_id, abs(a.x-b.x) AS dd FROM qa a JOIN ev b ON b.curve_id <> query WHERE a.x IS NOT NULL AND b.x IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query, curve_id ORDER BY dd) AS r, count(*) OVER (PARTITION BY query, curve_id) AS n FROM pd) SELECT query, curve_id, round(dd,6) AS radius FROM rk WHERE r = greatest(1, ceil(n * 0.1::DOUBLE - 1e-9))""")
+def cross_target_rate_radius(spark, d):
+    return nbr.cross_radius_for_rate(*_declared(spark, d), ("x",), 0.1, keys=("query", "curve_id"))
+
+
+_CROSS = f"{_DECLARED}, pr AS (SELECT query, b.curve_id, a.t_idx AS i, b.t_idx AS j FROM qa a JOIN ev b ON b.curve_id <> query AND abs(a.x-b.x) <= 5)"
+
+
+@query(f"WITH {_CROSS} SELECT query, curve_id, i, j FROM pr")
+def cross_recurrence(spark, d):
+    return rec.cross_recurrence_pairs(*_declared(spark, d), ("x",), 5.0, ("query", "curve_id"))
+
+
+@query(f"""WITH {_CROSS}, dg AS (SELECT query, curve_id, j-i AS f, i - row_number() OVER (PARTITION BY query, curve_id, j-i ORDER BY i) AS isl FROM pr), dl AS (SELECT query, curve_id, count(*) AS l FROM dg GROUP BY query, curve_id, f, isl),
+vg AS (SELECT query, curve_id, j, i - row_number() OVER (PARTITION BY query, curve_id, j ORDER BY i) AS isl FROM pr), vl AS (SELECT query, curve_id, count(*) AS l FROM vg GROUP BY query, curve_id, j, isl),
+en AS (SELECT query, curve_id, -sum(p*ln(p)) AS e FROM (SELECT query, curve_id, count(*)/(sum(count(*)) OVER (PARTITION BY query, curve_id))::DOUBLE AS p FROM dl WHERE l >= 2 GROUP BY query, curve_id, l) GROUP BY 1, 2),
+na AS (SELECT query, count(*) AS n_a FROM qa GROUP BY 1), nb AS (SELECT curve_id, count(*) AS n_b FROM ev GROUP BY 1), np AS (SELECT query, curve_id, count(*) AS n_pairs FROM pr GROUP BY 1, 2),
+dm AS (SELECT query, curve_id, sum(CASE WHEN l>=2 THEN l ELSE 0 END)/sum(l)::DOUBLE AS det, avg(l) FILTER (l>=2) AS md, max(l) FILTER (l>=2) AS xd, count(*) FILTER (l>=2) AS nd FROM dl GROUP BY 1, 2), vm AS (SELECT query, curve_id, sum(CASE WHEN l>=2 THEN l ELSE 0 END)/sum(l)::DOUBLE AS lam, avg(l) FILTER (l>=2) AS tt, max(l) FILTER (l>=2) AS xv FROM vl GROUP BY 1, 2)
+SELECT query, curve_id, n_a, n_b, coalesce(n_pairs, 0) AS n_pairs, round(coalesce(n_pairs, 0)/(n_a*n_b)::DOUBLE,6) AS recurrence_rate, round(det,6) AS determinism, round(md,6) AS mean_diagonal, xd AS max_diagonal, coalesce(nd, 0) AS diagonal_lines, round(e,6) AS diagonal_entropy, round(lam,6) AS laminarity, round(tt,6) AS trapping_time, xv AS max_vertical
+FROM na JOIN nb ON curve_id <> query LEFT JOIN np USING (query, curve_id) LEFT JOIN dm USING (query, curve_id) LEFT JOIN vm USING (query, curve_id) LEFT JOIN en USING (query, curve_id)""")
+def cross_rqa_metrics(spark, d):
+    a, b = _declared(spark, d)
+    return rec.cross_rqa_metrics(a, b, rec.cross_recurrence_pairs(a, b, ("x",), 5.0, ("query", "curve_id")), keys=("query", "curve_id"))
 
 
 @query(f"""WITH {_EV}, nb AS (SELECT a.curve_id, a.t_idx AS i, b.t_idx AS j FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND abs(a.t_idx-b.t_idx) > 2 WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 30),
@@ -436,10 +496,12 @@ def history_state(spark, d):
     return obs.history_state(events(spark, d), ("x",)).select("curve_id", "t_idx", "last_x", "since_observed")
 
 
-@query(f"""WITH {_EV}, b AS (SELECT *, CASE WHEN t < 0 THEN NULL WHEN t <= 100 THEN 0 WHEN t <= 300 THEN 1 WHEN t <= 500 THEN 2 WHEN t <= 900 THEN 3 END AS bin FROM ev)
+@query(f"""WITH {_EV}, b AS (SELECT *, CASE WHEN t < 0 THEN NULL WHEN t <= 100 THEN 0 WHEN t <= 300 THEN 1 WHEN t <= 500 THEN 2 ELSE 3 END AS bin FROM ev)
 SELECT bin, count(*) AS n_candidates, sum(observed)::BIGINT AS n_observed, count(DISTINCT curve_id) AS n_curves FROM b WHERE bin IS NOT NULL GROUP BY bin""")
 def time_bin_support(spark, d):
-    return obs.time_bin_support(events(spark, d), [0.0, 100.0, 300.0, 500.0, 900.0])
+    e = events(spark, d)
+    last = e.agg(F.max("t")).first()[0] or 0.0
+    return obs.time_bin_support(e, [0.0, 100.0, 300.0, 500.0, max(900.0, last)])
 
 
 @query(f"""WITH {_EV}, a AS (SELECT avg(x) FILTER (observed=1) m1, avg(x) FILTER (observed=0) m0, var_samp(x) FILTER (observed=1) v1, var_samp(x) FILTER (observed=0) v0 FROM ev) SELECT round(m1,6) AS m1, round(m0,6) AS m0, round((m1-m0)/sqrt((v1+v0)/2),6) AS smd FROM a""")
@@ -645,7 +707,7 @@ def fpca_group_influence(spark, d):
 
     rows = embeddings(spark, d)
     arrays = dist.curve_arrays(rows).join(rows.select("curve_id", "participant").distinct(), "curve_id")
-    return spark.createDataFrame(mixed.group_influence(arrays, "participant", _T64, 3))
+    return mixed.group_influence(arrays, "participant", _T64, 3)
 
 
 @query()
@@ -677,19 +739,6 @@ def recurrence_network_components(spark, d):
     return rec.network_components(*_rec(spark, d))
 
 
-@query(f"""WITH {_EV}, a AS (SELECT * FROM ev WHERE curve_id = (SELECT min(curve_id) FROM ev)), b AS (SELECT * FROM ev WHERE curve_id = (SELECT max(curve_id) FROM ev)), pr AS (SELECT a.t_idx AS i, b.t_idx AS j FROM a JOIN b ON abs(a.x-b.x) <= 5),
-dg AS (SELECT j-i AS f, i - row_number() OVER (PARTITION BY j-i ORDER BY i) AS isl FROM pr), dl AS (SELECT count(*) AS l FROM dg GROUP BY f, isl), vg AS (SELECT j, i - row_number() OVER (PARTITION BY j ORDER BY i) AS isl FROM pr), vl AS (SELECT count(*) AS l FROM vg GROUP BY j, isl),
-en AS (SELECT -sum(p*ln(p)) AS e FROM (SELECT count(*)/(sum(count(*)) OVER ())::DOUBLE AS p FROM dl WHERE l >= 2 GROUP BY l)),
-na AS (SELECT count(*) AS n_a FROM a), nb AS (SELECT count(*) AS n_b FROM b), np AS (SELECT count(*) AS n_pairs FROM pr),
-dm AS (SELECT sum(CASE WHEN l>=2 THEN l ELSE 0 END)/sum(l)::DOUBLE AS det, avg(l) FILTER (l>=2) AS md, max(l) FILTER (l>=2) AS xd, count(*) FILTER (l>=2) AS nd FROM dl), vm AS (SELECT sum(CASE WHEN l>=2 THEN l ELSE 0 END)/sum(l)::DOUBLE AS lam, avg(l) FILTER (l>=2) AS tt, max(l) FILTER (l>=2) AS xv FROM vl)
-SELECT n_a, n_b, n_pairs, round(n_pairs/(n_a*n_b)::DOUBLE,6) AS recurrence_rate, round(det,6) AS determinism, round(md,6) AS mean_diagonal, xd AS max_diagonal, nd AS diagonal_lines, round(e,6) AS diagonal_entropy, round(lam,6) AS laminarity, round(tt,6) AS trapping_time, xv AS max_vertical FROM na, nb, np, dm, vm, en""")
-def cross_rqa_metrics(spark, d):
-    e = events(spark, d)
-    ends = e.agg(F.min("curve_id").alias("lo"), F.max("curve_id").alias("hi"))
-    a, b = (e.join(F.broadcast(ends.select(F.col(c).alias("curve_id"))), "curve_id") for c in ("lo", "hi"))
-    return rec.cross_rqa_metrics(a, b, rec.cross_recurrence_pairs(a, b, ("x",), 5.0))
-
-
 @query(f"""WITH {_REC}, p2 AS (SELECT a.curve_id, a.t_idx AS i, b.t_idx AS j FROM ev a JOIN ev b ON a.curve_id = b.curve_id AND b.t_idx - a.t_idx > 1 WHERE abs(a.y-b.y) <= 10), jn AS (SELECT curve_id, count(*) AS joint FROM (SELECT * FROM pr INTERSECT SELECT * FROM p2) GROUP BY 1),
 al AS (SELECT curve_id, 'x' AS system, count(*) AS n_pairs FROM pr GROUP BY 1 UNION ALL SELECT curve_id, 'y', count(*) FROM p2 GROUP BY 1) SELECT curve_id, system, n_pairs, round(coalesce(joint,0)/n_pairs::DOUBLE,6) AS joint_share FROM al LEFT JOIN jn USING (curve_id)""")
 def joint_recurrence_components(spark, d):
@@ -811,5 +860,5 @@ def fpca_outliers(spark, d):
 
 @query()
 def windowed_rqa_mean_band(spark, d):
-    w = rec.windowed_rqa(events(spark, d), ("x",), 5.0, 15, 15)
-    return rec.windowed_mean_band(w.where("window_start < 45"), "recurrence_rate", 200)
+    w = rec.windowed_rqa(embeddings(spark, d), ("x",), 0.02, 16, 8)  # curves of one length share their windows
+    return rec.windowed_mean_band(w, "recurrence_rate", 200)

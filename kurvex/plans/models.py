@@ -189,7 +189,7 @@ CONTRACTS = (
     ("levels", "sparse_fit.fit_multilevel", "within = total - between; between from products of a participant's different curves"),
     ("recurrence", "recurrence.recurrence_pairs", "|s_i - s_j| <= r, |i - j| > theiler"),
     ("rqa", "recurrence.rqa_metrics", "rate = pairs / n^2; determinism = sum_{l >= lmin} l P(l) / sum l P(l)"),
-    ("divergence", "recurrence.divergence_curve", "mean_i log |s_{i+k} - s_{nn(i)+k}|"),
+    ("divergence", "neighbours.divergence_curve", "mean_i log |s_{i+k} - s_{nn(i)+k}|"),
     ("transfer_entropy", "information.transfer_entropy", "sum p(x, y, z) log2 p(x | y, z) / p(x | y)"),
     ("warping", "distances.dtw", "least sum of d(i, j) over monotone paths, steps as declared"),
     ("frechet", "distances.discrete_frechet", "min over couplings of max d(i, j)"),

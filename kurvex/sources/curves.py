@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.analytic import finite
@@ -39,8 +39,16 @@ class CurveSet:
         return CurveSet(samples, self.curves, what.pop("dimensions", self.dimensions), what.pop("common_grid", self.common_grid), self.coordinate_system, what.pop("time_unit", self.time_unit), self.provenance | what)
 
 
+def curve_key(columns: Sequence[str]) -> Column:
+    """One column as it is; several as a string, joined by ``|``, in which ``\\`` stands before each ``|`` and ``\\`` of a part."""
+    if len(columns) == 1:
+        return F.col(columns[0])
+    part = lambda c: F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+    return F.concat_ws("|", *map(part, columns))
+
+
 def _indexed(data: DataFrame, curve_columns: Sequence[str], time_column: str, value_columns: Sequence[str]) -> DataFrame:
-    key = F.concat_ws("|", *(F.col(c).cast("string") for c in curve_columns)) if len(curve_columns) > 1 else F.col(curve_columns[0])
+    key = curve_key(curve_columns)
     rows = data.select(key.alias("curve_id"), F.col(time_column).cast("double").alias("t"), *(finite(F.col(c)).alias(c) for c in value_columns))
     return rows.withColumn("t_idx", F.row_number().over(Window.partitionBy("curve_id").orderBy("t")) - 1)
 
@@ -51,7 +59,7 @@ def from_long(data: DataFrame, *, curve_columns: Sequence[str], time_column: str
     if missing:
         raise ContractError("missing_columns", str(missing))
     samples = _indexed(data, curve_columns, time_column, value_columns)
-    key = F.concat_ws("|", *(F.col(c).cast("string") for c in curve_columns)) if len(curve_columns) > 1 else F.col(curve_columns[0])
+    key = curve_key(curve_columns)
     curves = data.select(key.alias("curve_id"), *metadata_columns).distinct()
     if check:
         bad_key = F.lit(False)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kurvex.operators import decomposition as dec
 from kurvex.operators import distances as dist
 from kurvex.operators import inference as inf
+from kurvex.operators import neighbours as nbr
 from kurvex.operators import recurrence as rec
 from kurvex.operators import simulation, sparse
 
@@ -28,36 +29,18 @@ def test_multilevel_parts_add_up(spark, curves):
 
 def test_radius_reaches_rate(spark, curves):
     s = curves.where("curve_id < 3").drop("scores")
-    r = rec.radius_for_rate(s, ("x",), 0.2)
-    got = rec._pairs(s, ("x",), 0, "euclidean").join(r, "curve_id").groupBy("curve_id").agg(F.avg((F.col("d") <= F.col("radius")).cast("double")).alias("share"))
+    r = nbr.radius_for_rate(s, ("x",), 0.2)
+    pairs = s.alias("a").join(s.alias("b"), F.expr("a.curve_id = b.curve_id and a.t_idx < b.t_idx")).select("a.curve_id", F.abs(F.col("a.x") - F.col("b.x")).alias("d"))
+    got = pairs.join(r, "curve_id").groupBy("curve_id").agg(F.avg((F.col("d") <= F.col("radius")).cast("double")).alias("share"))
     assert all(0.2 <= x.share <= 0.215 for x in got.collect())
 
 
 def test_false_neighbours_of_a_sine(spark):
     df = spark.range(200).select(F.lit(1).cast("long").alias("curve_id"), F.col("id").cast("int").alias("t_idx"), (F.col("id") * 0.17).alias("t"), F.sin(F.col("id") * 0.17).alias("x"))
-    share = {r.dimension: r.false_share for r in rec.false_neighbours(df, "x", 9, 2, 5).collect()}
+    share = {r.dimension: r.false_share for r in nbr.false_neighbours(df, "x", 9, 2, 5).collect()}
     assert share[1] > share[2] and share[2] < 0.05
 
 
-def test_planar_scores_and_prediction(spark):
-    s = simulation.simulate_functional_process(spark, 150, 0, [2.0], noise=0.1, seed=6, sparse=9).withColumn("y", F.when(F.col("t_idx") % 2 == 0, -F.col("x"))).cache()
-    g = np.linspace(0, 1, 11)
-    grid = spark.createDataFrame([(i, float(v)) for i, v in enumerate(g)], "g_idx int, g double")
-    mean = np.sin(np.pi * g)
-    e = s.withColumns({"ex": F.col("x") - F.sin(np.pi * F.col("t")), "ey": F.col("y") + F.sin(np.pi * F.col("t"))})
-    cov = sparse.planar_surface(sparse.planar_covariance_pairs(e), grid, 0.25)
-    assert np.linalg.eigvalsh(cov).min() > -1e-9
-    j = sparse.joint_pace_scores(s, g, np.stack([mean, -mean]), cov, np.array([0.01, 0.01]), 1)
-    truth = s.groupBy("curve_id").agg(F.first("scores")[0].alias("value"))
-    assert simulation.recovery(truth, j.select("curve_id", F.col("scores")[0].alias("value"))).first().correlation > 0.9
-    p = sparse.partial_prediction(s, 0.5, g, mean, cov[:11, :11], 0.01, 1).toPandas()
-    assert (p["lower"] < p["prediction"]).all() and (p["t"] > 0.5).all() and p["curve_id"].nunique() == 150
-    assert sparse.channel_to_time_major(3).tolist() == [0, 3, 1, 4, 2, 5]
-    cv = sparse.select_bandwidth(s, grid, [0.1, 0.9], 2)
-    m = cv.groupby("bandwidth")["error"].mean()
-    assert m[0.1] < m[0.9]
-
-
 def test_conformal_radius(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 20)], "score double")
     assert sparse.conformal_radius(df, 0.1) == 18 and sparse.conformal_radius(df, 0.01) == float("inf")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kurvex.operators import decomposition as dec
 from kurvex.operators import distances as dist
-from kurvex.operators import mixed, simulation, smoothing, sparse
+from kurvex.operators import mixed, simulation, smoothing, sparse, sparse_fit
 from kurvex.plans import workflows as wf
 from kurvex.sources import portable
 from kurvex.streaming import live
@@ -31,7 +31,7 @@ def test_simulated_components_are_found(spark, curves):
     assert dec.reconstruction_error(a, fit).agg(F.max("rmse")).first()[0] < 0.2
     cv = mixed.cross_validate_reconstruction(a, t, [1, 2, 3])
     assert mixed.select_components(cv, "one_standard_error") in (2, 3) and set(cv["fold"]) == set(range(5))
-    influence = mixed.group_influence(a.withColumn("grp", F.col("curve_id") % 6), "grp", t, 2)
+    influence = mixed.group_influence(a.withColumn("grp", F.col("curve_id") % 6), "grp", t, 2).toPandas()
     assert len(influence) == 6 and influence["influence"].max() < 0.1
     y = dec.scores(a, fit).withColumn("y", 3 + 2 * F.col("scores")[0])
     beta, cov, s2 = mixed.scalar_on_function(y, "y", 2)
@@ -43,10 +43,9 @@ def test_sparse_scores(spark):
     s = simulation.simulate_functional_process(spark, 250, 0, [2.0], noise=0.1, seed=5, sparse=10).cache()
     grid = spark.range(21).select(F.col("id").alias("g_idx"), (F.col("id") / 20).alias("g"))
     m = sparse.local_linear_mean(s, grid, 0.15).orderBy("g_idx").toPandas()
-    e = s.withColumn("e", F.col("x") - F.sin(F.lit(np.pi) * F.col("t")))
-    cov = sparse.covariance_surface(sparse.raw_covariance_pairs(e), grid, 0.2)
-    c = cov.pivot(index="gi", columns="gj", values="cov").to_numpy()
-    got = sparse.pace_scores(s, m["g"].to_numpy(), m["mean"].to_numpy(), c, 0.01, 1).select("curve_id", F.col("scores")[0].alias("value"))
+    assert np.abs(m["mean"] - np.sin(np.pi * m["g"])).max() < 0.5
+    fit = sparse_fit.fit(s, m["g"].to_numpy(), 1, 0.15, 0.2)
+    got = sparse_fit.score_frame(sparse_fit.pace_scores(s, fit)).select("curve_id", F.col("scores")[0].alias("value"))
     truth = s.groupBy("curve_id").agg(F.first("scores")[0].alias("value"))
     assert simulation.recovery(truth, got).first().correlation > 0.9
 

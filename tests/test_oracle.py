@@ -18,7 +18,7 @@ def con():
 
 
 def rows(df, cols):
-    cell = lambda v: "null" if pd.isna(v) else f"{float(v):.5f}".replace("-0.00000", "0.00000")
+    cell = lambda v: "null" if pd.isna(v) else v if isinstance(v, str) else f"{float(v):.5f}".replace("-0.00000", "0.00000")
     return sorted(tuple(map(cell, r)) for r in df[cols].itertuples(index=False))
 
 

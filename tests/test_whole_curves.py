@@ -8,11 +8,11 @@ D = "/root/testdata/sf0.001"
 
 
 def test_grids_span_all_samples(spark, monkeypatch):
-    from kurvex.operators import sparse
+    from kurvex.operators import sparse_fit
 
     last, grids = catalog.events(spark, D).agg({"t": "max"}).first()[0], []
-    pace = sparse.pace_scores
-    monkeypatch.setattr(sparse, "pace_scores", lambda e, g, *rest: (grids.append(g), pace(e, g, *rest))[1])
+    fit = sparse_fit.fit
+    monkeypatch.setattr(sparse_fit, "fit", lambda e, g, *rest, **more: (grids.append(g), fit(e, g, *rest, **more))[1])
     out = catalog.pace_scores(spark, D).toPandas()
     assert grids[0][-1] == last and out.notna().all().all() and len(out) == catalog.events(spark, D).select("curve_id").distinct().count()
     assert catalog.resample_pchip(spark, D).agg({"t": "max"}).first()[0] == pytest.approx(last)
