@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decomposition as dec
 from ..operators import distances as dist
+from ..operators import elastic
 from ..operators import function_on_scalar as fos
 from ..operators import functional_mixed as fm
 from ..operators import generalized as gen
@@ -846,6 +847,21 @@ def fpca_score_uncertainty(spark, d):
     return stab.score_uncertainty(boot, fit, a)
 
 
+def _planar(spark, d, n: int = 25):
+    """Complete planar curves of the event stream in normalised time, on an equidistant grid."""
+    grid = spark.range(n).select(F.col("id").cast("int").alias("g_idx"), (F.col("id") / F.lit(n - 1.0)).alias("g"))
+    rows = geo.resample_linear(geo.normalize_time(events(spark, d)), grid, ("x", "y")).withColumnRenamed("g_idx", "t_idx")
+    return dist.curve_arrays(rows, ("x", "y")).where(~F.exists("values", lambda v: v.isNull()))
+
+
+@query()
+def elastic_fpca(spark, d):
+    a = _planar(spark, d)
+    fit = elastic.fit_elastic_fpca(a, np.linspace(0, 1, 25), 3, tolerance=0.01)
+    s = elastic.elastic_scores(a, fit)
+    return s.select("curve_id", *(F.col("scores")[k].alias(f"score_{k + 1}") for k in range(3)), F.col("warp")[12].alias("half_time"), "amplitude", "phase")
+
+
 @query()
 def fpca_subspace_stability(spark, d):
     return stab.summarise_subspace_stability(stab.subspace_stability(_bootstrap(spark, d)[2]))
