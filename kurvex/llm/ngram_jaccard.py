@@ -27,6 +27,8 @@ WORDS = 5
 BLOCK, BLOCK_SETS = 150_000, 2_000
 #: Members of a signature in one chain; a more frequent signature has several chains, all joined to its first member.
 CHAIN = 5_000
+#: Elements that a matrix product of two blocks takes at once.
+STRIP = 1_024
 #: Sizes of one band: LOWEST * BAND**i and up, to a factor of BAND (and a quarter more, for the overlap).
 LOWEST, BAND = 4, 4
 
@@ -151,29 +153,29 @@ def _dense_links(key: tuple, table: pa.Table) -> pa.Table:
     overlap = np.zeros((len(rows), len(cols)), np.float32)
     place = np.full((2, len(sets)), -1)
     place[0, rows], place[1, cols] = np.arange(len(rows)), np.arange(len(cols))
-    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
-        s = slice(*np.searchsorted(element, (lo, lo + 4096)))
-        pair = []
-        for k, n in ((0, len(rows)), (1, len(cols))):
-            m = np.zeros((n, 4096), np.float32)
+    pair = [np.zeros((n, STRIP), np.float32) for n in (len(rows), len(cols))]
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, STRIP):
+        s = slice(*np.searchsorted(element, (lo, lo + STRIP)))
+        for k, m in enumerate(pair):
+            m[:] = 0
             at = place[k, of[s]]
             m[at[at >= 0], element[s][at >= 0] - lo] = 1
-            pair.append(m)
         overlap += pair[0] @ pair[1].T
-    common = overlap.astype(np.int64)
-    linked = 100 * common >= 80 * (size[rows][:, None] + size[cols][None, :] - common)
-    linked &= rows[:, None] < cols[None, :] if key[1] == key[2] else True
+    del pair
     root = np.arange(len(sets))
     out = []
-    for x, y in np.argwhere(linked):
-        a, b = rows[x], cols[y]
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        while root[b] != b:
-            root[b] = b = root[root[b]]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((ids[rows[x]], ids[cols[y]]))
+    for x, a in enumerate(rows):  # a row at a time: no second matrix of the blocks' size
+        common = overlap[x].astype(np.int64)
+        linked = 100 * common >= 80 * (size[a] + size[cols] - common)
+        for b in cols[linked & (cols > a) if key[1] == key[2] else linked]:
+            i, j = a, b
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            while root[j] != j:
+                root[j] = j = root[root[j]]
+            if i != j:
+                root[max(i, j)] = min(i, j)
+                out.append((ids[a], ids[b]))
     out = np.array(out, np.int64).reshape(-1, 2)
     return pa.table([pa.array(out.min(1, initial=2**62)), pa.array(out.max(1, initial=-(2**62)))], ["a", "b"])
 
