@@ -180,7 +180,8 @@ def fit_elastic_fpca(arrays: DataFrame, time: np.ndarray, n_components: int = 3,
     """Template, centring warp and components of curves (curve_id, values: dimensions interleaved on an equidistant grid).
 
     ``lam`` penalises warps that bend; rotation and scale are kept unless asked for.  An error if curves are incomplete, have
-    fewer than two dimensions, if the grid isn't equidistant, or if the template still moves by ``tolerance`` of its norm after ``rounds``.
+    fewer than two dimensions, if the grid isn't equidistant, or if after ``rounds`` the sum of squared distances to the template still
+    falls by a share of ``tolerance`` or more; it never rises.
     """
     time = np.asarray(time, float)
     if dims < 2:
@@ -192,36 +193,35 @@ def fit_elastic_fpca(arrays: DataFrame, time: np.ndarray, n_components: int = 3,
     size = len(time) * dims
     if not arrays.where((F.size("values") != size) | F.exists("values", lambda v: v.isNull() | F.isnan(v))).isEmpty():
         raise ValueError("elastic analysis needs complete curves on the common grid")
-    names = ["n", "s", "p"]
-    schema = "n double, s array<double>, p array<double>"
+    names = ["n", "cost", "s", "p"]
+    schema = "n double, cost double, s array<double>, p array<double>"
 
     def mean_of(kernel: _Kernel, first: bool = False):
         def run(values, _):
             if first:
                 q = kernel.velocities(values)
-                psi = np.ones((1, len(time)))
+                psi, cost = np.ones((1, len(time))), np.zeros(1)
             else:
-                warps, q, _, _ = kernel.aligned(values)
+                warps, q, _, cost = kernel.aligned(values)
                 psi = np.sqrt(slopes(warps))
-            return [pa.array([float(len(values))]), _lists(q.sum(0)[None]), _lists(psi.sum(0)[None])]
+            return [pa.array([float(len(values))]), pa.array([float(cost.sum())]), _lists(q.sum(0)[None]), _lists(psi.sum(0)[None])]
 
         r = add_up(_each(arrays, [], schema, names, run)).first()
         if r is None:
             raise ValueError("there are no curves")
-        return int(r.n), np.asarray(r.s).reshape(len(time), dims) / r.n, np.asarray(r.p) / r.n
+        return int(r.n), np.asarray(r.s).reshape(len(time), dims) / r.n, np.asarray(r.p) / r.n, r.cost
 
     kernel = lambda template, centre=None: _Kernel(time, dims, template, lam, reach, rotation, scale_curves, centre)
-    count, template, _ = mean_of(kernel(None), True)
-    change = np.inf
-    done = 0
+    count, template, _, _ = mean_of(kernel(None), True)
+    change, before, done = np.inf, np.inf, 0
     for done in range(1, rounds + 1):
-        _, fresh, psi = mean_of(kernel(template))
-        change = float(np.linalg.norm(fresh - template) / max(np.linalg.norm(fresh), 1e-12))
-        template = fresh
+        _, template, psi, cost = mean_of(kernel(template))
+        change = 0.0 if cost <= 0 else float((before - cost) / cost)
+        before = cost
         if change < tolerance:
             break
     if change >= tolerance:
-        raise RuntimeError(f"the template still moves by {change:.3g} of its norm after {rounds} rounds")
+        raise RuntimeError(f"the squared distances to the template still fall by {change:.3g} of their sum after {rounds} rounds")
     # the mean warp, by the mean root of the slopes, and its inverse
     grid = np.linspace(0, 1, len(time))
     speed = np.maximum(psi, 1e-6) ** 2

@@ -25,6 +25,7 @@ from ..operators import information as info
 from ..operators import observation as obs
 from ..operators import neighbours as nbr
 from ..operators import recurrence as rec
+from ..operators import outliers as outl
 from ..operators import score_regression as sr
 from ..operators import sparse
 from ..operators import sparse_fit as sf
@@ -847,6 +848,29 @@ def fpca_score_uncertainty(spark, d):
     return stab.score_uncertainty(boot, fit, a)
 
 
+_MBD = f"""{_EM}, rk AS (SELECT curve_id, t_idx, t, x, rank() OVER (PARTITION BY t_idx ORDER BY x) - 1 AS below, count(*) OVER (PARTITION BY t_idx, x) AS c, count(*) OVER (PARTITION BY t_idx) AS n FROM em),
+sh AS (SELECT curve_id, t_idx, t, x, 1 - (below*(below-1)/2 + (n-below-c)*(n-below-c-1)/2)/(n*(n-1)/2)::DOUBLE AS share FROM rk), dp AS (SELECT curve_id, sum(share*{_TW}) AS depth FROM sh GROUP BY 1)"""
+
+
+@query(f"WITH {_MBD} SELECT curve_id, round(depth,6) AS depth FROM dp")
+def modified_band_depth(spark, d):
+    return outl.modified_band_depth(embeddings(spark, d))
+
+
+@query(f"""WITH {_MBD}, ct AS (SELECT min(depth) AS cut FROM (SELECT depth, row_number() OVER (ORDER BY depth DESC) AS r, count(*) OVER () AS n FROM dp) WHERE r <= ceil(n * 0.5::DOUBLE)),
+rg AS (SELECT t_idx, min(x) AS lo, max(x) AS hi FROM em WHERE curve_id IN (SELECT curve_id FROM dp, ct WHERE depth >= cut - 1e-12) GROUP BY 1),
+ou AS (SELECT curve_id, count(*) FILTER (x < lo - 0.2*(hi-lo) OR x > hi + 0.2*(hi-lo)) AS times_outside FROM em JOIN rg USING (t_idx) GROUP BY 1)
+SELECT curve_id, round(depth,6) AS depth, depth >= cut - 1e-12 AS central, times_outside, times_outside > 0 AS outlier FROM dp JOIN ou USING (curve_id), ct""")
+def functional_boxplot(spark, d):
+    return outl.functional_boxplot(embeddings(spark, d), factor=0.2)[1]
+
+
+@query(f"""WITH {_EM}, md AS (SELECT t_idx, median(x) AS m FROM em GROUP BY 1), aw AS (SELECT curve_id, t_idx, x - m AS dd FROM em JOIN md USING (t_idx)), sp AS (SELECT t_idx, median(abs(dd))/0.6744897501960817::DOUBLE AS sd FROM aw GROUP BY 1),
+o AS (SELECT curve_id, dd/sd AS o, {_TW} AS w FROM aw JOIN sp USING (t_idx)) SELECT curve_id, round(sum(o*w),6) AS magnitude, round(sum(o*o*w) - sum(o*w)*sum(o*w),6) AS shape FROM o GROUP BY 1""")
+def directional_outlyingness(spark, d):
+    return outl.directional_outlyingness(embeddings(spark, d))
+
+
 def _planar(spark, d, n: int = 25):
     """Complete planar curves of the event stream in normalised time, on an equidistant grid."""
     grid = spark.range(n).select(F.col("id").cast("int").alias("g_idx"), (F.col("id") / F.lit(n - 1.0)).alias("g"))
@@ -857,7 +881,7 @@ def _planar(spark, d, n: int = 25):
 @query()
 def elastic_fpca(spark, d):
     a = _planar(spark, d)
-    fit = elastic.fit_elastic_fpca(a, np.linspace(0, 1, 25), 3, tolerance=0.01)
+    fit = elastic.fit_elastic_fpca(a, np.linspace(0, 1, 25), 3, rounds=40, tolerance=0.02)
     s = elastic.elastic_scores(a, fit)
     return s.select("curve_id", *(F.col("scores")[k].alias(f"score_{k + 1}") for k in range(3)), F.col("warp")[12].alias("half_time"), "amplitude", "phase")
 
