@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -37,14 +38,13 @@ def curve_pairs(arrays: DataFrame, queries: DataFrame | None = None) -> DataFram
 
 
 def l2_distances(pairs: DataFrame, weights: list[float]) -> DataFrame:
-    """Weighted L2 distance of each pair, batches of arrays at once."""
-
-    @pandas_udf("double")
-    def l2(va: pd.Series, vb: pd.Series) -> pd.Series:
-        d = np.stack(va.to_numpy()) - np.stack(vb.to_numpy()) if len(va) else np.zeros((0, len(weights)))
-        return pd.Series(np.sqrt((d * d) @ np.asarray(weights)))
-
-    return pairs.select("a", "b", l2("va", "vb").alias("distance"))
+    """Weighted L2 distance of each pair, by built-in functions on the arrays; even weights are factored out."""
+    even = len(set(weights)) == 1
+    squares = F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q))
+    if not even:
+        squares = F.zip_with(squares, F.array(*(F.lit(float(w)) for w in weights)), lambda d, w: d * w)
+    total = F.aggregate(squares, F.lit(0.0), lambda s, d: s + d)
+    return pairs.select("a", "b", F.sqrt(total * F.lit(float(weights[0])) if even else total).alias("distance"))
 
 
 def nearest(distances: DataFrame, k: int) -> DataFrame:
@@ -53,51 +53,140 @@ def nearest(distances: DataFrame, k: int) -> DataFrame:
     return distances.withColumn("rank", r).where(F.col("rank") <= k)
 
 
-def discrete_frechet(a: np.ndarray, b: np.ndarray) -> float:
-    """Discrete Fréchet distance of two (n, d) arrays; anti-diagonals of the dynamic programme at once."""
-    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-    return float(_sweep(d, lambda best, here: np.maximum(best, here)))
-
-
-def dtw(a: np.ndarray, b: np.ndarray, step: str = "symmetric1") -> tuple[float, float]:
-    """Dynamic time warping distance and its value over len(a) + len(b); symmetric2 counts diagonal steps twice."""
-    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
-    total = float(_sweep(d, lambda best, here: best + here, 2.0 if step == "symmetric2" else 1.0))
-    return total, total / (len(a) + len(b))
-
-
-def _sweep(d: np.ndarray, combine, diagonal: float = 1.0) -> float:
-    n, m = d.shape
-    c = np.full((n + 1, m + 1), np.inf)
-    for s in range(n + m - 1):
-        i = np.arange(max(0, s - m + 1), min(n, s + 1))
-        j = s - i
-        if s == 0:
-            c[1, 1] = d[0, 0]
-            continue
-        here = d[i, j]
-        if diagonal == 1.0:
-            best = combine(np.minimum(np.minimum(c[i, j + 1], c[i + 1, j]), c[i, j]), here)
+class _Alignment:
+    """The dynamic programme of a pair of (n, d) arrays by anti-diagonals, of which two are kept; ties prefer a step in both, then in a, then in b."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, kind: str, window: int | None = None, weights: np.ndarray | None = None):
+        if kind not in ("frechet", "symmetric1", "symmetric2"):
+            raise ValueError("the kind is frechet, symmetric1 or symmetric2")
+        if not len(a) or not len(b) or a.shape[1] != b.shape[1] or not (np.isfinite(a).all() and np.isfinite(b).all()):
+            raise ValueError("an alignment needs two finite curves of the same dimensions")
+        if window is not None and (window < 0 or kind == "frechet"):
+            raise ValueError("a window is not negative, and of time warping only")
+        w = np.ones(a.shape[1]) if weights is None else np.asarray(weights, float)
+        if w.shape != (a.shape[1],) or (w < 0).any() or not (w > 0).any() or not np.isfinite(w).all():
+            raise ValueError("weights are one for each dimension, not negative and not all zero")
+        self.a, self.b, self.kind, self.window, self.weights = a, b, kind, window, w
+        self.both = 2.0 if kind == "symmetric2" else 1.0
+
+    def local(self, i, j):
+        return np.sqrt((((self.a[i] - self.b[j]) ** 2) * self.weights).sum(-1))
+
+    def first(self) -> tuple[np.ndarray, np.ndarray]:
+        """The diagonal before the first one, and the first one: costs by the place in a."""
+        before, here = np.full(len(self.a) + 1, np.inf), np.full(len(self.a) + 1, np.inf)
+        here[1] = self.both * self.local(0, 0) if self.kind != "frechet" else self.local(0, 0)
+        return before, here
+
+    def next(self, s: int, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of diagonal ``s`` (i + j) and the steps that lead there: 0 in both, 1 in a, 2 in b.  Place i stands at index i + 1."""
+        i = np.arange(max(0, s - len(self.b) + 1), min(len(self.a), s + 1))
+        if self.window is not None:
+            i = i[np.abs(2 * i - s) <= self.window]
+        d = self.local(i, s - i)
+        ways = np.stack((before[i], last[i], last[i + 1]))
+        if self.kind == "frechet":
+            step = ways.argmin(0)
+            cost = np.maximum(ways[step, np.arange(len(i))], d)
         else:
-            best = np.minimum(combine(np.minimum(c[i, j + 1], c[i + 1, j]), here), combine(c[i, j], diagonal * here))
-        c[i + 1, j + 1] = best
-    return c[n, m]
+            ways = ways + d * np.array([[self.both], [1.0], [1.0]])
+            step = ways.argmin(0)
+            cost = ways[step, np.arange(len(i))]
+        here, steps = np.full(len(self.a) + 1, np.inf), np.full(len(self.a), -1, np.int8)
+        here[i + 1], steps[i] = cost, step
+        return here, steps
+
+    def distance(self) -> float:
+        before, last = self.first()
+        for s in range(1, len(self.a) + len(self.b) - 1):
+            before, last = last, self.next(s, before, last)[0]
+        return self._checked(float(last[-1]))
+
+    def _checked(self, cost: float) -> float:
+        if not np.isfinite(cost):
+            raise ValueError("no path inside the window reaches the end")
+        return cost
+
+    def path(self) -> tuple[float, np.ndarray]:
+        """Distance and path (steps, 2).  Steps are made anew between diagonals that are kept at every root of their number."""
+        count = len(self.a) + len(self.b) - 1
+        every = max(2, int(np.sqrt(count)))
+        before, last = self.first()
+        kept = {0: (before, last)}
+        for s in range(1, count):
+            before, last = last, self.next(s, before, last)[0]
+            if s % every == 0:
+                kept[s] = before, last
+        cost, i, s, out = self._checked(float(last[-1])), len(self.a) - 1, count - 1, [(len(self.a) - 1, len(self.b) - 1)]
+        for start in sorted(kept, reverse=True):
+            before, last = kept[start]
+            steps = []
+            for t in range(start + 1, min(start + every, count - 1) + 1):
+                here, step = self.next(t, before, last)
+                before, last = last, here
+                steps.append(step)
+            while s > start:
+                step = steps[s - start - 1][i]
+                if step == 0 and s - 1 == start and start > 0:  # jumps over the kept diagonal, into the block before
+                    i, s = i - 1, s - 2
+                    out.append((i, s - i))
+                    break
+                i, s = (i - 1, s - 2) if step == 0 else (i - 1, s - 1) if step == 1 else (i, s - 1)
+                out.append((i, s - i))
+        return cost, np.array(out[::-1])
+
+
+def discrete_frechet(a: np.ndarray, b: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """Discrete Fréchet distance of two (n, d) arrays."""
+    return _Alignment(a, b, "frechet", None, weights).distance()
+
+
+def dtw(a: np.ndarray, b: np.ndarray, step: str = "symmetric1", window: int | None = None, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Dynamic time warping distance and its value over len(a) + len(b); symmetric2 counts steps in both, the first one too, twice.
+
+    ``window`` bounds the difference of the places (a Sakoe-Chiba band); an error if no path stays inside.
+    """
+    total = _Alignment(a, b, step, window, weights).distance()
+    return total, total / (len(a) + len(b))
 
 
-def alignment_distances(pairs: DataFrame, kind: str, dims: int = 1) -> DataFrame:
-    """Fréchet ("frechet") or time-warping ("symmetric1", "symmetric2") distance of each pair."""
+def alignment_distances(pairs: DataFrame, kind: str, dims: int = 1, window: int | None = None, weights: list[float] | None = None, normalize: bool = False) -> DataFrame:
+    """Fréchet ("frechet") or time-warping ("symmetric1", "symmetric2") distance of each pair; ``normalize`` (symmetric2): over both lengths."""
+    if normalize and kind != "symmetric2":
+        raise ValueError("only symmetric2 can be normalised")
 
     @pandas_udf("double")
     def run(va: pd.Series, vb: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(va, vb, strict=True):
-            a, b = np.asarray(p).reshape(-1, dims), np.asarray(q).reshape(-1, dims)
-            out.append(discrete_frechet(a, b) if kind == "frechet" else dtw(a, b, kind)[0])
+            a, b = np.asarray(p, float).reshape(-1, dims), np.asarray(q, float).reshape(-1, dims)
+            out.append(_Alignment(a, b, kind, window, weights).distance() / (len(a) + len(b) if normalize else 1))
         return pd.Series(out, dtype=float)
 
     return pairs.select("a", "b", run("va", "vb").alias("distance"))
 
 
+def alignment_paths(pairs: DataFrame, kind: str, dims: int = 1, window: int | None = None, weights: list[float] | None = None) -> DataFrame:
+    """(a, b, step, i, j, weight, cost): a best path of each pair, with the weight and the local distance of every step.
+
+    The weighted costs of time warping add up to the distance, a Fréchet path's greatest cost is it.  Ties prefer a step in both
+    curves, then one in a, then one in b.  A task holds a root of the steps of one pair at a time.
+    """
+    kinds = dict(pairs.dtypes)
+
+    def run(batches):
+        for b in batches:
+            for k in range(len(b)):
+                p, q = (np.asarray(b.column(c)[k].values, float).reshape(-1, dims) for c in (2, 3))
+                al = _Alignment(p, q, kind, window, weights)
+                _, path = al.path()
+                twice = np.concatenate(([True], (np.diff(path, axis=0) == 1).all(1))) if kind == "symmetric2" else np.zeros(len(path), bool)
+                n = pa.array(np.full(len(path), k))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(n), b.column(1).take(n), pa.array(np.arange(len(path), dtype=np.int32)), *(pa.array(path[:, c].astype(np.int32)) for c in (0, 1)), pa.array(1.0 + twice), pa.array(al.local(path[:, 0], path[:, 1]))], ["a", "b", "step", "i", "j", "weight", "cost"])
+
+    return pairs.select("a", "b", "va", "vb").mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, step int, i int, j int, weight double, cost double")
+
+
 def score_distances(scored: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
     """Euclidean distances of the first k scores: of a declared query set to all curves, or of all pairs of a small set."""
     values = F.slice("scores", 1, k).alias("values")

@@ -619,6 +619,12 @@ def dtw_pairs(spark, d):
     return dist.alignment_distances(_query_pairs(spark, d), "symmetric2")
 
 
+@query()
+def dtw_paths(spark, d):
+    """Paths of the stated query set inside a band of eight samples, with what each step adds."""
+    return dist.alignment_paths(_query_pairs(spark, d), "symmetric2", window=8)
+
+
 @query()
 def frechet_pairs(spark, d):
     return dist.alignment_distances(_query_pairs(spark, d), "frechet")
