@@ -67,6 +67,7 @@ class _Alignment:
         if w.shape != (a.shape[1],) or (w < 0).any() or not (w > 0).any() or not np.isfinite(w).all():
             raise ValueError("weights are one for each dimension, not negative and not all zero")
         self.a, self.b, self.kind, self.window, self.weights = a, b, kind, window, w
+        self.turned = b[::-1]
         self.both = 2.0 if kind == "symmetric2" else 1.0
 
     def local(self, i, j):
@@ -78,23 +79,25 @@ class _Alignment:
         here[1] = self.both * self.local(0, 0) if self.kind != "frechet" else self.local(0, 0)
         return before, here
 
-    def next(self, s: int, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Costs of diagonal ``s`` (i + j) and the steps that lead there: 0 in both, 1 in a, 2 in b.  Place i stands at index i + 1."""
-        i = np.arange(max(0, s - len(self.b) + 1), min(len(self.a), s + 1))
+    def next(self, s: int, before: np.ndarray, last: np.ndarray, steps: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Costs of diagonal ``s`` (i + j) and, if asked for, the steps that lead there: 0 in both, 1 in a, 2 in b.  Place i stands at index i + 1."""
+        m = len(self.b)
+        lo, hi = max(0, s - m + 1), min(len(self.a) - 1, s)
         if self.window is not None:
-            i = i[np.abs(2 * i - s) <= self.window]
-        d = self.local(i, s - i)
-        ways = np.stack((before[i], last[i], last[i + 1]))
-        if self.kind == "frechet":
-            step = ways.argmin(0)
-            cost = np.maximum(ways[step, np.arange(len(i))], d)
-        else:
-            ways = ways + d * np.array([[self.both], [1.0], [1.0]])
-            step = ways.argmin(0)
-            cost = ways[step, np.arange(len(i))]
-        here, steps = np.full(len(self.a) + 1, np.inf), np.full(len(self.a), -1, np.int8)
-        here[i + 1], steps[i] = cost, step
-        return here, steps
+            lo, hi = max(lo, -((self.window - s) // 2)), min(hi, (s + self.window) // 2)
+        here, step = np.full(len(self.a) + 1, np.inf), np.full(len(self.a), -1, np.int8) if steps else None
+        if lo > hi:
+            return here, step
+        gap = self.a[lo : hi + 1] - self.turned[m - 1 - s + lo : m - s + hi]
+        d = np.sqrt((gap * gap) @ self.weights)
+        both, in_a, in_b = before[lo : hi + 1], last[lo : hi + 1], last[lo + 1 : hi + 2]
+        if self.kind != "frechet":
+            both, in_a, in_b = both + self.both * d, in_a + d, in_b + d
+        cost = np.minimum(both, np.minimum(in_a, in_b))
+        here[lo + 1 : hi + 2] = np.maximum(cost, d) if self.kind == "frechet" else cost
+        if steps:
+            step[lo : hi + 1] = np.where(both == cost, 0, np.where(in_a == cost, 1, 2))
+        return here, step
 
     def distance(self) -> float:
         before, last = self.first()
@@ -122,7 +125,7 @@ class _Alignment:
             before, last = kept[start]
             steps = []
             for t in range(start + 1, min(start + every, count - 1) + 1):
-                here, step = self.next(t, before, last)
+                here, step = self.next(t, before, last, True)
                 before, last = last, here
                 steps.append(step)
             while s > start:

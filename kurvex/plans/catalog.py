@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import basis as bas
 from ..operators import decomposition as dec
 from ..operators import distances as dist
 from ..operators import elastic
@@ -877,6 +878,21 @@ def directional_outlyingness(spark, d):
     return outl.directional_outlyingness(embeddings(spark, d))
 
 
+@query(f"""WITH {_EV}, ph AS (SELECT curve_id, x, 1/sqrt(750::DOUBLE) AS a, sqrt(2/750::DOUBLE)*sin(2*pi()*t/750) AS b, sqrt(2/750::DOUBLE)*cos(2*pi()*t/750) AS c FROM ev WHERE t BETWEEN 0 AND 750 AND x IS NOT NULL),
+g AS (SELECT curve_id, count(*) AS n, sum(a*a) AS aa, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*b) AS bb, sum(b*c) AS bc, sum(c*c) AS cc, sum(a*x) AS ya, sum(b*x) AS yb, sum(c*x) AS yc FROM ph GROUP BY 1),
+dt AS (SELECT *, aa*(bb*cc-bc*bc) - ab*(ab*cc-bc*ac) + ac*(ab*bc-bb*ac) AS dd FROM g WHERE n >= 3)
+SELECT curve_id, n, round((ya*(bb*cc-bc*bc) - ab*(yb*cc-bc*yc) + ac*(yb*bc-bb*yc))/dd,5) AS c0, round((aa*(yb*cc-bc*yc) - ya*(ab*cc-bc*ac) + ac*(ab*yc-yb*ac))/dd,5) AS c1, round((aa*(bb*yc-yb*bc) - ab*(ab*yc-yb*ac) + ya*(ab*bc-bb*ac))/dd,5) AS c2 FROM dt""")
+def fourier_projection(spark, d):
+    p = bas.project(events(spark, d), "fourier", 3, (0.0, 750.0)).where("failure is null")
+    return p.select("curve_id", "n", *(F.round(F.col("coefficients")[k], 5).alias(f"c{k}") for k in range(3)))
+
+
+@query()
+def spline_projection(spark, d):
+    p = bas.project(events(spark, d), "bspline", 6, (0.0, 750.0))
+    return p.select("curve_id", "n", *(F.col("coefficients")[k].alias(f"c{k}") for k in range(6)), "rmse", "failure")
+
+
 def _planar(spark, d, n: int = 25):
     """Complete planar curves of the event stream in normalised time, on an equidistant grid."""
     grid = spark.range(n).select(F.col("id").cast("int").alias("g_idx"), (F.col("id") / F.lit(n - 1.0)).alias("g"))
