@@ -192,8 +192,13 @@ def network_nodes(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     """Degree, triangles and local clustering of every node of the recurrence network."""
     both = pairs.select(CURVE, F.col("i").alias("t_idx"), F.col("j").alias("o")).union(pairs.select(CURVE, "j", "i"))
     degree = both.groupBy(CURVE, "t_idx").agg(F.count(F.lit(1)).alias("degree"))
-    a, b, c = pairs.select(CURVE, "i", F.col("j").alias("k")), pairs.select(CURVE, F.col("i").alias("k"), "j"), pairs
-    closed = a.join(b, [CURVE, "k"]).join(c, [CURVE, "i", "j"]).select(CURVE, F.explode(F.array("i", "j", "k")).alias("t_idx"))
+    # Edges point from the node of lower degree (ties: the earlier one), so no node has more than a root of the edges to pair up.
+    of = lambda k: degree.select(CURVE, F.col("t_idx").alias(k), F.col("degree").alias(f"_{k}"))
+    forward = (F.col("_i") < F.col("_j")) | ((F.col("_i") == F.col("_j")) & (F.col("i") < F.col("j")))
+    out = pairs.select(CURVE, "i", "j").join(of("i"), [CURVE, "i"]).join(of("j"), [CURVE, "j"])
+    out = out.select(CURVE, F.when(forward, F.col("i")).otherwise(F.col("j")).alias("k"), F.when(forward, F.col("j")).otherwise(F.col("i")).alias("o"))
+    wedges = out.withColumnRenamed("o", "i").join(out.withColumnRenamed("o", "j"), [CURVE, "k"]).where("i < j")
+    closed = wedges.join(pairs.select(CURVE, "i", "j"), [CURVE, "i", "j"]).select(CURVE, F.explode(F.array("i", "j", "k")).alias("t_idx"))
     triangles = closed.groupBy(CURVE, "t_idx").agg(F.count(F.lit(1)).alias("triangles"))
     out = samples.select(CURVE, "t_idx").join(degree, [CURVE, "t_idx"], "left").join(triangles, [CURVE, "t_idx"], "left").fillna(0, ["degree", "triangles"])
     return out.withColumn("clustering", F.when(F.col("degree") > 1, 2 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))

@@ -893,6 +893,51 @@ def spline_projection(spark, d):
     return p.select("curve_id", "n", *(F.col("coefficients")[k].alias(f"c{k}") for k in range(6)), "rmse", "failure")
 
 
+def _declared_fit(k: int = 3) -> dec.Decomposition:
+    """Cosines of half periods as components, orthonormal under the trapezoid weights, and a mean of zero."""
+    w = dec.trapezoid_weights(_T64)
+    c = np.sqrt(2) * np.cos(np.pi * np.outer(np.arange(1, k + 1), _T64))
+    return dec.Decomposition(np.zeros(64), c, np.ones(k), np.full(k, 1 / k), w, 1.0)
+
+
+_DS = f"{_EM}, sc AS (SELECT curve_id, k, sum(x * sqrt(2) * cos(pi() * k * t) * {_TW}) AS s FROM em, (SELECT unnest([1, 2, 3]) AS k) GROUP BY 1, 2)"
+
+
+@query(f"WITH {_DS} SELECT curve_id, k::INT AS component, round(s,6) AS score FROM sc")
+def scores_on_declared_components(spark, d):
+    s = dec.scores(dist.curve_arrays(embeddings(spark, d)), _declared_fit())
+    return s.select("curve_id", F.posexplode("scores").alias("k", "score")).select("curve_id", (F.col("k") + 1).alias("component"), "score")
+
+
+@query(f"""WITH {_DS}, ft AS (SELECT curve_id, t_idx, x - (SELECT sum(s * sqrt(2) * cos(pi() * k * em.t)) FROM sc WHERE sc.curve_id = em.curve_id) AS e FROM em)
+SELECT curve_id, round(sqrt(sum(e*e*{_TW})),6) AS rmse FROM ft GROUP BY 1""")
+def reconstruction_from_declared_components(spark, d):
+    return dec.reconstruction_error(dist.curve_arrays(embeddings(spark, d)), _declared_fit())
+
+
+@query(f"""WITH {_EM}, pv AS (SELECT t_idx, var_samp(x) * {_TW} AS v FROM em GROUP BY t_idx) SELECT round(sum(v),6) AS total_variance, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS overlap FROM pv""")
+def fpca_total_variance(spark, d):
+    """What all components explain is the integrated variance; components have norm one and don't overlap."""
+    f = dec.fit_fpca(dist.curve_arrays(embeddings(spark, d)), _T64, 4)
+    g = (f.components * f.weights) @ f.components.T
+    return spark.createDataFrame([(float(f.explained_variance[0] / f.ratio[0]), float(np.diag(g).mean()), float(np.abs(np.round(g - np.diag(np.diag(g)), 9)).max()))], "total_variance double, norm double, overlap double")
+
+
+_BAL = """em4 AS (SELECT vec_id, vec_id % 10 AS p, embedding[i]::DOUBLE + 0.1 * (vec_id % 10) AS y FROM embeddings, (SELECT unnest(range(1, 5)) AS i)), z AS (SELECT count(DISTINCT p) AS p, count(*)/count(DISTINCT p) AS m, avg(y) AS mu FROM em4),
+pm AS (SELECT p, avg(y) AS m FROM em4 GROUP BY 1), wi AS (SELECT sum((y - m)*(y - m)) AS ss FROM em4 JOIN pm USING (p)), be AS (SELECT sum((pm.m - mu)*(pm.m - mu)) AS ss FROM pm, z)"""
+
+
+@query(f"""WITH {_BAL} SELECT round(mu,4) AS estimate, round(wi.ss/(p*(m-1)),4) AS residual_variance, round((be.ss/(p-1)) - wi.ss/(p*(m-1))/m,4) AS participant_variance FROM z, wi, be""")
+def mixed_random_intercept(spark, d):
+    """Ten participants with as many curves each (ids by remainder) and one constant random effect: restricted likelihood is the analysis of variance."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    arrays = v.select(F.col("vec_id").alias("curve_id"), (F.col("vec_id") % 10).alias("participant"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") + F.col("vec_id") % 10 * 0.1).alias("values"))
+    one = np.ones((4, 1))
+    m = fm.fit(arrays, fm.Layout(np.arange(4.0), ("intercept",), one, one), "participant", tolerance=1e-9)
+    factor, _, sd, _ = m.layout.unpack(m.theta)
+    return spark.createDataFrame([tuple(round(float(x), 4) for x in (m.beta[0, 0], sd * sd, factor[0, 0] ** 2))], "estimate double, residual_variance double, participant_variance double")
+
+
 def _planar(spark, d, n: int = 25):
     """Complete planar curves of the event stream in normalised time, on an equidistant grid."""
     grid = spark.range(n).select(F.col("id").cast("int").alias("g_idx"), (F.col("id") / F.lit(n - 1.0)).alias("g"))
