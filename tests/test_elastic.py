@@ -69,7 +69,7 @@ def test_a_retimed_curve_aligns_to_itself():
 def test_components_are_of_shape_not_of_timing(spark):
     size, power, x = shapes(60)
     rows = frame(spark, x)
-    fit = el.fit_elastic_fpca(rows, T, 2, rounds=30)
+    fit = el.fit_elastic_fpca(rows, T, 2, rounds=30, tolerance=1e-4)
     out = {r.curve_id: r for r in el.elastic_scores(rows, fit).collect()}
     first = np.array([out[f"c|{i}"].scores[0] for i in range(60)])
     half = np.array([out[f"c|{i}"].warp[20] for i in range(60)])
@@ -98,4 +98,4 @@ def test_contracts(spark):
         with pytest.raises(ValueError):
             el.fit_elastic_fpca(arrays, time, **({"n_components": 2} | more))
     with pytest.raises(RuntimeError):
-        el.fit_elastic_fpca(rows, T, 1, rounds=1, tolerance=1e-9)
+        el.fit_elastic_fpca(rows, T, 1, rounds=1)

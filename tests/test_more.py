@@ -45,7 +45,7 @@ def test_sparse_scores(spark):
     m = sparse.local_linear_mean(s, grid, 0.15).orderBy("g_idx").toPandas()
     assert np.abs(m["mean"] - np.sin(np.pi * m["g"])).max() < 0.5
     fit = sparse_fit.fit(s, m["g"].to_numpy(), 1, 0.15, 0.2)
-    got = sparse_fit.score_frame(sparse_fit.pace_scores(s, fit)).select("curve_id", F.col("scores")[0].alias("value"))
+    got = sparse_fit.pace_scores(s, fit).select("curve_id", F.col("scores")[0].alias("value"))
     truth = s.groupBy("curve_id").agg(F.first("scores")[0].alias("value"))
     assert simulation.recovery(truth, got).first().correlation > 0.9
 

@@ -125,7 +125,7 @@ def test_model_workflows(spark, tmp_path):
     up = a.withColumn("values", F.transform("values", lambda v: F.when(v > 0, 1.0).otherwise(0.0)))
     g = models.generalized_workflow(up, grid, ["z"], participant="participant", family="binomial", basis_size=4, replicates=10, profiles=pd.DataFrame({"profile_id": ["a"], "z": [0.5]}))
     assert g.tables["predictions"].count() == 9
-    m = models.mixed_workflow(a, grid, ["z"], participant="participant", replicates=20, iterations=4, fixed_size=4, random_size=2)
+    m = models.mixed_workflow(a, grid, ["z"], participant="participant", replicates=20, fixed_size=4, random_size=2)
     assert {"coefficients", "random_effects", "variances", "residuals", "residual_dependence"} == set(m.tables)
     p = models.sparse_workflow(s, grid, 1, mean_bandwidths=[0.4], covariance_bandwidths=[0.5], noise=0.04)
     assert p.tables["scores"].count() == 36 and p.tables["covariance"].count() == 81
