@@ -27,4 +27,4 @@ def test_entry_registers_all():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {"pipeline"} < names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert {"pipeline"} < names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
