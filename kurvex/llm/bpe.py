@@ -1,46 +1,61 @@
 """BPE encoding and decoding with tree concatenation for long unsplit text.
 
-A text is split at white space, which no piece of the pre-tokeniser crosses, so every distinct
-word is encoded once per task.  A piece of more than ``LEAF`` characters (a long word, or a run without white space of
-any length) is encoded as a tree: its leaves in parallel, then level by level each pair of halves is joined by
-re-encoding a window of tokens around the join, grown until its outermost token on either side
-equals the token that was there.  A BPE encoding is the right one exactly if every adjacent pair
+Texts are split at ASCII white space, which no piece of the pre-tokeniser crosses.  The rows of a group count their words by
+number, and the words that are new are encoded together: those of plain characters by their distinct pieces.  A piece of more
+than ``LEAF`` characters (a long word, or a run without white space of any length) is encoded as a tree: its leaves together,
+then level by level each pair of halves is joined by re-encoding a window of tokens around the join, grown until its outermost
+token on either side equals the token that was there.  A BPE encoding is the right one exactly if every adjacent pair
 of tokens re-encodes to itself; tokens inside the halves and inside the window do, and the shared
 outer tokens link the two, so the join is exact.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain, compress, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .runtime import small_batches, tidy
 
 #: Symbols of a leaf, and tokens on either side of a join in its first window.
 LEAF, WINDOW = 12, 2
-#: Leaves and windows above this number are encoded as one batch of the library, which works on them in parallel.
-BATCH = 64
-#: Words and pieces remembered by a task between batches; a memory is emptied when full and only saves time.
-REMEMBERED = 20_000
-OUT_BYTES = 2 << 20
+#: Leaves and windows above this number (of a MB without white space) are encoded as one batch of the library, which works on
+#: them in parallel, but takes twice the CPU time.
+BATCH = 100_000
+#: Words and pieces that a task remembers between groups of rows, and the bytes of one: memories only save time.  When there are
+#: more words, those met twice or more in the last group stay (none, if these are as many); more pieces are all forgotten.
+REMEMBERED, LONG = 30_000, 48
+#: New words that are encoded together.
+TOGETHER = 8192
+#: Bytes of text after which a group of rows ends, and of words after which their memory is cut.
+GROUP_BYTES = 1 << 20
 
-_WORD = re.compile(r"[^ \t\n\r]+")
 #: Words whose pieces can be told without the library's normaliser: printable ASCII but the apostrophe, and letters of Latin-1.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Pieces of lower-cased plain words, and the ends of these.
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 
 
-def byte_letters() -> dict[int, str]:
-    """For translation: each Latin-1 letter as the two letters that stand for its UTF-8 bytes (printable bytes stand for themselves)."""
+def byte_letters() -> str:
+    """The letter that stands for each byte in the vocabulary (printable ones for themselves); line ends stay, to split by."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     hidden = [b for b in range(256) if b not in set(shown)]
-    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {10: "\n"}
+    return "".join(letter[b] for b in range(256))
+
+
+def packed(ids: list[list[int]]) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit integers."""
+    flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+    return [flat[a:b] for a, b in pairwise(accumulate((4 * len(x) for x in ids), initial=0))]
 
 
 class WordBpe:
@@ -60,42 +75,43 @@ class WordBpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.inner = Tokenizer(BPE(vocab=model["vocab"], merges=merges))
-        self.last = Tokenizer(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
+        self.last = Tokenizer(self.full.model) if self.suffix else self.inner
         self.letters, self.pieces, self.model, self.within = byte_letters(), {}, self.last.model, self.inner.model
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*model["vocab"].values(), *special.values()]) + 1
         self.tokens = [""] * size
         for t, i in [*model["vocab"].items(), *special.items()]:
             self.tokens[i] = t
+        self.strings = pa.array(self.tokens, pa.string())
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word (text without white space)."""
-        out: list[list[int] | None] = [None] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                out[i] = [t for piece in _PIECE.findall(w.lower()) for t in self.piece(piece)]
-            elif len(w) <= self.leaf:
-                short.append(i)
-        for i, e in zip(short, self.full.encode_batch_fast([words[i] for i in short], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        for i, w in enumerate(words):
-            if out[i] is None:
-                out[i] = self.encode_long(w)
-        return out  # type: ignore[return-value]
-
-    def piece(self, piece: str) -> list[int]:
-        """Ids of one piece of the pre-tokeniser in plain characters."""
-        if (ids := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            text = piece if piece.isascii() else piece.translate(self.letters)
-            ids = self.tree(text) if len(text) > self.leaf else self.encoded([text], True)[0]
-            if len(text) <= 4 * self.leaf:
-                self.pieces[piece] = ids
-        return ids
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word (text without white space)."""
+        plain = [_PLAIN.fullmatch(w) is not None and "<|" not in w for w in words]
+        easy = iter(self.encode_plain(list(compress(words, plain))))
+        other = [w for w, easily in zip(words, plain, strict=True) if not easily]
+        short = [w for w in other if len(w) <= self.leaf]
+        found = iter(self.full.encode_batch_fast(short, add_special_tokens=False))
+        hard = iter(packed([next(found).ids if len(w) <= self.leaf else self.encode_long(w) for w in other]))
+        return [next(easy) if easily else next(hard) for easily in plain]
+
+    def encode_plain(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of plain characters: the distinct pieces that are not remembered are encoded together."""
+        pieces = _PIECE.findall("".join([w + "\n" for w in words]).lower())
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        new = [p for p in dict.fromkeys(pieces) if p not in self.pieces and p != "\n"]
+        texts = codecs.charmap_decode("\n".join(new).encode(), "strict", self.letters)[0].split("\n") if new else []
+        short = [len(t) <= self.leaf for t in texts]
+        whole = iter(self.encoded(list(compress(texts, short)), True))
+        trees = iter(self.trees([t for t, is_short in zip(texts, short, strict=True) if not is_short]))
+        coded = self.pieces | {"\n": b""} | dict(zip(new, packed([next(whole if is_short else trees) for is_short in short]), strict=True))
+        codes = list(map(coded.__getitem__, pieces))
+        self.pieces.update((p, coded[p]) for p in new if len(p.encode()) <= LONG)
+        sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+        flat, ends = b"".join(codes), np.cumsum(sizes)[sizes == 0].tolist()
+        return [flat[a:b] for a, b in pairwise([0, *ends])]
 
     def encoded(self, texts: list[str], last: bool) -> list[list[int]]:
         """Ids of texts inside a piece (``last``: that end it), in symbols."""
@@ -111,19 +127,19 @@ class WordBpe:
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                for piece, _ in self.full.pre_tokenizer.pre_tokenize_str(self.full.normalizer.normalize_str(part)):
-                    ids += self.tree(piece)
+                ids += chain.from_iterable(self.trees([piece for piece, _ in self.full.pre_tokenizer.pre_tokenize_str(self.full.normalizer.normalize_str(part))]))
         return ids
 
-    def tree(self, piece: str) -> list[int]:
-        """One piece of the pre-tokeniser: leaves of at most ``leaf`` symbols, joined pairwise."""
-        leaves = [piece[i : i + self.leaf] for i in range(0, len(piece), self.leaf)]
-        parts = self.encoded(leaves[:-1], False) + self.encoded(leaves[-1:], True)
-        while len(parts) > 1:
-            pairs = [(parts[i], parts[i + 1], i + 2 >= len(parts)) for i in range(0, len(parts) - 1, 2)]
-            joined = self.join(pairs)
-            parts = joined + ([parts[-1]] if len(parts) % 2 else [])
-        return parts[0]
+    def trees(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of pieces of the pre-tokeniser: leaves of at most ``leaf`` symbols, joined pairwise, all pieces' levels together."""
+        leaves = [[p[i : i + self.leaf] for i in range(0, len(p), self.leaf)] for p in pieces]
+        within = iter(self.encoded([x for p in leaves for x in p[:-1]], False))
+        parts = [[*islice(within, len(p) - 1), last] for p, last in zip(leaves, self.encoded([p[-1] for p in leaves], True), strict=True)]
+        while several := [p for p in parts if len(p) > 1]:
+            joined = iter(self.join([(p[i], p[i + 1], i + 2 >= len(p)) for p in several for i in range(0, len(p) - 1, 2)]))
+            for p in several:
+                p[:] = [*islice(joined, len(p) // 2), *(p[-1:] if len(p) % 2 else [])]
+        return [p[0] for p in parts]
 
     def text_of(self, ids: list[int], last: bool) -> str:
         s = "".join(self.tokens[i] for i in ids)
@@ -147,46 +163,50 @@ class WordBpe:
             w *= 2
         return out  # type: ignore[return-value]
 
-    def decode(self, ids) -> str:
-        """Token strings joined by one space, special tokens kept (the file names no decoder)."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+    def decode(self, rows: list[bytes]) -> pa.Array:
+        """Each row's token strings joined by one space, special tokens kept (the file names no decoder)."""
+        ids = np.frombuffer(b"".join(rows), "<u4")
+        ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.strings.take(pa.array(ids))), " ")
+
+
+def _numbered(words: Iterable[bytes] = ()) -> defaultdict[bytes, int]:
+    """Words' numbers from zero; a word that is asked for and not there gets the next."""
+    numbers = {w: k for k, w in enumerate(words)}
+    return defaultdict(count(len(numbers)).__next__, numbers)
 
 
 def _coded(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         bpe = WordBpe(path)
-        known: dict[str, tuple[bytes, str]] = {}
-        names = ["doc_id", "n_tokens", "ids", "decoded"]
+        numbers, codes, held = _numbered(), [], 0
         for b in batches:
-            ids, rows, size = b.column(0), [], 0
-            for k, text in enumerate(b.column(1)):
-                words = _WORD.findall(text.as_py() or "")
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                if new:
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = list(dict.fromkeys(words))
-                    for w, e in zip(new, bpe.encode_words(new), strict=True):
-                        known[w] = np.array(e, "<u4").tobytes(), bpe.decode(e)
-                coded = [known[w] for w in words]
-                raw = b"".join([c[0] for c in coded])
-                decoded = " ".join([c[1] for c in coded if c[0]])
-                rows.append((ids[k].as_py(), len(raw) // 4, raw, decoded))
-                size += len(raw) + len(decoded)
-                if size > OUT_BYTES:
-                    yield _batch(rows, names)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, names)
+            ids, texts = b.column(0), b.column(1).cast(pa.binary())
+            first, rows, size = 0, [], 0
+            for k, text in enumerate(texts):
+                words = (text.as_py() or b"").split()
+                rows.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                size += len(text.as_py() or b"")
+                if size <= GROUP_BYTES and k + 1 < len(texts):
+                    continue
+                if len(numbers) > len(codes):
+                    new = islice(numbers, len(codes), None)
+                    while some := b"\n".join(islice(new, TOGETHER)):
+                        codes += bpe.encode_words(some.decode().split("\n"))
+                        held += len(some)
+                raw = [b"".join(map(codes.__getitem__, row.tolist())) for row in rows]
+                columns = [ids[first : k + 1].cast(pa.int64()), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(raw, pa.binary()), bpe.decode(raw)]
+                if len(codes) > REMEMBERED or held > GROUP_BYTES:
+                    sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
+                    keep = (np.bincount(np.concatenate(rows), minlength=len(codes)) > 1) & (sizes <= LONG)
+                    keep &= keep.sum() <= REMEMBERED
+                    numbers, codes, held = _numbered(compress(numbers, keep)), list(compress(codes, keep)), int(sizes[keep].sum())
+                first, rows, size = k + 1, [], 0
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
     return tidy(run)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-
 def bpe_encode_decode(documents: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (little-endian unsigned 32-bit), decoded text.
 

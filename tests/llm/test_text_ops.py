@@ -244,6 +244,45 @@ def test_bpe_equals_the_library(spark, vocabulary):
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids) and r.decoded == lib.decode(ids, skip_special_tokens=False)
 
 
+def bpe_rows(vocabulary, batches):
+    """Rows of the operator's task function on batches of texts."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    out = bpe._coded(vocabulary)(pa.RecordBatch.from_pydict({"doc_id": range(len(b)), "text": b}, kinds) for b in batches)
+    return [r for b in out for r in b.to_pylist()]
+
+
+def test_bpe_words_are_encoded_once(vocabulary, monkeypatch):
+    """Common words outlive a full memory, and rare ones are encoded by the distinct pieces of a group of rows."""
+    seen = []
+    encoded = bpe.WordBpe.encoded
+    monkeypatch.setattr(bpe.WordBpe, "encoded", lambda self, texts, last: seen.extend(texts) or encoded(self, texts, last))
+    monkeypatch.setattr(bpe, "REMEMBERED", 300)
+    letters = [a + b + c for a in "abcdefgh" for b in "klmnopqr" for c in "stuvwxyz"]
+    common, rare = letters[:200], letters[200:500]
+    batches = [[" ".join(common + [f"{w}{q}" for w in rare[k : k + 100]]) for q in ".,;:"] for k in (0, 100, 200)]
+    rows = bpe_rows(vocabulary, batches)
+    assert sorted(filter(str.isalpha, seen)) == sorted(common + rare)
+    assert len(rows) == 12 and all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
+
+
+@pytest.mark.parametrize("limit", [0, 200, 1 << 20])
+def test_bpe_groups_equal_the_library(vocabulary, monkeypatch, limit):
+    """Groups of one row and of many, memories that overflow, white space and marks of all kinds."""
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(vocabulary)
+    monkeypatch.setattr(bpe, "GROUP_BYTES", limit)
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "\v", "\f", "\x1c", "\x85", "\xa0", "\u2028", "\x00", "e\u0301", "\u0301", "'s", "'LL", "<|endoftext|>", "<|", "the", "The", "ÀÉ", "ß", "ÿ", "×", "µ", "12", "x" * 13, "é" * 7, "É" * 40, "internationalisation", "漢字", "ǅ", "İ", "😀", "!?", "#", "Σς"]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(400)]
+    texts += [None, "", " \n ", *texts[:5], *ODD, None]
+    rows = bpe_rows(vocabulary, [texts[:150], [], texts[150:]])
+    assert [r["doc_id"] for r in rows] == [*range(150), *range(len(texts) - 150)]
+    for text, r in zip(texts, rows, strict=True):
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids) and r["decoded"] == lib.decode(ids, skip_special_tokens=False)
+
+
 @pytest.mark.parametrize("leaf", [3, 7, 16])
 def test_bpe_tree_joins(vocabulary, leaf):
     tokenizers = pytest.importorskip("tokenizers")
