@@ -1,5 +1,6 @@
-"""Exact nearest neighbours and order statistics of distances, by cells: no step meets all pairs of a curve.
+"""Exact nearest neighbours and order statistics of distances: short curves in tiles, many at once, longer ones by cells.
 
+By cells, no step meets all pairs of a curve.
 Nearest neighbours are searched in cells that widen fourfold for the samples that are still open; a search ends where the
 neighbour found is nearer than anything outside the cells searched.  The radius of a recurrence rate is the distance of
 a rank: counts per cell bound it from above, and only pairs within that bound are made, refined by histograms.
@@ -11,11 +12,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analytic import along
 from ..functions.shared import dropped, stored
+from ..functions.tiles import Tile, distances, over_curves, split
 from .recurrence import CURVE, cell_of, distance, near_pairs
 
 #: Cells have at most so many dimensions; the widths that are tried first, a quarter each, and pairs per state that a width may make.
@@ -28,12 +31,41 @@ def _known(samples: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     return samples.where(reduce(lambda p, q: p & q, [F.col(d).isNotNull() & ~F.isnan(d) for d in dims]))
 
 
+def nearest_places(tile: Tile, theiler: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a tile's samples, curve by curve, the place of the nearest neighbour and its distance; those without one are False in the last array."""
+    n, known = tile.times.shape[1], tile.present & ~np.isnan(tile.values).any(1)
+    d = tile.between()
+    equal = (tile.values[:, :, :, None] == tile.values[:, :, None, :]).all(1) & known[:, None, :]
+    first, last = equal.argmax(2), n - 1 - equal[:, :, ::-1].argmax(2)
+    t = tile.times[:, :, None]
+    early, late = (np.take_along_axis(tile.times, x, 1)[:, None, :] for x in (first, last))
+    j = np.where(early < t - theiler, first[:, None, :], np.where(late > t + theiler, last[:, None, :], n))
+    ok = (j < n) & (d > 0) & known[:, :, None] & known[:, None, :]
+    d[~ok] = np.inf
+    least = d.min(2)
+    j[~(ok & (d == least[:, :, None]))] = n
+    return j.min(2), least, ok.any(2)
+
+
 def nearest_neighbours(samples: DataFrame, dims: tuple[str, ...], theiler: int, keys: tuple[str, ...] = (CURVE,)) -> DataFrame:
     """(keys, i, j, d): the nearest state at a distance above zero that is further than ``theiler`` in time.
 
     Of equally near states the one with the least index j counts; j is the state's first occurrence if that is far enough in
     time, else its last.  Samples with a missing coordinate have no neighbour and are none; samples without any are left out.
     """
+    short, long = split(samples, keys)
+
+    def kernel(tile: Tile):
+        j, d, found = nearest_places(tile, theiler)
+        curve, i = np.nonzero(found)
+        return curve, [pa.array(tile.times[curve, i]), pa.array(tile.times[curve, j[curve, i]]), pa.array(d[curve, i])]
+
+    out = over_curves(short, dims, kernel, "i long, j long, d double", keys)
+    return out if long is None else out.union(nearest_by_cells(long, dims, theiler, keys))
+
+
+def nearest_by_cells(samples: DataFrame, dims: tuple[str, ...], theiler: int, keys: tuple[str, ...] = (CURVE,)) -> DataFrame:
+    """``nearest_neighbours`` of long curves."""
     k, grid = list(keys), dims[:GRID]
     known = _known(samples, dims).select(*k, F.col("t_idx").cast("long").alias("i"), *dims)
     # Equal states are one row with their first and last time, so a state that recurs often is no hot cell.
@@ -163,6 +195,33 @@ def radius_for_rate(samples: DataFrame, dims: tuple[str, ...], rate: float, thei
     eligible pair, or if all of its states are the same.
     """
     _checked(rate)
+    short, long = split(samples, keys)
+
+    def kernel(tile: Tile):
+        known = tile.present & ~np.isnan(tile.values).any(1)
+        i, j = np.triu_indices(known.shape[1], 1)
+        ok = known[:, i] & known[:, j] & (tile.times[:, j] - tile.times[:, i] > theiler)
+        d = distances(tile.values[:, :, i], tile.values[:, :, j], metric)
+        d[~ok] = np.inf
+        d.sort(1)
+        eligible = ok.sum(1)
+        rank = np.maximum(1, np.ceil(eligible * rate - 1e-9)).astype(int)
+        high, low = (f(np.where(known[:, None], tile.values, -e), 2, initial=-e) for f, e in ((np.max, np.inf), (np.min, -np.inf)))
+        at = np.flatnonzero(known.any(1))
+        radius = [None if not eligible[c] else d[c, rank[c] - 1] for c in at]
+        return at, [pa.array(eligible[at]), pa.array((low == high).all(1)[at]), pa.array(radius, pa.float64())]
+
+    tiled = stored(over_curves(short, dims, kernel, "eligible long, same boolean, radius double", keys), "radii")
+    if not tiled.where("eligible <= 0").isEmpty():
+        raise ValueError("the Theiler window leaves a curve without eligible pairs")
+    if not tiled.where("same").isEmpty():
+        raise ValueError("a target rate needs states that are not all the same")
+    out = tiled.select(*keys, "radius")
+    return out if long is None else out.union(_radius_by_cells(long, dims, rate, theiler, metric, keys))
+
+
+def _radius_by_cells(samples: DataFrame, dims: tuple[str, ...], rate: float, theiler: int, metric: str, keys: tuple[str, ...]) -> DataFrame:
+    """``radius_for_rate`` of long curves."""
     k, known = list(keys), _known(samples, dims)
     later = Window.partitionBy(*k).orderBy(F.col("t_idx").cast("long")).rangeBetween(theiler + 1, Window.unboundedFollowing)
     n = known.select(*k, F.count(F.lit(1)).over(later).alias("later")).groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.sum("later").alias("eligible"))
