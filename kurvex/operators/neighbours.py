@@ -260,13 +260,46 @@ def false_neighbours(samples: DataFrame, dim: str, delay: int, max_dimension: in
     A neighbour is false if the new coordinate's distance is over ``rtol`` times the distance, or the joint
     distance is over ``atol`` population deviations of the curve.
     """
+    short, long = split(samples)
+
+    def kernel(tile: Tile):
+        x, n = tile.values[:, 0], tile.times.shape[1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            there = tile.present.sum(1)
+            mean = np.where(tile.present, x, 0).sum(1) / there
+            sd = np.sqrt((np.where(tile.present, x - mean[:, None], 0) ** 2).sum(1) / there)
+        rows: list[tuple] = []
+        for m in range(1, max_dimension + 1):
+            back = [slice(max(0, (m - l) * delay), max(0, n - l * delay)) for l in range(m + 1)]  # states that have m delays
+            if not len(range(*back[0].indices(n))):
+                break
+            e = np.stack([x[:, b] for b in back[:m]], 1)
+            there = tile.present[:, back[m]] & tile.inside[:, back[0]]
+            for b in back[:m]:
+                there = there & tile.present[:, b]
+            j, d, found = nearest_places(Tile(tile.times[:, back[0]], e, there, there), theiler)
+            curve, i = np.nonzero(found)
+            new = x[:, back[m]]
+            g, d = np.abs(new[curve, i] - new[curve, j[curve, i]]), d[curve, i]
+            false = ~(g / d <= rtol) | ~(np.sqrt(d * d + g * g) / sd[curve] <= atol)
+            count, hits = np.bincount(curve, minlength=len(x)), np.bincount(curve, false, minlength=len(x))
+            rows += [(c, m, hits[c] / count[c], int(count[c])) for c in np.flatnonzero(count)]
+        at, dimension, share, count = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return np.array(at, int), [pa.array(dimension, pa.int32()), pa.array(share, pa.float64()), pa.array(count, pa.int64())]
+
+    out = over_curves(short, (dim,), kernel, "dimension int, false_share double, n long")
+    return out if long is None else out.unionByName(_false_by_cells(long, dim, delay, max_dimension, theiler, rtol, atol))
+
+
+def _false_by_cells(samples: DataFrame, dim: str, delay: int, max_dimension: int, theiler: int, rtol: float, atol: float) -> DataFrame:
+    """``false_neighbours`` of long curves."""
     w = along(CURVE)
     sd = samples.groupBy(CURVE).agg(F.stddev_pop(dim).alias("sd"))
     out = None
     for m in range(1, max_dimension + 1):
         cols = [(F.lag(dim, l * delay).over(w) if l else F.col(dim)).alias(f"e{l}") for l in range(m + 1)]
         s = samples.select(CURVE, "t_idx", *cols).where(F.col(f"e{m}").isNotNull())
-        near = nearest_neighbours(s, tuple(f"e{l}" for l in range(m)), theiler)
+        near = nearest_by_cells(s, tuple(f"e{l}" for l in range(m)), theiler)
         new = s.select(CURVE, F.col("t_idx").alias("i"), F.col(f"e{m}").alias("p")), s.select(CURVE, F.col("t_idx").alias("j"), F.col(f"e{m}").alias("q"))
         j = near.join(new[0], [CURVE, "i"]).join(new[1], [CURVE, "j"]).join(sd, CURVE).withColumn("g", F.abs(F.col("p") - F.col("q")))
         false = (F.col("g") / F.col("d") > rtol) | (F.sqrt(F.col("d") * F.col("d") + F.col("g") * F.col("g")) / F.col("sd") > atol)
