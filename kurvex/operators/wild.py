@@ -2,7 +2,7 @@
 
 The scores are fixed; every replicate multiplies the residuals of a pilot fit (g components) by draws that are a function of
 curve and replicate, refits h components, and studentises with its own residuals.  Both passes add up matrices of
-replicates, targets and components in the tasks; nothing of the data's size is sent.
+replicates and components in the tasks; nothing of the data's or of the targets' size is sent.
 """
 
 from __future__ import annotations
@@ -40,6 +40,19 @@ def _solve(g: np.ndarray, h: int) -> np.ndarray:
     return np.linalg.solve(g[: h + 1, : h + 1], g[: h + 1, -1])
 
 
+def _forms(z: np.ndarray, residual: np.ndarray) -> np.ndarray:
+    """Per column of residuals the sums over curves of residual x scores, and of residual squared x scores x scores."""
+    pairs = (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
+    return np.concatenate((residual.T @ z, (residual * residual).T @ pairs), 1)
+
+
+def _of_targets(forms: np.ndarray, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of residual x projection and of its square, for every row of ``_forms`` and every target."""
+    h = directions.shape[1]
+    squares = (directions[:, :, None] * directions[:, None, :]).reshape(len(directions), -1)
+    return forms[:, :h] @ directions.T, forms[:, h:] @ squares.T
+
+
 def wild_projection(scored: DataFrame, outcome: str, targets: pd.DataFrame, pilot: int, components: int, replicates: int = 500, multiplier: str = "normal", level: float = 0.95, seed: int = 0) -> WildProjection:
     """Studentised wild bootstrap of centred projections.
 
@@ -56,42 +69,42 @@ def wild_projection(scored: DataFrame, outcome: str, targets: pd.DataFrame, pilo
     wide, full = np.linalg.inv(g[: h + 1, : h + 1]), np.linalg.inv(g[: pilot + 1, : pilot + 1])
 
     def first(batches):
-        """Sums over curves of design x multiplied residual, and what the reference standard errors need."""
+        """Sums over curves of design x multiplied residual, and of score x residual and scores x scores x its square.
+
+        A target's sums are a linear and a quadratic form of these, so their size doesn't follow the number of targets.
+        """
         total, own = 0.0, 0.0
         for b in batches:
             w, z, y = draws(np.asarray(b.column(0)), replicates, seed, multiplier), matrix(b.column(1)), np.asarray(b.column(2), float)
             x = np.column_stack((np.ones(len(z)), z))
             e = y - x[:, : pilot + 1] @ b_pilot
             total = total + (x * e[:, None]).T @ w
-            r = (z @ directions.T) * e[:, None]
-            own = own + np.stack((r.sum(0), (r * r).sum(0)))
+            own = own + _forms(z, e[:, None])
         if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64())), pa.array([own.ravel().tolist()], pa.list_(pa.float64()))], ["total", "own"])
 
     r = add_up(rows.mapInArrow(first, "total array<double>, own array<double>")).first()
     shift = np.asarray(r.total).reshape(h + 1, replicates)  # X' (multiplied residuals)
     spread = lambda s, q: np.sqrt(np.maximum(q - s * s / n, 0) / (n - 1) / n)
-    se = spread(*np.asarray(r.own).reshape(2, -1))
+    se = spread(*_of_targets(np.asarray(r.own).reshape(1, -1), directions))[0]
     fitted = np.zeros(h + 1)
     fitted[: pilot + 1] = b_pilot
     star = fitted[:, None] + wide @ shift  # coefficients of every replicate's refit
     refit_pilot = b_pilot[:, None] + full @ shift[: pilot + 1]
 
     def second(batches):
-        """Sums of direction x replicate residual and of its square, for every replicate and target."""
+        """The same sums with every replicate's residual."""
         total = 0.0
         for b in batches:
             w, z, y = draws(np.asarray(b.column(0)), replicates, seed, multiplier), matrix(b.column(1)), np.asarray(b.column(2), float)
             x = np.column_stack((np.ones(len(z)), z))[:, : pilot + 1]
             e = y - x @ b_pilot
-            residual = (x @ b_pilot + (e[:, None] * w).T).T - x @ refit_pilot
-            d = z @ directions.T
-            total = total + np.stack((residual.T @ d, (residual * residual).T @ (d * d)))
+            total = total + _forms(z, (x @ b_pilot + (e[:, None] * w).T).T - x @ refit_pilot)
         if not np.isscalar(total):
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["total"])
 
-    t = np.asarray(add_up(rows.mapInArrow(second, "total array<double>")).first().total).reshape(2, replicates, len(z0))
-    se_star = spread(t[0], t[1])
+    t = np.asarray(add_up(rows.mapInArrow(second, "total array<double>")).first().total).reshape(replicates, -1)
+    se_star = spread(*_of_targets(t, directions))
     root = z0 @ star[1:] - (z0[:, :pilot] @ b_pilot[1:])[:, None]
     roots = np.divide(root.T, se_star, out=np.zeros_like(se_star), where=se_star > 1e-12)
     return WildProjection(list(targets["curve_id"]), z0 @ b_full[1:], z0[:, :pilot] @ b_pilot[1:], se, roots, level, h)
