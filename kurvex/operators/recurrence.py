@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analytic import along
 from ..functions.shared import stored
+from ..functions.tiles import Tile, over_curves, split
 
 CURVE = "curve_id"
 
@@ -211,6 +214,31 @@ def network_summary(nodes: DataFrame) -> DataFrame:
 
 def kantz_curve(samples: DataFrame, dims: tuple[str, ...], radius: float, theiler: int, max_horizon: int, min_neighbours: int = 2) -> DataFrame:
     """Log of the mean distance to all neighbours within the radius after k steps, averaged over references with enough of them."""
+    short, long = split(samples, whole=True)
+
+    def kernel(tile: Tile):
+        d, known = tile.between(), tile.present[:, :, None] & tile.present[:, None, :]
+        near, there = (d <= radius) & tile.apart(theiler) & known, tile.inside[:, :, None] & tile.inside[:, None, :]
+        out = []
+        for k in range(min(max_horizon + 1, d.shape[1])):
+            n = d.shape[1] - k
+            pair = near[:, :n, :n] & there[:, k:, k:]
+            count, valued = pair.sum(2), pair & known[:, k:, k:]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = np.where(valued, d[:, k:, k:], 0).sum(2) / valued.sum(2)
+                ok = (count >= min_neighbours) & valued.any(2) & ~(mean <= 0)
+                total, refs = np.where(ok, np.log(mean), 0).sum(1), ok.sum(1)
+            at = np.flatnonzero(refs)
+            out.append((at, np.full(len(at), k), total[at] / refs[at], refs[at]))
+        at, k, mean, refs = (np.concatenate(x) for x in zip(*out, strict=True))
+        return at, [pa.array(k.astype(np.int32)), pa.array(mean), pa.array(refs)]
+
+    out = over_curves(short, dims, kernel, "k int, mean_log double, n long")
+    return out if long is None else out.unionByName(_kantz_by_cells(long, dims, radius, theiler, max_horizon, min_neighbours))
+
+
+def _kantz_by_cells(samples: DataFrame, dims: tuple[str, ...], radius: float, theiler: int, max_horizon: int, min_neighbours: int) -> DataFrame:
+    """``kantz_curve`` of long curves."""
     p = recurrence_pairs(samples, dims, radius, theiler)
     both = p.union(p.select(CURVE, "j", "i")).select(CURVE, "i", "j", F.explode(F.sequence(F.lit(0), F.lit(max_horizon))).alias("k"))
     a = samples.select(CURVE, F.col("t_idx").alias("ai"), F.struct(*dims).alias("p"))
@@ -235,6 +263,28 @@ def poincare_crossings(samples: DataFrame, section: str, value: float, direction
     return s.where(hit).select(CURVE, F.col("t_idx").alias("i"), (F.col("t") + f * (F.col("_t") - F.col("t"))).alias("t"), *((F.col(d) + f * (F.col(f"_{d}") - F.col(d))).alias(d) for d in dims))
 
 
+def components_within(samples: DataFrame, dims: tuple[str, ...], radius: float, theiler: int = 0) -> DataFrame:
+    """``network_components`` of the recurrences within a radius: short curves in tiles, by the same hooking and jumping."""
+    short, long = split(samples)
+
+    def kernel(tile: Tile):
+        edge = (tile.between() <= radius) & tile.apart(theiler)
+        n = edge.shape[1]
+        label = np.broadcast_to(np.arange(n, dtype=np.int16), edge.shape[:2])
+        while True:
+            fresh = np.minimum(label, np.where(edge, label[:, None, :], np.int16(n)).min(2))
+            fresh = np.minimum(fresh, np.take_along_axis(fresh, fresh, 1))
+            if (fresh == label).all():
+                break
+            label = fresh
+        curve, node = np.nonzero(tile.inside)
+        sizes = np.bincount(curve * n + label[curve, node], minlength=len(label) * n).reshape(-1, n)
+        return np.arange(len(label)), [pa.array((sizes > 0).sum(1)), pa.array(sizes.max(1))]
+
+    out = over_curves(short, dims, kernel, "n_components long, largest_component long")
+    return out if long is None else out.union(network_components(long, recurrence_pairs(long, dims, radius, theiler)))
+
+
 def network_components(samples: DataFrame, pairs: DataFrame) -> DataFrame:
     """Connected components of every curve's recurrence network: how many, and the size of the largest.
 
