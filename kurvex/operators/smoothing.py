@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tiles import floats, tasks
+
 CURVE = "curve_id"
+#: Values of surrogates that are made at once.
+HELD = 1 << 16
 
 
 def pchip(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,24 +114,72 @@ def iaaft(v: np.ndarray, rng: np.random.Generator, iterations: int = 200, tolera
     return s
 
 
+def iaaft_many(v: np.ndarray, starts: np.ndarray, iterations: int = 200, tolerance: float = 1e-8) -> np.ndarray:
+    """``iaaft`` of many matrices of one length at once: v (curves, samples, columns), starts (curves, surrogates, samples) are permutations.
+
+    Each surrogate stops by itself; the result is (curves, surrogates, samples, columns).
+    """
+    n, shape = v.shape[1], (*starts.shape, v.shape[2])
+    spectrum = np.fft.rfft(v, axis=1)
+    turn = np.exp(1j * (np.angle(spectrum) - np.angle(spectrum[:, :, :1])))
+    each = lambda x: np.repeat(x, starts.shape[1], axis=0)
+    ranked, amp, push = each(np.sort(v, 1)), each(np.abs(spectrum)), each(np.abs(spectrum) * turn)
+    s = np.take_along_axis(each(v), starts.reshape(-1, n, 1), 1)
+    out, before, open_ = np.empty_like(s), np.full(len(s), np.inf), np.arange(len(s))
+    held = np.fft.rfft(s, axis=1)
+    for _ in range(iterations):
+        first = held[:, :, :1]
+        size = np.abs(first)
+        phase = np.divide(first, size, out=np.ones_like(first), where=size > 0)
+        order = np.argsort(np.fft.irfft(push * phase, n, axis=1), 1, kind="stable")
+        s = np.empty_like(ranked)
+        np.put_along_axis(s, order, ranked, 1)
+        held = np.fft.rfft(s, axis=1)
+        gap = ((np.abs(held) - amp) ** 2).mean((1, 2))
+        done = np.abs(before - gap) < tolerance
+        if done.any():
+            out[open_[done]] = s[done]
+            s, held, gap, ranked, amp, push, open_ = (x[~done] for x in (s, held, gap, ranked, amp, push, open_))
+            if not len(open_):
+                break
+        before = gap
+    out[open_] = s
+    return out.reshape(shape)
+
+
 def surrogate_test(samples: DataFrame, dims: tuple[str, ...], statistic, n_surrogates: int = 19, seed: int = 0, min_samples: int = 8) -> DataFrame:
     """Plus-one p-value of each curve's statistic (a function of the value matrix) against its own surrogates.
 
-    Curves with fewer than ``min_samples`` complete samples have too few phases to surrogate: their row has NULLs.
+    Curves with fewer than ``min_samples`` complete samples have too few phases to surrogate: their row has NULLs.  Curves of one
+    length are surrogated together, at most ``HELD`` values at a time (one surrogate at least).
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("t_idx")[list(dims)].dropna().to_numpy(float)
-        curve = pdf[CURVE].iloc[0]
-        if len(v) < min_samples:
-            return pd.DataFrame({CURVE: [curve], "observed": [None], "p_value": [None]})
-        rng = np.random.default_rng([seed, int(pdf["_hash"].iloc[0]) & 0x7FFFFFFF])
-        seen = statistic(v)
-        null = [statistic(iaaft(v, rng)) for _ in range(n_surrogates)]
-        return pd.DataFrame({CURVE: [curve], "observed": [float(seen)], "p_value": [(1 + sum(x >= seen for x in null)) / (n_surrogates + 1)]})
-
-    rows = samples.select(CURVE, F.xxhash64(CURVE).alias("_hash"), "t_idx", *dims)
-    return rows.groupBy(CURVE).applyInPandas(run, f"curve_id {dict(samples.dtypes)[CURVE]}, observed double, p_value double")
+    rows = samples.select(CURVE, F.xxhash64(CURVE).alias("_hash"), F.struct("t_idx", *(F.col(d).cast("double").alias(f"d{k}") for k, d in enumerate(dims))).alias("s"))
+    arrays = rows.groupBy(CURVE, "_hash").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    arrays = arrays.select(CURVE, "_hash", *(F.col(f"s.d{k}").alias(f"d{k}") for k in range(len(dims)))).repartition(tasks(samples))
+
+    def run(batches):
+        for b in batches:
+            ends = np.asarray(b.column(2).offsets) - b.column(2).offsets[0].as_py()
+            flat = np.stack([floats(b.column(k)) for k in range(2, b.num_columns)], 1)
+            values = [x[~np.isnan(x).any(1)] for x in np.split(flat, ends[1:-1])] if len(b) else []
+            size, hashes = np.array([len(x) for x in values], int), np.asarray(b.column(1))
+            observed, p = [None] * len(b), [None] * len(b)
+            for n in np.unique(size[size >= min_samples]):
+                same = np.flatnonzero(size == n)
+                some = max(1, HELD // (n * len(dims) * n_surrogates))
+                for at in (same[k : k + some] for k in range(0, len(same), some)):
+                    draw = [np.random.default_rng([seed, int(hashes[c]) & 0x7FFFFFFF]) for c in at]
+                    seen, hits = [float(statistic(values[c])) for c in at], np.zeros(len(at), int)
+                    group = max(1, HELD // (n * len(dims) * len(at)))
+                    for k in range(0, n_surrogates, group):
+                        starts = np.stack([[rng.permutation(n) for _ in range(min(group, n_surrogates - k))] for rng in draw])
+                        null = iaaft_many(np.stack([values[c] for c in at]), starts)
+                        hits += [sum(statistic(x) >= o for x in surrogates) for o, surrogates in zip(seen, null, strict=True)]
+                    for c, o, h in zip(at, seen, hits, strict=True):
+                        observed[c], p[c] = o, (1 + int(h)) / (n_surrogates + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(observed, pa.float64()), pa.array(p, pa.float64())], [CURVE, "observed", "p_value"])
+
+    return arrays.mapInArrow(run, f"curve_id {dict(samples.dtypes)[CURVE]}, observed double, p_value double")
 
 
 def time_reversal(v: np.ndarray) -> float:
